@@ -106,16 +106,16 @@ def _lin(cols, m) -> Column:
 
 
 def inner_stack_scores(df: DataFrame, cols: Sequence[str], k: int, inner_k: int = 5, seed_base: int = 10, c: float = 0.1) -> DataFrame:
-    """Inner held-out stack logits of every outer training row: columns outer, inner, s.
+    """Inner held-out stack logits of every outer training row: columns outer_fold, inner_fold, s.
 
     All outer x inner fits run together; each row is read once per outer fold.
     """
     rows = stage(inner_folds(df.select("uid", "y", "fold", *cols), k, inner_k, seed_base))
     fits = [Fit((o, i), held=i, part=o, penalty=ridge(c, len(cols))) for o in range(k) for i in range(inner_k)]
-    fitted = {m.name: m for m in fit_many(rows, cols, fits, fold="inner", part="outer")}
+    fitted = {m.name: m for m in fit_many(rows, cols, fits, fold="inner_fold", part="outer_fold")}
     s = F.lit(None).cast("double")
     for (o, i), m in fitted.items():
-        s = F.when((F.col("outer") == o) & (F.col("inner") == i), _lin(cols, m)).otherwise(s)
+        s = F.when((F.col("outer_fold") == o) & (F.col("inner_fold") == i), _lin(cols, m)).otherwise(s)
     return rows.withColumn("s", s)
 
 
@@ -128,13 +128,13 @@ def doubly_nested_calibration(df: DataFrame, cols: Sequence[str], k: int, inner_
     outer = {m.name[0]: m for m in fit_many(df, cols, [Fit((f,), held=f, penalty=ridge(c, len(cols))) for f in range(k)], fold="fold")}
     lo, hi = TEMP_RANGE
     temps = [round(lo + 0.025 * i, 6) for i in range(round((hi - lo) / 0.025) + 1)]
-    losses = with_grid(inner.select("outer", "y", "s"), [{"temp": t} for t in temps])
-    losses = losses.groupBy("outer", "temp").agg(F.avg(row_logloss("y", sigmoid(F.col("s") / F.col("temp")))).alias("loss"))
-    best_t = {r["outer"]: r["temp"] for r in grid_best(losses, ["temp"], by=["outer"]).collect()}  # one per fold
-    aff = {m.name[0]: m for m in fit_many(inner, ["s"], [affine_fit((f,), part=f) for f in range(k)], part="outer")}
+    losses = with_grid(inner.select("outer_fold", "y", "s"), [{"temp": t} for t in temps])
+    losses = losses.groupBy("outer_fold", "temp").agg(F.avg(row_logloss("y", sigmoid(F.col("s") / F.col("temp")))).alias("loss"))
+    best_t = {r["outer_fold"]: r["temp"] for r in grid_best(losses, ["temp"], by=["outer_fold"]).collect()}  # one per fold
+    aff = {m.name[0]: m for m in fit_many(inner, ["s"], [affine_fit((f,), part=f) for f in range(k)], part="outer_fold")}
     u, v = beta_terms("s")
-    terms = inner.select("outer", "y", u.alias("_u"), v.alias("_v"))
-    bet = {m.name[0]: m for m in fit_many(terms, ["_u", "_v"], [beta_fit((f,), part=f) for f in range(k)], part="outer")}
+    terms = inner.select("outer_fold", "y", u.alias("_u"), v.alias("_v"))
+    bet = {m.name[0]: m for m in fit_many(terms, ["_u", "_v"], [beta_fit((f,), part=f) for f in range(k)], part="outer_fold")}
     held = df.select("y", "fold", _pick({f: _lin(cols, m) for f, m in outer.items()}, "fold").alias("s"))
     held = held.withColumn("_u", u).withColumn("_v", v)
     kinds = {
@@ -165,17 +165,17 @@ def prior_shrink(df: DataFrame, k: int, v0s: Sequence[float], v1s: Sequence[floa
     grid = [{"v0": float(a), "v1": float(b)} for a in v0s for b in v1s]
     base = df.select(F.col(y).alias("y"), F.col(p).alias("p"), F.col(d).alias("d"), F.col(fold).alias("fold"))
     rows = with_grid(outer_training_rows(base, k), grid)
-    pi = _pick({f: F.lit(float(v)) for f, v in prior.items()}, "outer")
+    pi = _pick({f: F.lit(float(v)) for f, v in prior.items()}, "outer_fold")
 
     def mixed(v0, v1, pi):
         a = shrink_alpha(v0, v1, F.col("d"))
         return (F.lit(1.0) - a) * F.col("p") + a * pi
 
-    loss = rows.groupBy("outer", "v0", "v1").agg(F.avg(row_logloss("y", mixed(F.col("v0"), F.col("v1"), pi))).alias("loss"))
+    loss = rows.groupBy("outer_fold", "v0", "v1").agg(F.avg(row_logloss("y", mixed(F.col("v0"), F.col("v1"), pi))).alias("loss"))
     pen = F.lit(1e-3) * (F.col("v0") * F.col("v0") + F.col("v1") * F.col("v1"))
-    best = grid_best(loss.withColumn("objective", F.col("loss") + pen), ["v0", "v1"], "objective", ["outer"]).collect()  # k rows
-    v0 = _pick({r["outer"]: F.lit(r["v0"]) for r in best}, "fold")
-    v1 = _pick({r["outer"]: F.lit(r["v1"]) for r in best}, "fold")
+    best = grid_best(loss.withColumn("objective", F.col("loss") + pen), ["v0", "v1"], "objective", ["outer_fold"]).collect()  # k rows
+    v0 = _pick({r["outer_fold"]: F.lit(r["v0"]) for r in best}, "fold")
+    v1 = _pick({r["outer_fold"]: F.lit(r["v1"]) for r in best}, "fold")
     pi_f = _pick({f: F.lit(float(v)) for f, v in prior.items()}, "fold")
     held = base.groupBy("fold").agg(
         F.count(F.lit(1)).alias("n"), F.avg(row_logloss("y", "p")).alias("plain"),

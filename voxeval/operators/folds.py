@@ -60,7 +60,7 @@ def group_folds(df: DataFrame, k: int, seed, family: str = "family", y: str = "y
     return lookup_join(df, stage(table), family)
 
 
-def outer_training_rows(df: DataFrame, k: int, fold: str = "fold", name: str = "outer") -> DataFrame:
+def outer_training_rows(df: DataFrame, k: int, fold: str = "fold", name: str = "outer_fold") -> DataFrame:
     """Each row once for every outer fold that trains on it."""
     held = F.sequence(F.lit(0), F.lit(k - 1))
     outs = F.filter(held, lambda f: f != F.col(fold))
@@ -71,8 +71,8 @@ def inner_folds(df: DataFrame, outer_k: int, inner_k: int, seed_base: int, strat
                 fold: str = "fold") -> DataFrame:
     """Second-level folds inside every outer training set, seeded by the outer fold (K4)."""
     rows = outer_training_rows(df, outer_k, fold)
-    seed = (F.col("outer") + seed_base).cast("string")
-    return stratified_folds(rows, ["outer", *strata], inner_k, seed, name="inner")
+    seed = (F.col("outer_fold") + seed_base).cast("string")
+    return stratified_folds(rows, ["outer_fold", *strata], inner_k, seed, name="inner_fold")
 
 
 def fold_balance(df: DataFrame, y: str = "y", fold: str = "fold") -> DataFrame:
@@ -100,7 +100,7 @@ def noise_weights(inner: DataFrame, z: str = "z", y: str = "y") -> DataFrame:
 
 
 def noise_summary(weights: DataFrame) -> DataFrame:
-    return weights.groupBy("outer").agg(
+    return weights.groupBy("outer_fold").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad"), F.avg(F.col("bad").cast("double")).alias("share")
     )
 

@@ -63,9 +63,8 @@ def group_report(df: DataFrame, group: str, top: int = 12, y: str = "y", p: str
 
 def paired_delta(base: DataFrame, cand: DataFrame, key: str = "uid", y: str = "y", p: str = "p") -> DataFrame:
     """Loss of the candidate minus loss of the base, per row (M5)."""
-    b = base.select(key, F.col(y).alias("y"), row_logloss(y, p).alias("_lb"))
-    c = cand.select(key, row_logloss(F.col(y), F.col(p)).alias("_lc"))
-    return b.join(c, key).select(key, (F.col("_lc") - F.col("_lb")).alias("d"))
+    j = base.select(key, F.col(y).alias("_y"), F.col(p).alias("_b")).join(cand.select(key, F.col(p).alias("_c")), key)
+    return j.select(key, (row_logloss("_y", "_c") - row_logloss("_y", "_b")).alias("d"))
 
 
 def _poisson_cdf(limit: int = 12) -> list[float]:

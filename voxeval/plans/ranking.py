@@ -47,14 +47,14 @@ def value_buckets(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     n = max(8, min(512, _partitions(df)))
     probs = [i / n for i in range(1, n)]
     keys = list(keys)
-    agg = F.expr(f"percentile_approx(`{value}`, array({','.join(map(str, probs))}), {20 * n})").alias("_q")
-    bounds = df.groupBy(*keys).agg(F.array_distinct(agg).alias("_q"))
-    bucket = F.size(F.filter("_q", lambda q: q < F.col(value))).alias("_b")
+    agg = F.expr(f"percentile_approx(`{value}`, array({','.join(map(str, probs))}), {20 * n})").alias("_bounds")
+    bounds = df.groupBy(*keys).agg(F.array_distinct(agg).alias("_bounds"))
+    bucket = F.size(F.filter("_bounds", lambda q: q < F.col(value))).alias("_b")
     if keys:
         return lookup_join(df, stage(bounds), keys, max_rows=50_000).select(*df.columns, bucket)
-    cuts = bounds.first()["_q"] or []  # at most 511 numbers
+    cuts = bounds.first()["_bounds"] or []  # at most 511 numbers
     literal = F.array(*[F.lit(float(q)) for q in cuts]) if cuts else F.array().cast("array<double>")
-    return df.withColumn("_q", literal).select(*df.columns, bucket)
+    return df.withColumn("_bounds", literal).select(*df.columns, bucket)
 
 
 def distinct_counts(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column]) -> DataFrame:

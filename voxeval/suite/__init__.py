@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalars",)
+MODULES = ("scalars", "joins", "folds", "metrics")
 
 
 def load() -> None:
