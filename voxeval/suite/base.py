@@ -130,7 +130,7 @@ def with_clause(needs: Sequence[str], extra: Sequence[tuple[str, str]] = (), rec
     for n in needs:
         visit(n)
     parts = [f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in order]
-    parts += [f"{n} AS ({t})" if "UNION ALL" in t and recursive else f"{n} AS MATERIALIZED ({t})" for n, t in extra]
+    parts += [f"{n} AS ({t})" if recursive and n == "reach" else f"{n} AS MATERIALIZED ({t})" for n, t in extra]
     if not parts:
         return ""
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n"
