@@ -157,11 +157,11 @@ def peak_boxes(sides: DataFrame, box_height: int, net_height: int, k: int = BOX_
 def fold_sides(df: DataFrame, cols: Sequence[str], sides: tuple = ("R", "L"), eps: float = ASYM_EPS, prefix: str = "",
                keys: Sequence[str] = ("uid",), mean: bool = True) -> DataFrame:
     """Two side rows to min, max, mean and relative difference of each column."""
-    pair = [(c, *[F.max(F.when(F.col("side") == s, F.col(c))).alias(f"_{i}{c}") for i, s in enumerate(sides)]) for c in cols]
+    pair = [(c, *[F.max(F.when(F.col("side") == s, F.col(f"`{c}`"))).alias(f"_{i}{c}") for i, s in enumerate(sides)]) for c in cols]
     g = df.groupBy(*keys).agg(*[e for p in pair for e in p[1:]])
     outs = []
     for c in cols:
-        a, b = F.col(f"_0{c}"), F.col(f"_1{c}")
+        a, b = F.col(f"`_0{c}`"), F.col(f"`_1{c}`")
         outs += [F.least(a, b).alias(f"{prefix}{c}_min"), F.greatest(a, b).alias(f"{prefix}{c}_max")]
         if mean:
             outs.append(((a + b) / 2).alias(f"{prefix}{c}_mean"))

@@ -91,23 +91,33 @@ def close_(mask: DataFrame, n: int, grid: Grid) -> DataFrame:
 def components(mask: DataFrame, grid: Grid, max_rounds: int = 60) -> DataFrame:
     """Six-connected components, each named by its lowest row-major index (column ``lab``).
 
-    A round takes the lowest label among neighbours, then the label of that label, so a chain of
-    n voxels needs about log n rounds. Each round is staged and ends by counting changes.
+    Every voxel points to another one of its component. A round looks up where its target
+    points, takes the lowest such target among neighbours, and hangs both the voxel and its
+    target below it, so whole trees merge and rounds grow with the logarithm of the size.
+    Each round is one staged table and ends by looking for a change.
     """
     d, h, w = grid
-    idx = (F.col("z") * h + F.col("y")) * w + F.col("x")
-    cur = stage(mask.select("uid", *AXES, idx.alias("lab")))
+    idx = ((F.col("z") * h + F.col("y")) * w + F.col("x")).cast("long")
+    cur = stage(mask.select("uid", idx.alias("i"), idx.alias("f")))
+    at = [F.floor(F.col("i") / F.lit(h * w)), F.floor(F.col("i") / F.lit(w)) % h, F.col("i") % w]
+    coords = [c.cast("int").alias(n) for c, n in zip(at, AXES)]
     for _ in range(max_rounds):
-        sent = offset_rows(cur, CROSS, grid)
-        near = sent.groupBy("uid", *AXES).agg(
-            F.max("own").alias("_in"), F.min("lab").alias("m"), F.max(F.when(F.col("own"), F.col("lab"))).alias("old")
-        ).where("_in")
-        roots = near.select("uid", idx.alias("m"), F.col("m").alias("_m2"))
-        nxt = near.join(roots, ["uid", "m"]).select("uid", *AXES, F.col("_m2").alias("lab"), "old")
-        cur = stage(nxt)
-        if cur.where(F.col("lab") != F.col("old")).limit(1).count() == 0:
-            return cur.select("uid", *AXES, "lab")
-        cur = cur.select("uid", *AXES, "lab")
+        up = cur.join(cur.select("uid", F.col("i").alias("f"), F.col("f").alias("g")), ["uid", "f"])
+        sent = offset_rows(up.select("uid", "f", "g", *coords), CROSS, grid)
+        near = sent.groupBy("uid", idx.alias("i")).agg(
+            F.max("own").alias("member"), F.min("g").alias("m"), F.max(F.when(F.col("own"), F.col("f"))).alias("f")
+        ).where("member")
+        hang = F.array(
+            F.struct(F.col("i").alias("i"), F.least("f", "m").alias("v"), F.col("f").alias("old")),
+            F.struct(F.col("f").alias("i"), F.col("m").alias("v"), F.lit(None).cast("long").alias("old")),
+        )
+        moved = near.select("uid", F.explode(hang).alias("_h")).groupBy("uid", F.col("_h.i").alias("i")).agg(
+            F.min("_h.v").alias("f"), F.max("_h.old").alias("old")
+        )
+        nxt = stage(moved)
+        cur = nxt.select("uid", "i", "f")
+        if nxt.where(F.col("f") != F.col("old")).limit(1).count() == 0:
+            return cur.select("uid", *coords, F.col("f").alias("lab"))
     raise RuntimeError("components did not settle")
 
 

@@ -16,6 +16,7 @@ from voxeval.session import stage
 
 # Fixed values of scores and of the atlas.
 NCC_GUARD = 1e-6
+TIE_DIGITS = 9  # scores equal to nine digits are ties: a symmetric template cannot tell mirrored moves apart
 ZONES = {1: "caud", 2: "put_ant", 3: "put_post"}
 REFERENCE = 9
 SECOND_SIDE = 3
@@ -69,7 +70,7 @@ def _score_moves(rows: DataFrame, template: DataFrame, grid: Grid, keys: Sequenc
     v, t = F.col("v"), F.col("t")
     g = j.groupBy(*keys).agg(F.sum(v).alias("a"), F.sum(v * v).alias("aa"), F.sum(v * t).alias("ab"))
     score = _ncc(F.lit(float(n)), F.col("a"), F.col("aa"), F.lit(tot["b"]), F.lit(tot["bb"]), F.col("ab"))
-    return g.select(*keys, score.alias("ncc"))
+    return g.select(*keys, F.round(score, TIE_DIGITS).alias("ncc"))
 
 
 def align(voxels: DataFrame, template: DataFrame, grid: Grid, coarse: Sequence[dict], fine: Sequence[Sequence[int]] | None = None,
@@ -139,12 +140,14 @@ def grouped_2means(points: DataFrame, by: str = "side", p: str = "p", q: str = "
     med = pts.groupBy(by).agg(F.percentile(p, F.lit(0.5)).alias("_m"))
     low = pts.join(F.broadcast(med), by).withColumn("k", F.when(F.col(p) < F.col("_m"), 0).otherwise(1))
     assigned, centres = low, {}
-    for _ in range(iters + 1):
+    for i in range(iters + 1):
         got = {(r[by], r["k"]): (r["cp"], r["cq"]) for r in assigned.groupBy(by, "k").agg(F.avg(p).alias("cp"), F.avg(q).alias("cq")).collect()}
         new = {**centres, **got}
         if new == centres:
             break
         centres = new
+        if i == iters:
+            break
         k = F.lit(None).cast("int")
         for g in sorted({key[0] for key in centres}):
             d = [_sq(p, q, centres[g, i]) if (g, i) in centres else F.lit(float("inf")) for i in (0, 1)]

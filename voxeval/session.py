@@ -21,7 +21,6 @@ def local_session(cores: int | str = 8, partitions: int = 8) -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -42,14 +41,32 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so that lost executors never replay the whole history."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_staged: list[str] = []
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    Lost executors then never replay the history, the plan stays short (a checkpointed plan
+    would keep its constraints, which grow in loops), and later steps read columns.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, "stage")
+    df.write.parquet(path)
+    _staged.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_stages(spark: SparkSession) -> int:
+    """Delete the tables this process has staged; call it once their results are used."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    n = 0
+    while _staged:
+        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n

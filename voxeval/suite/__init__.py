@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalars", "joins", "folds", "metrics", "rasters", "masks")
+MODULES = ("scalars", "joins", "folds", "metrics", "rasters", "masks", "templates", "features")
 
 
 def load() -> None:
