@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxeval.functions.scalars import clip, row_logloss, sigmoid, standardize_clip
+from voxeval.functions.scalars import ZOOM_DEFAULT, clip, linear_score, row_logloss, sigmoid
 from voxeval.operators.metrics import scoreboard
 from voxeval.plans.bounded import with_grid
 from voxeval.plans.newton import Fit, Fitted, fit_many, ridge
@@ -77,23 +77,48 @@ def pivot_params(table: DataFrame, cols: Sequence[str], fold: str = "fold") -> d
     return out
 
 
-def by_fold(values: dict[int, float], fold: str = "fold") -> Column:
-    """A per-fold constant as a column."""
-    out = F.lit(None).cast("double")
-    for f, v in values.items():
-        out = F.when(F.col(fold) == f, F.lit(float(v))).otherwise(out)
-    return out
+def residual_scaler(df: DataFrame, cols: Sequence[str], adj: dict[int, list[list[float]]], zoom: str, fold: str = "fold") -> DataFrame:
+    """Mean and guarded deviation of trend-free features outside each fold: one wide row per fold.
+
+    A residual depends on the fold whose trend is removed, so rows are repeated per training fold
+    and collapse in the partial sums.
+    """
+    grid = [{"_f": f} | {f"a{k}_{j}": v for k, row in enumerate(a) for j, v in enumerate(row)} for f, a in adj.items()]
+    z = F.coalesce(F.col(zoom).cast("double"), F.lit(ZOOM_DEFAULT))
+    rows = with_grid(df.select(fold, z.alias("_z"), *cols), grid).where(F.col("_f") != F.col(fold))
+    res = [F.col(c) - (F.col(f"a0_{j}") + F.col(f"a1_{j}") * F.col("_z") + F.col(f"a2_{j}") * F.col("_z") * F.col("_z")) for j, c in enumerate(cols)]
+    aggs = [e for j, r in enumerate(res) for e in (F.avg(r).alias(f"mu{j}"), (F.stddev_pop(r) + 1e-6).alias(f"sd{j}"))]
+    return rows.groupBy("_f").agg(*aggs)
+
 
+def fit_feature_models(df: DataFrame, cols: Sequence[str], folds: Sequence[int], c: float = FEATURE_C, y: str = "y", fold: str = "fold",
+                       zoom: str | None = None, weight: str | None = None) -> dict[int, dict]:
+    """Per held-out fold: optional trend of the normals, scaler, clipped logistic fit (L1 + L2 + L4).
 
-def scale_out_of_fold(df: DataFrame, cols: Sequence[str], fold: str = "fold") -> DataFrame:
-    """Each row standardised with the statistics of the other folds and clipped."""
-    params = pivot_params(fold_scaler(df, cols, fold), cols, fold)
-    outs = []
-    for c in cols:
-        mu = by_fold({f: p[c][0] for f, p in params.items()}, fold)
-        sd = by_fold({f: p[c][1] for f, p in params.items()}, fold)
-        outs.append(standardize_clip(F.col(c).cast("double"), mu, sd).alias(c))
-    return df.select(*[c for c in df.columns if c not in cols], *outs)
+    Returns the parameters of each fold as ``linear_score`` takes them.
+    """
+    d, adj = len(cols), {}
+    if zoom is None:
+        stats = pivot_params(fold_scaler(df.select(fold, *cols), cols, fold), cols, fold)
+        scale = {f: ([p[n][0] for n in cols], [p[n][1] for n in cols]) for f, p in stats.items()}
+    else:
+        trend = pivot_params(quadratic_trend(df, cols, zoom, y, fold), cols, fold)
+        adj = {f: [[p[n][k] for n in cols] for k in range(3)] for f, p in trend.items()}
+        rows = residual_scaler(df, cols, adj, zoom, fold).collect()  # one row per fold
+        scale = {r["_f"]: ([r[f"mu{j}"] for j in range(d)], [r[f"sd{j}"] for j in range(d)]) for r in rows}
+    fits = [Fit((f,), held=f, penalty=ridge(c, d), adj=adj.get(f), mu=scale[f][0], sd=scale[f][1]) for f in folds]
+    got = fit_many(df, cols, fits, y=y, fold=fold, weight=weight, zoom=zoom)
+    return {m.name[0]: {"cols": list(cols), "mu": scale[m.name[0]][0], "sd": scale[m.name[0]][1], "coef": m.coef, "b": m.b,
+                        "adj": adj.get(m.name[0])} for m in got}
+
+
+def cv_predict_features(df: DataFrame, cols: Sequence[str], folds: Sequence[int], c: float = FEATURE_C, y: str = "y", fold: str = "fold",
+                        zoom: str | None = None, name: str = "z") -> DataFrame:
+    """Out-of-fold logits of the feature model: every step is fitted outside the scored fold."""
+    z = F.lit(None).cast("double")
+    for f, params in fit_feature_models(df, cols, folds, c, y, fold, zoom).items():
+        z = F.when(F.col(fold) == f, linear_score(params, zoom)).otherwise(z)
+    return df.withColumn(name, z)
 
 
 def fit_logistic(df: DataFrame, cols: Sequence[str], c: float = FEATURE_C, y: str = "y", weight: str | None = None) -> dict:
@@ -269,8 +294,7 @@ def feature_ablation(df: DataFrame, sets: dict[str, Sequence[str]], fold_cols: d
     out = None
     for fold, folds in fold_cols.items():
         for name, cols in sets.items():
-            scaled = scale_out_of_fold(df.select("uid", y, fold, *cols), cols, fold)
-            parts = {"logistic": cv_predict(scaled, cols, folds, c, y, fold)}
+            parts = {"logistic": cv_predict_features(df.select("uid", y, fold, *cols), cols, folds, c, y, fold)}
             if boosted is not None:
                 fit = lambda t, cols=cols: fit_gbt(t, cols, y, **boosted)
                 parts["boosted"] = cv_predict_with(df.select("uid", y, fold, *cols), fit, gbt_logit, folds, fold)

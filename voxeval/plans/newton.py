@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxeval.functions.scalars import softplus
+from voxeval.functions.scalars import ZOOM_DEFAULT, softplus, standardize_clip
 from voxeval.session import stage
 
 
@@ -25,6 +25,9 @@ class Fit:
     center: Sequence[float] = ()
     bounds: Sequence[tuple[float, float]] | None = None
     per_row: bool = False  # penalties are per training row (mean loss) instead of per fit
+    adj: Sequence[Sequence[float]] | None = None  # 3 x d trend in (1, zoom, zoom^2), removed first
+    mu: Sequence[float] | None = None  # then standardised with mu, sd and clipped
+    sd: Sequence[float] | None = None
 
 
 @dataclass
@@ -34,7 +37,7 @@ class Fitted:
     b: float
     n: int
     loss: float  # sum over the training rows
-    gradient: float  # largest absolute entry at the solution
+    gradient: float  # largest absolute entry before the last, negligible step
     iterations: int
 
 
@@ -43,21 +46,38 @@ def ridge(c: float, d: int) -> list[float]:
     return [1.0 / c] * d + [0.0]
 
 
+def _config(i: int, fit: Fit, beta: np.ndarray) -> Column:
+    values = {f"b{j}": v for j, v in enumerate(beta)}
+    if fit.mu is not None:
+        values |= {f"u{j}": v for j, v in enumerate(fit.mu)} | {f"s{j}": v for j, v in enumerate(fit.sd)}
+    if fit.adj is not None:
+        values |= {f"a{k}_{j}": v for k, row in enumerate(fit.adj) for j, v in enumerate(row)}
+    fields = [F.lit(i).alias("i"), F.lit(-1 if fit.held is None else fit.held).alias("held")]
+    return F.struct(*fields, *[F.lit(float(v)).alias(k) for k, v in values.items()])
+
+
+def _input(j: int, fit: Fit) -> Column:
+    """Column j as this kind of fit sees it."""
+    x, c = F.col(f"_x{j}"), "_c."
+    if fit.adj is not None:
+        z = F.col("_zoom")
+        x = x - (F.col(f"{c}a0_{j}") + F.col(f"{c}a1_{j}") * z + F.col(f"{c}a2_{j}") * z * z)
+    return x if fit.mu is None else standardize_clip(x, F.col(f"{c}u{j}"), F.col(f"{c}s{j}"))
+
+
 def _pass(data: DataFrame, d: int, todo: list[tuple[int, Fit, np.ndarray]]) -> dict[int, dict]:
     """Count, loss, gradient and Hessian sums of every open fit."""
-    def config(i, fit, beta):
-        fields = [F.lit(i).alias("i"), F.lit(-1 if fit.held is None else fit.held).alias("held")]
-        return F.struct(*fields, *[F.lit(float(v)).alias(f"b{j}") for j, v in enumerate(beta)])
-
     parts: dict[int | None, list] = {}
     for i, fit, beta in todo:
-        parts.setdefault(fit.part, []).append(config(i, fit, beta))
+        parts.setdefault(fit.part, []).append(_config(i, fit, beta))
     if list(parts) == [None]:
         grid = F.array(*parts[None])
     else:
         pairs = [v for key, cfgs in parts.items() for v in (F.lit(key), F.array(*cfgs))]
         grid = F.element_at(F.create_map(*pairs), F.col("_part"))
+    kind = todo[0][1]
     rows = data.withColumn("_c", F.explode(grid)).where(F.col("_c.held") != F.col("_fold"))
+    rows = rows.select("_c", "_y", "_w", *[_input(j, kind).alias(f"_x{j}") for j in range(d)])
     xs = [F.col(f"_x{j}") for j in range(d)] + [F.lit(1.0)]
     z = sum((F.col(f"_c.b{j}") * xs[j] for j in range(d)), F.col(f"_c.b{d}"))
     rows = rows.select(F.col("_c.i").alias("i"), "_y", "_w", *[f"_x{j}" for j in range(d)], z.alias("_z"))
@@ -93,8 +113,9 @@ def _step(fit: Fit, beta: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[np.
 
 
 def fit_many(df: DataFrame, xcols: Sequence[str], fits: Sequence[Fit], *, y: str = "y", fold: str | None = None,
-             part: str | None = None, weight: str | None = None, max_iter: int = 40, tol: float = 1e-9) -> list[Fitted]:
-    """Fit every configuration on its rows (L4).
+             part: str | None = None, weight: str | None = None, zoom: str | None = None, max_iter: int = 40,
+             tol: float = 1e-9) -> list[Fitted]:
+    """Fit every configuration on its rows (L4); meant for up to some thirty columns.
 
     The input is staged once, narrow; each step reads it once for all open fits and returns
     (d+1)(d+4)/2 sums per fit. Only those sums reach the driver.
@@ -105,6 +126,7 @@ def fit_many(df: DataFrame, xcols: Sequence[str], fits: Sequence[Fit], *, y: str
         (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"),
         (F.col(fold).cast("int") if fold else F.lit(0)).alias("_fold"),
         (F.col(part).cast("int") if part else F.lit(0)).alias("_part"),
+        (F.coalesce(F.col(zoom).cast("double"), F.lit(ZOOM_DEFAULT)) if zoom else F.lit(0.0)).alias("_zoom"),
         *[F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(xcols)],
     )).persist(StorageLevel.MEMORY_AND_DISK)
     center = {i: np.array(f.center or [0.0] * (d + 1)) for i, f in enumerate(fits)}
@@ -136,7 +158,7 @@ def fit_many(df: DataFrame, xcols: Sequence[str], fits: Sequence[Fit], *, y: str
             step, gmax = _step(fit, beta[i], g, h)
             new = _project(fit, beta[i] + step)
             if np.abs(new - beta[i]).max() < tol * (1.0 + np.abs(beta[i]).max()):
-                done[i] = Fitted(fit.name, beta[i][:-1].tolist(), float(beta[i][-1]), row["n"], row["l"], gmax, it)
+                done[i] = Fitted(fit.name, new[:-1].tolist(), float(new[-1]), row["n"], row["l"], gmax, it)
                 continue
             last[i] = (beta[i], obj, step)
             beta[i] = new

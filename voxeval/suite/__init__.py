@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalars", "joins", "folds", "metrics", "rasters", "masks", "templates", "features")
+MODULES = ("scalars", "joins", "rasters", "masks", "templates", "features", "folds", "metrics", "ensembles", "fits", "calibration", "gates")
 
 
 def load() -> None:
