@@ -14,6 +14,7 @@ from voxeval.operators.rasters import AXES, Grid
 from voxeval.operators.templates import side_of
 from voxeval.plans.bounded import lookup_join
 from voxeval.plans.ranking import exact_quantiles
+from voxeval.session import stage
 
 # Fixed values of the feature definitions.
 QUANTILES = (50, 90, 99, 99.9)
@@ -272,7 +273,7 @@ def multi_reference(voxels: DataFrame, atlas: DataFrame, brain: DataFrame, occip
         .unionByName(occipital.select(*AXES, F.lit(0).alias("code"), F.lit(False).alias("b"), F.lit(True).alias("o")))
         .groupBy(*AXES).agg(F.max("code").alias("code"), F.max("b").alias("b"), F.max("o").alias("o"))
     )
-    rows = lookup_join(voxels, tags, list(AXES))
+    rows = lookup_join(voxels, stage(tags), list(AXES))
     code, v = F.col("code"), F.col("v")
 
     def mean(*codes):
@@ -300,7 +301,7 @@ def integrated_excess(voxels: DataFrame, atlas: DataFrame, grid: Grid, grows: Se
         part = (dilate(zone, k, grid) if k else zone).select(*AXES, F.lit(k).alias("k"))
         sets = part if sets is None else sets.unionByName(part)
     sets = sets.groupBy(*AXES).agg(F.collect_set("k").alias("_ks"))  # at most len(grows) entries
-    rows = lookup_join(voxels, sets, list(AXES)).select("uid", F.explode("_ks").alias("k"), side_of(grid[2]).alias("side"), "v")
+    rows = lookup_join(voxels, stage(sets), list(AXES)).select("uid", F.explode("_ks").alias("k"), side_of(grid[2]).alias("side"), "v")
     g = rows.groupBy("uid", "k").agg(*[
         (F.sum(F.when(F.col("side") == s, F.greatest(F.col("v") - 1.0, F.lit(0.0))).otherwise(0.0)) * F.lit(voxel_ml)).alias(n)
         for n, s in (("a", 0), ("b", 3))

@@ -25,16 +25,18 @@ def logloss(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p") -
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(row_logloss(y, p)).alias("logloss"))
 
 
-def auc(df: DataFrame, by: Sequence[str] = (), y: str = "y", z: str = "z") -> DataFrame:
-    """Exact Mann-Whitney area with half credit for ties (M2).
+def score_counts(df: DataFrame, keys: Sequence[str], y: str, z: str) -> DataFrame:
+    """Positives and negatives of every distinct score, staged: tied scores collapse before anything is ordered."""
+    pos = F.col(y).cast("double")
+    return stage(distinct_counts(df, keys, z, {"_p": pos, "_q": F.lit(1.0) - pos}))
+
 
-    Equal scores collapse first; a score bucket adds its own wins plus positives times the
-    negatives of lower buckets, so only bucket totals are ordered per group.
+def _area(hist: DataFrame, keys: Sequence[str], z: str) -> DataFrame:
+    """Mann-Whitney area from score counts.
+
+    A score bucket adds its own wins plus its positives times the negatives of lower buckets,
+    so only bucket totals are ordered per group.
     """
-    keys = list(by) or ["_all"]
-    src = df if by else df.withColumn("_all", F.lit(0))
-    pos = F.col(y).cast("double")
-    hist = stage(distinct_counts(src, keys, z, {"_p": pos, "_q": F.lit(1.0) - pos}))
     rows = value_buckets(hist, keys, z)
     inside = W.partitionBy(*keys, "_b").orderBy(z).rowsBetween(W.unboundedPreceding, -1)
     wins = F.col("_p") * (F.coalesce(F.sum("_q").over(inside), F.lit(0.0)) + F.col("_q") / 2)
@@ -46,14 +48,31 @@ def auc(df: DataFrame, by: Sequence[str] = (), y: str = "y", z: str = "z") -> Da
     below = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     lifted = buckets.withColumn("_u", F.col("_u") + F.col("_p") * F.coalesce(F.sum("_q").over(below), F.lit(0.0)))
     pairs = F.sum("_p") * F.sum("_q")
-    return lifted.groupBy(*keys).agg(F.when(pairs > 0, F.sum("_u") / pairs).alias("auc")).select(*by, "auc")
+    return lifted.groupBy(*keys).agg(F.when(pairs > 0, F.sum("_u") / pairs).alias("auc"))
+
 
+def _keyed(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    return (df, list(by)) if by else (df.withColumn("_all", F.lit(0)), ["_all"])
 
-def scoreboard(df: DataFrame, by: Sequence[str], y: str = "y", z: str = "z") -> DataFrame:
-    """Count, log loss and AUC per group of logits, e.g. per run and family (M4)."""
-    loss = logloss(df.withColumn("_p", sigmoid(z)), by, y, "_p")
-    area = auc(df, by, y, z)
-    return loss.join(area, list(by)) if by else loss.crossJoin(area)
+
+def auc(df: DataFrame, by: Sequence[str] = (), y: str = "y", z: str = "z") -> DataFrame:
+    """Exact area under the ROC curve with half credit for ties (M2)."""
+    src, keys = _keyed(df, by)
+    return _area(score_counts(src, keys, y, z), keys, z).select(*by, "auc")
+
+
+def scoreboard(df: DataFrame, by: Sequence[str] = (), y: str = "y", z: str = "z") -> DataFrame:
+    """Count, log loss and AUC per group of logits, e.g. per run and family (M4).
+
+    All three come from the staged score counts, so the predictions are computed once.
+    """
+    src, keys = _keyed(df, by)
+    hist = score_counts(src, keys, y, z)
+    p = sigmoid(z)
+    lost = F.col("_p") * row_logloss(F.lit(1.0), p) + F.col("_q") * row_logloss(F.lit(0.0), p)
+    n = F.sum(F.col("_p") + F.col("_q"))
+    loss = hist.groupBy(*keys).agg(n.cast("long").alias("n"), (F.sum(lost) / n).alias("logloss"))
+    return loss.join(_area(hist, keys, z), keys).select(*by, "n", "logloss", "auc")
 
 
 def group_report(df: DataFrame, group: str, top: int = 12, y: str = "y", p: str = "p") -> DataFrame:
