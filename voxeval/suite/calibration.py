@@ -8,7 +8,7 @@ from voxeval import fixtures as fx
 from voxeval.functions.scalars import sigmoid
 from voxeval.operators import calibration as C
 from voxeval.session import stage
-from voxeval.suite.base import auc_sql, clip, loss, newton_ctes, query, sig
+from voxeval.suite.base import auc_sql, clip, fold_sql, loss, newton_ctes, query, sig
 
 COLS = ["cnn", "gbm", "lr"]
 
@@ -69,7 +69,27 @@ def c5(spark, sf):
     return spark.createDataFrame([(got["a"], got["b"], got["c"])], "a double, b double, c double")
 
 
-@query("c6_doubly_nested_calibration", "kind:s n:i logloss:d6")
+_X3 = "c.b0 * r.cnn + c.b1 * r.gbm + c.b2 * r.lr + c.b3"
+_SQ = clip(sig("s"), "1e-6", "(1e0 - 1e-6)")
+_RIDGE = ["10e0", "10e0", "10e0", "0e0"]
+_NEST = [
+    ("ir", f"""SELECT *, {fold_sql(["o", "y"], "5", "(o + 10)::VARCHAR")} AS inner_ FROM (SELECT uid, y, fold, o, cnn, gbm, lr FROM wide_oof, (VALUES (0), (1), (2), (3), (4)) t(o) WHERE fold <> o)"""),
+    *newton_ctes("n", "ir", COLS, "SELECT o, i FROM (VALUES (0), (1), (2), (3), (4)) a(o), (VALUES (0), (1), (2), (3), (4)) b(i)", ["o", "i"], "c.o = r.o AND c.i <> r.inner_", _RIDGE),
+    ("s0", f"SELECT r.o, r.y, {_X3} AS s FROM ir r JOIN n_b10 c ON c.o = r.o AND c.i = r.inner_"),
+    ("s1", f"SELECT o, y, s, ln({_SQ}) AS u, -ln(1e0 - {_SQ}) AS v FROM s0"),
+    *newton_ctes("m", "wide_oof", COLS, "SELECT DISTINCT fold AS o FROM wide_oof", ["o"], "c.o <> r.fold", _RIDGE),
+    ("tt", f"""SELECT o, t FROM (SELECT *, row_number() OVER (PARTITION BY o ORDER BY l, t) AS k FROM (SELECT o, t, avg({loss('y', sig('s / t'))}) AS l FROM s1,
+        (SELECT round(5e-1 + 25e-3 * unnest(range(0, 101)), 6) AS t) GROUP BY o, t)) WHERE k = 1"""),
+    *newton_ctes("a", "s1", ["s"], "SELECT DISTINCT o FROM s1", ["o"], "c.o = r.o", ["2e-3", "2e-3"], center=["1e0", "0e0"], per_row=True),
+    *newton_ctes("b", "s1", ["u", "v"], "SELECT DISTINCT o FROM s1", ["o"], "c.o = r.o", ["2e-3"] * 3, center=["1e0", "1e0", "0e0"], per_row=True),
+    ("h", f"SELECT r.fold, r.y, {_X3} AS s FROM wide_oof r JOIN m_b10 c ON c.o = r.fold"),
+    ("hh", f"SELECT fold, y, s, ln({_SQ}) AS u, -ln(1e0 - {_SQ}) AS v FROM h"),
+]
+
+
+@query("c6_doubly_nested_calibration", "kind:s n:i logloss:d6", " UNION ALL ".join(
+    f"SELECT '{k}' AS kind, count(*) AS n, avg({loss('y', sig(e))}) AS logloss FROM hh JOIN {t} c ON c.o = hh.fold" for k, e, t in (
+        ("identity", "s", "tt"), ("temperature", "s / c.t", "tt"), ("affine", "c.b0 * s + c.b1", "a_b10"), ("beta", "c.b0 * u + c.b1 * v + c.b2", "b_b10"))), ["wide_oof"], _NEST)
 def c6(spark, sf):
     return C.doubly_nested_calibration(stage(fx.wide_oof(spark, sf)), COLS, 5, 5)
 

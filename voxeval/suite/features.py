@@ -83,14 +83,17 @@ def f7(spark, sf):
     return sides(spark, sf).groupBy("uid", "side").agg(*X.elongation_aggs(0.5)).withColumnRenamed("elong0.5", "elong")
 
 
-@query("f8_ap_gradient", "uid:i side:s post_ant:d6 mid_ant:d6", """SELECT uid, side, CASE WHEN n > 5 THEN m0 / (m2 + 1e-6) ELSE 0e0 END AS post_ant,
+_F8 = """SELECT uid, side, CASE WHEN n > 5 THEN m0 / (m2 + 1e-6) ELSE 0e0 END AS post_ant,
     CASE WHEN n > 5 THEN m1 / (m2 + 1e-6) ELSE 0e0 END AS mid_ant FROM (SELECT uid, side, count(*) FILTER (hot) AS n,
     coalesce(sum(v) FILTER (hot AND t = 0), 0e0) / greatest(count(*) FILTER (hot AND t = 0), 1) AS m0,
     coalesce(sum(v) FILTER (hot AND t = 1), 0e0) / greatest(count(*) FILTER (hot AND t = 1), 1) AS m1,
     coalesce(sum(v) FILTER (hot AND t = 2), 0e0) / greatest(count(*) FILTER (hot AND t = 2), 1) AS m2 FROM (SELECT *,
     CASE WHEN y - y0 < (h + 2) // 3 THEN 0 WHEN y - y0 < (h + 2) // 3 + (h + 1) // 3 THEN 1 ELSE 2 END AS t FROM (SELECT *, y1 - y0 + 1 AS h FROM (
     SELECT *, v > 4e-1 * gmax AS hot, min(y) FILTER (v > 4e-1 * gmax) OVER w AS y0, max(y) FILTER (v > 4e-1 * gmax) OVER w AS y1 FROM sides
-    WINDOW w AS (PARTITION BY uid, side)))) GROUP BY uid, side)""", ["stack16"], S)
+    WINDOW w AS (PARTITION BY uid, side)))) GROUP BY uid, side)"""
+
+
+@query("f8_ap_gradient", "uid:i side:s post_ant:d6 mid_ant:d6", _F8, ["stack16"], S)
 def f8(spark, sf):
     return X.ap_gradient(sides(spark, sf))
 
@@ -100,11 +103,14 @@ _BOX = """SELECT b.uid, b.side, box, v, row_number() OVER (PARTITION BY b.uid, b
     WHERE abs(s.z - p.pz) <= 3 AND s.y >= greatest(py - 12, 0) AND s.y < greatest(py - 3, 1)) b"""
 
 
-@query("f9_peak_boxes", "uid:i side:s box_post:d6 box_ant:d6 box_ratio:d6", """SELECT uid, side, p AS box_post, a AS box_ant, p / (a + 1e-6) AS box_ratio FROM (
+_F9 = """SELECT uid, side, p AS box_post, a AS box_ant, p / (a + 1e-6) AS box_ratio FROM (
     SELECT pk.uid, pk.side, coalesce(avg(v) FILTER (box = 'post' AND r <= 60), 0e0) AS p, coalesce(avg(v) FILTER (box = 'ant' AND r <= 60), 0e0) AS a
-    FROM pk LEFT JOIN b ON b.uid = pk.uid AND b.side = pk.side GROUP BY pk.uid, pk.side)""", ["stack16"],
-       [*S, ("pk", "SELECT uid, side, z AS pz, y AS py FROM (SELECT *, row_number() OVER (PARTITION BY uid, side ORDER BY v DESC, z, y, x) AS r FROM sides) WHERE r = 1"),
-        ("b", _BOX)])
+    FROM pk LEFT JOIN b ON b.uid = pk.uid AND b.side = pk.side GROUP BY pk.uid, pk.side)"""
+PEAKS = [*S, ("pk", "SELECT uid, side, z AS pz, y AS py FROM (SELECT *, row_number() OVER (PARTITION BY uid, side ORDER BY v DESC, z, y, x) AS r FROM sides) WHERE r = 1"),
+        ("b", _BOX)]
+
+
+@query("f9_peak_boxes", "uid:i side:s box_post:d6 box_ant:d6 box_ratio:d6", _F9, ["stack16"], PEAKS)
 def f9(spark, sf):
     return X.peak_boxes(sides(spark, sf), 6, 8)
 
@@ -119,7 +125,11 @@ def f10(spark, sf):
     return X.fold_sides(X.topk_mean(sides(spark, sf)), ["max", "top30"])
 
 
-@query("f10_scan_features", "uid:i g_max:d6 top30_mean:d6 post_ant_min:d6 box_ratio_asym:d6")
+@query("f10_scan_features", "uid:i g_max:d6 top30_mean:d6 post_ant_min:d6 box_ratio_asym:d6", """SELECT a.uid, g.g_max, (a.top30 + b.top30) / 2e0 AS top30_mean,
+    least(c.post_ant, d.post_ant) AS post_ant_min, abs(e.box_ratio - f.box_ratio) / (abs(e.box_ratio) + abs(f.box_ratio) + 1e-6) AS box_ratio_asym
+    FROM tk a JOIN tk b ON a.uid = b.uid AND a.side = 'R' AND b.side = 'L' JOIN f8 c ON c.uid = a.uid AND c.side = 'R' JOIN f8 d ON d.uid = a.uid AND d.side = 'L'
+    JOIN f9 e ON e.uid = a.uid AND e.side = 'R' JOIN f9 f ON f.uid = a.uid AND f.side = 'L'
+    JOIN (SELECT uid, max(v) + 1e-6 AS g_max FROM stack16 GROUP BY uid) g ON g.uid = a.uid""", ["stack16"], [*PEAKS, ("tk", _TOPK), ("f8", _F8), ("f9", _F9)])
 def f10s(spark, sf):
     """The whole wide feature row; a few of its columns are shown."""
     return X.scan_features(fx.stack16(spark, sf), fx.STACK16, HALF)

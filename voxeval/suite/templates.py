@@ -46,16 +46,25 @@ def r20(spark, sf):
     return T.ncc(fx.voxels(spark, sf), template4(spark, sf))
 
 
-def moves_sql(src: str, tpl: str, flips: str) -> str:
-    """Best move per uid, zeros where a move leaves nothing, ties to nine digits by order."""
+def moves_sql(src: str, tpl: str, flips: str, steps: str = "(-1), (0), (1)", start: str | None = None) -> str:
+    """Best move per uid, zeros where a move leaves nothing, ties to nine digits by order; ``start`` holds earlier moves to refine."""
+    frm, flip, add = f"{src} s, (VALUES {flips}) f(flip)", "flip", ("dz", "dy", "dx")
+    if start:
+        frm, flip, add = f"{src} s JOIN {start} f ON f.uid = s.uid", "f.flip", ("f.dz + i.dz", "f.dy + j.dy", "f.dx + k.dx")
     return f"""SELECT uid, flip, dz, dy, dx, ncc FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY ncc DESC, flip, dz, dy, dx) AS r FROM (
         SELECT uid, flip, dz, dy, dx, round((ab - a * b / 64e0) / (sqrt(aa - a * a / 64e0) * sqrt(bb - b * b / 64e0) + 1e-6), 9) AS ncc FROM (
         SELECT m.uid, flip, dz, dy, dx, sum(v) AS a, sum(v * v) AS aa, sum(v * t) AS ab, any_value(b) AS b, any_value(bb) AS bb FROM (
-        SELECT uid, flip, dz, dy, dx, z + dz AS z, y + dy AS y, CASE WHEN flip = 1 THEN 3 - x ELSE x END + dx AS x, v FROM {src},
-        (VALUES {flips}) f(flip), (VALUES (-1), (0), (1)) i(dz), (VALUES (-1), (0), (1)) j(dy), (VALUES (-1), (0), (1)) k(dx)) m
+        SELECT uid, flip, dz, dy, dx, z + dz AS z, y + dy AS y, CASE WHEN flip = 1 THEN 3 - x ELSE x END + dx AS x, v FROM (
+        SELECT s.uid, s.z, s.y, s.x, s.v, {flip} AS flip, {add[0]} AS dz, {add[1]} AS dy, {add[2]} AS dx FROM {frm},
+        (VALUES {steps}) i(dz), (VALUES {steps}) j(dy), (VALUES {steps}) k(dx))) m
         JOIN {tpl} p ON p.z = m.z AND p.y = m.y AND p.x = m.x, (SELECT sum(t) AS b, sum(t * t) AS bb FROM {tpl}) GROUP BY m.uid, flip, dz, dy, dx))) WHERE r = 1"""
 
 
+def _smooth(src: str, sigma: float, keys: tuple, val: str) -> str:
+    blurred = blur_sql(src, (sigma,) * 3, (4, 4, 4), "replicate", keys, val)
+    return f"SELECT {''.join(k + ', ' for k in keys)}z, y, x, least(greatest(v, 0e0), 10e0) AS {val} FROM ({blurred})"
+
+
 STEPS = ((-1, 0, 1),) * 3
 
 
@@ -64,7 +73,9 @@ def r21(spark, sf):
     return T.align(fx.voxels(spark, sf), template4(spark, sf), fx.GRID4, T.shift_grid(STEPS))
 
 
-@query("r21_align_two_levels", "uid:i flip:i dz:i dy:i dx:i ncc:d6")
+@query("r21_align_two_levels", "uid:i flip:i dz:i dy:i dx:i ncc:d6", "SELECT * FROM fine_", ["voxels"], [
+    *_TPL, ("v1", _smooth("voxels", 1.0, ("uid",), "v")), ("v2", _smooth("voxels", 0.5, ("uid",), "v")), ("t1", _smooth("tpl", 1.0, (), "t")), ("t2", _smooth("tpl", 0.5, (), "t")),
+    ("coarse_", moves_sql("v1", "t1", "(0)", "(-2), (0), (2)")), ("fine_", moves_sql("v2", "t2", "", start="coarse_"))])
 def r21f(spark, sf):
     """Blurred coarse moves of two voxels, refined by single steps on a sharper blur."""
     coarse = T.shift_grid(((-2, 0, 2), (-2, 0, 2), (-2, 0, 2)), (0,))
