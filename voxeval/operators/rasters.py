@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxeval.functions.scalars import clean_value, clip, uniform
-from voxeval.plans.bounded import lookup_join
+from voxeval.plans.bounded import lookup_join, struct_array, struct_array_sql
 
 Grid = tuple[int, int, int]
 AXES = ("z", "y", "x")
@@ -38,7 +38,7 @@ def inside(grid: Grid, names: Sequence[str] = AXES) -> Column:
 
 def offset_rows(df: DataFrame, offsets: Sequence[Sequence[int]], grid: Grid | None = None) -> DataFrame:
     """Every row once per coordinate offset, clipped to the grid."""
-    lits = F.array(*[F.struct(*[F.lit(int(v)).alias(f"d{c}") for c, v in zip(AXES, o)]) for o in offsets])
+    lits = struct_array([{f"d{c}": int(v) for c, v in zip(AXES, o)} for o in offsets])
     keep = [c for c in df.columns if c not in AXES]
     moved = df.withColumn("_o", F.explode(lits)).select(*keep, *[(F.col(c) + F.col(f"_o.d{c}")).alias(c) for c in AXES], "_o")
     moved = moved.withColumn("own", (F.col("_o.dz") == 0) & (F.col("_o.dy") == 0) & (F.col("_o.dx") == 0)).drop("_o")
@@ -98,7 +98,7 @@ def axis_weights(sigma: float, n: int, edge: str) -> list[list[tuple[int, float]
 
 def apply_axis(voxels: DataFrame, axis: str, sends: Sequence[Sequence[tuple[int, float]]], keys: Sequence[str] = ("uid",)) -> DataFrame:
     """A linear operator along one axis; its sparse matrix is a literal of axis length x reach."""
-    table = F.array(*[F.array(*[F.struct(F.lit(int(o)).alias("o"), F.lit(float(w)).alias("w")) for o, w in row]) for row in sends])
+    table = F.expr("array(" + ", ".join(struct_array_sql([{"o": int(o), "w": float(w)} for o, w in row]) for row in sends) + ")")
     rest = [c for c in AXES if c != axis]
     rows = voxels.select(*keys, *rest, "v", F.explode(F.get(table, F.col(axis))).alias("_s"))
     return rows.groupBy(*keys, *rest, F.col("_s.o").alias(axis)).agg(F.sum(F.col("v") * F.col("_s.w")).alias("v"))

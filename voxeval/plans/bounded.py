@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,8 +11,28 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000  # a template of the largest stored grid has 358,400
 
 
-def _struct(row: dict) -> Column:
-    return F.struct(*[F.lit(v).alias(k) for k, v in row.items()])
+def _sql_literal(v, wide: bool) -> str:
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(v, float):
+        return f"{float(v)!r}D" if math.isfinite(v) else f"double('{float(v)}')"
+    return f"{v}L" if wide else str(v)
+
+
+def struct_array_sql(rows: Sequence[dict]) -> str:
+    """SQL text of an array of structs with the same fields: one parsed expression instead of thousands of column calls."""
+    real = {k for k in rows[0] if any(isinstance(r[k], float) for r in rows)}
+    wide = {k for k in rows[0] if any(isinstance(r[k], int) and abs(r[k]) >= 2**31 for r in rows)}
+    cells = [
+        "named_struct(" + ", ".join(f"'{k}', {_sql_literal(float(v) if k in real else v, k in wide)}" for k, v in r.items()) + ")" for r in rows
+    ]
+    return f"array({', '.join(cells)})"
+
+
+def struct_array(rows: Sequence[dict]) -> Column:
+    return F.expr(struct_array_sql(rows))
 
 
 def with_grid(df: DataFrame, rows: Sequence[dict], name: str = "_g") -> DataFrame:
@@ -22,7 +43,7 @@ def with_grid(df: DataFrame, rows: Sequence[dict], name: str = "_g") -> DataFram
     """
     if not rows:
         raise ValueError("empty parameter grid")
-    out = df.withColumn(name, F.explode(F.array(*[_struct(r) for r in rows])))
+    out = df.withColumn(name, F.explode(struct_array(rows)))
     return out.select(*df.columns, *[F.col(f"{name}.{k}").alias(k) for k in rows[0]])
 
 

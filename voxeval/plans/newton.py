@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxeval.functions.scalars import ZOOM_DEFAULT, softplus, standardize_clip
+from voxeval.functions.scalars import CLIP_SD, ZOOM_DEFAULT
+from voxeval.plans.bounded import struct_array_sql
 from voxeval.session import stage
 
 
@@ -46,50 +47,49 @@ def ridge(c: float, d: int) -> list[float]:
     return [1.0 / c] * d + [0.0]
 
 
-def _config(i: int, fit: Fit, beta: np.ndarray) -> Column:
+def _config(i: int, fit: Fit, beta: np.ndarray) -> dict:
     values = {f"b{j}": v for j, v in enumerate(beta)}
     if fit.mu is not None:
         values |= {f"u{j}": v for j, v in enumerate(fit.mu)} | {f"s{j}": v for j, v in enumerate(fit.sd)}
     if fit.adj is not None:
         values |= {f"a{k}_{j}": v for k, row in enumerate(fit.adj) for j, v in enumerate(row)}
-    fields = [F.lit(i).alias("i"), F.lit(-1 if fit.held is None else fit.held).alias("held")]
-    return F.struct(*fields, *[F.lit(float(v)).alias(k) for k, v in values.items()])
+    return {"i": i, "held": -1 if fit.held is None else int(fit.held)} | {k: float(v) for k, v in values.items()}
 
 
-def _input(j: int, fit: Fit) -> Column:
-    """Column j as this kind of fit sees it."""
-    x, c = F.col(f"_x{j}"), "_c."
+def _input(j: int, fit: Fit) -> str:
+    """Column j as this kind of fit sees it, as SQL."""
+    x = f"_x{j}"
     if fit.adj is not None:
-        z = F.col("_zoom")
-        x = x - (F.col(f"{c}a0_{j}") + F.col(f"{c}a1_{j}") * z + F.col(f"{c}a2_{j}") * z * z)
-    return x if fit.mu is None else standardize_clip(x, F.col(f"{c}u{j}"), F.col(f"{c}s{j}"))
+        x = f"({x} - (_c.a0_{j} + _c.a1_{j} * _zoom + _c.a2_{j} * _zoom * _zoom))"
+    return x if fit.mu is None else f"least(greatest(({x} - _c.u{j}) / _c.s{j}, -{CLIP_SD}D), {CLIP_SD}D)"
 
 
 def _pass(data: DataFrame, d: int, todo: list[tuple[int, Fit, np.ndarray]]) -> dict[int, dict]:
-    """Count, loss, gradient and Hessian sums of every open fit."""
+    """Count, loss, gradient and Hessian sums of every open fit.
+
+    Written as SQL expressions: a step differs from the last one in its literals only.
+    """
     parts: dict[int | None, list] = {}
     for i, fit, beta in todo:
         parts.setdefault(fit.part, []).append(_config(i, fit, beta))
     if list(parts) == [None]:
-        grid = F.array(*parts[None])
+        grid = struct_array_sql(parts[None])
     else:
-        pairs = [v for key, cfgs in parts.items() for v in (F.lit(key), F.array(*cfgs))]
-        grid = F.element_at(F.create_map(*pairs), F.col("_part"))
-    kind = todo[0][1]
-    rows = data.withColumn("_c", F.explode(grid)).where(F.col("_c.held") != F.col("_fold"))
-    rows = rows.select("_c", "_y", "_w", *[_input(j, kind).alias(f"_x{j}") for j in range(d)])
-    xs = [F.col(f"_x{j}") for j in range(d)] + [F.lit(1.0)]
-    z = sum((F.col(f"_c.b{j}") * xs[j] for j in range(d)), F.col(f"_c.b{d}"))
-    rows = rows.select(F.col("_c.i").alias("i"), "_y", "_w", *[f"_x{j}" for j in range(d)], z.alias("_z"))
-    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_z")))
-    rows = rows.select(
-        "*", (F.col("_w") * (p - F.col("_y"))).alias("_r"), (F.col("_w") * p * (F.lit(1.0) - p)).alias("_h"),
-        (F.col("_w") * (softplus("_z") - F.col("_y") * F.col("_z"))).alias("_l"),
+        grid = "element_at(map(" + ", ".join(f"{key}, {struct_array_sql(cfgs)}" for key, cfgs in parts.items()) + "), _part)"
+    kind, n = todo[0][1], d + 1
+    xs = [f"_x{j}" for j in range(d)]
+    one = [*xs, "1.0D"]
+    rows = data.selectExpr("_y", "_w", "_fold", "_zoom", *xs, f"explode({grid}) AS _c").where("_c.held <> _fold")
+    rows = rows.selectExpr("_c", "_y", "_w", *[f"{_input(j, kind)} AS _x{j}" for j in range(d)])
+    z = " + ".join([f"_c.b{d}", *[f"_c.b{j} * _x{j}" for j in range(d)]])
+    rows = rows.selectExpr("_c.i AS i", "_y", "_w", *xs, f"{z} AS _z").selectExpr("*", "1.0D / (1.0D + exp(-_z)) AS _p")
+    rows = rows.selectExpr(
+        "i", "_w", *xs, "_w * (_p - _y) AS _r", "_w * _p * (1.0D - _p) AS _h",
+        "_w * (greatest(_z, 0.0D) + log1p(exp(-abs(_z))) - _y * _z) AS _l",
     )
-    sums = [F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w"), F.sum("_l").alias("l")]
-    sums += [F.sum(F.col("_r") * xs[j]).alias(f"g{j}") for j in range(d + 1)]
-    sums += [F.sum(F.col("_h") * xs[j] * xs[k]).alias(f"h{j}_{k}") for j in range(d + 1) for k in range(j, d + 1)]
-    return {r["i"]: r.asDict() for r in rows.groupBy("i").agg(*sums).collect()}  # one row per fit
+    sums = ["count(1) AS n", "sum(_w) AS w", "sum(_l) AS l", *[f"sum(_r * {one[j]}) AS g{j}" for j in range(n)]]
+    sums += [f"sum(_h * {one[j]} * {one[k]}) AS h{j}_{k}" for j in range(n) for k in range(j, n)]
+    return {r["i"]: r.asDict() for r in rows.groupBy("i").agg(*[F.expr(e) for e in sums]).collect()}  # one row per fit
 
 
 def _project(fit: Fit, beta: np.ndarray) -> np.ndarray:
