@@ -25,18 +25,26 @@ BETA_BOUNDS = [(0.0, 10.0), (0.0, 10.0), (-5.0, 5.0)]
 
 
 def tempered_loss(y, z, temp, floor) -> Column:
+    return floored_loss(y, sigmoid(z / temp), floor)
+
+
+def floored_loss(y, p, floor) -> Column:
     e = F.greatest(floor, F.lit(LOSS_EPS))
-    p = F.least(F.greatest(sigmoid(z / temp), e), F.lit(1.0) - e)
-    return row_logloss(y, p)
+    return row_logloss(y, F.least(F.greatest(p, e), F.lit(1.0) - e))
 
 
 def temperature_floor_grid(df: DataFrame, temps: Sequence[float] = TEMPS, floors: Sequence[float] = FLOORS, by: Sequence[str] = (),
                            y: str = "y", z: str = "z") -> DataFrame:
-    """Mean loss of every temperature and floor (C1); grid rows vanish in the partial sums."""
-    grid = [{"temp": float(t), "floor": float(e)} for t in temps for e in floors]
-    rows = with_grid(df.select(*by, F.col(y).alias("_y"), F.col(z).alias("_z")), grid)
-    loss = tempered_loss(F.col("_y"), F.col("_z"), F.col("temp"), F.col("floor"))
-    return rows.groupBy(*by, "temp", "floor").agg(F.avg(loss).alias("loss"))
+    """Mean loss of every temperature and floor.
+
+    Rows are repeated per temperature only; floors are columns of the same aggregate and become
+    rows afterwards, so a task hands on one row per temperature.
+    """
+    rows = with_grid(df.select(*by, F.col(y).alias("_y"), F.col(z).alias("_z")), [{"temp": float(t)} for t in temps])
+    rows = rows.withColumn("_p", sigmoid(F.col("_z") / F.col("temp")))
+    cells = rows.groupBy(*by, "temp").agg(*[F.avg(floored_loss(F.col("_y"), F.col("_p"), F.lit(float(e)))).alias(f"_l{i}") for i, e in enumerate(floors)])
+    table = F.array(*[F.struct(F.lit(float(e)).alias("floor"), F.col(f"_l{i}").alias("loss")) for i, e in enumerate(floors)])
+    return cells.select(*by, "temp", F.explode(table).alias("_c")).select(*by, "temp", "_c.floor", "_c.loss")
 
 
 def grid_best(table: DataFrame, params: Sequence[str], loss: str = "loss", by: Sequence[str] = ()) -> DataFrame:

@@ -322,11 +322,11 @@ def harmonize_blur(voxels: DataFrame, zooms: DataFrame, c: float, grid: Grid, sp
     per = zooms.select("uid", sigma.alias("_sg")).withColumn("_k", kernel)
     total = F.aggregate("_k", F.lit(0.0), lambda a, b: a + b)
     per = per.select("uid", F.transform("_k", lambda v: v / total).alias("_k"))
-    out = voxels.join(per, "uid")
+    out = voxels.repartition("uid").join(per, "uid")
     for axis, n in zip(AXES, grid):
         rest = [a for a in AXES if a != axis]
         rows = out.select("uid", "_k", *rest, "v", axis, F.posexplode("_k").alias("_i", "_w"))
         at = F.pmod(F.col(axis) + F.col("_i") - F.floor(F.size("_k") / F.lit(2)), F.lit(2 * n))
         fold = F.when(at < n, at).otherwise(F.lit(2 * n - 1) - at).cast("int")
-        out = rows.groupBy("uid", *rest, fold.alias(axis)).agg(F.sum(F.col("v") * F.col("_w")).alias("v"), F.first("_k").alias("_k"))
+        out = rows.groupBy("uid", "_k", *rest, fold.alias(axis)).agg(F.sum(F.col("v") * F.col("_w")).alias("v"))
     return out.select("uid", *AXES, "v")

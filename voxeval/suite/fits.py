@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from voxeval import fixtures as fx
 from voxeval.operators import fits as L
-from voxeval.operators.folds import group_folds
+from voxeval.operators.folds import group_folds, stratified_folds
 from voxeval.operators.metrics import scoreboard
 from voxeval.session import stage
 from voxeval.suite.base import auc_sql, clip, loss, newton_ctes, query, sig
@@ -92,20 +94,24 @@ def l5f(spark, sf):
     return L.cv_predict_features(w, _FEATS, range(5), zoom="zoom")
 
 
+def _halves(spark, sf):
+    """Two balanced halves: each is scored by models of the other, so every row is scored."""
+    return stage(stratified_folds(fx.wide_oof(spark, sf), ["y"], 2, 11, name="half"))
+
+
 @query("l6_fit_gbt", "n:i logloss:d6 auc:d6")
 def l6(spark, sf):
-    w = stage(fx.wide_oof(spark, sf))
-    model = L.fit_gbt(w.where("fold <> 0"), ["x", "zoom", "lr"], trees=20)
-    return scoreboard(L.gbt_logit(model, w.where("fold = 0")).select("y", "z"), [])
+    w = _halves(spark, sf)
+    scored = L.cv_predict_with(w, lambda t: L.fit_gbt(t, ["x", "zoom", "lr"], trees=20), L.gbt_logit, range(2), "half")
+    return scoreboard(scored.select("y", "z"))
 
 
 @query("l7_fit_alternatives", "kind:s n:i logloss:d6 auc:d6")
 def l7(spark, sf):
-    w = stage(fx.wide_oof(spark, sf))
-    out = None
+    w, out = _halves(spark, sf), None
     for kind, over in (("svm", {}), ("mlp", {"maxIter": 30}), ("forest", {"numTrees": 20})):
-        model = L.alternative(kind, COLS, **over).fit(w.where("fold <> 0"))
-        part = L.score_alternative(kind, model, w.where("fold = 0")).select(F.lit(kind).alias("kind"), "y", "z")
+        scored = L.cv_predict_with(w, lambda t: L.alternative(kind, COLS, **over).fit(t), lambda m, r: L.score_alternative(kind, m, r), range(2), "half")
+        part = scored.select(F.lit(kind).alias("kind"), "y", "z")
         out = part if out is None else out.unionByName(part)
     return scoreboard(out, ["kind"])
 
@@ -113,10 +119,11 @@ def l7(spark, sf):
 @query("l8_pca_logistic", "n:i logloss:d6 auc:d6")
 def l8(spark, sf):
     e = fx.table(spark, sf, "embeddings")
-    rows = e.select("vec_id", F.when(F.col("label") >= 5, 1.0).otherwise(0.0).alias("y"), (F.col("vec_id") % 5).alias("fold"),
+    rows = e.select(F.col("vec_id").cast("string").alias("uid"), F.when(F.col("label") >= 5, 1.0).otherwise(0.0).alias("y"),
                     array_to_vector(F.col("embedding").cast("array<double>")).alias("vec"))
-    rows = stage(rows)
-    return scoreboard(L.pca_logistic(rows.where("fold <> 0"), rows.where("fold = 0"), "vec", 16).select("y", "z"), [])
+    rows = stage(stratified_folds(rows, ["y"], 5, 11))
+    parts = [L.pca_logistic(rows.where(F.col("fold") != f), rows.where(F.col("fold") == f), "vec", 16).select("y", "z") for f in range(5)]
+    return scoreboard(reduce(lambda a, b: a.unionByName(b), parts))
 
 
 FLOORS = (0.0, *L.STACK_FLOORS)
