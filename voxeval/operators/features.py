@@ -29,6 +29,10 @@ REF_GUARD = 1e-3
 RATIO_OFFSET = 0.05
 
 
+def _side() -> W:
+    return W.partitionBy("uid", "side")
+
+
 def quantile_features(voxels: DataFrame, probs: Sequence[float] = QUANTILES) -> DataFrame:
     """Percentiles and the guarded maximum of each volume (F1), one aggregate."""
     q = F.percentile("v", F.array(*[F.lit(p / 100) for p in probs]))
@@ -36,7 +40,7 @@ def quantile_features(voxels: DataFrame, probs: Sequence[float] = QUANTILES) ->
     return g.select("uid", *[F.col("_q")[i].alias(f"g_p{p}") for i, p in enumerate(probs)], "g_max")
 
 
-def split_sides(voxels: DataFrame, grid: Grid, half: tuple[int, int, int] = (12, 20, 20)) -> DataFrame:
+def split_sides(voxels: DataFrame, grid: Grid, half: tuple[int, int, int] = (12, 20, 20), carry: Sequence[str] = ()) -> DataFrame:
     """Central box in two halves, the second mirrored so that both run lateral to medial (F2).
 
     Adds ``side`` R or L and ``gmax``, the guarded maximum of the whole volume.
@@ -51,16 +55,19 @@ def split_sides(voxels: DataFrame, grid: Grid, half: tuple[int, int, int] = (12,
     side = F.when(first, F.lit("R")).otherwise(F.lit("L"))
     return rows.where(keep).select(
         "uid", side.alias("side"), z.alias("z"), y.alias("y"),
-        F.when(first, x).otherwise(F.lit(2 * half[2] - 1) - x).alias("x"), "v", "gmax",
+        F.when(first, x).otherwise(F.lit(2 * half[2] - 1) - x).alias("x"), "v", "gmax", *carry,
     )
 
 
+def _topk_aggs(ks: Sequence[int] = TOPS) -> list[Column]:
+    return [F.max("v").alias("max"), *[F.avg(F.when(F.col("_r") <= k, F.col("v"))).alias(f"top{k}") for k in ks]]
+
+
 def topk_mean(sides: DataFrame, ks: Sequence[int] = TOPS, by: Sequence[str] = ("uid", "side")) -> DataFrame:
     """Maximum and means of the k largest values, all k in one pass."""
     w = W.partitionBy(*by).orderBy(F.col("v").desc())
     rows = sides.select(*by, "v", F.row_number().over(w).alias("_r")).where(F.col("_r") <= max(ks))
-    means = [F.avg(F.when(F.col("_r") <= k, F.col("v"))).alias(f"top{k}") for k in ks]
-    return rows.groupBy(*by).agg(F.max("v").alias("max"), *means)
+    return rows.groupBy(*by).agg(*_topk_aggs(ks))
 
 
 def volume_aggs(voxel_ml: float, levels: Sequence[float] = VOLUME_LEVELS) -> list[Column]:
@@ -115,52 +122,67 @@ def elongation_aggs(frac: float) -> list[Column]:
     return [F.when(F.count_if(hot(frac)) >= 3, eig).otherwise(0.0).alias(f"elong{frac}")]
 
 
+def _with_thirds(sides: DataFrame, level: float) -> DataFrame:
+    """Adds ``_h``, hot or not, and ``_t``, the third of the hot y range a row lies in."""
+    y_hot = F.when(hot(level), F.col("y"))
+    rows = sides.withColumn("_h", hot(level)).withColumn("_y0", F.min(y_hot).over(_side())).withColumn("_y1", F.max(y_hot).over(_side()))
+    n = F.col("_y1") - F.col("_y0") + 1
+    size, more, o = F.floor(n / F.lit(3)), n % 3, F.col("y") - F.col("_y0")
+    big = more * (size + 1)
+    third = F.when(o < big, F.floor(o / (size + 1))).otherwise(more + F.floor((o - big) / F.greatest(size, F.lit(1))))
+    return rows.withColumn("_t", third)
+
+
+def _third_aggs() -> list[Column]:
+    sums = [F.sum(F.when(F.col("_h") & (F.col("_t") == i), F.col("v")).otherwise(0.0)).alias(f"_s{i}") for i in range(3)]
+    counts = [F.count_if(F.col("_h") & (F.col("_t") == i)).alias(f"_c{i}") for i in range(3)]
+    return [F.count_if("_h").alias("_n"), *sums, *counts]
+
+
+def _gradients() -> list[Column]:
+    m = [F.col(f"_s{i}") / F.greatest(F.col(f"_c{i}"), F.lit(1)) for i in range(3)]
+    enough = F.col("_n") > 5
+    return [F.when(enough, m[i] / (m[2] + 1e-6)).otherwise(0.0).alias(n) for i, n in ((0, "post_ant"), (1, "mid_ant"))]
+
+
 def ap_gradient(sides: DataFrame, level: float = PROFILE_LEVEL) -> DataFrame:
     """Mean hot uptake per third of its y range: posterior and middle over anterior (F8).
 
     Thirds of n rows: the first n mod 3 parts have one row more.
     """
-    w = W.partitionBy("uid", "side")
-    y_hot = F.when(hot(level), F.col("y"))
-    rows = sides.select("uid", "side", "y", "v", hot(level).alias("_h"), F.min(y_hot).over(w).alias("y0"), F.max(y_hot).over(w).alias("y1"))
-    n = F.col("y1") - F.col("y0") + 1
-    size, more, o = F.floor(n / F.lit(3)), n % 3, F.col("y") - F.col("y0")
-    big = more * (size + 1)
-    third = F.when(o < big, F.floor(o / (size + 1))).otherwise(more + F.floor((o - big) / F.greatest(size, F.lit(1))))
-    g = rows.withColumn("_t", third).groupBy("uid", "side")
-    sums = [F.sum(F.when(F.col("_h") & (F.col("_t") == i), F.col("v")).otherwise(0.0)).alias(f"s{i}") for i in range(3)]
-    counts = [F.count_if(F.col("_h") & (F.col("_t") == i)).alias(f"c{i}") for i in range(3)]
-    got = g.agg(F.count_if("_h").alias("_n"), *sums, *counts)
-    m = [F.col(f"s{i}") / F.greatest(F.col(f"c{i}"), F.lit(1)) for i in range(3)]
-    return got.select(
-        "uid", "side", F.when(F.col("_n") > 5, m[0] / (m[2] + 1e-6)).otherwise(0.0).alias("post_ant"),
-        F.when(F.col("_n") > 5, m[1] / (m[2] + 1e-6)).otherwise(0.0).alias("mid_ant"),
-    )
+    return _with_thirds(sides, level).groupBy("uid", "side").agg(*_third_aggs()).select("uid", "side", *_gradients())
 
 
-def peak_boxes(sides: DataFrame, box_height: int, net_height: int, k: int = BOX_TOP) -> DataFrame:
-    """Means of the brightest k voxels in boxes before and behind the side's peak, and their ratio."""
-    w = W.partitionBy("uid", "side")
+def _with_boxes(sides: DataFrame, box_height: int, net_height: int) -> DataFrame:
+    """Adds ``_box``, before or behind the side's peak, and ``_rb``, the rank of the value in its box."""
     order = F.struct(F.col("v"), -F.col("z"), -F.col("y"), -F.col("x"))
-    rows = sides.select("uid", "side", "z", "y", "v", F.max_by(F.struct("z", "y"), order).over(w).alias("p"))
-    dz, y, py = F.col("z") - F.col("p.z"), F.col("y"), F.col("p.y")
+    rows = sides.withColumn("_p", F.max_by(F.struct("z", "y"), order).over(_side()))
+    dz, y, py = F.col("z") - F.col("_p.z"), F.col("y"), F.col("_p.y")
     near = dz.between(-3, 3)
     ant = near & (y >= F.least(py + 2, F.lit(net_height))) & (y < F.least(py + 9, F.lit(box_height)))
     post = near & (y >= F.greatest(py - 12, F.lit(0))) & (y < F.greatest(py - 3, F.lit(1)))
-    tagged = rows.select("uid", "side", "v", F.explode(F.array_compact(F.array(
-        F.lit("all"), F.when(ant, F.lit("ant")), F.when(post, F.lit("post"))))).alias("box"))
-    top = tagged.withColumn("_r", F.row_number().over(W.partitionBy("uid", "side", "box").orderBy(F.col("v").desc()))).where(F.col("_r") <= k)
-    mean = {b: F.coalesce(F.avg(F.when(F.col("box") == b, F.col("v"))), F.lit(0.0)) for b in ("post", "ant")}
-    g = top.groupBy("uid", "side").agg(mean["post"].alias("box_post"), mean["ant"].alias("box_ant"))
+    rows = rows.withColumn("_box", F.when(ant, F.lit("ant")).when(post, F.lit("post")))
+    return rows.withColumn("_rb", F.row_number().over(W.partitionBy("uid", "side", "_box").orderBy(F.col("v").desc())))
+
+
+def _box_aggs(k: int = BOX_TOP) -> list[Column]:
+    return [
+        F.coalesce(F.avg(F.when((F.col("_box") == b) & (F.col("_rb") <= k), F.col("v"))), F.lit(0.0)).alias(f"box_{b}") for b in ("post", "ant")
+    ]
+
+
+def peak_boxes(sides: DataFrame, box_height: int, net_height: int, k: int = BOX_TOP) -> DataFrame:
+    """Means of the brightest k voxels in boxes before and behind the side's peak, and their ratio."""
+    g = _with_boxes(sides, box_height, net_height).groupBy("uid", "side").agg(*_box_aggs(k))
     return g.withColumn("box_ratio", F.col("box_post") / (F.col("box_ant") + 1e-6))
 
 
 def fold_sides(df: DataFrame, cols: Sequence[str], sides: tuple = ("R", "L"), eps: float = ASYM_EPS, prefix: str = "",
-               keys: Sequence[str] = ("uid",), mean: bool = True) -> DataFrame:
+               keys: Sequence[str] = ("uid",), mean: bool = True, carry: Sequence[str] = ()) -> DataFrame:
     """Two side rows to min, max, mean and relative difference of each column."""
     pair = [(c, *[F.max(F.when(F.col("side") == s, F.col(f"`{c}`"))).alias(f"_{i}{c}") for i, s in enumerate(sides)]) for c in cols]
-    g = df.groupBy(*keys).agg(*[e for p in pair for e in p[1:]])
-    outs = []
+    g = df.groupBy(*keys).agg(*[e for p in pair for e in p[1:]], *[F.max(c).alias(c) for c in carry])
+    outs = [F.col(c) for c in carry]
     for c in cols:
         a, b = F.col(f"`_0{c}`"), F.col(f"`_1{c}`")
         outs += [F.least(a, b).alias(f"{prefix}{c}_min"), F.greatest(a, b).alias(f"{prefix}{c}_max")]
@@ -170,25 +192,39 @@ def fold_sides(df: DataFrame, cols: Sequence[str], sides: tuple = ("R", "L"), ep
     return g.select(*keys, *outs)
 
 
-def side_features(sides: DataFrame, box: Grid, net_height: int, spacing: float = 2.0) -> DataFrame:
-    """All side statistics, F3 to F9, per (uid, side): two aggregates and two windows on one partitioning."""
+def side_features(sides: DataFrame, box: Grid, net_height: int, spacing: float = 2.0, carry: Sequence[str] = ()) -> DataFrame:
+    """All side statistics, F3 to F9, per (uid, side) in one aggregate.
+
+    Ranks, thirds and boxes are windows on the partitioning by uid that ``split_sides`` made, so
+    voxels are exchanged once. ``carry`` keeps columns that are constant per uid.
+    """
     ml = spacing**3 / 1000.0
-    aggs = volume_aggs(ml)
+    aggs = [*_topk_aggs(), *volume_aggs(ml), *_third_aggs(), *_box_aggs()]
     for f in HOT_LEVELS:
         aggs += hot_extent_aggs(f, ml, spacing) + hot_centroid_aggs(f, box[1], spacing) + elongation_aggs(f)
-    keys = ["uid", "side"]
-    base = sides.groupBy(*keys).agg(*aggs)
-    for part in (topk_mean(sides), ap_gradient(sides), peak_boxes(sides, box[1], net_height)):
-        base = base.join(part, keys)
-    return base
+    rows = _with_boxes(_with_thirds(sides, PROFILE_LEVEL), box[1], net_height)
+    rows = rows.withColumn("_r", F.row_number().over(_side().orderBy(F.col("v").desc())))
+    g = rows.groupBy("uid", "side").agg(*aggs, *[F.max(c).alias(c) for c in carry])
+    names = [c for c in g.columns if not c.startswith("_")]
+    return g.select(*[F.col(f"`{c}`") for c in names], *_gradients(), (F.col("box_post") / (F.col("box_ant") + 1e-6)).alias("box_ratio"))
 
 
 def scan_features(voxels: DataFrame, grid: Grid, half: tuple[int, int, int] = (12, 20, 20), spacing: float = 2.0) -> DataFrame:
-    """The complete wide feature row of each (already smoothed) volume: global and folded side features."""
-    sides = split_sides(voxels, grid, half)
-    per = side_features(sides, (2 * half[0], 2 * half[1], half[2]), grid[1], spacing)
-    folded = fold_sides(per, [c for c in per.columns if c not in ("uid", "side")])
-    return quantile_features(voxels).join(folded, "uid")
+    """The complete wide feature row of each (already smoothed) volume: global and folded side features.
+
+    One exchange by uid carries the whole of it.
+    """
+    q = F.percentile("v", F.array(*[F.lit(p / 100) for p in QUANTILES])).over(W.partitionBy("uid"))
+    rows = voxels.select("uid", *AXES, "v", q.alias("_q"))
+    names = [f"g_p{p}" for p in QUANTILES]
+    rows = rows.select("uid", *AXES, "v", *[F.col("_q")[i].alias(f"g{i}") for i in range(len(names))])
+    carry = [f"g{i}" for i in range(len(names))]
+    sides = split_sides(rows, grid, half, carry)
+    per = side_features(sides, (2 * half[0], 2 * half[1], half[2]), grid[1], spacing, [*carry, "gmax"])
+    cols = [c for c in per.columns if c not in ("uid", "side", "gmax", *carry)]
+    wide = fold_sides(per, cols, carry=[*carry, "gmax"])
+    renamed = {**dict(zip(carry, names)), "gmax": "g_max"}
+    return wide.select(*[F.col(f"`{c}`").alias(renamed.get(c, c)) for c in wide.columns])
 
 
 def zonal_means(voxels: DataFrame, atlas: DataFrame) -> DataFrame:

@@ -116,10 +116,11 @@ def bootstrap_weight(h: Column, a: Column, b: Column) -> Column:
     replicate sums; one hash per row serves all replicates.
     """
     u = ((h * a + b) % F.lit(MERSENNE31)).cast("double") / F.lit(float(MERSENNE31))
-    w = F.lit(0.0)
-    for c in _poisson_cdf():
-        w = w + F.when(u >= F.lit(c), F.lit(1.0)).otherwise(F.lit(0.0))
-    return w
+    steps = _poisson_cdf()
+    w = F.when(u < F.lit(steps[0]), F.lit(0.0))
+    for k, c in enumerate(steps[1:], 1):
+        w = w.when(u < F.lit(c), F.lit(float(k)))
+    return w.otherwise(F.lit(float(len(steps))))
 
 
 def bootstrap_sums(delta: DataFrame, b: int, seed: int = 0, uid: str = "uid", d: str = "d") -> DataFrame:

@@ -12,6 +12,7 @@ from voxeval.operators import metrics as M
 from voxeval.operators.joins import argbest_candidate
 from voxeval.operators.rasters import center_of_mass
 from voxeval.plans.bounded import with_grid
+from voxeval.session import stage
 from voxeval.suite.base import auc_sql, loss, query, sig, u
 
 
@@ -51,7 +52,7 @@ _DELTA = f"SELECT uid, fold, {loss('y', sig('(cnn + gbm) / 2e0'))} - {loss('y',
 
 
 def _delta(spark, sf):
-    w = fx.wide_oof(spark, sf)
+    w = stage(fx.wide_oof(spark, sf).select("uid", "y", "cnn", "gbm"))
     base = w.select("uid", "y", sigmoid("cnn").alias("p"))
     return M.paired_delta(base, w.select("uid", sigmoid((F.col("cnn") + F.col("gbm")) / 2).alias("p")))
 
