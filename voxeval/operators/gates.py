@@ -67,7 +67,7 @@ def leak_check(scores: DataFrame, folds: DataFrame, checkpoints: DataFrame) -> D
 
 
 def _few(df: DataFrame, rows: int = 100_000) -> bool:
-    return df.limit(rows + 1).count() <= rows
+    return df.count() <= rows
 
 
 def coverage_report(scans: DataFrame, ok: str = "ok", note: str = "loc_note") -> DataFrame:

@@ -61,10 +61,11 @@ def lookup_join(
 ) -> DataFrame:
     """Join with a table that is normally small.
 
-    Its rows are counted up to the limit first: within it the small side is broadcast and the
-    big side stays where it is; beyond it Spark's shuffle join (with runtime skew splitting)
-    takes over. Pass a staged or file-backed ``small``, since it is read once more for the count.
+    Its rows are counted first: up to the limit the small side is broadcast and the big side
+    stays where it is; beyond it Spark's shuffle join (with runtime skew splitting) takes over.
+    Pass a staged or file-backed ``small``: the count is then a scan without columns. It is a
+    plain count, as a limit would draw that many rows of every partition into one task.
     """
-    if small.limit(max_rows + 1).count() <= max_rows:
+    if small.count() <= max_rows:
         small = F.broadcast(small)
     return big.join(small, on, how)
