@@ -82,6 +82,13 @@ def test_group_folds_keep_families_together(spark, skewed):
     assert (got.groupby("g").fold.nunique() == 1).all() and got.fold.nunique() > 1
 
 
+def test_group_folds_do_not_depend_on_the_ranking_path(spark, skewed):
+    df = spark.createDataFrame(skewed.assign(fam=(skewed.uid.astype(int) // 7).astype(str)))
+    a = K.group_folds(df, 4, 3, "fam").select("uid", "fold")
+    b = K.group_folds(df, 4, 3, "fam", window_rows=0).select("uid", "fold")
+    assert a.exceptAll(b).count() == 0 and a.count() == b.count() == len(skewed)
+
+
 def test_merge_rare_counts(spark, skewed):
     k = 60
     got = K.merge_rare(spark.createDataFrame(skewed), k, "g").toPandas().set_index("uid")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from voxeval.functions.scalars import hash_hex, hash_int, sigmoid
 from voxeval.plans.bounded import lookup_join
-from voxeval.plans.ranking import hash_rank
+from voxeval.plans.ranking import distinct_counts, hash_rank, prefix_sums
 from voxeval.session import stage
 
 
@@ -44,19 +44,34 @@ def stratified_folds(df: DataFrame, strata: Sequence[str], k: int, seed, uid: st
     return ranked.withColumn(name, ((F.col("_rank") - 1 + start) % k).cast("int")).drop("_rank")
 
 
-def group_folds(df: DataFrame, k: int, seed, family: str = "family", y: str = "y", name: str = "fold") -> DataFrame:
+def _family_positions(fam: DataFrame, family: str, seed, window_rows: int) -> DataFrame:
+    """Adds ``_pos``, the 0-based place of a family in its band by size, ties by hash.
+
+    Counted families up to the limit are ranked by a window per band; more of them by a prefix
+    sum over sizes and a hashed rank within a size, so that no band is sorted in one task.
+    """
+    if fam.count() <= window_rows:
+        w = W.partitionBy("_band").orderBy("_size", hash_hex(F.col(family), seed), family)
+        return fam.withColumn("_pos", F.row_number().over(w) - 1)
+    sizes = stage(distinct_counts(fam, ["_band"], "_size", {"_c": F.lit(1)}))
+    larger = stage(prefix_sums(sizes, ["_band"], "_size", ["_c"]).select("_band", "_size", "_c_before"))
+    ranked = lookup_join(hash_rank(fam, ["_band", "_size"], [seed], family, "_rank"), larger, ["_band", "_size"])
+    return ranked.withColumn("_pos", F.col("_c_before") + F.col("_rank") - 1)
+
+
+def group_folds(df: DataFrame, k: int, seed, family: str = "family", y: str = "y", name: str = "fold",
+                window_rows: int = 100_000) -> DataFrame:
     """Whole families held out, balanced by size and label rate (K3).
 
     Families are ordered by label-rate band (tenths), then size, and dealt to folds in a snake.
-    The order runs over one row per family, within a band.
     """
-    fam = df.groupBy(family).agg(F.count(F.lit(1)).alias("_n"), F.avg(F.col(y).cast("double")).alias("_r"))
-    fam = fam.withColumn("_band", F.floor(F.col("_r") * 10)).withColumn("_h", hash_hex(F.col(family), seed))
-    pos = F.row_number().over(W.partitionBy("_band").orderBy(F.col("_n").desc(), "_h")) - 1
+    fam = df.groupBy(family).agg(F.count(F.lit(1)).alias("_n"), F.avg(F.col(y).cast("double")).alias("_rate"))
+    fam = stage(fam.select(family, F.floor(F.col("_rate") * 10).alias("_band"), (-F.col("_n")).alias("_size")))
+    pos = F.col("_pos")
     lap, at = F.floor(pos / F.lit(k)), pos % k
     snake = F.when(lap % 2 == 0, at).otherwise(F.lit(k - 1) - at)
     shift = F.pmod(hash_int(F.col("_band").cast("string"), seed), F.lit(k))
-    table = fam.select(family, ((snake + shift) % k).cast("int").alias(name))
+    table = _family_positions(fam, family, seed, window_rows).select(family, ((snake + shift) % k).cast("int").alias(name))
     return lookup_join(df, stage(table), family)
 
 
