@@ -90,9 +90,9 @@ def inner_folds(df: DataFrame, outer_k: int, inner_k: int, seed_base: int, strat
     return stratified_folds(rows, ["outer_fold", *strata], inner_k, seed, name="inner_fold")
 
 
-def fold_balance(df: DataFrame, y: str = "y", fold: str = "fold") -> DataFrame:
-    """Rows and label rate per fold (K5)."""
-    return df.groupBy(fold).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(y).cast("double")).alias("rate"))
+def fold_balance(df: DataFrame, by: Sequence[str] = (), y: str = "y", fold: str = "fold") -> DataFrame:
+    """Rows and label rate per fold, e.g. of every run (K5)."""
+    return df.groupBy(*by, fold).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(y).cast("double")).alias("rate"))
 
 
 def fold_violations(df: DataFrame, split: str, unit: str, fold: str = "fold") -> DataFrame:

@@ -183,11 +183,3 @@ def build_atlas(template: DataFrame, grid: Grid, n_side: int = 700, reach: tuple
     strict = far.where((F.col("y") < h * 0.3) & (F.abs(F.col("z") - d / 2) < ref_depth))
     ref = strict if strict.count() >= ref_least else far
     return zones.unionByName(ref.select(*AXES, F.lit(REFERENCE).alias("code")))
-
-
-def zone_sets(atlas: DataFrame, sets: dict[str, Sequence[int]]) -> DataFrame:
-    """Named unions of zone codes, as coordinates."""
-    tags = F.array_compact(F.array(*[F.when(F.col("code").isin(list(codes)), F.lit(n)) for n, codes in sets.items()]))
-    return atlas.select(*AXES, F.explode(tags).alias("zone"))
-
-

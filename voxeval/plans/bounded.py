@@ -47,11 +47,6 @@ def with_grid(df: DataFrame, rows: Sequence[dict], name: str = "_g") -> DataFram
     return out.select(*df.columns, *[F.col(f"{name}.{k}").alias(k) for k in rows[0]])
 
 
-def literal_table(df: DataFrame, rows: Sequence[dict]) -> DataFrame:
-    """The grid alone, as a table."""
-    return with_grid(df.sparkSession.range(1).select(), rows)
-
-
 def lookup_join(
     big: DataFrame,
     small: DataFrame,

@@ -46,8 +46,7 @@ def k4(spark, sf):
 
 @query("k5_fold_balance", "run:s fold:i n:i rate:d6", "SELECT run, fold, count(*) AS n, avg(y) AS rate FROM folded GROUP BY run, fold", ["folded"])
 def k5(spark, sf):
-    rows = fx.folded(spark, sf)
-    return rows.groupBy("run", "fold").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("rate"))
+    return K.fold_balance(fx.folded(spark, sf), ["run"])
 
 
 @query("k5_fold_violations", "run:s units:i violations:i", """SELECT run, count(*) AS units, count(*) FILTER (lo <> hi) AS violations FROM (
