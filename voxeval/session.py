@@ -25,20 +25,23 @@ def local_session(cores: int | str = 8, partitions: int = 8) -> SparkSession:
     )
 
 
+_fallback: list[str] = []
+
+
 def shared_root(spark: SparkSession) -> str:
     """The shared folder for staged tables: the cluster's ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a folder of this machine.
+    Only a local master may do without the setting; it gets one new folder of this machine per process.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if root:
         return root
-    if not sc.master.startswith("local"):
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    root = os.path.join(tempfile.gettempdir(), "voxeval-stage")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if not _fallback:
+        _fallback.append(tempfile.mkdtemp(prefix="spark-voxeval-"))
+    return _fallback[0]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
