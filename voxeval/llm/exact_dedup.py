@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 
 from voxeval.session import fresh_path, stage
 
-from .base import ascii_lower, full_text, located
+from .base import ascii_lower, files_only, full_text, located
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": PROVIDER,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each state partition holds megabytes of empty file
 }
 #: Rows of a group that one task compares with one copy of the text that stays.
 ROWS_PER_COMPARISON = 256
@@ -88,12 +89,7 @@ def exact_groups(docs: DataFrame, digest_chars: int = 64) -> DataFrame:
     tests of colliding digests.
     """
     spark = docs.sparkSession
-    if not docs.columns or "_metadata" in docs.columns:
-        raise ValueError("documents need doc_id and text, and no column _metadata")
-    try:
-        docs.select("_metadata.row_index")
-    except Exception:  # not read from files: every later pass needs the same rows at the same place
-        docs = stage(docs.select("doc_id", "text"))
+    docs = files_only(docs, ["doc_id", "text"])
     slim = stage(digests(docs, digest_chars))
     source = slim.inputFiles()
     checkpoint = fresh_path(spark, "dedup-state")
@@ -120,6 +116,7 @@ def verdicts(docs: DataFrame, digest_chars: int = 64) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with its columns."""
+    docs = files_only(docs)
     placed = located(docs)
     gone = exact_groups(docs).filter(~_is_keeper()).select(F.col("_file").alias("_f"), F.col("_row").alias("_r"))
     return placed.join(gone, (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_r")), "left_anti").select(*[placed[c] for c in docs.columns])
