@@ -68,3 +68,13 @@ def located(docs: DataFrame) -> DataFrame:
         return docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     except AnalysisException:
         return stage(docs).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
+def files_only(docs: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """``docs`` (or some of its columns) as read from files, so that every pass finds the same row at the same place."""
+    docs = docs.select(*cols) if cols else docs
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return stage(docs)
+    return docs

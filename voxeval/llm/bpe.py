@@ -12,9 +12,12 @@ by; an empty table has an empty result; an id outside the vocabulary decodes to
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
+import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +29,11 @@ from pyspark.sql import types as T
 
 #: Parts up to which the rank array is scanned.
 SHORT_PARTS = 256
-#: Words whose ids a task remembers before it starts anew.
-REMEMBERED = 400_000
+#: Words, and chunks between white space, whose ids a worker remembers before it starts anew, and their length at most.
+REMEMBERED, REMEMBERED_BYTES = 300_000, 64
 NONE = 1 << 60
+#: Characters that ``str.split`` takes for white space and the patterns of vocabularies don't.
+NOT_SPACE = re.compile("[\x1c-\x1f]")
 
 
 def byte_symbols() -> list[str]:
@@ -38,33 +43,31 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
-def merge_scan(word: str, end: str, ranks: dict) -> list[str]:
-    """Parts of ``word + end``, where the last character and ``end`` start as one part."""
-    s, n = word + end, len(word)
-    bounds = [*range(n), len(s)]
-    pair = [ranks.get((s[i : i + 1], s[i + 1 : bounds[i + 2]]), NONE) for i in range(n - 1)]
+def merge_scan(parts: list[int], ranks: dict[int, int], joined: list[int]) -> list[int]:
+    """Merge a short word; ``parts`` are the ids between its boundaries, ``ranks`` go by the pair ``left << 20 | right``."""
+    pair = [ranks.get(a << 20 | b, NONE) for a, b in zip(parts, parts[1:])]
     while pair:
         least = min(pair)
         if least == NONE:
             break
         i = pair.index(least)
-        del bounds[i + 1], pair[i]
-        for j in (i - 1, i):
-            if 0 <= j < len(pair):
-                pair[j] = ranks.get((s[bounds[j] : bounds[j + 1]], s[bounds[j + 1] : bounds[j + 2]]), NONE)
-    return [s[a:b] for a, b in zip(bounds, bounds[1:])]
+        parts[i] = joined[least]
+        del parts[i + 1], pair[i]  # the boundary between the two goes
+        if i:
+            pair[i - 1] = ranks.get(parts[i - 1] << 20 | parts[i], NONE)
+        if i < len(pair):
+            pair[i] = ranks.get(parts[i] << 20 | parts[i + 1], NONE)
+    return parts
 
 
-def merge_heap(word: str, end: str, ranks: dict) -> list[str]:
-    """The same parts, by a heap of (rank, place); for long words."""
-    s, n = word + end, len(word)
-    stop = [*range(1, n), len(s)]  # end of the part that starts here
-    before = [*range(-1, n - 1)]
-    alive = [True] * n
+def merge_heap(parts: list[int], ranks: dict[int, int], joined: list[int]) -> list[int]:
+    """The same merges by a heap of (rank, place), for long words."""
+    n = len(parts)
+    after, before, alive = [*range(1, n + 1)], [*range(-1, n - 1)], [True] * n
 
     def rank(i: int) -> int:
-        j = stop[i]
-        return NONE if j >= n else ranks.get((s[i:j], s[j : stop[j]]), NONE)
+        j = after[i]
+        return NONE if j >= n else ranks.get(parts[i] << 20 | parts[j], NONE)
 
     heap = [(r, i) for i in range(n) if (r := rank(i)) != NONE]
     heapq.heapify(heap)
@@ -72,18 +75,14 @@ def merge_heap(word: str, end: str, ranks: dict) -> list[str]:
         r, i = heapq.heappop(heap)
         if not alive[i] or rank(i) != r:
             continue
-        j = stop[i]
-        alive[j], stop[i] = False, stop[j]
-        if stop[i] < n:
-            before[stop[i]] = i
+        j = after[i]
+        parts[i], alive[j], after[i] = joined[r], False, after[j]
+        if after[i] < n:
+            before[after[i]] = i
         for k in (before[i], i):
             if k >= 0 and (q := rank(k)) != NONE:
                 heapq.heappush(heap, (q, k))
-    out, i = [], 0
-    while i < n:
-        out.append(s[i : stop[i]])
-        i = stop[i]
-    return out
+    return [p for p, live in zip(parts, alive) if live]
 
 
 class WordBpe:
@@ -92,14 +91,19 @@ class WordBpe:
     def __init__(self, spec: dict):
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
-        self.end: str = model["end_of_word_suffix"]
-        self.ranks = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(model["merges"])}
-        pieces = spec["pre_tokenizer"]["pretokenizers"]
-        self.words = regex.compile(pieces[0]["pattern"]["Regex"])
+        end: str = model["end_of_word_suffix"]
+        self.ranks: dict[int, int] = {}  # by left id << 20 | right id
+        self.joined: list[int] = []
+        for rank, m in enumerate(model["merges"]):
+            left, right = m if isinstance(m, list) else m.split(" ")
+            self.ranks[self.vocab[left] << 20 | self.vocab[right]] = rank
+            self.joined.append(self.vocab[left + right])
+        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.symbols = byte_symbols()
-        self.known: dict[str, bytes] = {}
+        self.inner, self.last = ([self.vocab[c + e] for c in byte_symbols()] for e in ("", end))
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     @classmethod
     def read(cls, path: str) -> WordBpe:
@@ -118,35 +122,57 @@ class WordBpe:
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def word_ids(self, word: str) -> bytes:
-        mapped = "".join([self.symbols[b] for b in word.encode("utf-8")])
-        parts = (merge_scan if len(mapped) <= SHORT_PARTS else merge_heap)(mapped, self.end, self.ranks)
-        return np.array([self.vocab[p] for p in parts], np.int32).tobytes()
+        known = self.words.get(word)
+        if known is not None:
+            return known
+        raw = word.encode("utf-8")
+        parts = [self.inner[b] for b in raw]
+        parts[-1] = self.last[raw[-1]]
+        ids = array("i", (merge_scan if len(parts) <= SHORT_PARTS else merge_heap)(parts, self.ranks, self.joined)).tobytes()
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        if len(raw) <= REMEMBERED_BYTES:
+            self.words[word] = ids
+        return ids
+
+    def chunk_ids(self, chunk: str) -> bytes:
+        """Ids of a text without added tokens."""
+        return b"".join([self.word_ids(w) for w in self.pattern.findall(self.normalise(chunk))])
 
     def encode(self, text: str) -> bytes:
         """Ids as consecutive 32-bit numbers."""
         if self.specials is not None and any(a in text for a in self.added):
-            return b"".join(np.int32(self.added[x]).tobytes() if x in self.added else self._plain(x) for x in self.specials.split(text))
+            return b"".join(array("i", [self.added[x]]).tobytes() if x in self.added else self._plain(x) for x in self.specials.split(text))
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        found, known = self.words.findall(self.normalise(text)), self.known
-        try:
-            return b"".join([known[w] for w in found])
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        out = []
-        for w in found:
-            ids = known.get(w)
+        if NOT_SPACE.search(text):
+            return self.chunk_ids(text)
+        known, out = self.chunks, []  # words never reach over white space, nor does the normal form
+        for chunk in text.split():
+            ids = known.get(chunk)
             if ids is None:
-                ids = self.word_ids(w)
-                if len(w) <= 64:
-                    known[w] = ids
+                ids = self.chunk_ids(chunk)
+                if len(known) > REMEMBERED:
+                    known.clear()
+                if len(chunk) <= REMEMBERED_BYTES:
+                    known[chunk] = ids
             out.append(ids)
         return b"".join(out)
 
 
+_ready: dict[str, WordBpe] = {}
+
+
+def _coder(text: str) -> WordBpe:
+    """The coder of a vocabulary, kept by the worker process for its next tasks."""
+    name = hashlib.sha256(text.encode()).hexdigest()
+    if name not in _ready:
+        _ready.clear()
+        _ready[name] = WordBpe(json.loads(text))
+    return _ready[name]
+
+
 def _put(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
 
@@ -164,7 +190,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", into: str = "ids"
     place = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(json.loads(spec.value))
+        bpe = _coder(spec.value)
         for b in batches:
             coded = [bpe.encode(t or "") for t in b.column(place).to_pylist()]
             ends = np.cumsum([0, *map(len, coded)]) // 4

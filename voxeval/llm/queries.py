@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, url_filter
-from .base import query, table
+from . import bpe, exact_dedup, mixing, ngram_join, toxicity, url_filter
+from .base import query, residue, table
 
 SITE_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 EXACT_SQL = """
@@ -46,3 +46,16 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op10_ngram_join", ngram_join.SQL)
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.near_groups(table(spark, sf, "documents")).select("doc_id", "copy_id", "class_id", "n_links")
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf, "labels").select("doc_id", "toxic"), residue(4) != 2)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (residue(4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "hits")
