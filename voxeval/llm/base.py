@@ -70,6 +70,13 @@ def located(docs: DataFrame) -> DataFrame:
         return stage(docs).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` (read from files) without the rows at the places ``gone`` (_file, _row); its columns may have any names."""
+    file, row = F.col("_metadata.file_path").alias("_at_file"), F.col("_metadata.row_index").alias("_at_row")
+    placed = docs.select(F.struct(*docs.columns).alias("_doc"), file, row)
+    return placed.join(gone, (F.col("_at_file") == F.col("_file")) & (F.col("_at_row") == F.col("_row")), "left_anti").select("_doc.*")
+
+
 def files_only(docs: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """``docs`` (or some of its columns) as read from files, so that every pass finds the same row at the same place."""
     docs = docs.select(*cols) if cols else docs

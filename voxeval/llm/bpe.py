@@ -7,7 +7,8 @@ which repeated scans would be quadratic, take the same merges from a heap. Tasks
 bounded table. The vocabulary is read once by the driver and broadcast; its size is that of the file, whatever the data.
 
 Defined cases: null is the empty text, with no ids and an empty decoded text; repeated rows and other columns are passed
-by; an empty table has an empty result; an id outside the vocabulary decodes to nothing.
+by, but for one with the name of the result, which the result replaces; an empty table has an empty result; an id outside
+the vocabulary decodes to nothing.
 """
 
 from __future__ import annotations
@@ -177,14 +178,9 @@ def _put(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
 
 
-def _fresh(df: DataFrame, name: str) -> None:
-    if name in df.columns:
-        raise ValueError(f"column {name} is there already")
-
-
 def encode(df: DataFrame, vocabulary: str, text: str = "text", into: str = "ids") -> DataFrame:
     """``df`` with the ids of ``text`` as an array of int; ``vocabulary`` is a path the driver can read."""
-    _fresh(df, into)
+    df = df.drop(into)
     with open(vocabulary, encoding="utf-8") as f:
         spec = df.sparkSession.sparkContext.broadcast(f.read())
     place = df.columns.index(text)
@@ -202,7 +198,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", into: str = "ids"
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``df`` with the tokens of ``ids``, word-end marks included, joined by one space."""
-    _fresh(df, into)
+    df = df.drop(into)
     with open(vocabulary, encoding="utf-8") as f:
         tokens = df.sparkSession.sparkContext.broadcast(WordBpe(json.load(f)).tokens())
     place = df.columns.index(ids)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from voxeval.session import fresh_path, stage
 
-from .base import ascii_lower, files_only, full_text, located
+from .base import ascii_lower, files_only, full_text, located, without
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_CONF = {
@@ -117,6 +117,4 @@ def verdicts(docs: DataFrame, digest_chars: int = 64) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with its columns."""
     docs = files_only(docs)
-    placed = located(docs)
-    gone = exact_groups(docs).filter(~_is_keeper()).select(F.col("_file").alias("_f"), F.col("_row").alias("_r"))
-    return placed.join(gone, (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_r")), "left_anti").select(*[placed[c] for c in docs.columns])
+    return without(docs, exact_groups(docs).filter(~_is_keeper()).select("_file", "_row"))

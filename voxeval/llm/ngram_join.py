@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from voxeval.session import stage
 
-from .base import WORD, files_only, located
+from .base import WORD, files_only, located, without
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, FULL_DEPTH, TARGET_RECALL = 32, 8, 0.999
@@ -289,9 +289,7 @@ def with_shingles(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def near_deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that stay: one of each linked group, with the columns of ``docs``."""
     docs = files_only(docs)
-    placed = located(docs)
-    gone = near_groups(docs, threshold).filter("not kept").select(F.col("_file").alias("_f"), F.col("_row").alias("_r"))
-    return placed.join(gone, (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_r")), "left_anti").select(*[placed[c] for c in docs.columns])
+    return without(docs, near_groups(docs, threshold).filter("not kept").select("_file", "_row"))
 
 
 SQL = r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, ngram_join, toxicity, url_filter
+from . import bpe, exact_dedup, fingerprints, language_id, mixing, ngram_join, personal_data, suffix_dedup, toxicity, url_filter
 from .base import query, residue, table
 
 SITE_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -59,3 +59,33 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf, "labels").select("doc_id", "toxic"), residue(4) != 2)
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", (residue(4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "hits")
+
+
+@query("op3_language_id")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs, residue(5) != 0)
+    return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", (residue(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query("op4_personal_data")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    found = personal_data.find(table(spark, sf, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {i})) as long)").alias(f"n_{k}") for i, k in enumerate(personal_data.KINDS)]
+    every = "array_sort(concat(base, added))"
+    return found.select(
+        "doc_id", *counts, F.sha2(F.expr(personal_data.span_text("base")), 256).alias("base_sha256"), F.expr(personal_data.span_text(every)).alias("spans")
+    )
+
+
+@query("op5_suffix_dedup")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    found = suffix_dedup.repeats(table(spark, sf, "documents"))
+    words = F.expr("aggregate(spans, 0L, (s, x) -> s + x.end - x.start)")
+    spans = F.expr("array_join(transform(spans, x -> concat(x.start, ':', x.end)), ',')")
+    return found.select("doc_id", F.size("spans").cast("long").alias("n_spans"), words.alias("repeated_words"), spans.alias("spans"), "partners", "copies")
+
+
+@query("op8_fingerprints")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf, "documents"))

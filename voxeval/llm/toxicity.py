@@ -9,7 +9,8 @@ does not count. The summed weight and its density per word enter a logistic scor
 The fit uses at most ``TRAIN_ROWS`` labelled rows, chosen by a hash of doc_id, and counts equal texts once. Defined cases:
 a null or empty text has no words and scores as a text without a hit; labels that are null or name no document are left
 out, of several labels of a document the larger counts; without labelled rows every score is 0; repeated rows are scored
-alike; an empty table has an empty result; other columns are passed by.
+alike; an empty table has an empty result; other columns are passed by, but for those with the names of results, which the
+results replace.
 """
 
 from __future__ import annotations
@@ -192,9 +193,22 @@ def _features(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def score(texts: DataFrame, model: Model) -> DataFrame:
     """``texts`` (some columns and ``text``) without the text, with hits and score."""
-    clash = {"x", "y", "hits", "score"} & {*texts.columns}
-    if clash:
-        raise ValueError(f"columns are there already: {sorted(clash)}")
+    texts = texts.drop("x", "y", "hits", "score")
     a, b, c = model.weights
     logit = F.lit(a) + F.lit(b) * F.col("x") + F.lit(c) * F.col("y")
     return _features(texts, model).withColumn("score", 1 / (1 + F.exp(-logit))).drop("x", "y")
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose text scores below ``threshold``, with all columns."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, c = held.value.weights
+        found = held.value.matcher()
+        for batch in batches:
+            xy = [features(t, found) for t in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array([1 / (1 + math.exp(-max(-700.0, a + b * x + c * y))) < threshold for x, y, _ in xy], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
