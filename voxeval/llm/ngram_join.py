@@ -243,8 +243,11 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SH
 
     entries = nodes.select("node", F.explode("keys").alias("key"))
     buckets = entries.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    stars = entries.join(buckets, "key").filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    met = components(stars)
+    stars = stage(entries.join(buckets, "key").filter("node <> lead").select("node", "lead").distinct())
+    # a node of many buckets hangs on the smallest lead only, and so do its other leads: about one edge a node is left
+    lowest = stars.groupBy("node").agg(F.min("lead").alias("b"))
+    leads = stars.join(lowest, "node").filter("lead <> b").select(F.col("lead").alias("a"), "b").distinct()
+    met = components(lowest.select(F.col("node").alias("a"), "b").unionByName(leads))
 
     sizes = met.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("long").alias("blocks"))
     wanted = nodes.join(met, "node").join(sizes, "comp").select("comp", "blocks", "node", "size", "keys", F.col("rep._file").alias("_f"), F.col("rep._row").alias("_r"))
