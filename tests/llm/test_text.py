@@ -168,9 +168,9 @@ def test_toxicity_of_held_out_rows(spark):
     docs, labels = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{path}/labels.parquet")
     model = toxicity.fit(docs, labels, residue(4) != 2)
     held = toxicity.score(docs.filter(residue(4) == 2), model).join(labels, "doc_id").select("score", "toxic", "hits").collect()
-    assert auc([r["score"] for r in held], [r["toxic"] for r in held]) >= 0.75  # a third of the toxic labels is noise
+    assert auc([r["score"] for r in held], [r["toxic"] for r in held]) >= 0.95
     hit = [r["toxic"] for r in held if r["score"] >= toxicity.THRESHOLD]
-    assert np.mean(hit) >= 0.95 and len(hit) >= 0.5 * sum(r["toxic"] for r in held)
+    assert np.mean(hit) >= 0.9 and len(hit) >= 0.85 * sum(r["toxic"] for r in held)
 
 
 def insults(n=40):

@@ -33,6 +33,16 @@ SHORT_PARTS = 256
 #: Words, and chunks between white space, whose ids a worker remembers before it starts anew, and their length at most.
 REMEMBERED, REMEMBERED_BYTES = 300_000, 64
 NONE = 1 << 60
+# Ranges in which newer Unicode versions have letters and numbers that the library's tables don't have.
+NEWER = """
+558 58b-58c 88f c5c cdc 1c89 208f 209d-209f a7cb-a7cc a7ce-a7cf a7d2 a7d4 a7da a7dc-a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10d50-10d65
+10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda
+18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5
+1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f
+"""
+UNKNOWN = re.compile("[" + "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in NEWER.split()) + "]")
+#: A sign, neither letter nor number, that stands for them when words are cut.
+STANDIN = "\uf8ff"
 #: Characters that ``str.split`` takes for white space and the patterns of vocabularies don't.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -138,7 +148,11 @@ class WordBpe:
 
     def chunk_ids(self, chunk: str) -> bytes:
         """Ids of a text without added tokens."""
-        return b"".join([self.word_ids(w) for w in self.pattern.findall(self.normalise(chunk))])
+        text = self.normalise(chunk)
+        if text.isascii() or not UNKNOWN.search(text):
+            return b"".join([self.word_ids(w) for w in self.pattern.findall(text)])
+        shape = UNKNOWN.sub(STANDIN, text)
+        return b"".join([self.word_ids(text[m.start() : m.end()]) for m in self.pattern.finditer(shape)])
 
     def encode(self, text: str) -> bytes:
         """Ids as consecutive 32-bit numbers."""
