@@ -128,17 +128,18 @@ def versions(docs: DataFrame) -> DataFrame:
     docs = files_only(docs, ["doc_id", "text"])
     body = full_text()
     slim = stage(located(docs).select("doc_id", "_file", "_row", F.char_length(body).cast("long").alias("n_chars")))
-    third = F.floor(F.col("n_chars") / 3).cast("int")
     wanted = slim.join(successors(slim), ["_file", "_row"])
+    third = F.floor(F.col("n_chars") / 3).cast("int")
     # each row is the successor of one other, which asks for the start of its text
-    asked = wanted.select(F.col("next_file").alias("_f"), F.col("next_row").alias("_r"), F.col("_file").alias("by_file"), F.col("_row").alias("by_row"), third.alias("need"))
-    texts = located(docs).select("_file", "_row", "doc_id", body.alias("body"))
+    asked = wanted.select(F.col("next_file").alias("_f"), F.col("next_row").alias("_r"), F.col("_file").alias("by_file"), F.col("_row").alias("by_row"),
+                          F.col("doc_id").alias("by_id"), third.alias("need"))
+    texts = located(docs).select("_file", "_row", body.alias("body"))  # the same columns in both joins: one exchange serves both
     held = texts.join(asked, (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_r")))
-    gifts = held.select("by_file", "by_row", F.expr("left(body, need)").alias("start"), digests(F.col("body")).alias("following"))
+    gifts = held.select("by_file", "by_row", "by_id", F.expr("left(body, need)").alias("start"), digests(F.col("body")).alias("following"))
     both = texts.join(gifts, (F.col("_file") == F.col("by_file")) & (F.col("_row") == F.col("by_row")))
     n = F.char_length("body")
     edited = F.concat(F.expr("left(body, char_length(body) - cast(floor(char_length(body) / 3) as int))"), "start")
-    both = both.select("doc_id", n.cast("long").alias("n_chars"), digests(F.col("body")).alias("own"), edited.alias("edited"), "following")
+    both = both.select(F.col("by_id").alias("doc_id"), n.cast("long").alias("n_chars"), digests(F.col("body")).alias("own"), edited.alias("edited"), "following")
     return both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", digests(F.col("edited")).alias("changed"), "following")
 
 
