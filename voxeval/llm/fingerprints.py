@@ -4,8 +4,8 @@ A document is the set of digests of its paragraphs (lines, and the sentences of
 each digest enters three of them, which hold a count, the exclusive or of digests and the exclusive or of their checks. Two
 versions subtract cell by cell: what they share cancels, and a cell with one digest left gives it away. Peeling takes such
 digests out of their other cells until the table is empty, which recovers exactly the paragraphs that differ. A table that
-does not empty is too small: larger ones are tried, dealt into shards of bounded size so that the work grows with
-the paragraphs. The likeness is the Jaccard similarity of the paragraph sets.
+does not empty is too small: digests are then dealt into shards, as many as the paragraphs need, and a shard whose table does
+not empty takes ever larger ones. The likeness is the Jaccard similarity of the paragraph sets.
 
 All of it is column expressions of one row; only the texts of a document and its successor are brought together.
 Defined cases: a null or blank text has no paragraphs; two such texts have likeness 1, one and another 0; a repeated paragraph
@@ -22,13 +22,12 @@ from voxeval.session import stage
 
 from .base import files_only, full_text, located
 
-#: Cells of a third of the fingerprint, and of a third of a shard of the larger tables.
-BASE_THIRD, SHARD_THIRD = 8, 16
-#: Digests of both versions together that a shard of the first larger table takes on average; then halved.
-LOAD = 24
-#: Larger tables that are tried; the last has one digest of both versions per shard on average.
-TRIES = 6
-ROUNDS = 14
+#: Cells of a third of the fingerprint, and of a third of the tables that a shard tries one after the other.
+BASE_THIRD, SHARD_THIRDS = 5, (5, 20, 96, 384, 1536)
+#: Digests of both versions together that a shard takes on average.
+LOAD = 7
+ROUNDS = 10
+#: Shards that are dealt out in one step; more than that are dealt in two.
 INNER = 64
 PARAGRAPHS = r"(?<=[.!?])\s+|[\r\n]+"
 
@@ -44,7 +43,8 @@ def _check(k: str) -> str:
 
 
 def _entry(k: str, count: str, third: int, salt: int) -> str:
-    at = [f"cast({t * third} + pmod(shiftright(xxhash64({k}, {salt}), {20 * t}), {third}) as int)" for t in range(3)]
+    """A digest with its check, its sign and its cell in each third of the table."""
+    at = [f"cast(pmod(shiftright(xxhash64({k}, {salt}), {20 * t}), {third}) as int)" for t in range(3)]
     return f"named_struct('k', {k}, 'h', {_check(k)}, 'c', {count}, 'p0', {at[0]}, 'p1', {at[1]}, 'p2', {at[2]})"
 
 
@@ -56,8 +56,8 @@ def cells_sql(keys: str, third: int, salt: int) -> str:
     """Cells (c, k, h) of an array of digests."""
     one = "named_struct('c', s.c + 1, 'k', s.k ^ e.k, 'h', s.h ^ e.h)"
     zero = "named_struct('c', 0, 'k', 0L, 'h', 0L)"
-    body = f"transform(sequence(0, {3 * third - 1}), i -> aggregate(filter(es, e -> e.p0 = i or e.p1 = i or e.p2 = i), {zero}, (s, e) -> {one}))"
-    return _let("es", f"transform({keys}, d -> {_entry('d', '1', third, salt)})", body)
+    parts = [f"transform(sequence(0, {third - 1}), i -> aggregate(filter(es, e -> e.p{t} = i), {zero}, (s, e) -> {one}))" for t in range(3)]
+    return _let("es", f"transform({keys}, d -> {_entry('d', '1', third, salt)})", f"concat({', '.join(parts)})")
 
 
 def subtract_sql(a: str, b: str) -> str:
@@ -68,32 +68,37 @@ def peel_sql(cells: str, third: int, salt: int) -> str:
     """The digests in which two versions differ, or null if the table does not empty."""
     pure = f"array_distinct(transform(filter(st.cells, x -> abs(x.c) = 1 and x.h = {_check('x.k')}), x -> {_entry('x.k', 'x.c', third, salt)}))"
     less = "named_struct('c', s.c - q.c, 'k', s.k ^ q.k, 'h', s.h ^ q.h)"
-    after = f"transform(st.cells, (x, i) -> aggregate(filter(ps, q -> q.p0 = i or q.p1 = i or q.p2 = i), x, (s, q) -> {less}))"
-    nxt = f"if(size(ps) = 0, st, named_struct('cells', {after}, 'got', concat(st.got, transform(ps, q -> q.k))))"
-    start = f"named_struct('cells', {cells}, 'got', cast(array() as array<bigint>))"
-    done = f"aggregate(sequence(1, {ROUNDS}), {start}, (st, n) -> {_let('ps', pure, nxt)})"
+    parts = [f"transform(slice(st.cells, {t * third + 1}, {third}), (x, i) -> aggregate(filter(ps, q -> q.p{t} = i), x, (s, q) -> {less}))" for t in range(3)]
+    after = f"concat({', '.join(parts)})"
+    stop = "named_struct('cells', st.cells, 'got', st.got, 'stop', true)"
+    nxt = f"if(size(ps) = 0, {stop}, named_struct('cells', {after}, 'got', concat(st.got, transform(ps, q -> q.k)), 'stop', false))"
+    start = f"named_struct('cells', {cells}, 'got', cast(array() as array<bigint>), 'stop', false)"
+    done = f"aggregate(sequence(1, {ROUNDS}), {start}, (st, n) -> if(st.stop, st, {_let('ps', pure, nxt)}))"
     return _let("fin", done, "if(exists(fin.cells, x -> x.c != 0 or x.k != 0 or x.h != 0), cast(null as array<bigint>), fin.got)")
 
 
-def larger_sql(a: str, b: str, n: int) -> str:
-    """Number of differing digests by the ``n``-th larger table, or null. Shards are picked in two steps, so that a long
-    document is not filtered once per shard."""
-    salt = 1000 * n
-    shards = f"cast(ceil((size({a}) + size({b})) * {2 ** (n - 1)} / {LOAD}) as int)"
+def larger_sql(a: str, b: str) -> str:
+    """Number of differing digests by tables that grow with the paragraphs, or null.
+
+    Digests are dealt into shards by their hash; a shard whose table does not empty takes the next larger one. Shards are
+    dealt in two steps, so that a long document is not filtered once per shard.
+    """
+    shards = f"cast(ceil((size({a}) + size({b})) / {LOAD}) as int)"
     inner = f"least({INNER}, greatest(1, {shards}))"
     outer = f"greatest(1, cast(ceil({shards} / {INNER}) as int))"
-    group, shard = f"pmod(xxhash64(d, {salt + 1}), go)", f"pmod(xxhash64(d, {salt + 2}), si)"
-    diff = subtract_sql(cells_sql(f"filter(ga, d -> {shard} = j)", SHARD_THIRD, salt), cells_sql(f"filter(gb, d -> {shard} = j)", SHARD_THIRD, salt))
-    parts = f"transform(sequence(0, si - 1), j -> size({peel_sql(diff, SHARD_THIRD, salt)}))"
+    group, shard = "pmod(xxhash64(d, 1), go)", "pmod(xxhash64(d, 2), si)"
+    tries = [f"array_size({peel_sql(subtract_sql(cells_sql('sa', t, 10 + n), cells_sql('sb', t, 10 + n)), t, 10 + n)})" for n, t in enumerate(SHARD_THIRDS)]
+    one = _let("sa", f"filter(ga, d -> {shard} = j)", _let("sb", f"filter(gb, d -> {shard} = j)", f"coalesce({', '.join(tries)})"))
+    parts = f"transform(sequence(0, si - 1), j -> {one})"
     groups = f"transform(sequence(0, go - 1), g -> {_let('ga', f'filter({a}, d -> {group} = g)', _let('gb', f'filter({b}, d -> {group} = g)', parts))})"
     every = _let("si", inner, _let("go", outer, f"flatten({groups})"))
-    return _let("ns", every, "if(exists(ns, x -> x is null or x < 0), cast(null as int), aggregate(ns, 0, (s, x) -> s + x))")
+    return _let("ns", every, "if(exists(ns, x -> x is null), cast(null as int), aggregate(ns, 0, (s, x) -> s + x))")
 
 
 def differing_sql(a: str, b: str, cells_a: str, cells_b: str) -> str:
-    """Number of digests that only one version has: by the fingerprints, then by larger tables while they fail."""
+    """Number of digests that only one version has: by the fingerprints, then by larger tables if they are too small."""
     first = _let("got", peel_sql(subtract_sql(cells_a, cells_b), BASE_THIRD, 0), "if(got is null, cast(null as int), size(got))")
-    return f"coalesce({', '.join([first, *(larger_sql(a, b, n) for n in range(1, TRIES + 1))])})"
+    return f"coalesce({first}, {larger_sql(a, b)})"
 
 
 def likeness_sql(a: str, b: str, differ: str) -> str:
