@@ -79,6 +79,44 @@ def test_failing_scorer_gives_prior(spark):
     assert ST.batch_score(df, loader, ["x"], prior=0.5).where("z = 0.5").count() == 10
 
 
+def test_only_rows_that_fail_alone_are_lost(spark):
+    df = spark.createDataFrame([(str(i), float(i)) for i in range(200)], "uid string, x double").coalesce(1)
+
+    def loader():
+        def model(pdf):
+            if (pdf["x"] == 70.0).any():
+                raise ValueError("bad row")
+            return pdf["x"] * 2
+
+        return model
+
+    got = {r.uid: r for r in ST.batch_score(df, loader, ["x"]).collect()}
+    assert [u for u, r in got.items() if not r.ok] == ["70"] and got["70"].z is None and "bad row" in got["70"].err
+    assert all(r.z == 2.0 * int(u) and r.err is None for u, r in got.items() if r.ok)
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    models = [({"cols": ["x"], "mu": [0.0], "sd": [1.0], "coef": [1.0], "b": 0.0}, 1.0)]
+    feed, out = str(tmp_path / "feed"), str(tmp_path / "out")
+    for a in (0, 100):
+        part = spark.range(a, a + 100).select(F.col("id").cast("string").alias("uid"), (F.col("id") / 100.0).alias("x"), F.lit(1).alias("ok"))
+        part.write.mode("append").parquet(feed)
+        stream = spark.readStream.schema(part.schema).parquet(feed)
+        ST.run_available(ST.score_stream(stream, models, eps=0.0, prior=0.5), out, str(tmp_path / "progress"))
+    whole = ST.score_rows(spark.read.parquet(feed), models, eps=0.0, prior=0.5)
+    got = spark.read.parquet(out)
+    assert got.count() == 200 and got.exceptAll(whole).count() == 0
+
+
+def test_volumes_outside_their_plane_fail(spark, tmp_path):
+    vox = spark.createDataFrame([("a", 0, 0, 0, 1.0), ("a", 0, 2, 1, 2.0)], "uid string, z int, y int, x int, v double")
+    IO.write_volumes(vox, str(tmp_path / "v"), (3, 2))
+    got = IO.read_volumes(spark, str(tmp_path / "v"), 2)
+    assert got.count() == 6 and got.where("v <> 0").count() == 2 and got.where("y = 2 and x = 1 and v = 2").count() == 1
+    with pytest.raises(Exception, match="outside"):
+        IO.write_volumes(vox, str(tmp_path / "w"), (2, 2))
+
+
 def test_scalar_edges(spark):
     df = spark.createDataFrame([(float("nan"),), (float("inf"),), (-1.0,), (2.5,), (None,)], "v double")
     got = [tuple(r) for r in df.select(S.clean_value("v"), S.sane_spacing("v"), S.family_key("v")).collect()]

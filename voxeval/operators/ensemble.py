@@ -79,6 +79,13 @@ def per_checkpoint_mean(rows: DataFrame, weights: DataFrame | None = None, keys:
     return weighted_mean(rows, weights, ["file"], keys, z)
 
 
+def checkpoint_means(rows: DataFrame, weights: DataFrame, keys: Sequence[str] = ("uid", "family"), z: str = "z") -> DataFrame:
+    """Plain and weighted mean of the checkpoints of each key in one aggregate (E5): ``plain`` and ``z``."""
+    j = lookup_join(rows, weights, "file")
+    w = F.col("weight")
+    return j.groupBy(*keys).agg(F.avg(z).alias("plain"), (F.sum(w * F.col(z)) / F.sum(w)).alias("_z")).withColumnRenamed("_z", z)
+
+
 def hierarchical_weights(files: DataFrame, split_weights: dict[str, float], split: str = "split", family: str = "family") -> DataFrame:
     """Weight of each file: its split's weight shared among the files of that split."""
     n = files.groupBy(family, split).agg(F.count(F.lit(1)).alias("_n"))

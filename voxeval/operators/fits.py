@@ -11,12 +11,14 @@ from voxeval.functions.scalars import ZOOM_DEFAULT, clip, linear_score, row_logl
 from voxeval.operators.metrics import scoreboard
 from voxeval.plans.bounded import with_grid
 from voxeval.plans.newton import Fit, Fitted, fit_many, ridge
+from voxeval.session import stage
 
 # Fixed values of the stack selection.
 STACK_C = (0.03, 0.1, 0.3, 1.0)
 STACK_FLOORS = (0.002, 0.005, 0.01, 0.015, 0.02, 0.03)
 STACK_GAIN = 1e-5
 FEATURE_C = 0.05
+CLIP = 6.0
 
 
 def _long_sums(df: DataFrame, cols: Sequence[str], fold: str, sums: dict[str, Column]) -> DataFrame:
@@ -39,10 +41,11 @@ def quadratic_trend(df: DataFrame, cols: Sequence[str], zoom: str = "zoom", y: s
 
     Nine sums per (fold, feature) suffice; the 3x3 system is solved in closed form.
     """
+    mid = float(df.agg(F.avg(F.col(zoom).cast("double"))).first()[0] or 0.0)  # powers of centred values keep their digits
     z, normal = F.col("z1"), F.when(F.col(y) == 0, 1.0).otherwise(0.0)
     sums = {f"s{i}": F.col("m") * F.pow(z, F.lit(float(i))) for i in range(5)}
     sums |= {f"t{i}": F.col("m") * F.pow(z, F.lit(float(i))) * F.col("x") for i in range(3)}
-    src = df.select(fold, F.col(zoom).cast("double").alias("z1"), normal.alias("m"), *cols)
+    src = df.select(fold, (F.col(zoom).cast("double") - F.lit(mid)).alias("z1"), normal.alias("m"), *cols)
     tr = _without_fold(_long_sums(src, cols, fold, sums), list(sums), fold)
     s, t = [F.col(f"s{i}") for i in range(5)], [F.col(f"t{i}") for i in range(3)]
     a = [[s[0], s[1], s[2]], [s[1], s[2], s[3]], [s[2], s[3], s[4]]]
@@ -56,16 +59,23 @@ def quadratic_trend(df: DataFrame, cols: Sequence[str], zoom: str = "zoom", y: s
         return [[t[r] if c == j else a[r][c] for c in range(3)] for r in range(3)]
 
     d = det(a)
-    return tr.select(fold, "feature", *[(det(replaced(j)) / d).alias(f"a{j}") for j in range(3)])
+    b = tr.select(fold, "feature", *[(det(replaced(j)) / d).alias(f"b{j}") for j in range(3)])
+    b0, b1, b2 = F.col("b0"), F.col("b1"), F.col("b2")
+    return b.select(fold, "feature", (b0 - b1 * mid + b2 * (mid * mid)).alias("a0"), (b1 - b2 * (2.0 * mid)).alias("a1"), b2.alias("a2"))
 
 
 def fold_scaler(df: DataFrame, cols: Sequence[str], fold: str = "fold") -> DataFrame:
     """Mean and population deviation (+1e-6) of each feature outside each fold (L2)."""
-    sums = {"n": F.lit(1.0), "s": F.col("x"), "q": F.col("x") * F.col("x")}
-    tr = _without_fold(_long_sums(df.select(fold, *cols), cols, fold, sums), list(sums), fold)
-    mu = F.col("s") / F.col("n")
-    var = F.greatest(F.col("q") / F.col("n") - mu * mu, F.lit(0.0))
-    return tr.select(fold, "feature", mu.alias("mu"), (F.sqrt(var) + 1e-6).alias("sd"))
+    feats = F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v")) for c in cols])
+    long = df.select(fold, F.explode(feats).alias("_f")).select(fold, F.col("_f.k").alias("feature"), F.col("_f.v").alias("x"))
+    # count, mean and squared deviations per fold are merged, which keeps the digits of columns with a large offset
+    part = stage(long.groupBy(fold, "feature").agg(F.count("x").cast("double").alias("n"), F.avg("x").alias("m"), (F.var_pop("x") * F.count("x")).alias("q")))
+    others = part.select(F.col(fold).alias("_o"), "feature", "n", "m", "q")
+    pairs = part.select(fold, "feature").join(others, "feature").where(F.col("_o") != F.col(fold))
+    tr = pairs.groupBy(fold, "feature").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mu"))
+    dev = pairs.join(tr, [fold, "feature"]).groupBy(fold, "feature", "mu")
+    var = F.sum(F.col("q") + F.col("n") * (F.col("m") - F.col("mu")) * (F.col("m") - F.col("mu"))) / F.sum("n")
+    return dev.agg((F.sqrt(var) + 1e-6).alias("sd"))
 
 
 def pivot_params(table: DataFrame, cols: Sequence[str], fold: str = "fold") -> dict[int, dict[str, tuple]]:
@@ -172,8 +182,6 @@ def cv_predict_with(df: DataFrame, fit, score, folds: Sequence[int], fold: str =
     return out
 
 
-
-
 def fit_gbt(df: DataFrame, cols: Sequence[str], y: str = "y", trees: int = 350, seed: int = 0, **over):
     """Boosted trees of at most 8 leaves (L6). The logit is twice the raw margin, see ``gbt_logit``."""
     from pyspark.ml import Pipeline
@@ -202,7 +210,7 @@ def probability_logit(model, df: DataFrame, name: str = "z", eps: float = 1e-6)
 
 
 def alternative(kind: str, cols: Sequence[str], y: str = "y", seed: int = 0, **over):
-    """Linear SVM, multilayer perceptron or a forest on standardised, clipped features."""
+    """Linear SVM, multilayer perceptron or a forest on the columns of ``standardized`` (L7); see ``fit_alternative``."""
     from pyspark.ml import Pipeline
     from pyspark.ml import classification as C
     from pyspark.ml.feature import VectorAssembler
@@ -215,7 +223,24 @@ def alternative(kind: str, cols: Sequence[str], y: str = "y", seed: int = 0, **o
         "forest": lambda: C.RandomForestClassifier(
             **base | dict(numTrees=100, minInstancesPerNode=5, featureSubsetStrategy="0.3", seed=seed) | over),
     }
-    return Pipeline(stages=[VectorAssembler(inputCols=list(cols), outputCol="_v"), makers[kind]()])
+    return Pipeline(stages=[VectorAssembler(inputCols=[f"_s_{c}" for c in cols], outputCol="_v"), makers[kind]()])
+
+
+def standardized(df: DataFrame, cols: Sequence[str], bound: float = CLIP):
+    """A stage that adds each column standardised (population deviation of ``df`` + 1e-6) and clipped as ``_s_<column>``."""
+    from pyspark.ml.feature import SQLTransformer
+
+    got = df.agg(*[f(F.col(c).cast("double")).alias(f"{k}{i}") for i, c in enumerate(cols) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    outs = [f"least(greatest((cast(`{c}` AS double) - {got[f'm{i}']!r}D) / {got[f's{i}'] + 1e-6!r}D, {-bound!r}D), {bound!r}D) AS `_s_{c}`" for i, c in enumerate(cols)]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(outs)} FROM __THIS__")
+
+
+def fit_alternative(kind: str, df: DataFrame, cols: Sequence[str], y: str = "y", seed: int = 0, **over):
+    """``alternative`` fitted on standardised, clipped columns of ``df``."""
+    from pyspark.ml import PipelineModel
+
+    first = standardized(df, cols)
+    return PipelineModel([first, alternative(kind, cols, y, seed, **over).fit(first.transform(df))])
 
 
 def score_alternative(kind: str, model, df: DataFrame, name: str = "z") -> DataFrame:
@@ -239,7 +264,9 @@ def pca_logistic(train: DataFrame, rows: DataFrame, vec: str, k: int = 32, c: fl
     pipe = Pipeline(stages=[
         StandardScaler(inputCol=vec, outputCol="_s", withMean=True, withStd=True),
         PCA(k=k, inputCol="_s", outputCol="_pc"),
-        LogisticRegression(featuresCol="_pc", labelCol=y, regParam=1.0 / (c * n), standardization=False, maxIter=200),
+        # the scaler divides by the sample deviation; for the population one the inputs are larger by sqrt(n / (n - 1)), which
+        # is the same fit under a penalty smaller by that ratio
+        LogisticRegression(featuresCol="_pc", labelCol=y, regParam=(n - 1) / (c * n * n), standardization=False, maxIter=200),
     ])
     model = pipe.fit(train)
     return model.transform(rows).withColumn(name, vector_to_array("rawPrediction")[1]).select(*rows.columns, name)

@@ -101,8 +101,15 @@ def align(voxels: DataFrame, template: DataFrame, grid: Grid, coarse: Sequence[d
 
 
 def apply_moves(voxels: DataFrame, moves: DataFrame, grid: Grid) -> DataFrame:
-    """Voxels at their aligned position; emptied places are absent, i.e. zero."""
-    return _moved(voxels.join(moves.select("uid", *MOVE), "uid"), grid, ["uid"])
+    """Voxels at their aligned position; the places that the move leaves empty are zeros, as ``align`` scores them."""
+    moves = moves.select("uid", *MOVE)
+    d, h, w = grid
+    at = F.explode(F.sequence(F.lit(0), F.lit(d * h * w - 1)))
+    cells = moves.select("uid", *MOVE, at.alias("_p")).select("uid", *MOVE, *[e.alias(c) for c, e in zip(AXES, (
+        F.floor(F.col("_p") / (h * w)).cast("int"), F.floor(F.col("_p") / w).cast("int") % h, F.col("_p") % w))])
+    kept = [(F.col(c) - F.col(f"d{c}")).between(0, n - 1) for c, n in zip(AXES, grid)]
+    emptied = cells.where(~(kept[0] & kept[1] & kept[2])).select("uid", *AXES, F.lit(0.0).alias("v"))
+    return _moved(voxels.join(moves, "uid"), grid, ["uid"]).unionByName(emptied)
 
 
 def build_template(voxels: DataFrame, grid: Grid, candidates: Sequence[dict], n_iter: int = 3) -> DataFrame:

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,46 +127,43 @@ def fit_many(df: DataFrame, xcols: Sequence[str], fits: Sequence[Fit], *, y: str
         (F.col(part).cast("int") if part else F.lit(0)).alias("_part"),
         (F.coalesce(F.col(zoom).cast("double"), F.lit(ZOOM_DEFAULT)) if zoom else F.lit(0.0)).alias("_zoom"),
         *[F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(xcols)],
-    )).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        center = {i: np.array(f.center or [0.0] * (d + 1)) for i, f in enumerate(fits)}
-        beta = {i: _project(f, center[i].copy()) for i, f in enumerate(fits)}
-        last: dict[int, tuple] = {}
-        done: dict[int, Fitted] = {}
-        open_ids = set(range(len(fits)))
-        for it in range(1, max_iter + 1):
-            got = _pass(data, d, [(i, fits[i], beta[i]) for i in sorted(open_ids)])
-            for i in sorted(open_ids):
-                fit, row = fits[i], got.get(i)
-                if row is None:
-                    raise ValueError(f"fit {fit.name} has no rows")
-                lam = np.array(fit.penalty or [0.0] * (d + 1)) * (row["w"] if fit.per_row else 1.0)
-                off = beta[i] - center[i]
-                obj = row["l"] + 0.5 * float(lam @ off**2)
-                if i in last and obj > last[i][1] + 1e-9 * abs(last[i][1]):
-                    old, _, step = last[i]  # overshoot: half the step from the last good point
-                    last[i] = (old, last[i][1], step / 2)
-                    beta[i] = _project(fit, old + step / 2)
-                    continue
-                g = np.array([row[f"g{j}"] for j in range(d + 1)]) + lam * off
-                h = np.diag(lam).astype(float)
-                for j in range(d + 1):
-                    for k in range(j, d + 1):
-                        h[j, k] += row[f"h{j}_{k}"]
-                        if j != k:
-                            h[k, j] += row[f"h{j}_{k}"]
-                step, gmax = _step(fit, beta[i], g, h)
-                new = _project(fit, beta[i] + step)
-                if np.abs(new - beta[i]).max() < tol * (1.0 + np.abs(beta[i]).max()):
-                    done[i] = Fitted(fit.name, new[:-1].tolist(), float(new[-1]), row["n"], row["l"], gmax, it)
-                    continue
-                last[i] = (beta[i], obj, step)
-                beta[i] = new
-            open_ids -= set(done)
-            if not open_ids:
-                break
-    finally:
-        data.unpersist()
+    ))
+    center = {i: np.array(f.center or [0.0] * (d + 1)) for i, f in enumerate(fits)}
+    beta = {i: _project(f, center[i].copy()) for i, f in enumerate(fits)}
+    last: dict[int, tuple] = {}
+    done: dict[int, Fitted] = {}
+    open_ids = set(range(len(fits)))
+    for it in range(1, max_iter + 1):
+        got = _pass(data, d, [(i, fits[i], beta[i]) for i in sorted(open_ids)])
+        for i in sorted(open_ids):
+            fit, row = fits[i], got.get(i)
+            if row is None:
+                raise ValueError(f"fit {fit.name} has no rows")
+            lam = np.array(fit.penalty or [0.0] * (d + 1)) * (row["w"] if fit.per_row else 1.0)
+            off = beta[i] - center[i]
+            obj = row["l"] + 0.5 * float(lam @ off**2)
+            if i in last and obj > last[i][1] + 1e-9 * abs(last[i][1]):
+                old, _, step = last[i]  # overshoot: half the step from the last good point
+                last[i] = (old, last[i][1], step / 2)
+                beta[i] = _project(fit, old + step / 2)
+                continue
+            g = np.array([row[f"g{j}"] for j in range(d + 1)]) + lam * off
+            h = np.diag(lam).astype(float)
+            for j in range(d + 1):
+                for k in range(j, d + 1):
+                    h[j, k] += row[f"h{j}_{k}"]
+                    if j != k:
+                        h[k, j] += row[f"h{j}_{k}"]
+            step, gmax = _step(fit, beta[i], g, h)
+            new = _project(fit, beta[i] + step)
+            if np.abs(new - beta[i]).max() < tol * (1.0 + np.abs(beta[i]).max()):
+                done[i] = Fitted(fit.name, new[:-1].tolist(), float(new[-1]), row["n"], row["l"], gmax, it)
+                continue
+            last[i] = (beta[i], obj, step)
+            beta[i] = new
+        open_ids -= set(done)
+        if not open_ids:
+            break
     if open_ids:
         raise RuntimeError(f"no convergence of {[fits[i].name for i in sorted(open_ids)]}")
     return [done[i] for i in range(len(fits))]

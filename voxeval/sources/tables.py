@@ -82,12 +82,18 @@ def missing_keys(want: DataFrame, have: DataFrame, key: str = "uid") -> DataFram
     return want.select(key).join(have.select(key), key, "left_anti")
 
 
-def write_volumes(voxels: DataFrame, path: str) -> None:
-    """Dense long voxels to one row per (uid, z) with the plane in row-major order."""
-    planes = voxels.groupBy("uid", "z").agg(
-        F.array_sort(F.collect_list(F.struct("y", "x", F.col("v").cast("float").alias("v")))).alias("p")
-    )
-    planes.select("uid", "z", F.transform("p", lambda s: s["v"]).alias("plane")).write.mode("overwrite").parquet(path)
+def write_volumes(voxels: DataFrame, path: str, shape: tuple[int, int]) -> None:
+    """Long voxels to one row per (uid, z) with the whole plane of ``shape`` (height, width) in row-major order.
+
+    Places without a voxel are 0; a place that repeats or lies outside the plane fails.
+    """
+    h, w = shape
+    at = F.col("y") * w + F.col("x")
+    inside = F.col("y").between(0, h - 1) & F.col("x").between(0, w - 1)
+    at = F.when(inside, at).otherwise(F.raise_error(F.lit(f"a voxel outside the {h} x {w} plane")).cast("int"))
+    planes = voxels.groupBy("uid", "z").agg(F.map_from_entries(F.collect_list(F.struct(at.cast("int").alias("k"), F.col("v").cast("float").alias("v")))).alias("p"))
+    plane = F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), lambda i: F.coalesce(F.try_element_at("p", i), F.lit(0.0).cast("float")))
+    planes.select("uid", "z", plane.alias("plane")).write.mode("overwrite").parquet(path)
 
 
 def planes_to_voxels(planes: DataFrame, width: int, plane: str = "plane") -> DataFrame:

@@ -31,35 +31,58 @@ def score_stream(stream: DataFrame, models: Sequence[tuple[dict, float]], **kw)
     return score_rows(stream, models, **kw)
 
 
-def run_available(stream: DataFrame, name: str = "scores") -> str:
-    """Process what is there now into a parquet folder below the shared root; returns its path."""
-    out = fresh_path(stream.sparkSession, name)
+def run_available(stream: DataFrame, out: str | None = None, progress: str | None = None) -> str:
+    """Process what is there now into the parquet folder ``out``; returns its path.
+
+    A later call with the same ``out`` and ``progress`` goes on where the last one ended. Without them a new folder below the
+    shared root is used, for a single run.
+    """
+    out = out or fresh_path(stream.sparkSession, "scores")
     query = (
         stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
-        .option("checkpointLocation", f"{out}-progress").start(out)
+        .option("checkpointLocation", progress or f"{out.rstrip('/')}-progress").start(out)
     )
     query.awaitTermination()
     return out
 
 
 def batch_score(df: DataFrame, loader: Callable[[], Callable[[pd.DataFrame], Sequence[float]]], cols: Sequence[str], keys: Sequence[str] = ("uid",),
-                name: str = "z", prior: float | None = None) -> DataFrame:
-    """Score Arrow batches with an external model that is loaded once per task.
+                name: str = "z", prior: float | None = None, batch: int = 64) -> DataFrame:
+    """Score batches of at most ``batch`` rows with an external model that is loaded once per task.
 
-    A batch that fails scores null, or the prior if one is given.
+    Adds ``name``, ``ok`` and ``err``. The rows of a batch that fails are scored one by one, so only rows that fail alone
+    have a null score (or the prior, if one is given), with the error's text. A model that can't be loaded fails every row.
     """
     names = [*keys, *cols]
-    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(name, T.DoubleType())])
+    extra = [T.StructField(name, T.DoubleType()), T.StructField("ok", T.BooleanType()), T.StructField("err", T.StringType())]
+    schema = T.StructType([df.schema[k] for k in keys] + extra)
+
+    def score(model, rows: pd.DataFrame) -> list[tuple]:
+        try:
+            got = [float(v) for v in model(rows[list(cols)])]
+            if len(got) != len(rows):
+                raise ValueError(f"{len(got)} scores for {len(rows)} rows")
+            return [(v, True, None) for v in got]
+        except Exception as e:  # the model is the caller's
+            if len(rows) > 1:
+                return [r for i in range(len(rows)) for r in score(model, rows.iloc[i : i + 1])]
+            return [(None, False, f"{type(e).__name__}: {e}")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = None
+        model, broken = None, None
         for pdf in batches:
+            if model is None and broken is None:
+                try:
+                    model = loader()
+                except Exception as e:  # so is the loader
+                    broken = f"{type(e).__name__}: {e}"
             out = pdf[list(keys)].copy()
-            try:
-                model = model or loader()
-                out[name] = pd.Series(list(model(pdf[list(cols)])), index=pdf.index, dtype="float64")
-            except Exception:
-                out[name] = pd.Series([None] * len(pdf), index=pdf.index, dtype="float64")
+            if broken is not None:
+                got = [(None, False, broken)] * len(pdf)
+            else:
+                got = [r for i in range(0, len(pdf), batch) for r in score(model, pdf.iloc[i : i + batch])]
+            for j, f in enumerate(extra):
+                out[f.name] = pd.Series([r[j] for r in got], index=pdf.index, dtype=("float64", "object", "object")[j])
             yield out
 
     scored = df.select(*names).mapInPandas(run, schema)

@@ -65,8 +65,7 @@ _FILEW = "SELECT DISTINCT file, 1e0 + seed AS weight FROM raw_oof WHERE run = 'a
 def e5(spark, sf):
     rows = fx.raw_oof(spark, sf, ("a",))
     w = stage(rows.select("file", (F.lit(1.0) + F.col("seed")).alias("weight")).distinct())
-    plain = E.per_checkpoint_mean(rows).withColumnRenamed("z", "plain")
-    return E.per_checkpoint_mean(rows, w).join(plain, ["uid", "family"])
+    return E.checkpoint_means(rows.select("uid", "family", "file", "z"), w)
 
 
 def _files(spark, sf, runs=("a", "b", "c")):

@@ -110,7 +110,7 @@ def l6(spark, sf):
 def l7(spark, sf):
     w, out = _halves(spark, sf), None
     for kind, over in (("svm", {}), ("mlp", {"maxIter": 30}), ("forest", {"numTrees": 20})):
-        scored = L.cv_predict_with(w, lambda t: L.alternative(kind, COLS, **over).fit(t), lambda m, r: L.score_alternative(kind, m, r), range(2), "half")
+        scored = L.cv_predict_with(w, lambda t: L.fit_alternative(kind, t, COLS, **over), lambda m, r: L.score_alternative(kind, m, r), range(2), "half")
         part = scored.select(F.lit(kind).alias("kind"), "y", "z")
         out = part if out is None else out.unionByName(part)
     return scoreboard(out, ["kind"])

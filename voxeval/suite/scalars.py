@@ -43,7 +43,16 @@ def s3(spark, sf):
 def s4(spark, sf):
     """Volumes stored as planes and read back as long voxels."""
     path = fresh_path(spark, "volumes")
-    IO.write_volumes(fx.stack16(spark, sf).withColumn("uid", F.col("uid").cast("string")), path)
+    IO.write_volumes(fx.stack16(spark, sf).withColumn("uid", F.col("uid").cast("string")), path, (8, 8))
+    return IO.read_volumes(spark, path, 8)
+
+
+@query("s4_sparse_round_trip", "uid:s z:i y:i x:i v:d6", """SELECT uid, z, y, x, CASE WHEN v > 15e-1 THEN (v::FLOAT)::DOUBLE ELSE 0e0 END AS v FROM stack16 s
+    WHERE EXISTS (SELECT 1 FROM stack16 o WHERE o.uid = s.uid AND o.z = s.z AND o.v > 15e-1)""", ["stack16"])
+def s4s(spark, sf):
+    """Bright voxels only: every plane that has one comes back whole."""
+    path = fresh_path(spark, "volumes")
+    IO.write_volumes(fx.stack16(spark, sf).where("v > 1.5").withColumn("uid", F.col("uid").cast("string")), path, (8, 8))
     return IO.read_volumes(spark, path, 8)
 
 

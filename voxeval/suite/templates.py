@@ -73,6 +73,14 @@ def r21(spark, sf):
     return T.align(fx.voxels(spark, sf), template4(spark, sf), fx.GRID4, T.shift_grid(STEPS))
 
 
+@query("r21_aligned_ncc", "uid:i ncc:d6", f"SELECT uid, ncc FROM ({moves_sql('voxels', 'tpl', '(0), (1)')})", ["voxels"], _TPL)
+def r21n(spark, sf):
+    """The moved volume correlates with the template as its alignment says."""
+    vox, tpl = fx.voxels(spark, sf).drop("label"), template4(spark, sf)
+    moved = T.apply_moves(vox, stage(T.align(vox, tpl, fx.GRID4, T.shift_grid(STEPS))), fx.GRID4)
+    return T.ncc(moved, tpl).withColumn("ncc", F.round("ncc", T.TIE_DIGITS))
+
+
 @query("r21_align_two_levels", "uid:i flip:i dz:i dy:i dx:i ncc:d6", "SELECT * FROM fine_", ["voxels"], [
     *_TPL, ("v1", _smooth("voxels", 1.0, ("uid",), "v")), ("v2", _smooth("voxels", 0.5, ("uid",), "v")), ("t1", _smooth("tpl", 1.0, (), "t")), ("t2", _smooth("tpl", 0.5, (), "t")),
     ("coarse_", moves_sql("v1", "t1", "(0)", "(-2), (0), (2)")), ("fine_", moves_sql("v2", "t2", "", start="coarse_"))])
@@ -82,15 +90,21 @@ def r21f(spark, sf):
     return T.align(fx.voxels(spark, sf).drop("label"), template4(spark, sf), fx.GRID4, coarse, STEPS, (1.0, 0.5))
 
 
-@query("r22_build_template", "z:i y:i x:i t:d6", sym_sql("m1"), ["voxels"], [
-    *_TPL, ("mv", moves_sql("n", "tpl", "(0)")),
-    ("m1", """SELECT g.z, g.y, g.x, coalesce(s, 0e0) / (SELECT count(DISTINCT uid) FROM n) AS t FROM tpl g LEFT JOIN (
-        SELECT n.z + dz AS z, n.y + dy AS y, n.x + dx AS x, sum(v) AS s FROM n JOIN mv ON mv.uid = n.uid GROUP BY 1, 2, 3) a
-        ON a.z = g.z AND a.y = g.y AND a.x = g.x"""),
-])
+def _rounds(n: int) -> list[tuple[str, str]]:
+    """Unrolled rounds of align, mean, symmetrise from ``tpl`` to ``tpl<n>``."""
+    out, now = [], "tpl"
+    for i in range(1, n + 1):
+        out += [(f"mv{i}", moves_sql("n", now, "(0)")), (f"m{i}", f"""SELECT g.z, g.y, g.x, coalesce(s, 0e0) / (SELECT count(DISTINCT uid) FROM n) AS t FROM {now} g LEFT JOIN (
+            SELECT n.z + dz AS z, n.y + dy AS y, n.x + dx AS x, sum(v) AS s FROM n JOIN mv{i} m ON m.uid = n.uid GROUP BY 1, 2, 3) a
+            ON a.z = g.z AND a.y = g.y AND a.x = g.x"""), (f"tpl{i}", sym_sql(f"m{i}"))]
+        now = f"tpl{i}"
+    return out
+
+
+@query("r22_build_template", "z:i y:i x:i t:d6", "SELECT * FROM tpl3", ["voxels"], [*_TPL, *_rounds(3)])
 def r22(spark, sf):
-    """One round of align, mean, symmetrise."""
-    return T.build_template(normals(spark, sf), fx.GRID4, T.shift_grid(STEPS, (0,)), 1)
+    """Three rounds of align, mean, symmetrise."""
+    return T.build_template(normals(spark, sf), fx.GRID4, T.shift_grid(STEPS, (0,)))
 
 
 _T16 = "SELECT z, y, x, avg(v) AS t FROM stack16 GROUP BY z, y, x"
