@@ -98,24 +98,25 @@ def _poisson_cdf(limit: int = 12) -> list[float]:
 MERSENNE31 = 2147483647
 
 
-def replicate_keys(b: int, seed: int = 0) -> list[tuple[int, int]]:
-    """Multiplier and offset of every replicate, from a fixed integer recurrence."""
+def replicate_keys(b: int, seed: int = 0) -> list[tuple[int, int, int]]:
+    """Two multipliers and an offset of every replicate, from a fixed integer recurrence."""
     keys, s = [], (seed * 7919 + 12345) % MERSENNE31 or 1
     for _ in range(b):
-        s = s * 48271 % MERSENNE31
-        a = s
-        s = s * 48271 % MERSENNE31
-        keys.append((a, s))
+        key = []
+        for _ in range(3):
+            s = s * 48271 % MERSENNE31
+            key.append(s)
+        keys.append(tuple(key))
     return keys
 
 
-def bootstrap_weight(h: Column, a: Column, b: Column) -> Column:
-    """Poisson(1) count of one row in one replicate, by inverse CDF of (a h + b) mod 2^31-1.
+def bootstrap_weight(h: Column, g: Column, a: Column, b: Column, c: Column) -> Column:
+    """Poisson(1) count of one row in one replicate, by inverse CDF of (a h + b g + c) mod 2^31-1; counts end at 12.
 
-    Rows are pairwise independent within a replicate, which fixes mean and variance of the
-    replicate sums; one hash per row serves all replicates.
+    ``h`` and ``g`` are independent 31-bit hashes of the row, so that rows stay apart far beyond 2^31 of them. They are
+    pairwise independent within a replicate, which fixes mean and variance of the replicate sums.
     """
-    u = ((h * a + b) % F.lit(MERSENNE31)).cast("double") / F.lit(float(MERSENNE31))
+    u = ((h * a + g * b + c) % F.lit(MERSENNE31)).cast("double") / F.lit(float(MERSENNE31))
     steps = _poisson_cdf()
     w = F.when(u < F.lit(steps[0]), F.lit(0.0))
     for k, c in enumerate(steps[1:], 1):
@@ -126,9 +127,10 @@ def bootstrap_weight(h: Column, a: Column, b: Column) -> Column:
 def bootstrap_sums(delta: DataFrame, b: int, seed: int = 0, uid: str = "uid", d: str = "d") -> DataFrame:
     """Mean difference of every replicate, in one pass with partial sums per task (M6)."""
     keys = replicate_keys(b, seed)
-    grid = [{"rep": i, "_a": a, "_c": c} for i, (a, c) in enumerate(keys)]
-    rows = delta.select(F.pmod(hash_int(F.col(uid), seed), F.lit(MERSENNE31)).alias("_h"), F.col(d).alias("_d"))
-    w = bootstrap_weight(F.col("_h"), F.col("_a").cast("long"), F.col("_c").cast("long"))
+    grid = [{"rep": i, "_a": a, "_b": b2, "_c": c} for i, (a, b2, c) in enumerate(keys)]
+    hashes = [F.pmod(hash_int(F.col(uid), s), F.lit(MERSENNE31)).alias(n) for n, s in (("_h", str(seed)), ("_i", f"{seed}b"))]
+    rows = delta.select(*hashes, F.col(d).alias("_d"))
+    w = bootstrap_weight(F.col("_h"), F.col("_i"), *[F.col(k).cast("long") for k in ("_a", "_b", "_c")])
     sums = with_grid(rows, grid).withColumn("_w", w).groupBy("rep")
     return sums.agg((F.sum(F.col("_w") * F.col("_d")) / F.sum("_w")).alias("mean_d"))
 

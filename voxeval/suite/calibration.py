@@ -118,18 +118,29 @@ def c7(spark, sf):
     return C.prior_shrink(stage(rows), 5, V0, V1)
 
 
-KS, REPS, T8, F8 = (0, 5, 20), 3, (1.0, 1.2, 1.5), (0.0, 0.01)
+KS, REPS, T8, F8 = (0, 5, 10, 15, 20, 30), 40, (1.0, 1.1, 1.2, 1.3, 1.5), (0.0, 0.005, 0.01, 0.02, 0.03)
+
+
+def _vals(values) -> str:
+    return "(VALUES " + ", ".join(f"({v!r}::DOUBLE)" if isinstance(v, float) else f"({v})" for v in values) + ")"
+
+
+_OTHER = "(1e0 - y)"
+# a flip changes one term of a sum and one contribution to the ranks, so each repeat is the whole table plus its flips
 _FLIP = [
-    ("w", "SELECT uid, y, cnn AS z FROM wide_oof"),
-    ("hit", f"""SELECT scenario, rep, uid, row_number() OVER (PARTITION BY scenario, rep ORDER BY md5(concat_ws('-', uid, scenario, rep::VARCHAR)), uid) AS r FROM w,
-        (VALUES ('uniform'), ('uncertain')) s(scenario), (VALUES {", ".join(f"({i})" for i in range(REPS))}) q(rep) WHERE scenario = 'uniform' OR ({sig("z")} > 5e-2 AND {sig("z")} < 95e-2)"""),
-    ("f", f"""SELECT s.scenario, k, q.rep, w.uid, z, CASE WHEN h.uid IS NULL THEN y ELSE 1 - y END AS y FROM w CROSS JOIN (VALUES ('uniform'), ('uncertain')) s(scenario)
-        CROSS JOIN (VALUES {", ".join(f"({k})" for k in KS)}) kk(k) CROSS JOIN (VALUES {", ".join(f"({i})" for i in range(REPS))}) q(rep)
-        LEFT JOIN hit h ON h.scenario = s.scenario AND h.rep = q.rep AND h.uid = w.uid AND h.r <= kk.k"""),
-    ("a", auc_sql("f", ["scenario", "k", "rep"])),
-    ("l", f"SELECT scenario, k, avg({loss('y', sig('z'))}) AS logloss FROM f GROUP BY scenario, k"),
-    ("g", f"""SELECT scenario, k, t, e, avg({_tf('z', 't', 'e')}) AS loss FROM f, (VALUES {", ".join(f"({t!r}::DOUBLE)" for t in T8)}) a_(t), (VALUES {", ".join(f"({e!r}::DOUBLE)" for e in F8)}) b_(e)
-        GROUP BY scenario, k, t, e"""),
+    ("w", "SELECT uid, y::DOUBLE AS y, cnn AS z FROM wide_oof"),
+    ("hit", f"""SELECT scenario, rep, uid, y, z, row_number() OVER (PARTITION BY scenario, rep ORDER BY md5(concat_ws('-', uid, scenario, rep::VARCHAR)), uid) AS r FROM w,
+        (VALUES ('uniform'), ('uncertain')) s(scenario), {_vals(range(REPS))} q(rep) WHERE scenario = 'uniform' OR ({sig("z")} > 5e-2 AND {sig("z")} < 95e-2)"""),
+    ("rk", "SELECT uid, y, rank() OVER (ORDER BY z) + (count(*) OVER (PARTITION BY z) - 1) / 2e0 AS rank FROM w"),
+    ("b", f"SELECT count(*)::DOUBLE AS n, sum(w.y) AS p, avg({loss('w.y', sig('z'))}) AS plain, sum(w.y * rank) AS rs FROM w JOIN rk USING (uid)"),
+    ("f", f"SELECT scenario, k, rep, uid, y, z FROM hit, {_vals(KS)} kk(k) WHERE r <= k"),
+    ("one", f"""SELECT scenario, k, rep, sum(1e0 - 2e0 * f.y) AS dp, sum((1e0 - 2e0 * f.y) * rank) AS dr, sum({loss('(1e0 - f.y)', sig('z'))} - {loss('f.y', sig('z'))}) AS dl
+        FROM f JOIN rk USING (uid) GROUP BY scenario, k, rep UNION ALL SELECT scenario, 0, 0, 0e0, 0e0, 0e0 FROM (VALUES ('uniform'), ('uncertain')) s(scenario)"""),
+    ("l", """SELECT scenario, k, avg(plain + dl / n) AS logloss, avg((rs + dr - (p + dp) * (p + dp + 1e0) / 2e0) / ((p + dp) * (n - p - dp))) AS auc FROM one, b GROUP BY scenario, k"""),
+    ("g0", f"SELECT t, e, avg({_tf('z', 't', 'e')}) AS loss FROM w, {_vals(T8)} a_(t), {_vals(F8)} b_(e) GROUP BY t, e"),
+    ("gd", f"""SELECT scenario, k, t, e, sum({_tf('z', 't', 'e').replace('(y)', _OTHER)} - {_tf('z', 't', 'e')}) AS d FROM f, {_vals(T8)} a_(t), {_vals(F8)} b_(e) GROUP BY scenario, k, t, e"""),
+    ("g", f"""SELECT s.scenario, kk.k, g0.t, g0.e, loss + coalesce(d, 0e0) / (n * {REPS}) AS loss FROM g0 CROSS JOIN b CROSS JOIN (VALUES ('uniform'), ('uncertain')) s(scenario)
+        CROSS JOIN {_vals(KS)} kk(k) LEFT JOIN gd ON gd.scenario = s.scenario AND gd.k = kk.k AND gd.t = g0.t AND gd.e = g0.e"""),
     ("best", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scenario, k ORDER BY loss, t, e) AS r FROM g) WHERE r = 1"),
 ]
 
@@ -140,8 +151,7 @@ def _flips(spark, sf):
     return C.label_flip_sensitivity(rows, {"uniform": F.lit(True), "uncertain": (p > 0.05) & (p < 0.95)}, KS, REPS, T8, F8)
 
 
-_C8 = """SELECT l.scenario, l.k, logloss, m AS auc, t AS temp, e AS floor, loss AS best_loss FROM l JOIN best b ON b.scenario = l.scenario AND b.k = l.k
-    JOIN (SELECT scenario, k, avg(auc) AS m FROM a GROUP BY scenario, k) a ON a.scenario = l.scenario AND a.k = l.k"""
+_C8 = """SELECT l.scenario, l.k, logloss, auc, t AS temp, e AS floor, loss AS best_loss FROM l JOIN best b ON b.scenario = l.scenario AND b.k = l.k"""
 
 
 @query("c8_label_flip_sensitivity", "scenario:s k:i logloss:d6 auc:d6 temp:d6 floor:d6 best_loss:d6", _C8, ["wide_oof"], _FLIP)
@@ -149,8 +159,10 @@ def c8(spark, sf):
     return _flips(spark, sf)
 
 
-@query("c9_match_observed", "scenario:s k:i logloss:d6", f"SELECT scenario, k, logloss FROM ({_C8}) WHERE abs(logloss - (SELECT max(logloss) FROM l)) < 1e-3", ["wide_oof"], _FLIP)
+#: An observed score that some flip counts reproduce and others don't.
+OBSERVED, NEAR = 0.3345, 0.001
+
+
+@query("c9_match_observed", "scenario:s k:i logloss:d6", f"SELECT scenario, k, logloss FROM ({_C8}) WHERE abs(logloss - {OBSERVED}e0) < {NEAR}e0", ["wide_oof"], _FLIP)
 def c9(spark, sf):
-    """The observed score is the largest simulated one."""
-    table = stage(_flips(spark, sf))
-    return C.match_observed(table, table.agg(F.max("logloss")).first()[0], 1e-3)
+    return C.match_observed(stage(_flips(spark, sf)), OBSERVED, NEAR)

@@ -139,13 +139,13 @@ def e11(spark, sf):
     return fx.wide_oof(spark, sf).select("uid", E.pool_probability(w).alias("by_probability"), E.pool_logit(w).alias("by_logit"))
 
 
-_SIMPLEX = ", ".join(f"({a!r}::DOUBLE, {b!r}::DOUBLE, {c!r}::DOUBLE)" for a, b, c in E.simplex(3, 5))
+_SIMPLEX = ", ".join(f"({a!r}::DOUBLE, {b!r}::DOUBLE, {c!r}::DOUBLE)" for a, b, c in E.simplex(3, 10))
 
 
 @query("e11_pool_scan", "w0:d6 w1:d6 w2:d6 loss:d6 objective:d6", f"""SELECT w0, w1, w2, l AS loss, l + 2e-2 * (power(w0 - 1e0 / 3e0, 2e0) + power(w1 - 1e0 / 3e0, 2e0) + power(w2 - 1e0 / 3e0, 2e0)) AS objective
     FROM (SELECT w0, w1, w2, avg({loss('y', f"w0 * {sig('cnn')} + w1 * {sig('gbm')} + w2 * {sig('lr')}")}) AS l FROM wide_oof, (VALUES {_SIMPLEX}) t(w0, w1, w2) GROUP BY w0, w1, w2)""", ["wide_oof"])
 def e11s(spark, sf):
-    return E.pool_scan(fx.wide_oof(spark, sf), ("cnn", "gbm", "lr"), 5)
+    return E.pool_scan(fx.wide_oof(spark, sf), ("cnn", "gbm", "lr"))
 
 
 @query("e12_apply_stack", "uid:s z:d6", "SELECT uid, 7e-1 * cnn + 2e-1 * gbm - 1e-1 * lr + 5e-2 AS z FROM wide_oof", ["wide_oof"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voxeval import fixtures as fx
 from voxeval.operators import features as X
+from voxeval.session import stage
 from voxeval.suite.base import query
 from voxeval.suite.masks import dilate_sql, erode_sql
 from voxeval.suite.rasters import MASK16, mask16
@@ -41,46 +42,77 @@ def f3(spark, sf):
     return X.topk_mean(sides(spark, sf))
 
 
-@query("f4_volume_above", "uid:i side:s v15:d6 v20:d6 v25:d6", """SELECT uid, side, count(*) FILTER (v > 15e-1) * 8e-3 AS v15, count(*) FILTER (v > 2e0) * 8e-3 AS v20,
-    count(*) FILTER (v > 25e-1) * 8e-3 AS v25 FROM sides GROUP BY uid, side""", ["stack16"], S)
+def _q(x: float) -> str:
+    """A decimal as SQL text that is a double from the start."""
+    return f"{round(x * 10)}e-1"
+
+
+def _tag(name: str) -> str:
+    return name.replace(".", "")
+
+
+def _plain(df):
+    """Column names without dots."""
+    return df.select(*[F.col(f"`{c}`").alias(_tag(c)) for c in df.columns])
+
+
+_VOL = "SELECT uid, side, " + ", ".join(f"count(*) FILTER (v > {_q(t)}) * 8e-3 AS {_tag(f'vol{t}')}" for t in X.VOLUME_LEVELS) + " FROM sides GROUP BY uid, side"
+_VCOLS = [_tag(f"vol{t}") for t in X.VOLUME_LEVELS]
+
+
+@query("f4_volume_above", "uid:i side:s " + " ".join(f"{c}:d6" for c in _VCOLS), _VOL, ["stack16"], S)
 def f4(spark, sf):
-    g = sides(spark, sf).groupBy("uid", "side").agg(*X.volume_aggs(ML))
-    return g.select("uid", "side", F.col("`vol1.5`").alias("v15"), F.col("`vol2.0`").alias("v20"), F.col("`vol2.5`").alias("v25"))
+    return _plain(sides(spark, sf).groupBy("uid", "side").agg(*X.volume_aggs(ML)))
+
+
+def _ext(c: str, f: float) -> str:
+    q = f"quantile_cont({c}::DOUBLE, {{q}}) FILTER (v > {_q(f)} * gmax)"
+    return f"coalesce(CASE WHEN count(*) FILTER (v > {_q(f)} * gmax) >= 3 THEN ({q.format(q='95e-2')} - {q.format(q='5e-2')}) * 2e0 END, 0e0) AS {_tag(f'{c}ext{f}')}"
 
 
-def _ext(c: str) -> str:
-    q = f"quantile_cont({c}::DOUBLE, {{q}}) FILTER (v > 5e-1 * gmax)"
-    return f"coalesce(CASE WHEN count(*) FILTER (v > 5e-1 * gmax) >= 3 THEN ({q.format(q='95e-2')} - {q.format(q='5e-2')}) * 2e0 END, 0e0) AS {c}ext"
+_HOT = "SELECT uid, side, " + ", ".join(
+    f"count(*) FILTER (v > {_q(f)} * gmax) * 8e-3 AS {_tag(f'n{f}')}, " + ", ".join(_ext(c, f) for c in "yzx") for f in X.HOT_LEVELS) + " FROM sides GROUP BY uid, side"
+_HCOLS = [_tag(f"{c}{f}") for f in X.HOT_LEVELS for c in ("n", "yext", "zext", "xext")]
 
 
-@query("f5_hot_extent", "uid:i side:s n:d6 yext:d6 zext:d6 xext:d6", f"""SELECT uid, side, count(*) FILTER (v > 5e-1 * gmax) * 8e-3 AS n, {_ext("y")}, {_ext("z")}, {_ext("x")}
-    FROM sides GROUP BY uid, side""", ["stack16"], S)
+@query("f5_hot_extent", "uid:i side:s " + " ".join(f"{c}:d6" for c in _HCOLS), _HOT, ["stack16"], S)
 def f5(spark, sf):
-    g = sides(spark, sf).groupBy("uid", "side").agg(*X.hot_extent_aggs(0.5, ML, 2.0))
-    return g.select("uid", "side", F.col("`n0.5`").alias("n"), *[F.col(f"`{c}ext0.5`").alias(f"{c}ext") for c in "yzx"])
+    return _plain(sides(spark, sf).groupBy("uid", "side").agg(*[e for f in X.HOT_LEVELS for e in X.hot_extent_aggs(f, ML, 2.0)]))
+
+
+def _cen(f: float) -> str:
+    n, s = f"count(*) FILTER (v > {_q(f)} * gmax)", f"sum(v) FILTER (v > {_q(f)} * gmax)"
+    return (f"CASE WHEN {n} >= 3 THEN (sum(v * y) FILTER (v > {_q(f)} * gmax) / {s} - 3e0) * 2e0 ELSE 0e0 END AS {_tag(f'ycen{f}')}, "
+            f"CASE WHEN {n} >= 3 THEN sum(v * x) FILTER (v > {_q(f)} * gmax) / {s} * 2e0 ELSE 0e0 END AS {_tag(f'xcen{f}')}")
+
 
+_CEN = f"SELECT uid, side, {', '.join(_cen(f) for f in X.HOT_LEVELS)} FROM sides GROUP BY uid, side"
+_CENCOLS = [_tag(f"{c}{f}") for f in X.HOT_LEVELS for c in ("ycen", "xcen")]
 
-@query("f6_hot_centroid", "uid:i side:s ycen:d6 xcen:d6", """SELECT uid, side, CASE WHEN count(*) >= 3 THEN (sum(v * y) / sum(v) - 3e0) * 2e0 ELSE 0e0 END AS ycen,
-    CASE WHEN count(*) >= 3 THEN sum(v * x) / sum(v) * 2e0 ELSE 0e0 END AS xcen FROM (SELECT * FROM sides WHERE v > 7e-1 * gmax) GROUP BY uid, side
-    UNION ALL SELECT DISTINCT uid, side, 0e0, 0e0 FROM sides s WHERE NOT EXISTS (SELECT 1 FROM sides h WHERE h.uid = s.uid AND h.side = s.side AND h.v > 7e-1 * h.gmax)""",
-       ["stack16"], S)
+
+@query("f6_hot_centroid", "uid:i side:s " + " ".join(f"{c}:d6" for c in _CENCOLS), _CEN, ["stack16"], S)
 def f6(spark, sf):
-    g = sides(spark, sf).groupBy("uid", "side").agg(*X.hot_centroid_aggs(0.7, 6, 2.0))
-    return g.select("uid", "side", F.col("`ycen0.7`").alias("ycen"), F.col("`xcen0.7`").alias("xcen"))
+    return _plain(sides(spark, sf).groupBy("uid", "side").agg(*[e for f in X.HOT_LEVELS for e in X.hot_centroid_aggs(f, 6, 2.0)]))
 
 
-_EIG = """SELECT uid, side, n, sqrt(e1 / greatest(3e0 * q - e1 - (q + 2e0 * p * cos(phi + 2e0 * pi() / 3e0)), 1e-6)) AS elong FROM (SELECT *, q + 2e0 * p * cos(phi) AS e1 FROM (
+def _eig(f: float) -> str:
+    return f"""SELECT uid, side, n, sqrt(e1 / greatest(3e0 * q - e1 - (q + 2e0 * p * cos(phi + 2e0 * pi() / 3e0)), 1e-6)) AS elong FROM (SELECT *, q + 2e0 * p * cos(phi) AS e1 FROM (
     SELECT *, acos(least(greatest(coalesce(((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz))
     / nullif(2e0 * p * p * p, 0e0), 1e0), -1e0), 1e0)) / 3e0 AS phi FROM (SELECT *, sqrt((power(xx - q, 2e0) + power(yy - q, 2e0) + power(zz - q, 2e0)
     + 2e0 * (xy * xy + xz * xz + yz * yz)) / 6e0) AS p FROM (SELECT *, (xx + yy + zz) / 3e0 AS q FROM (SELECT uid, side, count(*) AS n, covar_samp(x, x) + 1e-6 AS xx,
     covar_samp(y, y) + 1e-6 AS yy, covar_samp(z, z) + 1e-6 AS zz, covar_samp(x, y) AS xy, covar_samp(x, z) AS xz, covar_samp(y, z) AS yz
-    FROM sides WHERE v > 5e-1 * gmax GROUP BY uid, side)))))"""
+    FROM sides WHERE v > {_q(f)} * gmax GROUP BY uid, side)))))"""
+
 
+_ELONG = "SELECT s.uid, s.side, " + ", ".join(f"coalesce(CASE WHEN e{i}.n >= 3 THEN e{i}.elong END, 0e0) AS {_tag(f'elong{f}')}" for i, f in enumerate(X.HOT_LEVELS)) \
+    + " FROM (SELECT DISTINCT uid, side FROM sides) s " + " ".join(f"LEFT JOIN ({_eig(f)}) e{i} ON e{i}.uid = s.uid AND e{i}.side = s.side" for i, f in enumerate(X.HOT_LEVELS))
+_ECOLS = [_tag(f"elong{f}") for f in X.HOT_LEVELS]
 
-@query("f7_elongation", "uid:i side:s elong:d4", f"""SELECT s.uid, s.side, CASE WHEN n >= 3 THEN elong ELSE 0e0 END AS elong FROM (SELECT DISTINCT uid, side FROM sides) s
-    LEFT JOIN ({_EIG}) e ON e.uid = s.uid AND e.side = s.side""", ["stack16"], S)
+
+@query("f7_elongation", "uid:i side:s " + " ".join(f"{c}:d4" for c in _ECOLS), _ELONG, ["stack16"], S)
 def f7(spark, sf):
-    return sides(spark, sf).groupBy("uid", "side").agg(*X.elongation_aggs(0.5)).withColumnRenamed("elong0.5", "elong")
+    """Four digits: the second eigenvalue of a thin set is a difference of nearly equal numbers."""
+    return _plain(sides(spark, sf).groupBy("uid", "side").agg(*[e for f in X.HOT_LEVELS for e in X.elongation_aggs(f)]))
 
 
 _F8 = """SELECT uid, side, CASE WHEN n > 5 THEN m0 / (m2 + 1e-6) ELSE 0e0 END AS post_ant,
@@ -125,14 +157,29 @@ def f10(spark, sf):
     return X.fold_sides(X.topk_mean(sides(spark, sf)), ["max", "top30"])
 
 
-@query("f10_scan_features", "uid:i g_max:d6 top30_mean:d6 post_ant_min:d6 box_ratio_asym:d6", """SELECT a.uid, g.g_max, (a.top30 + b.top30) / 2e0 AS top30_mean,
-    least(c.post_ant, d.post_ant) AS post_ant_min, abs(e.box_ratio - f.box_ratio) / (abs(e.box_ratio) + abs(f.box_ratio) + 1e-6) AS box_ratio_asym
-    FROM tk a JOIN tk b ON a.uid = b.uid AND a.side = 'R' AND b.side = 'L' JOIN f8 c ON c.uid = a.uid AND c.side = 'R' JOIN f8 d ON d.uid = a.uid AND d.side = 'L'
-    JOIN f9 e ON e.uid = a.uid AND e.side = 'R' JOIN f9 f ON f.uid = a.uid AND f.side = 'L'
-    JOIN (SELECT uid, max(v) + 1e-6 AS g_max FROM stack16 GROUP BY uid) g ON g.uid = a.uid""", ["stack16"], [*PEAKS, ("tk", _TOPK), ("f8", _F8), ("f9", _F9)])
+_SIDE_COLS = ["max", *[f"top{k}" for k in X.TOPS], *_VCOLS, *_HCOLS, *_CENCOLS, *_ECOLS, "post_ant", "mid_ant", "box_post", "box_ant", "box_ratio"]
+_FOLDS = ("min", "max", "mean", "asym")
+
+
+def _fold_sql(c: str, eps: str) -> str:
+    return (f"least(a.{c}, b.{c}) AS {c}_min, greatest(a.{c}, b.{c}) AS {c}_max, (a.{c} + b.{c}) / 2e0 AS {c}_mean, "
+            f"abs(a.{c} - b.{c}) / (abs(a.{c}) + abs(b.{c}) + {eps}) AS {c}_asym")
+
+
+_ROW = [f"{c}_{k}" for c in _SIDE_COLS for k in _FOLDS]
+_GCOLS = ["g_p50", "g_p90", "g_p99", "g_p999", "g_max"]
+
+
+@query("f10_scan_features", "uid:i " + " ".join(f"{c}:{'d3' if c.startswith('elong') else 'd6'}" for c in [*_GCOLS, *_ROW]),
+       f"SELECT g.*, {', '.join(_fold_sql(c, '1e-6') for c in _SIDE_COLS)} FROM ps a JOIN ps b ON a.uid = b.uid AND a.side = 'R' AND b.side = 'L' JOIN g ON g.uid = a.uid",
+       ["stack16"], [*PEAKS, ("tk", _TOPK), ("vol", _VOL), ("hot_", _HOT), ("cen", _CEN), ("elo", _ELONG), ("f8", _F8), ("f9", _F9),
+                     ("ps", "SELECT * FROM tk JOIN vol USING (uid, side) JOIN hot_ USING (uid, side) JOIN cen USING (uid, side) JOIN elo USING (uid, side) "
+                            "JOIN f8 USING (uid, side) JOIN f9 USING (uid, side)"),
+                     ("g", """SELECT uid, quantile_cont(v, 5e-1) AS g_p50, quantile_cont(v, 9e-1) AS g_p90, quantile_cont(v, 99e-2) AS g_p99, quantile_cont(v, 999e-3) AS g_p999,
+                         max(v) + 1e-6 AS g_max FROM stack16 GROUP BY uid""")])
 def f10s(spark, sf):
-    """The whole wide feature row; a few of its columns are shown."""
-    return X.scan_features(fx.stack16(spark, sf), fx.STACK16, HALF)
+    """Every column of the wide feature row."""
+    return _plain(X.scan_features(fx.stack16(spark, sf), fx.STACK16, HALF))
 
 
 _ZONES = """SELECT z.*, ref FROM (SELECT uid, code, avg(v) AS m, sum(v) AS s, count(*) AS n, avg(v) FILTER (r <= greatest(5, n // 4)) AS t FROM (
@@ -153,20 +200,25 @@ _ZCOLS = "caud_sbr:d6 caud_top:d6 put_ant_sbr:d6 put_ant_top:d6 put_post_sbr:d6
 
 @query("f11_zonal_ratio", f"uid:i side:s {_ZCOLS} ref:d6", _RATIO, ["atlas4"], [("zs", _ZONES)])
 def f11(spark, sf):
-    return X.zonal_ratio(fx.voxels(spark, sf), fx.atlas4(spark, sf))
+    return X.zonal_ratio(fx.voxels(spark, sf), stage(fx.atlas4(spark, sf)))
 
 
 @query("f12_zone_ratios", "uid:i side:s put_caud:d6 post_ant:d6 post_caud:d6", """SELECT uid, side, (put_sbr + 5e-2) / (caud_sbr + 5e-2) AS put_caud,
     (put_post_sbr + 5e-2) / (put_ant_sbr + 5e-2) AS post_ant, (put_post_sbr + 5e-2) / (caud_sbr + 5e-2) AS post_caud FROM zr""", ["atlas4"], [("zs", _ZONES), ("zr", _RATIO)])
 def f12(spark, sf):
-    return X.zone_ratios(X.zonal_ratio(fx.voxels(spark, sf), fx.atlas4(spark, sf)))
+    return X.zone_ratios(X.zonal_ratio(fx.voxels(spark, sf), stage(fx.atlas4(spark, sf))))
+
 
+_ZSIDE = ["caud_sbr", "caud_top", "put_ant_sbr", "put_ant_top", "put_post_sbr", "put_post_top", "put_sbr", "str_sbr", "put_caud", "post_ant", "post_caud"]
 
-@query("f12_zone_features", "uid:i v_ref:d6 v_put_sbr_min:d6 v_put_sbr_asym:d6 v_caud_top_mean:d6", """SELECT a.uid, a.ref AS v_ref, least(a.put_sbr, b.put_sbr) AS v_put_sbr_min,
-    abs(a.put_sbr - b.put_sbr) / (abs(a.put_sbr) + abs(b.put_sbr) + 1e-3) AS v_put_sbr_asym, (a.caud_top + b.caud_top) / 2e0 AS v_caud_top_mean
-    FROM zr a JOIN zr b ON a.uid = b.uid AND a.side = 'a' AND b.side = 'b'""", ["atlas4"], [("zs", _ZONES), ("zr", _RATIO)])
+
+@query("f12_zone_features", "uid:i v_ref:d6 " + " ".join(f"v_{c}_{k}:d6" for c in _ZSIDE for k in _FOLDS), "SELECT a.uid, a.ref AS v_ref, " + ", ".join(
+    _fold_sql(c, "1e-3").replace(f"AS {c}_", f"AS v_{c}_") for c in _ZSIDE) + " FROM zq a JOIN zq b ON a.uid = b.uid AND a.side = 'a' AND b.side = 'b'", ["atlas4"], [
+    ("zs", _ZONES), ("zr", _RATIO), ("zq", """SELECT *, (put_sbr + 5e-2) / (caud_sbr + 5e-2) AS put_caud, (put_post_sbr + 5e-2) / (put_ant_sbr + 5e-2) AS post_ant,
+        (put_post_sbr + 5e-2) / (caud_sbr + 5e-2) AS post_caud FROM zr""")])
 def f12f(spark, sf):
-    return X.zone_features(fx.voxels(spark, sf), fx.atlas4(spark, sf))
+    """Every column of the wide zone row."""
+    return X.zone_features(fx.voxels(spark, sf), stage(fx.atlas4(spark, sf)))
 
 
 @query("f13_profile", "uid:i side:s p0:d6 p1:d6 p2:d6 p3:d6 p_top:d6 slope:d6", """SELECT uid, side, avg(w) FILTER (b = 0) AS p0, avg(w) FILTER (b = 1) AS p1, avg(w) FILTER (b = 2) AS p2,
@@ -176,7 +228,7 @@ def f12f(spark, sf):
     FROM voxels v JOIN atlas4 USING (z, y, x) JOIN (SELECT uid, avg(v) + 1e-3 AS ref FROM voxels WHERE z = 0 GROUP BY uid) g ON g.uid = v.uid
     WHERE code <> 9 AND (code - 1) % 3 <> 0) WINDOW p AS (PARTITION BY uid, side))) GROUP BY uid, side""", ["atlas4"])
 def f13(spark, sf):
-    return X.profile_bins_slope(fx.voxels(spark, sf), fx.atlas4(spark, sf))
+    return X.profile_bins_slope(fx.voxels(spark, sf), stage(fx.atlas4(spark, sf)))
 
 
 _REFS = "r_occ_p75:d6 r_occ_bg:d6 r_p75_bg:d6 " + " ".join(f"m_{r}_{k}:d6" for r in ("bg", "occ", "p75") for k in ("postput_min", "put_mean", "caud_mean", "stri_mean"))
@@ -193,13 +245,17 @@ def f14(spark, sf):
     return X.multi_reference(fx.voxels(spark, sf), a, a.where("code = 9 AND x < 3"), a.where("code = 9 AND y < 2"))
 
 
+def _grown(src: str) -> str:
+    return dilate_sql(src).replace("BETWEEN 0 AND 15", "BETWEEN 0 AND 3").replace("BETWEEN 0 AND 7", "BETWEEN 0 AND 3")
+
+
 @query("f15_integrated_excess", "uid:i k:i i_min:d6 i_max:d6 i_asym:d6", """SELECT uid, k, least(a, b) AS i_min, greatest(a, b) AS i_max, abs(a - b) / (a + b + 1e-3) AS i_asym FROM (
     SELECT uid, k, coalesce(sum(greatest(v - 1e0, 0e0)) FILTER (x < 2), 0e0) * 8e-3 AS a, coalesce(sum(greatest(v - 1e0, 0e0)) FILTER (x >= 2), 0e0) * 8e-3 AS b FROM voxels JOIN s USING (z, y, x)
-    GROUP BY uid, k)""", ["atlas4"], [("c", "SELECT 0 AS uid, z, y, x FROM atlas4 WHERE code = 1"), ("s", f"""SELECT z, y, x, 0 AS k FROM c UNION ALL
-    SELECT z, y, x, 1 FROM ({dilate_sql("c").replace("BETWEEN 0 AND 15", "BETWEEN 0 AND 3").replace("BETWEEN 0 AND 7", "BETWEEN 0 AND 3")})""")])
+    GROUP BY uid, k)""", ["atlas4"], [("c", "SELECT 0 AS uid, z, y, x FROM atlas4 WHERE code BETWEEN 1 AND 6"), ("c1", _grown("c")), ("c2", _grown("c1")), ("c3", _grown("c2")), ("c4", _grown("c3")),
+                                      ("s", "SELECT z, y, x, 0 AS k FROM c UNION ALL SELECT z, y, x, 2 FROM c2 UNION ALL SELECT z, y, x, 4 FROM c4")])
 def f15(spark, sf):
-    """One zone and the zone grown by a step."""
-    return X.integrated_excess(fx.voxels(spark, sf), fx.atlas4(spark, sf).where("code = 1"), fx.GRID4, (0, 1))
+    """All zones, as they are and grown by two and by four steps."""
+    return X.integrated_excess(fx.voxels(spark, sf), stage(fx.atlas4(spark, sf)), fx.GRID4)
 
 
 _CTX = f"""SELECT uid, count(*) * 64e-3 AS c_vol_ml, (max(x) - min(x) + 1) * 4e0 AS c_ext_x, (max(y) - min(y) + 1) * 4e0 AS c_ext_y, (max(z) - min(z) + 1) * 4e0 AS c_ext_z,
@@ -222,4 +278,4 @@ def f16(spark, sf):
     SELECT *, median(abs(asym)) OVER () AS q FROM (SELECT uid, (a - b) / (a + b) AS asym FROM (SELECT uid, avg(v) FILTER (code <= 3) AS a, avg(v) FILTER (code BETWEEN 4 AND 6) AS b
     FROM voxels JOIN atlas4 USING (z, y, x) GROUP BY uid)))""", ["atlas4"])
 def f17(spark, sf):
-    return X.asymmetry_subsets(X.signed_asymmetry(fx.voxels(spark, sf), fx.atlas4(spark, sf)))
+    return X.asymmetry_subsets(X.signed_asymmetry(fx.voxels(spark, sf), stage(fx.atlas4(spark, sf))))

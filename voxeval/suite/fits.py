@@ -32,7 +32,7 @@ _A = {
 _LONG = "SELECT uid, y, zoom, fold, unnest(['cnn', 'gbm']) AS k, unnest([cnn, gbm]) AS v FROM wide_oof"
 
 
-@query("l1_quadratic_trend", "fold:i feature:s a0:d5 a1:d5 a2:d5", f"SELECT held AS fold, k AS feature, {_A['0']} / {_A['d']} AS a0, {_A['1']} / {_A['d']} AS a1, {_A['2']} / {_A['d']} AS a2 FROM s",
+@query("l1_quadratic_trend", "fold:i feature:s a0:d6 a1:d6 a2:d6", f"SELECT held AS fold, k AS feature, {_A['0']} / {_A['d']} AS a0, {_A['1']} / {_A['d']} AS a1, {_A['2']} / {_A['d']} AS a2 FROM s",
        ["wide_oof"], [("r", _LONG), ("s", _S.format(src="r"))])
 def l1(spark, sf):
     return L.quadratic_trend(fx.wide_oof(spark, sf), ["cnn", "gbm"])
@@ -87,7 +87,7 @@ _ADJ = [
 ]
 
 
-@query("l5_cv_predict_features", "uid:s z:d5", "SELECT uid, c.b0 * cnn + c.b1 * gbm + c.b2 AS z FROM sc JOIN n_b10 c ON c.held = sc.held WHERE sc.fold = sc.held", ["wide_oof"], _ADJ)
+@query("l5_cv_predict_features", "uid:s z:d6", "SELECT uid, c.b0 * cnn + c.b1 * gbm + c.b2 AS z FROM sc JOIN n_b10 c ON c.held = sc.held WHERE sc.fold = sc.held", ["wide_oof"], _ADJ)
 def l5f(spark, sf):
     """Trend, scaler and fit all outside the scored fold."""
     w = stage(fx.wide_oof(spark, sf))

@@ -47,6 +47,14 @@ def q2(spark, sf):
     return Q.check_identical(a, a.repartition(5, "uid"), "p")
 
 
+@query("q2_check_different", "n:i max_abs:d6 identical:b", f"""SELECT count(*) AS n, max(abs({sig("x")} - {sig("x + 1e-1 * (zoom > 3e0)::INTEGER")})) AS max_abs, false AS identical
+    FROM subjects""", ["subjects"])
+def q2d(spark, sf):
+    """Two tables that differ for wide spacings."""
+    s = fx.subjects(spark, sf)
+    return Q.check_identical(s.select("uid", sigmoid("x").alias("p")), s.select("uid", sigmoid(F.col("x") + F.when(F.col("zoom") > 3.0, 0.1).otherwise(0.0)).alias("p")), "p")
+
+
 @query("q3_missing_assets", "run:s file:s", f"""SELECT DISTINCT run, file FROM raw_oof WHERE NOT {u("file", "'there'")} < 9e-1""", ["raw_oof"])
 def q3(spark, sf):
     files = stage(fx.raw_oof(spark, sf).select("run", "file").distinct())
@@ -61,6 +69,15 @@ def q4(spark, sf):
     return Q.check_weights(hierarchical_weights(files, {"a": 0.5, "b": 0.3, "c": 0.2}, "run"), ("family",), "run")
 
 
+@query("q4_check_bad_weights", "family:s files:i total:d6 spread:d6 sums_to_one:b", """SELECT family, sum(n)::BIGINT AS files, sum(w) AS total, max(s) AS spread, abs(sum(w) - 1e0) < 1e-9 AS sums_to_one
+    FROM (SELECT family, run, count(*) AS n, sum(w) AS w, max(w) - min(w) AS s FROM (SELECT DISTINCT family, run, file, CASE WHEN seed = 2 THEN 4e-2 ELSE 2e-2 END AS w FROM raw_oof)
+    GROUP BY family, run) GROUP BY family""", ["raw_oof"])
+def q4b(spark, sf):
+    """Weights that depend on the seed and don't sum to one."""
+    files = fx.raw_oof(spark, sf).select("run", "family", "file", F.when(F.col("seed") == 2, 0.04).otherwise(0.02).alias("weight")).distinct()
+    return Q.check_weights(files, ("family",), "run")
+
+
 @query("q5_leak_check", "file:s leaks:i", """SELECT file, count(*) AS leaks FROM (SELECT r.uid, r.file, h.fold AS held, o.fold AS own FROM raw_oof r
     JOIN (SELECT DISTINCT file, fold FROM raw_oof WHERE run = 'a') h ON h.file = r.file JOIN folded o ON o.uid = r.uid AND o.run = 'a' WHERE r.run = 'b') WHERE held <> own GROUP BY file""",
        ["raw_oof", "folded"])

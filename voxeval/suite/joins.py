@@ -8,6 +8,7 @@ from voxeval import fixtures as fx
 from voxeval.functions.scalars import uniform
 from voxeval.operators import joins as J
 from voxeval.operators.calibration import temperature_floor_grid
+from voxeval.session import stage
 from voxeval.suite.base import clip, loss, query, sig, u
 
 
@@ -29,7 +30,7 @@ def j2(spark, sf):
 
 @query("j3_zonal_join", "uid:i z:i y:i x:i v:d6 code:i", "SELECT uid, z, y, x, v, code FROM voxels JOIN atlas4 USING (z, y, x)", ["atlas4"])
 def j3(spark, sf):
-    return J.zonal_join(fx.voxels(spark, sf), fx.atlas4(spark, sf))
+    return J.zonal_join(fx.voxels(spark, sf), stage(fx.atlas4(spark, sf)))
 
 
 @query("j4_mirror", "uid:i z:i y:i x:i v:d6", """SELECT a.uid, a.z, a.y, a.x, (a.v + b.v) / 2e0 AS v FROM voxels a JOIN voxels b

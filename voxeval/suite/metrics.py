@@ -62,16 +62,17 @@ def m5(spark, sf):
     return _delta(spark, sf)
 
 
-B = 200
-_KEYS = ", ".join(f"({i}, {a}::BIGINT, {c}::BIGINT)" for i, (a, c) in enumerate(M.replicate_keys(B)))
+B = 2000
+_KEYS = ", ".join(f"({i}, {a}::BIGINT, {b}::BIGINT, {c}::BIGINT)" for i, (a, b, c) in enumerate(M.replicate_keys(B)))
 _STEPS = " + ".join(f"(q >= {c}::DOUBLE)::INTEGER" for c in (repr(v) for v in M._poisson_cdf()))
 
 
 @query("m6_paired_bootstrap", "replicates:i share_better:d6 mean_d:d6 sd_d:d6", """SELECT count(*) AS replicates, avg((m < 0)::INTEGER) AS share_better, avg(m) AS mean_d,
     stddev_pop(m) AS sd_d FROM r""", ["wide_oof"], [
-    ("d", _DELTA), ("k", f"SELECT * FROM (VALUES {_KEYS}) t(rep, a, c)"),
-    ("r", f"""SELECT rep, sum(w * d) / sum(w) AS m FROM (SELECT rep, d, {_STEPS} AS w FROM (SELECT rep, d, ((h * a + c) % 2147483647) / 2147483647e0 AS q
-        FROM (SELECT d, ('0x' || substr(md5(concat_ws('-', uid, '0')), 1, 8))::BIGINT % 2147483647 AS h FROM d), k)) GROUP BY rep"""),
+    ("d", _DELTA), ("k", f"SELECT * FROM (VALUES {_KEYS}) t(rep, a, b, c)"),
+    ("r", f"""SELECT rep, sum(w * d) / sum(w) AS m FROM (SELECT rep, d, {_STEPS} AS w FROM (SELECT rep, d, ((h * a + g * b + c) % 2147483647) / 2147483647e0 AS q
+        FROM (SELECT d, ('0x' || substr(md5(concat_ws('-', uid, '0')), 1, 8))::BIGINT % 2147483647 AS h,
+            ('0x' || substr(md5(concat_ws('-', uid, '0b')), 1, 8))::BIGINT % 2147483647 AS g FROM d), k)) GROUP BY rep"""),
 ])
 def m6(spark, sf):
     return M.paired_bootstrap(_delta(spark, sf), B)
