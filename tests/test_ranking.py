@@ -66,7 +66,7 @@ def test_lookup_join_beyond_the_limit(spark, skewed):
     df = spark.createDataFrame(skewed)
     small = df.groupBy("g").count()
     a = lookup_join(df, small, "g").groupBy("g").agg(F.sum("count").alias("s")).toPandas().sort_values("g").reset_index(drop=True)
-    b = lookup_join(df, small, "g", max_rows=2).groupBy("g").agg(F.sum("count").alias("s")).toPandas().sort_values("g").reset_index(drop=True)
+    b = lookup_join(df, small, "g", max_bytes=2).groupBy("g").agg(F.sum("count").alias("s")).toPandas().sort_values("g").reset_index(drop=True)
     assert a.equals(b)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from voxeval.functions.scalars import clean_value, clip, uniform
 from voxeval.plans.bounded import lookup_join, struct_array, struct_array_sql
+from voxeval.session import stage
 
 Grid = tuple[int, int, int]
 AXES = ("z", "y", "x")
@@ -206,8 +207,8 @@ def affine_resample(voxels: DataFrame, matrix: Sequence[Sequence[float]], offset
     src = [sum((o[j] * F.lit(float(matrix[i][j])) for j in range(3)), F.lit(float(offset[i]))) for i in range(3)]
     pts = pts.select("oz", "oy", "ox", *[s.alias(f"s{c}") for s, c in zip(src, AXES)])
     table = _corner_rows(pts, grid, ["oz", "oy", "ox"])
-    table = table.groupBy("oz", "oy", "ox", *AXES).agg(F.sum("w").alias("w"))
-    return _gathered(lookup_join(voxels, table, list(AXES), max_rows=4_000_000), ["uid"])
+    table = stage(table.groupBy("oz", "oy", "ox", *AXES).agg(F.sum("w").alias("w")))
+    return _gathered(lookup_join(voxels, table, list(AXES)), ["uid"])
 
 
 def affine_resample_each(voxels: DataFrame, thetas: DataFrame, grid: Grid, out: Grid) -> DataFrame:

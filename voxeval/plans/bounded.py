@@ -7,8 +7,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BROADCAST_ROWS = 500_000  # a template of the largest stored grid has 358,400
+#: Bytes of a table that is sent to every task at most; an atlas of the largest stored grid (358,400 voxels) has some 10 MB.
+BROADCAST_BYTES = 64 << 20
 
 
 def _sql_literal(v, wide: bool) -> str:
@@ -47,20 +49,36 @@ def with_grid(df: DataFrame, rows: Sequence[dict], name: str = "_g") -> DataFram
     return out.select(*df.columns, *[F.col(f"{name}.{k}").alias(k) for k in rows[0]])
 
 
+def held_bytes(df: DataFrame) -> int:
+    """Bytes of a table's values, from one pass: 8 per number and entry, the length of texts."""
+    def width(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StringType | T.BinaryType):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+        if isinstance(kind, T.ArrayType):
+            if isinstance(kind.elementType, T.StringType):
+                return F.coalesce(F.octet_length(F.array_join(c, " ")), F.lit(0)) + 8
+            return F.coalesce(F.size(c), F.lit(0)) * 8 + 8
+        if isinstance(kind, T.StructType):
+            return sum((width(c.getField(f.name), f.dataType) for f in kind.fields), F.lit(8))
+        return F.lit(8)
+
+    row = sum((width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(8))
+    return df.agg(F.sum(row.cast("long"))).first()[0] or 0
+
+
 def lookup_join(
     big: DataFrame,
     small: DataFrame,
     on: Sequence[str] | str,
     how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
+    max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join with a table that is normally small.
 
-    Its rows are counted first: up to the limit the small side is broadcast and the big side
+    Its bytes are summed first: up to the limit the small side is broadcast and the big side
     stays where it is; beyond it Spark's shuffle join (with runtime skew splitting) takes over.
-    Pass a staged or file-backed ``small``: the count is then a scan without columns. It is a
-    plain count, as a limit would draw that many rows of every partition into one task.
+    Pass a staged or file-backed ``small``, which is read for the sum and again for the join.
     """
-    if small.count() <= max_rows:
+    if held_bytes(small) <= max_bytes:
         small = F.broadcast(small)
     return big.join(small, on, how)

@@ -39,20 +39,34 @@ def hash_rank(df: DataFrame, keys: Sequence[str], seed_parts: Sequence, uid: str
     return ranked.withColumn(name, F.col("_off") + F.col("_r")).drop("_h", "_b", "_r", "_off")
 
 
+def _bucket_of(value: str) -> Column:
+    """Number of ``_bounds`` (sorted) below the value, by halving: log2(BUCKETS) + 1 comparisons a row."""
+    lo, hi = "0", "size(_bounds)"
+    steps = f"sequence(1, {BUCKETS.bit_length()})"
+    mid = "cast((s.lo + s.hi) div 2 as int)"
+    move = f"if(s.lo >= s.hi, s, if(element_at(_bounds, {mid} + 1) < `{value}`, named_struct('lo', {mid} + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {mid})))"
+    return F.expr(f"aggregate({steps}, named_struct('lo', {lo}, 'hi', {hi}), (s, i) -> {move}, s -> s.lo)")
+
+
+#: Bounds that a row is compared with at most. A task then sorts 1 / BUCKETS of a group's distinct values; that takes memory of
+#: its own (Spark spills a window's sort), it loses nothing.
+BUCKETS = 4096
+
+
 def value_buckets(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Adds ``_b``, an ordered bucket of ``value`` within ``keys``; equal values share one.
 
     Bounds are approximate quantiles, so buckets are even; correctness does not depend on them.
     """
-    n = max(8, min(512, _partitions(df)))
+    n = max(8, min(BUCKETS, _partitions(df)))
     probs = [i / n for i in range(1, n)]
     keys = list(keys)
     agg = F.expr(f"percentile_approx(`{value}`, array({','.join(map(str, probs))}), {20 * n})").alias("_bounds")
     bounds = df.groupBy(*keys).agg(F.array_distinct(agg).alias("_bounds"))
-    bucket = F.size(F.filter("_bounds", lambda q: q < F.col(value))).alias("_b")
+    bucket = _bucket_of(value).alias("_b")
     if keys:
-        return lookup_join(df, stage(bounds), keys, max_rows=50_000).select(*df.columns, bucket)
-    cuts = bounds.first()["_bounds"] or []  # at most 511 numbers
+        return lookup_join(df, stage(bounds), keys).select(*df.columns, bucket)
+    cuts = bounds.first()["_bounds"] or []  # fewer than BUCKETS numbers
     literal = F.array(*[F.lit(float(q)) for q in cuts]) if cuts else F.array().cast("array<double>")
     return df.withColumn("_bounds", literal).select(*df.columns, bucket)
 
