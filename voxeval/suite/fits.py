@@ -12,7 +12,7 @@ from voxeval.operators import fits as L
 from voxeval.operators.folds import group_folds, stratified_folds
 from voxeval.operators.metrics import scoreboard
 from voxeval.session import stage
-from voxeval.suite.base import auc_sql, clip, loss, newton_ctes, query, sig
+from voxeval.suite.base import auc_sql, clip, fold_sql, loss, newton_ctes, query, sig
 from voxeval.suite.folds import _GROUP
 
 COLS = ["cnn", "gbm", "lr"]
@@ -106,6 +106,17 @@ def l6(spark, sf):
     return scoreboard(scored.select("y", "z"))
 
 
+@query("l6_stump", "uid:s z:d6", """SELECT uid, 2e0 * CASE WHEN zoom <= cut THEN lm ELSE rm END AS z FROM subjects, (
+    SELECT (v + nxt) / 2e0 AS cut, ls / ln AS lm, (ts - ls) / (tn - ln) AS rm FROM (SELECT v, lead(v) OVER (ORDER BY v) AS nxt, sum(n) OVER (ORDER BY v) AS ln, sum(s) OVER (ORDER BY v) AS ls,
+        sum(n) OVER () AS tn, sum(s) OVER () AS ts FROM (SELECT zoom AS v, count(*)::DOUBLE AS n, sum(2e0 * y - 1e0) AS s FROM subjects GROUP BY zoom))
+    WHERE nxt IS NOT NULL AND ln >= 15 AND tn - ln >= 15 ORDER BY ls * ls / ln + (ts - ls) * (ts - ls) / (tn - ln) DESC, v LIMIT 1)""", ["subjects"])
+def l6s(spark, sf):
+    """One boosted tree of one split on the 25 spacings, where the best cut is plain arithmetic."""
+    s = stage(fx.subjects(spark, sf).select("uid", "y", "zoom"))
+    model = L.fit_gbt(s, ["zoom"], trees=1, maxDepth=1, subsamplingRate=1.0, featureSubsetStrategy="all")
+    return L.gbt_logit(model, s).select("uid", "z")
+
+
 @query("l7_fit_alternatives", "kind:s n:i logloss:d6 auc:d6")
 def l7(spark, sf):
     w, out = _halves(spark, sf), None
@@ -126,6 +137,25 @@ def l8(spark, sf):
     return scoreboard(reduce(lambda a, b: a.unionByName(b), parts))
 
 
+_E6 = [f"e{i}" for i in range(6)]
+
+
+@query("l8_all_components", "uid:s z:d3", f"SELECT uid, {' + '.join(f'c.b{i} * {e}' for i, e in enumerate(_E6))} + c.b6 AS z FROM sc JOIN n_b10 c ON c.held = sc.held WHERE sc.fold = sc.held", [], [
+    ("e", f"""SELECT *, {fold_sql(["y"], "5", "'11'")}::INTEGER AS fold FROM (SELECT vec_id::VARCHAR AS uid, (label >= 5)::INTEGER AS y,
+        {", ".join(f"embedding[{i + 1}]::DOUBLE AS {e}" for i, e in enumerate(_E6))} FROM embeddings)"""),
+    ("st", f"SELECT held, {', '.join(f'avg({e}) AS m_{e}, stddev_pop({e}) AS s_{e}' for e in _E6)} FROM e JOIN (SELECT DISTINCT fold AS held FROM e) h ON h.held <> e.fold GROUP BY held"),
+    ("sc", f"SELECT uid, y, fold, held, {', '.join(f'({e} - m_{e}) / s_{e} AS {e}' for e in _E6)} FROM e, st"),
+    *newton_ctes("n", "sc", _E6, "SELECT DISTINCT held FROM sc", ["held"], "c.held = r.held AND c.held <> r.fold", ["20e0"] * 6 + ["0e0"])])
+def l8a(spark, sf):
+    """With every component kept, the fit is the plain one on the standardised columns."""
+    e = fx.table(spark, sf, "embeddings")
+    vec = array_to_vector(F.slice(F.col("embedding").cast("array<double>"), 1, 6))
+    rows = e.select(F.col("vec_id").cast("string").alias("uid"), F.when(F.col("label") >= 5, 1).otherwise(0).alias("y"), vec.alias("vec"))
+    rows = stage(stratified_folds(rows, ["y"], 5, 11)).withColumn("y", F.col("y").cast("double"))
+    parts = [L.pca_logistic(rows.where(F.col("fold") != f), rows.where(F.col("fold") == f), "vec", 6).select("uid", "z") for f in range(5)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 FLOORS = (0.0, *L.STACK_FLOORS)
 
 
