@@ -58,6 +58,17 @@ def foreground_mask(voxels: DataFrame, tiny: int = TINY_MASK) -> DataFrame:
     return j.where(keep).select("uid", *AXES)
 
 
+def with_fallback(mask: DataFrame, voxels: DataFrame, tiny: int = TINY_MASK) -> DataFrame:
+    """The mask, or the voxels above p60 for volumes of which fewer than ``tiny`` are left.
+
+    For masks that morphology may have worn away: take ``foreground_mask`` with ``tiny=0``, clean it, then call this.
+    """
+    w = W.partitionBy("uid")
+    rows = voxels.select("uid", *AXES, "v").join(mask.select("uid", *AXES, F.lit(True).alias("_in")), ["uid", *AXES], "left")
+    rows = rows.withColumn("_n", F.count("_in").over(w)).withColumn("_q", F.percentile("v", F.lit(TINY_Q)).over(w))
+    return rows.where(F.when(F.col("_n") < tiny, F.col("v") > F.col("_q")).otherwise(F.col("_in").isNotNull())).select("uid", *AXES)
+
+
 def _together(mask: DataFrame) -> DataFrame:
     return mask.select("uid", *AXES).repartition("uid")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from voxeval import fixtures as fx
 from voxeval.operators import masks as K
+from voxeval.session import stage
 from voxeval.suite.base import query
 from voxeval.suite.rasters import MASK16, mask16
 
@@ -46,6 +47,16 @@ def r5(spark, sf):
     return K.foreground_mask(fx.stack16(spark, sf), 300)
 
 
+@query("r5_fallback_after_open", "uid:i z:i y:i x:i", """SELECT uid, z, y, x FROM (SELECT cap.*, o.uid IS NOT NULL AS inn, count(o.uid) OVER (PARTITION BY cap.uid) AS n
+    FROM cap LEFT JOIN o ON o.uid = cap.uid AND o.z = cap.z AND o.y = cap.y AND o.x = cap.x) WHERE CASE WHEN n < 20 THEN v > p60 ELSE inn END""", ["stack16"], [
+    ("cap", _CAP), ("th", otsu_sql("(SELECT uid, c AS v FROM cap)")),
+    ("m", "SELECT cap.uid, z, y, x FROM cap JOIN th ON cap.uid = th.uid WHERE c > greatest(thr, hi * 8e-2)"), ("e", erode_sql("m")), ("o", dilate_sql("e"))])
+def r5o(spark, sf):
+    """The threshold mask opened first; then volumes with little left fall back."""
+    vox = stage(fx.stack16(spark, sf))
+    return K.with_fallback(K.open_(stage(K.foreground_mask(vox, 0)), 1, fx.STACK16), vox, 20)
+
+
 @query("r6_erode", "uid:i z:i y:i x:i", erode_sql("m"), ["stack16"], [("m", MASK16)])
 def r6(spark, sf):
     return K.erode(mask16(spark, sf))
