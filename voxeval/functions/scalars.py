@@ -16,9 +16,9 @@ LOGIT_EPS = 1e-6
 DEPLOY_FLOOR = 1e-3
 CLIP_SD = 6.0
 NON_FEATURES = (
-    "uid ok err shape_x shape_y shape_z zoom_x zoom_y zoom_z loc_note top_to_peak_mm peak_off_x_mm "
-    "label group fold"
-).split()
+    "uid", "ok", "err", "shape_x", "shape_y", "shape_z", "zoom_x", "zoom_y", "zoom_z", "loc_note", "top_to_peak_mm", "peak_off_x_mm",
+    "label", "group", "fold",
+)
 
 INF = float("inf")
 

@@ -7,12 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxeval.operators.rasters import offset_rows
-from voxeval.plans.bounded import lookup_join, with_grid
+from voxeval.plans.bounded import lookup_join
 
 __all__ = [
     "attach_labels", "align_runs", "zonal_join", "mirror_mean", "mirror_difference", "box_join", "best_of",
-    "argbest_candidate", "parity", "retry_set", "merge_retries", "with_grid", "offset_rows",
+    "argbest_candidate", "parity", "retry_set", "merge_retries",
 ]
 
 
@@ -85,7 +84,11 @@ def best_of(current: DataFrame, alt: DataFrame, score: str, key: str = "uid") ->
 
 
 def argbest_candidate(cands: DataFrame, score: str, order: str, keys: Sequence[str] = ("uid",)) -> DataFrame:
-    """Best scoring candidate per key, the earliest on ties; a plain aggregate, no sort."""
+    """Best scoring candidate per key, the earliest on ties.
+
+    One aggregate that keeps a single candidate per key and task before the exchange. A candidate is a struct, which has no
+    fixed-width buffer, so tasks sort by key; a maximum joined back would exchange the candidates twice instead.
+    """
     rank = F.struct(F.col(score).alias("s"), (-F.col(order)).alias("o"))
     cols = [c for c in cands.columns if c not in keys]
     return cands.groupBy(*keys).agg(F.max_by(F.struct(*cols), rank).alias("_b")).select(*keys, "_b.*")
