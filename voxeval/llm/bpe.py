@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 #: Parts up to which the rank array is scanned.
 SHORT_PARTS = 256
 #: Words, and chunks between white space, whose ids a worker remembers before it starts anew, and their length at most.
-REMEMBERED, REMEMBERED_BYTES = 300_000, 64
+REMEMBERED, REMEMBERED_BYTES = 150_000, 64
 #: Rows that a task codes at once.
 PORTION = 256
 NONE = 1 << 60

@@ -35,7 +35,7 @@ TREES, FULL_DEPTH, TARGET_RECALL = 32, 8, 0.999
 #: Nodes of a block; a task holds two blocks.
 BLOCK = 128
 COLUMNS = 4096
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 
 def recall(depth: int, similarity: float, trees: int = TREES) -> float:
