@@ -28,12 +28,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .base import portions
+
 #: Parts up to which the rank array is scanned.
 SHORT_PARTS = 256
 #: Words, and chunks between white space, whose ids a worker remembers before it starts anew, and their length at most.
 REMEMBERED, REMEMBERED_BYTES = 150_000, 64
-#: Rows that a task codes at once.
-PORTION = 256
 NONE = 1 << 60
 # Ranges in which newer Unicode versions have letters and numbers that the library's tables don't have.
 NEWER = """
@@ -190,13 +190,6 @@ def _coder(text: str) -> WordBpe:
     return _ready[name]
 
 
-def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of at most PORTION rows: ids and token texts take several times the memory of the text."""
-    for b in batches:
-        for a in range(0, b.num_rows, PORTION):
-            yield b.slice(a, PORTION)
-
-
 def _put(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
 
@@ -210,7 +203,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", into: str = "ids"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _coder(spec.value)
-        for b in _portions(batches):
+        for b in portions(batches):
             coded = [bpe.encode(t or "") for t in b.column(place).to_pylist()]
             ends = np.cumsum([0, *map(len, coded)]) // 4
             flat = pa.array(np.frombuffer(b"".join(coded), np.int32))
@@ -228,7 +221,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", into: str = "decode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array(tokens.value, pa.string())
-        for b in _portions(batches):
+        for b in portions(batches):
             lists = b.column(place).fill_null([]) if b.column(place).null_count else b.column(place)
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)

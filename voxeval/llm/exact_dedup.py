@@ -24,7 +24,7 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": PROVIDER,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each state partition holds megabytes of empty file
 }
 #: Rows of a group that one task compares with one copy of the text that stays.

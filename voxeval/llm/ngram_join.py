@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from voxeval.session import stage
 
-from .base import WORD, files_only, located, without
+from .base import WORD, files_only, located, portions, without
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, FULL_DEPTH, TARGET_RECALL = 32, 8, 0.999
@@ -112,7 +112,7 @@ def signatures(docs: DataFrame, depth: int, shingle: int = SHINGLE) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, forest = Shingler(shingle), Forest(depth)
-        for b in batches:
+        for b in portions(batches):
             digests, keys = [], []
             for text in b.column(3).to_pylist():
                 s = sets(text)
@@ -282,7 +282,7 @@ def with_shingles(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Shingler(shingle)
-        for b in batches:
+        for b in portions(batches):
             lists = _lists([sets(t).view(np.int64) for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), lists], names=[*names, "shingles"])
 

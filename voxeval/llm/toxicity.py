@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from voxeval.session import stage
 
-from .base import WORD, full_text
+from .base import WORD, full_text, portions
 
 TRAIN_ROWS = 20_000
 #: Bounds on what a fit may hold, so that the broadcast model is small whatever the data.
@@ -235,7 +235,7 @@ def _features(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = held.value.matcher()
-        for b in batches:
+        for b in portions(batches):
             got = [features(t, found) for t in b.column(place).to_pylist()]
             cols = [pa.array([g[i] for g in got], kind) for i, kind in ((0, pa.float64()), (1, pa.float64()), (2, pa.int64()))]
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in rest), *cols], names=[*(f.name for f in rest), "x", "y", "hits"])
@@ -260,7 +260,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, c = held.value.weights
         found = held.value.matcher()
-        for batch in batches:
+        for batch in portions(batches):
             xy = [features(t, found) for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array([1 / (1 + math.exp(-max(-700.0, a + b * x + c * y))) < threshold for x, y, _ in xy], pa.bool_()))
 
