@@ -43,6 +43,9 @@ NEWER = """
 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f
 """
 UNKNOWN = re.compile("[" + "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in NEWER.split()) + "]")
+# Lower case of letters that Python's tables don't have yet and the library's do.
+LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 #: A sign, neither letter nor number, that stands for them when words are cut.
 STANDIN = "\uf8ff"
 #: Characters that ``str.split`` takes for white space and the patterns of vocabularies don't.
@@ -153,6 +156,7 @@ class WordBpe:
         text = self.normalise(chunk)
         if text.isascii() or not UNKNOWN.search(text):
             return b"".join([self.word_ids(w) for w in self.pattern.findall(text)])
+        text = text.translate(LOWER)
         shape = UNKNOWN.sub(STANDIN, text)
         return b"".join([self.word_ids(text[m.start() : m.end()]) for m in self.pattern.finditer(shape)])
 
