@@ -187,3 +187,21 @@ def test_repeats_of_odd_rows(spark):
         got.setdefault(r["doc_id"], set()).update(spans_to_words(r["spans"]))
     assert got == brute_repeats(items)
     assert suffix_dedup.repeats(odd(spark)).count() > 0
+
+
+def common_endings():
+    """Pairs that share 50 or 60 words whose last 25 or 40 stand in 200 other documents, whose next word sorts between theirs."""
+    items = []
+    for k in range(12):
+        whole, last = (50, 25) if k % 2 else (60, 40)
+        words = [f"p{k}x{i}" for i in range(whole)]
+        items += [(k * 1000 + i, f"{passage(k * 31 + i, 20)} {' '.join(words)} {'az'[i]} {passage(k * 57 + i + 9, 20)}") for i in range(2)]
+        items += [(k * 1000 + 10 + i, " ".join(f"q{k}y{i}z{j}" for j in range(30)) + " " + " ".join(words[-last:]) + f" r{k}y{i} " + passage(k + i, 10)) for i in range(200)]
+    return items
+
+
+@pytest.mark.parametrize("items", [common_endings()], ids=["common endings"])
+def test_every_occurrence_is_found(spark, items):
+    docs = spark.createDataFrame(items, "doc_id long, text string")
+    got = {r["doc_id"]: spans_to_words(r["spans"]) for r in suffix_dedup.repeats(docs).collect()}
+    assert got == brute_repeats(items)
