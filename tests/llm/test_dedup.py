@@ -200,7 +200,17 @@ def common_endings():
     return items
 
 
-@pytest.mark.parametrize("items", [common_endings()], ids=["common endings"])
+def repeated_twice():
+    """Passages that one document holds twice and another once."""
+    out = []
+    for k in range(40):
+        words = " ".join(f"t{k}x{i}" for i in range(52))
+        lead = [" ".join(f"u{k}y{i}z{j}" for j in range(15)) for i in range(4)]
+        out += [(k * 10, f"{lead[0]} {words} {lead[1]} {words} {lead[2]}"), (k * 10 + 1, f"{lead[3]} {words}")]
+    return out
+
+
+@pytest.mark.parametrize("items", [common_endings(), repeated_twice()], ids=["common endings", "repeated twice"])
 def test_every_occurrence_is_found(spark, items):
     docs = spark.createDataFrame(items, "doc_id long, text string")
     got = {r["doc_id"]: spans_to_words(r["spans"]) for r in suffix_dedup.repeats(docs).collect()}
