@@ -215,3 +215,16 @@ def test_every_occurrence_is_found(spark, items):
     docs = spark.createDataFrame(items, "doc_id long, text string")
     got = {r["doc_id"]: spans_to_words(r["spans"]) for r in suffix_dedup.repeats(docs).collect()}
     assert got == brute_repeats(items)
+
+
+def test_groups_of_passages_give_all_links(spark):
+    first, second = passage(31, 70), passage(32, 55)
+    items = [(i, f"{passage(2000 + i, 25)} {first if i % 2 == 0 else ''} n{i} {second if i % 3 == 0 else ''} end{i}") for i in range(40)]
+    items += [(50, passage(33, 60)), (51, passage(33, 60)), (52, "lead " + passage(33, 60)), (53, first[: len(first) - 9])]
+    held = [{tuple(w[k : k + 50]) for k in range(len(w) - 49)} for w in (t.split() for _, t in items)]
+    wanted = {(a[0], b[0]) for a, x in zip(items, held) for b, y in zip(items, held) if a[0] != b[0] and x & y}
+    got = suffix_dedup.repeats(spark.createDataFrame(items, "doc_id long, text string")).collect()
+    groups = {r["doc_id"]: {p["group"] for p in r["passages"]} for r in got}
+    assert {(a, b) for a, x in groups.items() for b, y in groups.items() if a != b and x & y} == wanted
+    for r in got:
+        assert spans_to_words(r["passages"]) == spans_to_words(r["spans"])

@@ -83,7 +83,10 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     found = suffix_dedup.repeats(table(spark, sf, "documents"))
     words = F.expr("aggregate(spans, 0L, (s, x) -> s + x.end - x.start)")
     spans = F.expr("array_join(transform(spans, x -> concat(x.start, ':', x.end)), ',')")
-    return found.select("doc_id", F.size("spans").cast("long").alias("n_spans"), words.alias("repeated_words"), spans.alias("spans"), "partners", "copies")
+    passages = F.expr("array_join(transform(passages, x -> concat(x.start, ':', x.end, ':', x.group)), ',')")
+    return found.select(
+        "doc_id", F.size("spans").cast("long").alias("n_spans"), words.alias("repeated_words"), spans.alias("spans"), passages.alias("passages"), "partners", "copies"
+    )
 
 
 @query("op8_fingerprints")
