@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxeval.session import stage
+from voxeval.session import stage, unstage
 
 from .base import WORD, files_only, full_text, located, portions
 
@@ -140,6 +140,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     common = chosen.groupBy("window").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("window")
     kept = chosen.join(common, "window").groupBy("node").agg(F.array_sort(F.collect_set("word")).alias("words"))
     runs = stage(runs_at(held.join(kept, "node")))
+    unstage(held)
+    unstage(chosen)
     once = F.when(F.col("first"), F.col("mark")).otherwise(F.lit(0).cast("long"))
     shared = stage(runs.groupBy("one", "two").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.bit_xor(once).alias("group")).filter("a < z"))
     found = runs.join(shared, ["one", "two"]).select("node", "start", "group")
@@ -148,6 +150,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     isle = F.col("start") - F.row_number().over(Window.partitionBy("node", "group").orderBy("start"))
     joined = found.repartition("node").withColumn("isle", isle).groupBy("node", "group", "isle").agg(F.min("start").alias("start"), (F.max("start") + MIN_WORDS).alias("end"))
     passages = stage(joined.select("node", "start", "end", "group"))
+    unstage(runs)
 
     # overlapping passages of a node join to one span
     by_node = passages.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("start", "end", "group"))).alias("passages"))

@@ -62,7 +62,16 @@ def stage(df: DataFrame) -> DataFrame:
     path = fresh_path(spark, "stage")
     df.write.parquet(path)
     _staged.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete a table that ``stage`` returned, once nothing reads it any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    _staged.remove(df._staged_at)
 
 
 def clear_stages(spark: SparkSession) -> int:
