@@ -115,6 +115,18 @@ def test_near_links_equal_brute_force(spark):
     assert sum(r["kept"] for r in got.values()) == len(set(label))
 
 
+def test_known_links_without_a_common_band_stay(spark):
+    """Versions in a chain: the next ones meet in a band, the far ones (similarity 0.52) mostly don't."""
+    items = []
+    for family in range(4):
+        words = passage(4000 + family, 100).split(" ")
+        for k in range(8):
+            words[12 * k + 3] = f"version{family}x{k}"
+            items.append((family * 10 + k, " ".join(words)))
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.near_groups(spark.createDataFrame(items, "doc_id long, text string"), 0.5, target_recall=0.1).collect()}
+    assert got == {i: len(x) for (i, _), x in zip(items, expected_links(items, 0.5)[0])}
+
+
 def test_near_links_of_odd_rows(spark):
     items = [(r[0], r[1]) for r in odd_rows()]
     linked, label = expected_links(items)

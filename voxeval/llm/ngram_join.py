@@ -1,9 +1,9 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
+"""N-gram Jaccard join by banded MinHash.
 
 A document is its set of hashed word shingles. Documents of equal sets form one copy class, which goes on as a single
-node. A forest of prefix tries over min-hash signatures proposes partners: nodes that share a prefix in some tree. The
-prefix starts at full length and is shortened until a pair at the threshold is met with the target recall; what lies below
-such a prefix is a bucket. Nodes connected by buckets are compared exactly, in blocks: a connected set of nodes is dealt
+node. Bands of min-hash values propose partners: nodes that agree in all values of some band are in one bucket. The values
+of a band are the most with which a pair at the threshold is met with the target recall; they are set before any row is
+read, so this is no LSH forest. Nodes connected by buckets are compared exactly, each with each: a connected set is dealt
 into blocks of bounded size and every pair of blocks is one unit of work, so a group of near copies of any size is spread
 over tasks, each set travels once per block and no candidate pair is ever a row. Per block a task emits, for each node, the
 rows it links to and a root of its linked part, so results grow with the nodes.
@@ -140,15 +140,11 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError("components did not settle in 60 rounds")
 
 
-def link_matrix(sets: list[np.ndarray], keys: np.ndarray, allowed: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs share a tree's prefix and have Jaccard similarity of at least ``threshold``, exactly."""
+def link_matrix(sets: list[np.ndarray], allowed: np.ndarray, threshold: float) -> np.ndarray:
+    """Which allowed pairs have Jaccard similarity of at least ``threshold``, exactly."""
     m = len(sets)
-    cand = np.zeros((m, m), bool)
-    for t in range(keys.shape[1]):
-        cand |= keys[:, t, None] == keys[None, :, t]
-    cand &= allowed
     size = np.array([len(s) for s in sets], np.int64)
-    if (rows := np.argwhere(np.triu(cand, 1))).shape[0] <= 2 * m:
+    if (rows := np.argwhere(np.triu(allowed, 1))).shape[0] <= 2 * m:
         out = np.zeros((m, m), bool)
         for i, j in rows:
             same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -167,7 +163,7 @@ def link_matrix(sets: list[np.ndarray], keys: np.ndarray, allowed: np.ndarray, t
         grid = np.zeros((m, COLUMNS), np.float32)
         grid[owner[lo:hi], column[lo:hi] - a] = 1
         same += (grid @ grid.T).astype(np.int64)
-    return cand & (same >= threshold * (size[:, None] + size[None, :] - same) - 1e-9)
+    return allowed & (same >= threshold * (size[:, None] + size[None, :] - same) - 1e-9)
 
 
 def roots(linked: np.ndarray) -> np.ndarray:
@@ -206,20 +202,19 @@ def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Ta
 
 
 def compare_blocks(members: DataFrame, threshold: float) -> DataFrame:
-    """node, links, root per node and pair of blocks, from members (comp, one, two, block, node, size, keys, text)."""
+    """node, links, root per node and pair of blocks, from members (comp, one, two, block, node, size, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ["comp", "one", "two"]):
             t = t.combine_chunks()
             node, block, weight = (t.column(c).to_numpy() for c in ("node", "block", "size"))
             m = len(node)
-            keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(m, -1)
             lists = t.column("shingles").combine_chunks()
             flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
             sets = [flat[a:z] for a, z in zip(ends, ends[1:])]
             apart = t.column("one")[0].as_py() != t.column("two")[0].as_py()
             allowed = block[:, None] != block[None, :] if apart else ~np.eye(m, dtype=bool)
-            linked = link_matrix(sets, keys, allowed, threshold)
+            linked = link_matrix(sets, allowed, threshold)
             hit = linked.any(axis=1)
             if hit.any():
                 out = [node, linked @ weight, node[roots(linked)]]
@@ -250,12 +245,12 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SH
     met = components(lowest.select(F.col("node").alias("a"), "b").unionByName(leads))
 
     sizes = met.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("long").alias("blocks"))
-    wanted = nodes.join(met, "node").join(sizes, "comp").select("comp", "blocks", "node", "size", "keys", F.col("rep._file").alias("_f"), F.col("rep._row").alias("_r"))
+    wanted = nodes.join(met, "node").join(sizes, "comp").select("comp", "blocks", "node", "size", F.col("rep._file").alias("_f"), F.col("rep._row").alias("_r"))
     text = located(docs).select("_file", "_row", "text")
-    texts = wanted.join(text, (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_r"))).select("comp", "blocks", "node", "size", "keys", "text")
+    texts = wanted.join(text, (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_r"))).select("comp", "blocks", "node", "size", "text")
     members = stage(with_shingles(texts, shingle)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     pairs = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pairs = pairs.select("comp", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "size", "keys", "shingles")
+    pairs = pairs.select("comp", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "size", "shingles")
     found = stage(compare_blocks(pairs.repartition("comp", "one", "two").sortWithinPartitions("comp", "one", "two"), threshold))
 
     linked = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
