@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, language_id, mixing, ngram_join, personal_data, suffix_dedup, toxicity, url_filter
+from . import bpe, exact_dedup, fingerprints, language_id, mixing, ngram_join, personal_data, phrases, suffix_dedup, toxicity, url_filter
 from .base import query, residue, table
 
 SITE_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -92,3 +92,8 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_fingerprints")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.compared(table(spark, sf, "documents"))
+
+
+@query("op11_phrases", phrases.SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents").select("lang", "text"))
