@@ -33,14 +33,15 @@ HEAVY_BYTES = 8 << 20
 #: Parts in which a lang's candidates are ranked before their best are ranked together.
 RANK_PARTS = 64
 PIECE_END = r"[.,;:!?\x0A-\x0D]"
-TOKEN = r"[^\x20\x09]+"
+BLANKS = "\x20\x09"
 
 
 def lead_windows(docs: DataFrame, longest: int) -> DataFrame:
     """lang, w1 .. wn: a padded window per word; its lead columns are the piece's words moved up, so nothing is shuffled."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
     pieces = docs.select(lang, F.explode(F.split(ascii_lower(full_text()), PIECE_END)).alias("piece"))
-    words = pieces.select("lang", F.regexp_extract_all("piece", F.lit(TOKEN), F.lit(0)).alias("w")).filter(F.size("w") > 0)
+    pieces = pieces.select("lang", F.expr(f"trim(BOTH '{BLANKS}' FROM piece)").alias("piece")).filter("piece <> ''")
+    words = pieces.select("lang", F.split("piece", f"[{BLANKS}]+").alias("w"))
     moved = ", ".join(f"slice(w, {k}, size(w))" for k in range(2, longest + 1))
     led = words.select("lang", F.expr(f"inline(arrays_zip(w, {moved}))"))
     led = led.toDF("lang", *[f"w{k}" for k in range(1, longest + 1)])
@@ -50,8 +51,14 @@ def lead_windows(docs: DataFrame, longest: int) -> DataFrame:
 def counted_phrases(docs: DataFrame, longest: int, least: int) -> DataFrame:
     """lang, words (array), f of all phrases of 1 to ``longest`` words that occur ``least`` times; without words: n of the lang."""
     names = [f"w{k}" for k in range(1, longest + 1)]
-    windows = lead_windows(docs, longest).groupBy("lang", *names).agg(F.count(F.lit(1)).alias("f"))
-    top = windows.select("lang", F.array(*names).alias("words"), "f").filter((F.col("f") >= least) & (F.col(names[-1]) != PAD))
+    # lang and words travel as one text: no word holds a blank or a line end
+    packed = F.concat("lang", F.lit("\n"), F.concat_ws(" ", *names)).alias("window")
+    windows = lead_windows(docs, longest).groupBy(packed).agg(F.count(F.lit(1)).alias("f"))
+    packed_words = F.split(F.substring_index("window", "\n", -1), " ")
+    lang = F.expr("left(window, char_length(window) - char_length(substring_index(window, '\n', -1)) - 1)").alias("lang")
+    windows = windows.select(lang, *[F.get(packed_words, k).alias(n) for k, n in enumerate(names)], "f")
+    # a condition on the count stays above the count, so that both uses of the windows read one exchange
+    top = windows.filter(F.when(F.col("f") >= least, F.col(names[-1]) != PAD).otherwise(F.lit(False))).select("lang", F.array(*names).alias("words"), "f")
     # a rolled-up column is null; arrays drop it, and a prefix that ends in padding is no phrase
     shorter = windows.rollup("lang", *names[:-1]).agg(F.sum("f").alias("f")).filter(F.col("lang").isNotNull())
     words = F.array_compact(F.array(*names[:-1])).alias("words")
