@@ -1,9 +1,9 @@
 """Collocations by counting only the longest windows and summing them to shorter prefixes.
 
 Every word of a piece leads one window of ``longest`` words, padded where the piece ends: the word itself and its lead
-columns. Only these windows are counted. A ROLLUP over (lang, w1, .., wn) then sums the counts to the shorter prefixes: as
-every word leads exactly one window, the prefix of m words sums to the occurrences of that phrase, the lang alone to its
-words. No shorter n-gram is ever a row of its own, and the rollup reads counted windows, not words.
+columns. Only these windows are counted, first in each task, then where they are dealt by their first words. A ROLLUP over
+(lang, w1, ..) sums the counts to the shorter prefixes: as every word leads exactly one window, the prefix of m words sums
+to the occurrences of that phrase, the lang alone to its words. No shorter n-gram is ever counted from the text.
 
 A candidate is scored at each cut into two phrases, whose counts are looked up among the counted phrases. Keys that hold
 more than one in ``HEAVY`` of all occurrences (so ``HEAVY`` of a length at most) are looked up in a broadcast table whose bytes are
@@ -16,13 +16,18 @@ table and a lang without candidates have no rows; other columns are passed by.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from zlib import crc32
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxeval.plans.bounded import held_bytes
 from voxeval.session import stage
 
-from .base import ascii_lower, full_text
+from .base import full_text, portions
 
 #: Padding of windows beyond the end of a piece; a word is never empty.
 PAD = ""
@@ -32,35 +37,92 @@ HEAVY = 1000
 HEAVY_BYTES = 8 << 20
 #: Parts in which a lang's candidates are ranked before their best are ranked together.
 RANK_PARTS = 64
-PIECE_END = r"[.,;:!?\x0A-\x0D]"
-BLANKS = "\x20\x09"
+#: Words whose windows a task counts together, and the parts in which those of a first word travel.
+FLUSH, PARTS = 1 << 20, 4
+
+
+LED = "lang string, w1 string, part int, rest string"
 
 
-def lead_windows(docs: DataFrame, longest: int) -> DataFrame:
-    """lang, w1 .. wn: a padded window per word; its lead columns are the piece's words moved up, so nothing is shuffled."""
+def led_windows(docs: DataFrame, longest: int) -> DataFrame:
+    """lang, w1, part, rest: the padded windows of every word, counted per ``FLUSH`` words of a task.
+
+    Lead columns are the words moved up within their piece. Windows with the same first word travel as one row, whose ``rest``
+    holds a line for each: the other words and, if there are several such windows, their number. ``part`` is dealt by the second
+    word, so that a frequent first word is no single key.
+    """
+    cut = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d", b"\xff" * 10)  # 255 is in no text
+
+    def rows(numbers: dict[bytes, int], codes: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        words = [PAD, *(w.decode() for w in list(numbers)[1:])]
+        salt = np.array([crc32(w) % PARTS for w in numbers], np.int64)
+        bits = max(1, (len(words) - 1).bit_length())
+        for lang, lists in codes.items():
+            text = np.concatenate([*lists, np.zeros(longest, np.int64)])
+            cols = [text[: len(text) - longest]]
+            for k in range(1, longest):
+                cols.append(np.where(cols[-1] == 0, 0, text[k : len(text) - longest + k]))
+            led = cols[0] != 0
+            cols = [c[led] for c in cols]
+            if longest * bits < 64:
+                packed = cols[0]
+                for c in cols[1:]:
+                    packed = (packed << bits) | c
+                packed, n = np.unique(packed, return_counts=True)
+                cols = [(packed >> (bits * k)) & ((1 << bits) - 1) for k in reversed(range(longest))]
+            elif len(cols[0]):
+                both, n = np.unique(np.stack(cols, axis=1), axis=0, return_counts=True)
+                cols = list(both.T)
+            else:
+                n = cols[0]
+            part = salt[cols[1]] if longest > 1 else np.zeros(len(n), np.int64)
+            order = np.lexsort((part, cols[0]))
+            first, part, n = cols[0][order], part[order], n[order]
+            rest = [[words[i] for i in c[order].tolist()] for c in cols[1:]]
+            lines = [" ".join(r) if k == 1 else f"{' '.join(r)} {k}" for *r, k in zip(*rest, n.tolist())]
+            start = np.flatnonzero(np.diff(first * PARTS + part, prepend=-1))
+            spans = zip(start.tolist(), [*start[1:].tolist(), len(first)])
+            out = [[lang] * len(start), [words[i] for i in first[start].tolist()], part[start].tolist(), ["\n".join(lines[a:z]) for a, z in spans]]
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.string()]
+            for a in range(0, len(start), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 20_000], k) for c, k in zip(out, kinds)], names=["lang", "w1", "part", "rest"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, codes, held = {b"\xff": 0}, {}, 0
+        for b in portions(batches):
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+                words = text.lower().translate(cut).replace(b"\xff", b" \xff ").split()
+                words.append(b"\xff")
+                code = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+                codes.setdefault(lang, []).append(code)
+                held += len(words)
+                if held >= FLUSH:
+                    yield from rows(numbers, codes)
+                    numbers, codes, held = {b"\xff": 0}, {}, 0
+        yield from rows(numbers, codes)
+
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
-    pieces = docs.select(lang, F.explode(F.split(ascii_lower(full_text()), PIECE_END)).alias("piece"))
-    pieces = pieces.select("lang", F.expr(f"trim(BOTH '{BLANKS}' FROM piece)").alias("piece")).filter("piece <> ''")
-    words = pieces.select("lang", F.split("piece", f"[{BLANKS}]+").alias("w"))
-    moved = ", ".join(f"slice(w, {k}, size(w))" for k in range(2, longest + 1))
-    led = words.select("lang", F.expr(f"inline(arrays_zip(w, {moved}))"))
-    led = led.toDF("lang", *[f"w{k}" for k in range(1, longest + 1)])
-    return led.select("lang", "w1", *[F.coalesce(f"w{k}", F.lit(PAD)).alias(f"w{k}") for k in range(2, longest + 1)])
+    return docs.select(lang, full_text().alias("text")).mapInArrow(run, LED)
 
 
 def counted_phrases(docs: DataFrame, longest: int, least: int) -> DataFrame:
     """lang, words (array), f of all phrases of 1 to ``longest`` words that occur ``least`` times; without words: n of the lang."""
     names = [f"w{k}" for k in range(1, longest + 1)]
-    # lang and words travel as one text: no word holds a blank or a line end
-    packed = F.concat("lang", F.lit("\n"), F.concat_ws(" ", *names)).alias("window")
-    windows = lead_windows(docs, longest).groupBy(packed).agg(F.count(F.lit(1)).alias("f"))
-    packed_words = F.split(F.substring_index("window", "\n", -1), " ")
-    lang = F.expr("left(window, char_length(window) - char_length(substring_index(window, '\n', -1)) - 1)").alias("lang")
-    windows = windows.select(lang, *[F.get(packed_words, k).alias(n) for k, n in enumerate(names)], "f")
+    place = ["lang", "w1", "part"]
+    line = led_windows(docs, longest).repartition(*place).select(*place, F.explode(F.split("rest", "\n")).alias("line"))
+    words = F.split("line", " ")
+    line = line.select(*place, *[F.get(words, k).alias(n) for k, n in enumerate(names[1:])], F.coalesce(F.get(words, longest - 1).cast("long"), F.lit(1).cast("long")).alias("f"))
+    # grouped by more than they are dealt by, windows are not exchanged again
+    windows = line.groupBy(*place, *names[1:]).agg(F.sum("f").alias("f"))
     # a condition on the count stays above the count, so that both uses of the windows read one exchange
     top = windows.filter(F.when(F.col("f") >= least, F.col(names[-1]) != PAD).otherwise(F.lit(False))).select("lang", F.array(*names).alias("words"), "f")
+    # prefixes of two words or more are whole where their windows are: rare ones need not travel, only their first word counts
+    prefix = windows.groupBy(*place, *names[1:-1]).agg(F.sum("f").alias("f"))
+    total = F.sum("f").over(Window.partitionBy(*place, "w2")) if longest > 3 else F.col("f")
+    known = prefix.withColumn("known", total >= least) if longest > 2 else prefix
+    known = known.select("lang", "w1", *[F.when(F.col("known"), F.col(n)).otherwise(F.lit(PAD)).alias(n) for n in names[1:-1]], "f")
     # a rolled-up column is null; arrays drop it, and a prefix that ends in padding is no phrase
-    shorter = windows.rollup("lang", *names[:-1]).agg(F.sum("f").alias("f")).filter(F.col("lang").isNotNull())
+    shorter = known.rollup("lang", *names[:-1]).agg(F.sum("f").alias("f")).filter(F.col("lang").isNotNull())
     words = F.array_compact(F.array(*names[:-1])).alias("words")
     shorter = shorter.select("lang", words, "f").filter((F.size("words") == 0) | ((F.col("f") >= least) & ~F.array_contains("words", PAD)))
     return top.unionByName(shorter)
