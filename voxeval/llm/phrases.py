@@ -114,10 +114,10 @@ def counted_phrases(docs: DataFrame, longest: int, least: int) -> DataFrame:
     line = line.select(*place, *[F.get(words, k).alias(n) for k, n in enumerate(names[1:])], F.coalesce(F.get(words, longest - 1).cast("long"), F.lit(1).cast("long")).alias("f"))
     # grouped by more than they are dealt by, windows are not exchanged again
     windows = line.groupBy(*place, *names[1:]).agg(F.sum("f").alias("f"))
-    # a condition on the count stays above the count, so that both uses of the windows read one exchange
+    # a condition on the count stays above the count, so that this and the prefixes read one exchange
     top = windows.filter(F.when(F.col("f") >= least, F.col(names[-1]) != PAD).otherwise(F.lit(False))).select("lang", F.array(*names).alias("words"), "f")
     # prefixes of two words or more are whole where their windows are: rare ones need not travel, only their first word counts
-    prefix = windows.groupBy(*place, *names[1:-1]).agg(F.sum("f").alias("f"))
+    prefix = line.groupBy(*place, *names[1:-1]).agg(F.sum("f").alias("f"))
     total = F.sum("f").over(Window.partitionBy(*place, "w2")) if longest > 3 else F.col("f")
     known = prefix.withColumn("known", total >= least) if longest > 2 else prefix
     known = known.select("lang", "w1", *[F.when(F.col("known"), F.col(n)).otherwise(F.lit(PAD)).alias(n) for n in names[1:-1]], "f")
