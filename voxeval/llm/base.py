@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxeval.plans.bounded import held_bytes
 from voxeval.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +86,19 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return placed.join(gone, (F.col("_at_file") == F.col("_file")) & (F.col("_at_row") == F.col("_row")), "left_anti").select("_doc.*")
 
 
+def split_join(big: DataFrame, small: DataFrame, on: list[str] | str, max_bytes: int = 8 << 20) -> DataFrame:
+    """Inner join whose frequent keys, marked ``heavy`` in ``small`` (staged, a row a key), are broadcast; the others are shuffled.
+
+    The caller marks keys by their share of all rows, which bounds their number; their bytes are checked too.
+    """
+    heavy = small.filter("heavy")
+    if held_bytes(heavy) > max_bytes:
+        return big.join(small, on)
+    keys = [on] if isinstance(on, str) else on
+    light = big.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(small.filter("not heavy"), keys)
+    return big.join(F.broadcast(heavy), keys).unionByName(light)
+
+
 def files_only(docs: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """``docs`` (or some of its columns) as read from files, so that every pass finds the same row at the same place."""
     docs = docs.select(*cols) if cols else docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, hard_negatives, language_id, mixing, ngram_join, personal_data, phrases, suffix_dedup, toxicity, url_filter
+from . import bpe, exact_dedup, fingerprints, hard_negatives, language_id, mixing, ngram_join, personal_data, phrases, substring_dedup, suffix_dedup, toxicity, url_filter
 from .base import query, residue, table
 
 SITE_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -103,3 +103,8 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.hard_negatives(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+@query("op13_substring_dedup")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.repeated(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
