@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voxeval.operators import calibration as C
 from voxeval.operators import ensemble as E
 from voxeval.operators import fits as L
+from voxeval.plans import wide
 from voxeval.plans.newton import Fit, fit_many, ridge
 
 
@@ -116,3 +117,43 @@ def test_boosted_logit_is_twice_the_margin(spark, data):
     prob = model.transform(df.withColumn("y", F.col("y").cast("double"))).select("uid", "probability").toPandas().set_index("uid")
     p = prob.probability.map(lambda v: float(v[1]))
     assert np.allclose(got.z, np.log(p / (1 - p)), atol=1e-6)
+
+
+def test_wide_fits_equal_newton_fits(spark, data):
+    """Weights, held folds, centres and penalties per row: the same minimum as by Newton steps."""
+    df = spark.createDataFrame(data)
+    fits = [Fit((f, c), held=None if f < 0 else f, penalty=ridge(c, 2)) for f in (-1, 0, 2) for c in (0.05, 1.0)]
+    fits += [Fit(("row",), penalty=[0.1, 0.2, 0.3], center=[1.0, -1.0, 0.5], per_row=True)]
+    want = fit_many(df, ["a", "b"], fits, fold="fold", weight="w")
+    got = wide.fit_wide(wide.packed(df, ["a", "b"], "y", "fold", "w"), fits)
+    for m, n in zip(got, want):
+        assert m.name == n.name and m.n == n.n and m.gradient <= 1e-6
+        assert np.allclose([*m.coef, m.b], [*n.coef, n.b], atol=1e-6)
+
+
+def test_wide_feature_models_equal_narrow_ones(spark, data, monkeypatch):
+    df = spark.createDataFrame(data)
+    for zoom in (None, "zoom"):
+        narrow = L.cv_predict_features(df, ["a", "b"], range(4), 0.05, zoom=zoom).select("uid", "z").toPandas().set_index("uid").z
+        with monkeypatch.context() as m:
+            m.setattr(L, "WIDE", 1)
+            broad = L.cv_predict_features(df, ["a", "b"], range(4), 0.05, zoom=zoom).select("uid", "z").toPandas().set_index("uid").z
+        assert np.allclose(narrow.sort_index(), broad.sort_index(), atol=1e-6)
+
+
+def test_hundreds_of_columns(spark):
+    """Null and NaN features count as 0; the gradient settles and the time of a pass grows with the columns, not with their square."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 240))
+    x[3, 5], x[7, 9] = np.nan, np.nan
+    cols = [f"c{i}" for i in range(240)]
+    pdf = pd.DataFrame(x, columns=cols).assign(y=(x[:, 0] + rng.normal(size=300) > 0).astype(int), fold=np.arange(300) % 3)
+    df = spark.createDataFrame(pdf).withColumn("c1", F.when(F.col("fold") == 9, 1.0).otherwise(F.col("c1")))
+    models = L.fit_feature_models(df, cols, range(3), 0.05)
+    clean = np.nan_to_num(x)
+    for f, m in models.items():
+        use = (np.arange(300) % 3) != f
+        z = np.clip((clean[use] - clean[use].mean(0)) / (clean[use].std(0) + 1e-6), -6, 6)
+        assert np.abs(gradient(z, pdf.y[use].to_numpy(), 1.0, m["coef"], m["b"], 0.05)).max() < 1e-5
+    with pytest.raises(ValueError):
+        wide.fit_wide(wide.packed(df.where("fold = 0"), cols[:3], "y", "fold"), [Fit(("none",), held=0, penalty=ridge(1.0, 3))])

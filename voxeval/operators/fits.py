@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxeval.functions.scalars import ZOOM_DEFAULT, clip, linear_score, row_logloss, sigmoid
 from voxeval.operators.metrics import scoreboard
+from voxeval.plans import wide
 from voxeval.plans.bounded import with_grid
 from voxeval.plans.newton import Fit, Fitted, fit_many, ridge
 from voxeval.session import stage
@@ -19,6 +20,8 @@ STACK_FLOORS = (0.002, 0.005, 0.01, 0.015, 0.02, 0.03)
 STACK_GAIN = 1e-5
 FEATURE_C = 0.05
 CLIP = 6.0
+#: Columns from which feature models are fitted on arrays; below, Newton steps on column sums need fewer passes.
+WIDE = 30
 
 
 def _long_sums(df: DataFrame, cols: Sequence[str], fold: str, sums: dict[str, Column]) -> DataFrame:
@@ -105,8 +108,10 @@ def fit_feature_models(df: DataFrame, cols: Sequence[str], folds: Sequence[int],
                        zoom: str | None = None, weight: str | None = None) -> dict[int, dict]:
     """Per held-out fold: optional trend of the normals, scaler, clipped logistic fit (L1 + L2 + L4).
 
-    Returns the parameters of each fold as ``linear_score`` takes them.
+    Returns the parameters of each fold as ``linear_score`` takes them. Both ways find the same minimum.
     """
+    if len(cols) >= WIDE:
+        return _wide_feature_models(df, cols, folds, c, y, fold, zoom, weight)
     d, adj = len(cols), {}
     if zoom is None:
         stats = pivot_params(fold_scaler(df.select(fold, *cols), cols, fold), cols, fold)
@@ -122,9 +127,51 @@ def fit_feature_models(df: DataFrame, cols: Sequence[str], folds: Sequence[int],
                         "adj": adj.get(m.name[0])} for m in got}
 
 
+def _wide_feature_models(df: DataFrame, cols: Sequence[str], folds: Sequence[int], c: float, y: str, fold: str, zoom: str | None, weight: str | None) -> dict[int, dict]:
+    data = wide.packed(df, cols, y, fold, weight, zoom)
+    adj = wide.trends(data, folds) if zoom is not None else {}
+    scale = wide.scales(data, folds, adj)
+    fits = [Fit((f,), held=f, penalty=ridge(c, len(cols)), adj=adj.get(f), mu=scale[f][0], sd=scale[f][1]) for f in folds]
+    return {m.name[0]: {"cols": list(cols), "mu": scale[m.name[0]][0].tolist(), "sd": scale[m.name[0]][1].tolist(), "coef": m.coef, "b": m.b,
+                        "adj": adj[m.name[0]].tolist() if adj else None, "gradient": m.gradient} for m in wide.fit_wide(data, fits)}
+
+
+def _numbers(v: Sequence[float]) -> Column:
+    return F.expr("array(" + ", ".join(f"{float(a)!r}D" for a in v) + ")")
+
+
+def _less(x: Column, row: Column, factor: Column) -> Column:
+    return F.zip_with(x, row, lambda a, b: a - b * factor)
+
+
+def array_inputs(model: dict, zoom: str | None = None) -> Column:
+    """The features of a model as one array: trend removed, standardised, clipped."""
+    x = F.array(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in model["cols"]])
+    if model.get("adj") is not None:
+        z = F.coalesce(F.col(zoom).cast("double"), F.lit(ZOOM_DEFAULT)) if zoom is not None else F.lit(ZOOM_DEFAULT)
+        for row, power in zip(model["adj"], (F.lit(1.0), z, z * z)):
+            x = _less(x, _numbers(row), power)
+    x = F.zip_with(_less(x, _numbers(model["mu"]), F.lit(1.0)), _numbers(model["sd"]), lambda a, b: a / b)
+    return F.transform(x, lambda a: F.least(F.greatest(a, F.lit(-CLIP)), F.lit(CLIP)))
+
+
+def array_dot(x: Column, model: dict) -> Column:
+    return F.aggregate(F.zip_with(x, _numbers(model["coef"]), lambda a, b: a * b), F.lit(float(model["b"])), lambda a, b: a + b)
+
+
+def array_score(models: dict[int, dict], fold: str = "fold", zoom: str | None = None) -> Column:
+    """Score of each row by the model of its fold, over arrays: a fixed number of expressions for any number of columns."""
+    out = F.lit(None).cast("double")
+    for f, m in models.items():
+        out = F.when(F.col(fold) == f, array_dot(array_inputs(m, zoom), m)).otherwise(out)
+    return out
+
+
 def cv_predict_features(df: DataFrame, cols: Sequence[str], folds: Sequence[int], c: float = FEATURE_C, y: str = "y", fold: str = "fold",
                         zoom: str | None = None, name: str = "z") -> DataFrame:
     """Out-of-fold logits of the feature model: every step is fitted outside the scored fold."""
+    if len(cols) >= WIDE:
+        return df.withColumn(name, array_score(fit_feature_models(df, cols, folds, c, y, fold, zoom), fold, zoom))
     z = F.lit(None).cast("double")
     for f, params in fit_feature_models(df, cols, folds, c, y, fold, zoom).items():
         z = F.when(F.col(fold) == f, linear_score(params, zoom)).otherwise(z)

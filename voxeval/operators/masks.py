@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxeval.operators.rasters import AXES, COARSE, Grid, offset_rows
-from voxeval.session import stage
+from voxeval.plans.volumes import Arrays, coordinates, per_volume, placed, run_labels
 
 # Fixed values of the head mask.
 OTSU_BINS = 256
@@ -99,45 +100,26 @@ def close_(mask: DataFrame, n: int, grid: Grid) -> DataFrame:
     return erode(dilate(mask, n, grid), n)
 
 
-def components(mask: DataFrame, grid: Grid, max_rounds: int = 60) -> DataFrame:
-    """Six-connected components, each named by its lowest row-major index (column ``lab``).
+PLACE = [(c, "int") for c in AXES]
 
-    Every voxel points to another one of its component. A round looks up where its target
-    points, takes the lowest such target among neighbours, and hangs both the voxel and its
-    target below it, so whole trees merge and rounds grow with the logarithm of the size.
-    Each round is one staged table and ends by looking for a change.
-    """
-    d, h, w = grid
-    idx = ((F.col("z") * h + F.col("y")) * w + F.col("x")).cast("long")
-    cur = stage(mask.select("uid", idx.alias("i"), idx.alias("f")))
-    at = [F.floor(F.col("i") / F.lit(h * w)), F.floor(F.col("i") / F.lit(w)) % h, F.col("i") % w]
-    coords = [c.cast("int").alias(n) for c, n in zip(at, AXES)]
-    for _ in range(max_rounds):
-        up = cur.join(cur.select("uid", F.col("i").alias("f"), F.col("f").alias("g")), ["uid", "f"])
-        sent = offset_rows(up.select("uid", "f", "g", *coords), CROSS, grid)
-        near = sent.groupBy("uid", idx.alias("i")).agg(
-            F.max("own").alias("member"), F.min("g").alias("m"), F.max(F.when(F.col("own"), F.col("f"))).alias("f")
-        ).where("member")
-        hang = F.array(
-            F.struct(F.col("i").alias("i"), F.least("f", "m").alias("v"), F.col("f").alias("old")),
-            F.struct(F.col("f").alias("i"), F.col("m").alias("v"), F.lit(None).cast("long").alias("old")),
-        )
-        moved = near.select("uid", F.explode(hang).alias("_h")).groupBy("uid", F.col("_h.i").alias("i")).agg(
-            F.min("_h.v").alias("f"), F.max("_h.old").alias("old")
-        )
-        nxt = stage(moved)
-        cur = nxt.select("uid", "i", "f")
-        if nxt.where(F.col("f") != F.col("old")).limit(1).count() == 0:
-            return cur.select("uid", *coords, F.col("f").alias("lab"))
-    raise RuntimeError("components did not settle")
+
+def components(mask: DataFrame, grid: Grid) -> DataFrame:
+    """Six-connected components, each named by its lowest row-major index (column ``lab``): runs of each line, joined inside a uid."""
+    def label(a: Arrays) -> Arrays:
+        at = np.unique(placed(a, grid))
+        return coordinates(at, grid) | {"lab": run_labels(at, grid)}
+
+    return per_volume(mask.select("uid", *AXES), label, [*PLACE, ("lab", "long")])
 
 
 def largest_component(mask: DataFrame, grid: Grid) -> DataFrame:
     """The biggest component of each mask, the first one on ties."""
-    comp = components(mask, grid)
-    sizes = comp.groupBy("uid", "lab").agg(F.count(F.lit(1)).alias("_n"))
-    best = sizes.groupBy("uid").agg(F.max_by("lab", F.struct("_n", -F.col("lab"))).alias("lab"))
-    return comp.join(best, ["uid", "lab"], "left_semi").select("uid", *AXES)
+    def largest(a: Arrays) -> Arrays:
+        at = np.unique(placed(a, grid))
+        _, part, size = np.unique(run_labels(at, grid), return_inverse=True, return_counts=True)
+        return coordinates(at[part == size.argmax()], grid)
+
+    return per_volume(mask.select("uid", *AXES), largest, PLACE)
 
 
 def fill_holes(mask: DataFrame, volume: DataFrame, grid: Grid) -> DataFrame:
@@ -145,14 +127,17 @@ def fill_holes(mask: DataFrame, volume: DataFrame, grid: Grid) -> DataFrame:
 
     ``volume``: all coordinates of each uid.
     """
-    cells = volume.select("uid", *AXES)
-    back = components(cells.join(mask, ["uid", *AXES], "left_anti"), grid)
-    edge = F.lit(False)
-    for c, n in zip(AXES, grid):
-        edge = edge | (F.col(c) == 0) | (F.col(c) == n - 1)
-    closed = back.groupBy("uid", "lab").agg(F.max(edge).alias("_e")).where(~F.col("_e"))
-    holes = back.join(closed, ["uid", "lab"], "left_semi").select("uid", *AXES)
-    return mask.select("uid", *AXES).unionByName(holes)
+    def filled(a: Arrays) -> Arrays:
+        at, member = placed(a, grid), a["member"] == 1
+        kept = np.unique(at[member])
+        back = np.setdiff1d(at[~member], kept)
+        names, part = np.unique(run_labels(back, grid), return_inverse=True)
+        edge = np.logical_or.reduce([(c == 0) | (c == n - 1) for c, n in zip(coordinates(back, grid).values(), grid)])
+        reached = np.bincount(part, edge, len(names)) > 0
+        return coordinates(np.concatenate([kept, back[~reached[part]]]), grid)
+
+    both = volume.select("uid", *AXES, F.lit(0).alias("member")).unionByName(mask.select("uid", *AXES, F.lit(1).alias("member")))
+    return per_volume(both, filled, PLACE)
 
 
 def extent(mask: DataFrame) -> DataFrame:

@@ -6,13 +6,15 @@ import math
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxeval.functions.scalars import hash_int, row_logloss, sigmoid
-from voxeval.plans.bounded import with_grid
 from voxeval.plans.ranking import distinct_counts, exact_quantiles, prefix_sums, value_buckets
+from voxeval.plans.sums import task_sums
 from voxeval.session import stage
 
 
@@ -110,29 +112,31 @@ def replicate_keys(b: int, seed: int = 0) -> list[tuple[int, int, int]]:
     return keys
 
 
-def bootstrap_weight(h: Column, g: Column, a: Column, b: Column, c: Column) -> Column:
-    """Poisson(1) count of one row in one replicate, by inverse CDF of (a h + b g + c) mod 2^31-1; counts end at 12.
+def bootstrap_weights(h: np.ndarray, g: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Poisson(1) counts, rows x replicates, by inverse CDF of (a h + b g + c) mod 2^31-1; counts end at 12.
 
-    ``h`` and ``g`` are independent 31-bit hashes of the row, so that rows stay apart far beyond 2^31 of them. They are
+    ``h`` and ``g`` are independent 31-bit hashes of the row, so that rows stay apart far beyond 2^31 of them. Counts are
     pairwise independent within a replicate, which fixes mean and variance of the replicate sums.
     """
-    u = ((h * a + g * b + c) % F.lit(MERSENNE31)).cast("double") / F.lit(float(MERSENNE31))
-    steps = _poisson_cdf()
-    w = F.when(u < F.lit(steps[0]), F.lit(0.0))
-    for k, c in enumerate(steps[1:], 1):
-        w = w.when(u < F.lit(c), F.lit(float(k)))
-    return w.otherwise(F.lit(float(len(steps))))
+    a, b, c = keys.T
+    u = (h[:, None] * a + g[:, None] * b + c) % MERSENNE31
+    return np.searchsorted(_poisson_cdf(), u / float(MERSENNE31), side="right").astype(float)
 
 
 def bootstrap_sums(delta: DataFrame, b: int, seed: int = 0, uid: str = "uid", d: str = "d") -> DataFrame:
-    """Mean difference of every replicate, in one pass with partial sums per task (M6)."""
-    keys = replicate_keys(b, seed)
-    grid = [{"rep": i, "_a": a, "_b": b2, "_c": c} for i, (a, b2, c) in enumerate(keys)]
+    """Mean difference of every replicate, in one pass (M6): a task keeps two arrays of ``b`` sums, no replicate is a row."""
+    keys = np.array(replicate_keys(b, seed), np.int64)
     hashes = [F.pmod(hash_int(F.col(uid), s), F.lit(MERSENNE31)).alias(n) for n, s in (("_h", str(seed)), ("_i", f"{seed}b"))]
-    rows = delta.select(*hashes, F.col(d).alias("_d"))
-    w = bootstrap_weight(F.col("_h"), F.col("_i"), *[F.col(k).cast("long") for k in ("_a", "_b", "_c")])
-    sums = with_grid(rows, grid).withColumn("_w", w).groupBy("rep")
-    return sums.agg((F.sum(F.col("_w") * F.col("_d")) / F.sum("_w")).alias("mean_d"))
+
+    def partial(p: pa.RecordBatch) -> dict[int, np.ndarray]:
+        h, g, diff = (c.to_numpy(zero_copy_only=False) for c in p.columns)
+        w = bootstrap_weights(h, g, keys)
+        return {0: diff @ w, 1: w.sum(axis=0)}
+
+    rows = delta.where(F.col(d).isNotNull()).select(*hashes, F.col(d).cast("double").alias("_d"))
+    sums = task_sums(rows, partial, 256).groupBy(F.col("at").alias("rep"))
+    total, weight = (F.sum(F.when(F.col("key") == k, F.col("v"))) for k in (0, 1))
+    return sums.agg((total / weight).alias("mean_d"))
 
 
 def paired_bootstrap(delta: DataFrame, b: int = 2000, seed: int = 0, uid: str = "uid", d: str = "d") -> DataFrame:

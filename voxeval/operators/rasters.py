@@ -10,15 +10,15 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxeval.functions.scalars import clean_value, clip, uniform
-from voxeval.plans.bounded import lookup_join, struct_array, struct_array_sql
-from voxeval.session import stage
+from voxeval.plans.bounded import struct_array, struct_array_sql
+from voxeval.plans.volumes import Arrays, Grid, coordinates, dense, per_volume, sampled
 
-Grid = tuple[int, int, int]
 AXES = ("z", "y", "x")
 
 # Fixed values of the grids and of localisation.
@@ -164,61 +164,31 @@ def normalize(voxels: DataFrame, background: DataFrame) -> DataFrame:
     return voxels.join(background, "uid").select("uid", *AXES, clip(F.col("v") / F.col("bg"), 0.0, NORMALIZED_MAX).alias("v"))
 
 
-def _corner_rows(points: DataFrame, grid: Grid, keep: Sequence[str]) -> DataFrame:
-    """Output points with source positions (sz, sy, sx) to their 8 weighted source voxels.
+def affine_resample(voxels: DataFrame, matrix: Sequence[Sequence[float]], offset: Sequence[float], grid: Grid, out: Grid, edge: str = "zero") -> DataFrame:
+    """Linear interpolation at ``matrix @ o + offset`` for every output index o (R16), one transform for all volumes.
 
-    A corner outside the grid keeps weight 0 at a clamped position, so every output exists.
+    Volumes meet by uid once; see ``sampled`` for the passes and the edge rules.
     """
-    corners = F.array(*[F.struct(*[F.lit((b >> i) & 1).alias(f"k{c}") for i, c in enumerate(AXES)]) for b in range(8)])
-    rows = points.withColumn("_k", F.explode(corners))
-    weight, cols = F.lit(1.0), []
-    for c, n in zip(AXES, grid):
-        base = F.floor(F.col(f"s{c}"))
-        frac = F.col(f"s{c}") - base
-        at = base + F.col(f"_k.k{c}")
-        weight = weight * F.when(F.col(f"_k.k{c}") == 1, frac).otherwise(1.0 - frac)
-        weight = weight * F.when((at >= 0) & (at < n), 1.0).otherwise(0.0)
-        cols.append(F.least(F.greatest(at, F.lit(0)), F.lit(n - 1)).cast("int").alias(c))
-    return rows.select(*keep, *cols, weight.alias("w"))
-
-
-def _grid_points(df: DataFrame, grid: Grid) -> DataFrame:
-    d, h, w = grid
-    rows = df.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(d * h * w - 1))))
-    return rows.select(
-        *df.columns, F.floor(F.col("_p") / F.lit(h * w)).cast("int").alias("oz"),
-        (F.floor(F.col("_p") / F.lit(w)) % h).cast("int").alias("oy"), (F.col("_p") % w).cast("int").alias("ox"),
-    )
+    m, t = np.array(matrix, float), np.array(offset, float)
+    return per_volume(voxels.select("uid", *AXES, "v"), lambda a: _all_cells(sampled(dense(a, grid), m, t, out, edge)), CELL)
 
 
-def _gathered(j: DataFrame, keys: Sequence[str]) -> DataFrame:
-    out = j.groupBy(*keys, "oz", "oy", "ox").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-    return out.select(*keys, *[F.col(f"o{c}").alias(c) for c in AXES], "v")
+def affine_resample_each(voxels: DataFrame, thetas: DataFrame, grid: Grid, out: Grid, edge: str = "zero") -> DataFrame:
+    """As above with one transform per uid: columns m00..m22 and t0..t2."""
+    names = [f"m{i}{j}" for i in range(3) for j in range(3)] + [f"t{i}" for i in range(3)]
 
+    def moved(a: Arrays) -> Arrays:
+        p = np.array([float(a[n][0]) for n in names])
+        return _all_cells(sampled(dense(a, grid), p[:9].reshape(3, 3), p[9:], out, edge))
 
-def affine_resample(voxels: DataFrame, matrix: Sequence[Sequence[float]], offset: Sequence[float], grid: Grid, out: Grid) -> DataFrame:
-    """Linear interpolation at ``matrix @ o + offset`` for every output index o, 0 outside.
+    return per_volume(voxels.select("uid", *AXES, "v"), moved, CELL, thetas.select("uid", *names))
 
-    One transform for all volumes: its sparse weights depend on the grid alone and are joined
-    as a size-checked lookup; nothing is exploded per volume beyond the corners that exist.
-    """
-    pts = _grid_points(voxels.sparkSession.range(1).select(), out)
-    o = [F.col(f"o{c}") for c in AXES]
-    src = [sum((o[j] * F.lit(float(matrix[i][j])) for j in range(3)), F.lit(float(offset[i]))) for i in range(3)]
-    pts = pts.select("oz", "oy", "ox", *[s.alias(f"s{c}") for s, c in zip(src, AXES)])
-    table = _corner_rows(pts, grid, ["oz", "oy", "ox"])
-    table = stage(table.groupBy("oz", "oy", "ox", *AXES).agg(F.sum("w").alias("w")))
-    return _gathered(lookup_join(voxels, table, list(AXES)), ["uid"])
 
+CELL = [*[(c, "int") for c in AXES], ("v", "double")]
 
-def affine_resample_each(voxels: DataFrame, thetas: DataFrame, grid: Grid, out: Grid) -> DataFrame:
-    """As above with one transform per uid: columns m00..m22 and t0..t2."""
-    names = [f"m{i}{j}" for i in range(3) for j in range(3)] + [f"t{i}" for i in range(3)]
-    pts = _grid_points(thetas.select("uid", *names), out)
-    o = [F.col(f"o{c}") for c in AXES]
-    src = [sum((o[j] * F.col(f"m{i}{j}") for j in range(3)), F.col(f"t{i}")) for i in range(3)]
-    pts = pts.select("uid", "oz", "oy", "ox", *[s.alias(f"s{c}") for s, c in zip(src, AXES)])
-    return _gathered(voxels.join(_corner_rows(pts, grid, ["uid", "oz", "oy", "ox"]), ["uid", *AXES]), ["uid"])
+
+def _all_cells(v: np.ndarray) -> Arrays:
+    return coordinates(np.arange(v.size), v.shape) | {"v": v.ravel()}
 
 
 def rotation(angle_deg: float, axes: tuple[int, int], grid: Grid) -> tuple[list[list[float]], list[float]]:

@@ -8,11 +8,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from voxeval import fixtures as fx
+from voxeval.functions.scalars import uniform
 from voxeval.operators import fits as L
 from voxeval.operators.folds import group_folds, stratified_folds
 from voxeval.operators.metrics import scoreboard
+from voxeval.plans import wide
 from voxeval.session import stage
-from voxeval.suite.base import auc_sql, clip, fold_sql, loss, newton_ctes, query, sig
+from voxeval.suite.base import auc_sql, clip, fold_sql, loss, newton_ctes, query, sig, u
 from voxeval.suite.folds import _GROUP
 
 COLS = ["cnn", "gbm", "lr"]
@@ -94,6 +96,62 @@ def l5f(spark, sf):
     return L.cv_predict_features(w, _FEATS, range(5), zoom="zoom")
 
 
+#: 64 components, their squares and 45 products of neighbours.
+WIDE_COLS = [f"w{i:03d}" for i in range(173)]
+_WIDE_LIST = "list_concat(e, list_concat(list_transform(e, lambda a: a * a), list_transform(range(1, 46), lambda i: e[i] * e[i + 1])))"
+_WIDE = [
+    ("w", f"""SELECT *, {fold_sql(["y"], "5", "'11'")}::INTEGER AS fold FROM (SELECT vec_id::VARCHAR AS uid, (label >= 5)::INTEGER AS y,
+        15e-1 + 2e0 * {u("vec_id::VARCHAR", "'zoom'")} AS zoom, embedding::DOUBLE[] AS e FROM embeddings)"""),
+    ("r", f"SELECT uid, y, zoom, fold, unnest(range(173)) AS k, unnest({_WIDE_LIST}) AS v FROM w"), ("s", _S.format(src="r")),
+    ("ad", f"SELECT held, k, {_A['0']} / {_A['d']} AS a0, {_A['1']} / {_A['d']} AS a1, {_A['2']} / {_A['d']} AS a2 FROM s"),
+]
+
+
+def wide_features(spark, sf):
+    """173 features of the embeddings with label, spacing and fold."""
+    e = F.col("embedding").cast("array<double>")
+    rows = fx.table(spark, sf, "embeddings").select(
+        F.col("vec_id").cast("string").alias("uid"), F.when(F.col("label") >= 5, 1).otherwise(0).alias("y"),
+        (F.lit(1.5) + F.lit(2.0) * uniform(F.col("vec_id").cast("string"), "zoom")).alias("zoom"), e.alias("e"),
+    )
+    pairs = F.transform(F.sequence(F.lit(1), F.lit(45)), lambda i: F.element_at("e", i) * F.element_at("e", i + 1))
+    rows = rows.withColumn("e", F.concat("e", F.transform("e", lambda a: a * a), pairs))
+    rows = stage(rows.select("uid", "y", "zoom", *[F.col("e")[i].alias(c) for i, c in enumerate(WIDE_COLS)]))
+    return stage(stratified_folds(rows, ["y"], 5, 11))
+
+
+@query("l5_wide_scaler", "fold:i feature:i a0:d5 a1:d5 a2:d5 mu:d6 sd:d6", """SELECT ad.held AS fold, ad.k AS feature, any_value(a0) AS a0, any_value(a1) AS a1, any_value(a2) AS a2,
+    avg(v - (a0 + a1 * zoom + a2 * zoom ** 2)) AS mu, stddev_pop(v - (a0 + a1 * zoom + a2 * zoom ** 2)) + 1e-6 AS sd
+    FROM r JOIN ad ON ad.k = r.k AND ad.held <> r.fold GROUP BY ad.held, ad.k""", [], _WIDE)
+def l5ws(spark, sf):
+    """Trend and scaler of 173 features outside each fold, from array-valued sums."""
+    data = wide.packed(wide_features(spark, sf), WIDE_COLS, "y", "fold", zoom="zoom")
+    adj = wide.trends(data, range(5))
+    scale = wide.scales(data, range(5), adj)
+    rows = [(f, j, *map(float, adj[f][:, j]), float(scale[f][0][j]), float(scale[f][1][j])) for f in range(5) for j in range(173)]
+    return spark.createDataFrame(rows, "fold int, feature int, a0 double, a1 double, a2 double, mu double, sd double")
+
+
+@query("l5_wide_features", "fold:i n:i columns:i stationary:b scored:i", """SELECT h.held AS fold, count(*) FILTER (fold <> h.held) AS n, 173 AS columns, true AS stationary,
+    count(*) FILTER (fold = h.held) AS scored FROM w, (SELECT DISTINCT fold AS held FROM w) h GROUP BY h.held""", [], _WIDE[:1])
+def l5w(spark, sf):
+    """The feature model at its full width: each fold's gradient, summed again from the returned parameters by SQL, is below 1e-4."""
+    w, c = wide_features(spark, sf), L.FEATURE_C
+    models = L.fit_feature_models(w, WIDE_COLS, range(5), c, zoom="zoom")
+    scored = w.withColumn("z", L.array_score(models, zoom="zoom")).where("z IS NOT NULL").groupBy("fold").agg(F.count(F.lit(1)).alias("scored"))
+    sums = None
+    for f, m in models.items():
+        x = L.array_inputs(m, "zoom")
+        train = w.where(F.col("fold") != f).select("y", L.array_dot(x, m).alias("z"), F.concat(x, F.array(F.lit(1.0))).alias("x"))
+        g = train.select(F.posexplode("x").alias("j", "x"), (1.0 / (1.0 + F.exp(-F.col("z"))) - F.col("y")).alias("r"))
+        g = g.groupBy("j").agg(F.sum(F.col("r") * F.col("x")).alias("g"), F.count(F.lit(1)).alias("n"))
+        pull = F.get(F.expr("array(" + ", ".join(f"{v / c!r}D" for v in m["coef"]) + ", 0D)"), F.col("j"))
+        g = g.select(F.lit(f).alias("fold"), "n", F.abs(F.col("g") + pull).alias("g"))
+        sums = g if sums is None else sums.unionByName(g)
+    sums = sums.groupBy("fold").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("columns"), (F.max("g") < 1e-4).alias("stationary"))
+    return sums.join(scored, "fold").withColumn("columns", F.col("columns") - 1)
+
+
 def _halves(spark, sf):
     """Two balanced halves: each is scored by models of the other, so every row is scored."""
     return stage(stratified_folds(fx.wide_oof(spark, sf), ["y"], 2, 11, name="half"))
