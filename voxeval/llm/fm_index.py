@@ -15,14 +15,17 @@ END = 0
 
 
 def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of the suffixes in the order of their first ``depth`` symbols, equal ones by position."""
+    """Starts of the suffixes in the order of their first ``depth`` symbols; equal ones in any order."""
     rank, done = text.astype(np.int64), 1
     while True:
-        follow = np.zeros(len(rank), np.int64)
-        follow[: max(0, len(rank) - done)] = rank[done:] + 1
-        key = (rank << np.int64(32)) | follow
-        order = np.argsort(key, kind="stable")
-        done *= 2
+        bits = max(1, int(rank.max(initial=0) + 1).bit_length())
+        parts = max(2, 63 // bits)  # as many ranks as one number holds, each ``done`` symbols further
+        key = rank + 1
+        for k in range(1, parts):
+            key <<= bits
+            key[: max(0, len(rank) - k * done)] += rank[k * done :] + 1
+        order = np.argsort(key)
+        done *= parts
         if done >= depth:
             return order
         step = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
@@ -30,17 +33,21 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
         rank[order] = step
 
 
+#: The bits below each place of a word.
+BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class BitPlane:
     """Bits with constant-time counts of ones before a place."""
 
     def __init__(self, bits: np.ndarray):
         words = np.packbits(np.pad(bits, (0, -len(bits) % 64 + 64)), bitorder="little").view("<u8")
         self.words = words
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)]).astype(np.int32)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
 
     def ones(self, at: np.ndarray) -> np.ndarray:
-        block, bit = at >> 6, (at & 63).astype(np.uint64)
-        return self.before[block] + np.bitwise_count(self.words[block] & ((np.uint64(1) << bit) - np.uint64(1)))
+        block = at >> 6
+        return self.before[block] + np.bitwise_count(self.words[block] & BELOW[at & 63])
 
 
 class WaveletTree:

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -123,9 +124,9 @@ def cut_documents(texts: DataFrame, size: int) -> DataFrame:
                     counts.append(0)
                     continue
                 start, windows, key, again = stretches(words, size, hashes)
-                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-                first = ends[start] - np.fromiter((len(words[i]) for i in start.tolist()), np.int64, len(start)) - 1
-                spans = zip(first.tolist(), (ends[start + windows + size - 2] - 1).tolist())
+                ends = np.zeros(len(words) + 1, np.int64)
+                np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=ends[1:])
+                spans = zip(ends[start].tolist(), (ends[start + windows + size - 1] - 1).tolist())
                 digest = np.fromiter((xxhash.xxh3_64_intdigest(body[a:z]) for a, z in spans), np.uint64, len(start)).view(np.int64)
                 cols.append((start.astype(np.int32), windows.astype(np.int16), key, digest, again))
                 counts.append(len(start))
@@ -138,56 +139,75 @@ def cut_documents(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("node", "doc_id", "_file", "_row", "text").mapInArrow(run, CUT)
 
 
-PIECE = "shard_key long, digest long, none boolean, doc_id long, node long, start int, body binary"
+PIECE = "single boolean, shard_key long, digest long, none boolean, doc_id long, node long, start int, body binary"
 
 
-def pieces_of(held: DataFrame, size: int, single: bool) -> DataFrame:
-    """The words of the stretches that go to a shard, from (node, none, doc_id, text, marks); or the windows of those that are cut."""
+def lists(col: pa.ListArray, *fields: str) -> tuple[np.ndarray, ...]:
+    """Offsets of a list column, and the fields of its structs as flat arrays."""
+    flat = col.flatten()
+    return (col.offsets.to_numpy() - col.offsets[0].as_py(), *[flat.field(f).to_numpy(zero_copy_only=False) for f in fields])
+
+
+def pieces_of(held: DataFrame, size: int) -> DataFrame:
+    """The words of the stretches that go to a shard, from (node, none, doc_id, text, sent); of those marked ``single``, window by window."""
+    names = PIECE.replace(",", "").split()[::2]
+    kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = PIECE.replace(",", "").split()[::2]
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for b in portions(batches, 64):
-            rows = []
-            col = [b.column(i) for i in range(5)]
-            for node, none, doc_id, text, marks in zip(col[0].to_pylist(), col[1].to_pylist(), col[2].to_pylist(), col[3].cast(pa.binary()).to_pylist(), col[4].to_pylist()):
-                marks = [m for m in marks if m["sent"] and m["single"] == single]
-                words = text.split() if marks else []
-                for m in marks:
-                    a, z = m["start"], m["start"] + m["windows"]
-                    if not single:
-                        rows.append((m["key"], 0, none, doc_id, node, a, b" ".join(words[a : z + size - 1])))
-                        continue
-                    for i in range(a, z):
-                        body = b" ".join(words[i : i + size])
-                        both = xxhash.xxh3_128_digest(body)
-                        rows.append((int.from_bytes(both[:8], "little", signed=True), int.from_bytes(both[8:], "little", signed=True), none, doc_id, node, i, body))
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-
-    return held.select("node", "none", "doc_id", "text", "marks").mapInArrow(run, PIECE)
-
-
-def first_windows(bodies: list[list[bytes]], size: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Of each piece (its words), by an index over all of them in this order, the windows that start nowhere earlier."""
-    number: dict[bytes, int] = {}
-    flat = [number.setdefault(w, len(number) + 1) for words in bodies for w in (*words, None)]
-    text = np.array(flat, np.int64)
-    end = number[None]  # the mark after each piece becomes END, the numbers above it move down
-    text = np.where(text == end, END, text - (text > end))
+            edge, start, windows, single, key = lists(b.column(4), "start", "windows", "single", "key")
+            owner, rows = [], [[] for _ in range(5)]
+            for i, text in enumerate(b.column(3).cast(pa.binary()).to_pylist()):
+                at = slice(edge[i], edge[i + 1])
+                if at.start == at.stop:
+                    continue
+                words = text.split()
+                for a, n, alone, k in zip(start[at].tolist(), windows[at].tolist(), single[at].tolist(), key[at].tolist()):
+                    if not alone:
+                        made = [(False, k, 0, a, b" ".join(words[a : a + n + size - 1]))]
+                    else:
+                        made = []
+                        for j in range(a, a + n):
+                            body = b" ".join(words[j : j + size])
+                            both = np.frombuffer(xxhash.xxh3_128_digest(body), np.int64)
+                            made.append((True, int(both[0]), int(both[1]), j, body))
+                    owner += [i] * len(made)
+                    for col, values in zip(rows, zip(*made)):
+                        col += values
+            if owner:
+                place = [b.column(c).take(pa.array(owner)) for c in (1, 2, 0)]
+                cols = [*rows[:3], *place, *rows[3:]]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+
+    return held.select("node", "none", "doc_id", "text", "sent").mapInArrow(run, PIECE)
+
+
+class Numbers(dict):
+    """Words numbered from 1 as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = len(self) + 1
+        return self[word]
+
+
+def first_windows(bodies: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that start nowhere earlier, by an index over all pieces in this order: piece, first window and number of windows."""
+    numbers = Numbers({b"\xff": END})  # 255 is in no text
+    words = b" \xff ".join([*bodies, b""]).split(b" ")[:-1]
+    text = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
     index = FMIndex(text, size)
-    sizes = np.array([len(words) + 1 for words in bodies])
-    offset = np.cumsum(sizes) - sizes
     place = np.arange(len(text)) - size + 1  # where the window starts that ends at a place
-    first = np.ones(len(text), bool)
+    first = text != END
+    piece = np.cumsum(~first) - ~first
+    opening = np.concatenate([[0], np.flatnonzero(~first)[:-1] + 1])
+    first &= place >= opening[piece]
     length, low, high = index.statistics(text)
     full = np.flatnonzero(length >= size)
-    first[full] = index.earliest(low[full], high[full]) == place[full]
-    for i, (at, n) in enumerate(zip(offset, sizes)):
-        yield i, np.flatnonzero(first[at + size - 1 : at + n - 1])
+    first[full] &= index.earliest(low[full], high[full]) == place[full]
+    at = np.flatnonzero(first)
+    cut = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    start = at[cut]
+    return piece[start], place[start] - opening[piece[start]], np.diff(np.append(cut, len(at)))
 
 
 FIRSTS = "node long, start int, windows int"
@@ -199,26 +219,26 @@ def firsts_of(sent: DataFrame, size: int, shards: int) -> DataFrame:
     dealt = sent.select(shard, "none", "doc_id", "node", "start", "body").repartition(shards, "shard").sortWithinPartitions("shard", "none", "doc_id", "node", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = None, []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            node, start, windows = [], [], []
-            if held:
-                for i, at in first_windows([body.split(b" ") for _, _, body in held], size):
-                    if len(at):
-                        cuts = np.concatenate([[0], np.flatnonzero(np.diff(at) > 1) + 1, [len(at)]])
-                        for a, z in zip(cuts[:-1], cuts[1:]):
-                            node.append(held[i][0]), start.append(held[i][1] + int(at[a])), windows.append(int(z - a))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(start, pa.int32()), pa.array(windows, pa.int32())], names=["node", "start", "windows"])
+        def result(held: list[tuple]) -> pa.RecordBatch:
+            node, start = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            piece, at, windows = first_windows([body for h in held for body in h[2]], size)
+            cols = [pa.array(node[piece], pa.int64()), pa.array(start[piece] + at, pa.int32()), pa.array(windows, pa.int32())]
+            return pa.RecordBatch.from_arrays(cols, names=["node", "start", "windows"])
 
+        shard, held = None, []
         for b in batches:
-            rows = zip(*(b.column(i).to_pylist() for i in (0, 3, 4, 5)))
-            for s, node, start, body in rows:
-                if s != shard:
-                    yield from done()
-                    shard, held = s, []
-                held.append((node, start, body))
-        yield from done()
+            shards = b.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), b.num_rows]
+            for a, z in zip(edges[:-1], edges[1:]):
+                if a == z:
+                    continue
+                if shards[a] != shard and held:
+                    yield result(held)
+                    held = []
+                shard = shards[a]
+                held.append((b.column(3).slice(a, z - a).to_numpy(), b.column(4).slice(a, z - a).to_numpy(), b.column(5).slice(a, z - a).to_pylist()))
+        if held:
+            yield result(held)
 
     return dealt.mapInArrow(run, FIRSTS)
 
@@ -226,33 +246,43 @@ def firsts_of(sent: DataFrame, size: int, shards: int) -> DataFrame:
 RESULT = "node long, spans array<struct<start: long, end: long>>, n_removed long, kept_sha256 string"
 
 
+def covered(start: np.ndarray, windows: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` places some runs cover."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + windows, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
 def removed_from(held: DataFrame, size: int) -> DataFrame:
-    """node, spans, n_removed, kept_sha256 from (node, text, marks, firsts): all marked windows but the first ones go."""
+    """node, spans, n_removed, kept_sha256 from (node, n_words, text, marks, firsts): all marked windows but the first ones go.
 
+    Documents that keep all their words have no row.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches, 64):
-            nodes, spans, removed, sha = [], [], [], []
-            for node, text, marks, firsts in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                words = text.split()
-                edge = np.zeros(len(words) + 1, np.int32)
-                marked = np.zeros(len(words), bool)
-                for m in marks:
-                    if not m["sent"]:
-                        marked[m["start"] : m["start"] + m["windows"]] = True
-                for f in firsts or []:
-                    marked[f["start"] : f["start"] + f["windows"]] = False
-                at = np.flatnonzero(marked)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + size, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                bounds = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-                nodes.append(node), removed.append(int(gone.sum()))
-                spans.append([{"start": int(a), "end": int(z)} for a, z in zip(bounds[::2], bounds[1::2])])
-                sha.append(hashlib.sha256(b" ".join([words[i] for i in np.flatnonzero(~gone).tolist()])).hexdigest())
-            kinds = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((nodes, spans, removed, sha), kinds)], names=["node", "spans", "n_removed", "kept_sha256"])
-
-    return held.select("node", "text", "marks", "firsts").mapInArrow(run, RESULT)
+            nodes, removed, sha, edges, bounds = [], [], [], [0], []
+            at, start, windows = lists(b.column(3), "start", "windows")
+            at_first, first, n_first = lists(b.column(4), "start", "windows")
+            bodies = b.column(2).cast(pa.binary())
+            for i, (node, n) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                marks, firsts = slice(at[i], at[i + 1]), slice(at_first[i], at_first[i + 1])
+                gone = covered(start[marks], windows[marks], n) & ~covered(first[firsts], n_first[firsts], n)
+                gone = np.flatnonzero(gone)
+                if not len(gone):
+                    continue
+                kept = ~covered(gone, np.int64(size), n)
+                turns = np.flatnonzero(np.diff(kept, prepend=True, append=True))
+                nodes.append(node), removed.append(int(n - kept.sum())), bounds.append(turns)
+                edges.append(edges[-1] + len(turns) // 2)
+                sha.append(hashlib.sha256(b" ".join(compress(bodies[i].as_py().split(), kept.tolist()))).hexdigest())
+            if nodes:
+                flat = np.concatenate(bounds).reshape(-1, 2)
+                spans = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["start", "end"])
+                spans = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), spans)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), spans, pa.array(removed), pa.array(sha)], names=["node", "spans", "n_removed", "kept_sha256"])
+
+    return held.select("node", "n_words", "text", "marks", "firsts").mapInArrow(run, RESULT)
 
 
 def repeated(docs: DataFrame, size: int = 20) -> DataFrame:
@@ -276,20 +306,22 @@ def repeated(docs: DataFrame, size: int = 20) -> DataFrame:
     shards = max(1, -(-(sent.agg(F.sum(words)).first()[0] or 0) // SHARD_WORDS))
 
     one = F.coalesce("single", F.lit(False)).alias("single")
-    asked = lookup_join(sent, large, "key", "left").select("node", "start", "windows", F.lit(True).alias("sent"), one, "key")
-    known = marked.select("node", "start", "windows", F.lit(False).alias("sent"), F.lit(False).alias("single"), "key")
-    marks = asked.unionByName(known).groupBy("node").agg(F.collect_list(F.struct("start", "windows", "sent", "single", "key")).alias("marks"))
-    where = rows.select(*order, F.col("_file").alias("_f"), F.col("_row").alias("_r")).join(marks, "node")
+    asked = lookup_join(sent, large, "key", "left").select("node", "start", "windows", one, "key", F.lit(True).alias("sent"))
+    known = marked.select("node", "start", "windows", F.lit(False).alias("single"), "key", F.lit(False).alias("sent"))
+    some = [F.collect_list(F.when(F.col("sent"), F.struct("start", "windows", "single", "key"))).alias("sent"), F.collect_list(F.when(~F.col("sent"), F.struct("start", "windows"))).alias("marks")]
+    where = rows.select(*order, "n_words", F.col("_file").alias("_f"), F.col("_row").alias("_r")).join(asked.unionByName(known).groupBy("node").agg(*some), "node")
     body = texts.select("_file", "_row", "text")
-    held = stage(body.join(where, (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_r"))).select("node", "none", "doc_id", "text", "marks"))
+    held = stage(body.join(where, (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_r"))).select("node", "none", "doc_id", "n_words", "text", "sent", "marks"))
     unstage(marked)
 
-    pieces = pieces_of(held, size, False)
+    pieces = pieces_of(held, size)
     if not large.isEmpty():
-        alone = pieces_of(held, size, True).groupBy("shard_key", "digest").agg(F.min(place).alias("at"), F.first("body").alias("body"))
-        pieces = pieces.unionByName(alone.select("shard_key", "digest", "at.*", "body"))
+        pieces = stage(pieces)
+        alone = pieces.filter("single").groupBy("shard_key", "digest").agg(F.min(place).alias("at"), F.first("body").alias("body"))
+        pieces = pieces.filter("not single").drop("single", "digest").unionByName(alone.select("shard_key", "at.*", "body"))
+    empty = F.array().cast("array<struct<start: int, windows: int>>")
     firsts = firsts_of(pieces, size, shards).groupBy("node").agg(F.collect_list(F.struct("start", "windows")).alias("firsts"))
-    found = removed_from(held.join(firsts, "node", "left"), size)
+    found = removed_from(held.join(firsts, "node", "left").withColumn("firsts", F.coalesce("firsts", empty)), size)
     none = F.array().cast("array<struct<start: bigint, end: bigint>>")
     return rows.join(found, "node", "left").select(
         "doc_id", "_file", "_row", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
