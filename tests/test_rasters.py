@@ -12,6 +12,7 @@ from voxeval.operators import joins as J
 from voxeval.operators import masks as K
 from voxeval.operators import rasters as R
 from voxeval.operators import templates as T
+from voxeval.plans import volumes as V
 
 GRID = (5, 6, 8)
 
@@ -225,3 +226,100 @@ def test_clusters_ties_and_empty(spark):
     got = T.grouped_2means(spark.createDataFrame(pts, "side int, p double, q double")).toPandas()
     assert got[got.side == 0].groupby("p").k.first().to_dict() == {1.0: 0, 2.0: 0, 8.0: 1, 9.0: 1}
     assert (got[got.side == 3].k == got[got.side == 3].k.iloc[0]).all()
+
+
+def trilinear(v, at, edge):
+    """Value at one real place."""
+    if edge == "outside_zero" and any(p < 0 or p > n - 1 for p, n in zip(at, v.shape)):
+        return 0.0
+    if edge != "zero":
+        at = [min(max(p, 0), n - 1) for p, n in zip(at, v.shape)]
+    total = 0.0
+    for bits in itertools.product((0, 1), repeat=3):
+        place = [int(np.floor(p)) + b for p, b in zip(at, bits)]
+        weight = np.prod([p - np.floor(p) if b else 1 - (p - np.floor(p)) for p, b in zip(at, bits)])
+        if all(0 <= c < n for c, n in zip(place, v.shape)):
+            total += weight * v[tuple(place)]
+    return total
+
+
+@pytest.mark.parametrize("edge", ["zero", "nearest", "outside_zero"])
+@pytest.mark.parametrize("matrix", [((0.8, 0, 0), (0, -1.1, 0), (0, 0, 1.3)), ((0, 0, 0.7), (1.2, 0, 0), (0, -0.6, 0)), ((0.9, 0.2, 0), (-0.2, 0.9, 0.1), (0, 0.05, 1.0))])
+def test_sampling_against_single_places(vols, edge, matrix):
+    """Axes apart, swapped and mixed: passes and gathers give the same as place by place."""
+    v, m, t, out = vols["a"], np.array(matrix, float), np.array([0.3, 4.1, -0.6]), (4, 7, 6)
+    got = V.sampled(v, m, t, out, edge)
+    want = np.array([trilinear(v, m @ np.array(o) + t, edge) for o in np.ndindex(*out)]).reshape(out)
+    assert np.allclose(got, want)
+
+
+def test_resampling_needs_one_exchange(spark, vox):
+    plan = R.affine_resample(vox.select("*"), np.eye(3), (0, 0, 0), GRID, GRID)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan
+
+
+@pytest.mark.parametrize("density", [0.2, 0.35, 0.6, 0.95])
+def test_runs_against_flooding(density):
+    """Labels of random masks, single cells, full lines and planes."""
+    rng = np.random.default_rng(int(density * 100))
+    for grid in ((6, 7, 9), (1, 5, 5), (4, 1, 6), (3, 4, 1)):
+        m = rng.random(grid) < density
+        want = np.full(grid, -1)
+        for start in np.ndindex(*grid):
+            if m[start] and want[start] < 0:
+                todo, name = [start], np.ravel_multi_index(start, grid)
+                want[start] = name
+                while todo:
+                    at = todo.pop()
+                    for axis in range(3):
+                        for step in (-1, 1):
+                            c = list(at)
+                            c[axis] += step
+                            if 0 <= c[axis] < grid[axis] and m[tuple(c)] and want[tuple(c)] < 0:
+                                want[tuple(c)] = name
+                                todo.append(tuple(c))
+        at = np.flatnonzero(m.ravel())
+        assert (V.run_labels(at, grid) == want.ravel()[at]).all()
+
+
+def test_components_need_one_exchange(spark, vox):
+    mask = vox.where("v > 1").select("uid", "z", "y", "x")
+    for df in (K.largest_component(mask, GRID), K.fill_holes(mask, vox, GRID)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_real_spacing_against_scipy_rules(spark, vols):
+    """Two spacings and shapes in one table: blurred by their own steps, first and last cells laid over each other."""
+    spacing = {"a": (2.0, 3.0, 2.5), "b": (5.0, 1.0, 4.0)}
+    scans = spark.createDataFrame([(k, *s, *GRID) for k, s in spacing.items()], "uid string, sz double, sy double, sx double, nz int, ny int, nx int")
+    got = R.downsample_each(spark.createDataFrame(pd.concat([long(v, k) for k, v in vols.items()])), scans, 4.0).toPandas()
+    for k, v in vols.items():
+        out = R.coarse_shape(GRID, spacing[k], 4.0)
+        for axis, s in enumerate(spacing[k]):
+            if (sigma := max(0.0, 2.0 / s - 0.35)) > 0:
+                r = R.blur_radius(sigma, "reflect")
+                w = R.gaussian_weights(sigma, r)
+                pad = np.pad(v, [(r, r) if a == axis else (0, 0) for a in range(3)], mode="symmetric")
+                v = sum(w[i] * np.take(pad, np.arange(i, i + GRID[axis]), axis) for i in range(2 * r + 1))
+        want = np.array([trilinear(v, [i * (n - 1) / (m - 1) if m > 1 else 0.0 for i, n, m in zip(o, GRID, out)], "nearest") for o in np.ndindex(*out)]).reshape(out)
+        assert np.allclose(dense(got[got.uid == k], out), want)
+
+
+def test_beam_keeps_three_and_tries_each_move_once(spark, vols):
+    """Half-resolution winners are refined together; a shifted, enlarged template is found again."""
+    grid = (8, 8, 8)
+    z, y, x = np.meshgrid(*[np.arange(8)] * 3, indexing="ij")
+    t = np.exp(-((z - 3.0) ** 2 + (y - 4.0) ** 2 / 2 + (x - 2.5) ** 2) / 3.0)
+    moved = np.zeros(grid)
+    moved[1:, :-1, 2:] = t[:-1, 1:, :-2]
+    tpl = spark.createDataFrame(long(t).drop(columns="uid").rename(columns={"v": "t"}))
+    vox = spark.createDataFrame(pd.concat([long(moved, "m"), long(t, "t")]))
+    coarse, steps = T.shift_grid(((-1, 0, 1),) * 3), ((-1, 0, 1),) * 3
+    got = {r["uid"]: r for r in T.align_pyramid(vox, tpl, grid, coarse, steps, (1.0, 1.3)).collect()}
+    assert [got["m"][c] for c in ("scale", "flip", "dz", "dy", "dx")] == [0, 0, -1, 1, -2] and got["m"]["ncc"] > 0.99
+    assert [got["t"][c] for c in ("scale", "flip", "dz", "dy", "dx")] == [0, 0, 0, 0, 0]
+    rows = T.scaled(vox, grid, (1.0, 1.3))
+    scores = T._score_moves(T.with_grid(rows, coarse), tpl, grid, ["uid", "scale", *T.MOVE])
+    assert scores.count() == 2 * 2 * len(coarse)
+    best = T.beam(scores, 3)
+    assert [r["count"] for r in best.groupBy("uid").count().collect()] == [3, 3]

@@ -119,6 +119,58 @@ def gaussian_blur(voxels: DataFrame, sigmas: Sequence[float], grid: Grid, edge:
     return out.select(*keys, *AXES, "v")
 
 
+SPACINGS = ("sz", "sy", "sx")
+SHAPE = ("nz", "ny", "nx")
+
+
+def axis_matrix(sigma: float, n: int, edge: str) -> np.ndarray:
+    """The blur along one axis as an n x n matrix."""
+    m = np.zeros((n, n))
+    for i, sends in enumerate(axis_weights(sigma, n, edge)):
+        for o, w in sends:
+            m[o, i] = w
+    return m
+
+
+def blurred(v: np.ndarray, sigmas: Sequence[float], edge: str) -> np.ndarray:
+    for axis, sigma in enumerate(sigmas):
+        if sigma > 0.0:
+            v = np.moveaxis(np.tensordot(axis_matrix(float(sigma), v.shape[axis], edge), v, (1, axis)), 0, axis)
+    return v
+
+
+def gaussian_blur_each(voxels: DataFrame, sigmas: DataFrame, grid: Grid, edge: str = "reflect") -> DataFrame:
+    """Separable blur with each volume's own deviations (R3): columns sz, sy, sx per uid, 0 for none."""
+    def blur(a: Arrays) -> Arrays:
+        return _all_cells(blurred(dense(a, grid), [a[c][0] for c in SPACINGS], edge))
+
+    return per_volume(voxels.select("uid", *AXES, "v"), blur, CELL, sigmas.select("uid", *SPACINGS))
+
+
+def coarse_shape(shape: Sequence[int], spacing: Sequence[float], to: float) -> Grid:
+    """Cells of a volume at another spacing, to the nearest even on ties."""
+    return tuple(max(1, round(float(n) * float(s) / to)) for n, s in zip(shape, spacing))
+
+
+def downsample_each(voxels: DataFrame, scans: DataFrame, to: float = COARSE, blur: bool = True) -> DataFrame:
+    """Each volume on a grid of spacing ``to`` (R2), from its own spacing (sz, sy, sx in mm) and shape (nz, ny, nx).
+
+    Axes that get coarser are blurred first, by half the new step less 0.35 voxels (reflected edges); then the first and last
+    cells of the two grids are laid over each other and values between cells are interpolated linearly.
+    """
+    def small(a: Arrays) -> Arrays:
+        shape, spacing = [int(a[c][0]) for c in SHAPE], [float(a[c][0]) for c in SPACINGS]
+        v = dense(a, tuple(shape))
+        sigmas = [max(0.0, 0.5 * to / s - 0.35) for s in spacing]
+        if blur and max(sigmas) > 0.05:
+            v = blurred(v, sigmas, "reflect")
+        out = coarse_shape(shape, spacing, to)
+        step = [(n - 1) / (m - 1) if m > 1 else 1.0 for n, m in zip(shape, out)]
+        return _all_cells(sampled(v, np.diag(step), np.zeros(3), out, "nearest"))
+
+    return per_volume(voxels.select("uid", *AXES, "v"), small, CELL, scans.select("uid", *SPACINGS, *SHAPE))
+
+
 def center_of_mass(rows: DataFrame, weight: str | None = None, keys: Sequence[str] = ("uid",)) -> DataFrame:
     """Mean member coordinate, optionally weighted."""
     w = F.col(weight) if weight else F.lit(1.0)

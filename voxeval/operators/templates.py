@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from voxeval.operators.masks import dilate
 from voxeval.operators.rasters import AXES, Grid, gaussian_blur, inside
 from voxeval.plans.bounded import lookup_join, with_grid
 from voxeval.plans.ranking import top_k
+from voxeval.plans.volumes import Arrays, coordinates, dense, per_volume, sampled
 from voxeval.session import stage
 
 # Fixed values of scores and of the atlas.
@@ -100,6 +102,48 @@ def align(voxels: DataFrame, template: DataFrame, grid: Grid, coarse: Sequence[d
     return argbest_candidate(_score_moves(rows, tpl, grid, keys), "ncc", "cand").select("uid", *MOVE, "ncc")
 
 
+def scaled(voxels: DataFrame, grid: Grid, scales: Sequence[float]) -> DataFrame:
+    """Each volume at every scale about the grid's centre (column ``scale``: its number), with the border going on beyond the grid."""
+    mid = [(n - 1) / 2.0 for n in grid]
+
+    def every(a: Arrays) -> Arrays:
+        v, parts = dense(a, grid), []
+        for f in scales:
+            offset = np.array([m - m / f for m in mid])
+            parts.append((v if f == 1.0 else sampled(v, np.eye(3) / f, offset, grid, "nearest")).ravel())
+        at = coordinates(np.tile(np.arange(v.size), len(scales)), grid)
+        return {"scale": np.repeat(np.arange(len(scales)), v.size)} | at | {"v": np.concatenate(parts)}
+
+    return per_volume(voxels.select("uid", *AXES, "v"), every, [("scale", "int"), *[(c, "int") for c in AXES], ("v", "double")])
+
+
+def beam(scores: DataFrame, keep: int) -> DataFrame:
+    """The ``keep`` best moves of each volume; equal scores in the order of scale, flip and shifts."""
+    order = [F.desc("ncc"), *[F.asc(c) for c in ("scale", *MOVE)]]
+    return top_k(scores, ["uid"], order, keep).drop("_r")
+
+
+def align_pyramid(voxels: DataFrame, template: DataFrame, grid: Grid, coarse: Sequence[dict], fine: Sequence[Sequence[int]], scales: Sequence[float] = (1.0,),
+                  factor: int = 2, keep: int = 3) -> DataFrame:
+    """Best scale, flip and shift of each volume by a beam search over two resolutions (R21): uid, scale, flip, dz, dy, dx, ncc.
+
+    All scales x ``coarse`` moves are scored on block means of ``factor`` cells (shifts in blocks), so a move costs factor^3
+    times less there; the ``keep`` best go on to full resolution, each with all ``fine`` steps around it. A move that two of
+    them reach is scored once. ``scale`` is the number of the scale.
+    """
+    moved = stage(scaled(voxels, grid, scales))
+    blocks = [F.floor(F.col(c) / F.lit(factor)).cast("int").alias(c) for c in AXES]
+    small = moved.groupBy("uid", "scale", *blocks).agg(F.avg("v").alias("v"))
+    tiny = stage(template.groupBy(*blocks).agg(F.avg("t").alias("t")))
+    keys = ["uid", "scale", *MOVE]
+    low = tuple(-(-n // factor) for n in grid)
+    best = beam(_score_moves(with_grid(small, coarse), tiny, low, keys), keep)
+    steps = [{"ez": a, "ey": b, "ex": c} for a in fine[0] for b in fine[1] for c in fine[2]]
+    tried = with_grid(best.select(*keys), steps)
+    tried = tried.select("uid", "scale", "flip", *[(F.col(f"d{c}") * factor + F.col(f"e{c}")).alias(f"d{c}") for c in AXES]).distinct()
+    return beam(_score_moves(moved.join(tried, ["uid", "scale"]), template, grid, keys), 1)
+
+
 def apply_moves(voxels: DataFrame, moves: DataFrame, grid: Grid) -> DataFrame:
     """Voxels at their aligned position; the places that the move leaves empty are zeros, as ``align`` scores them."""
     moves = moves.select("uid", *MOVE)

@@ -141,6 +141,103 @@ def r16e(spark, sf):
     return R.affine_resample_each(vox, thetas, fx.GRID4, fx.GRID4)
 
 
+def _edge_sql(src: str, nearest: bool) -> str:
+    """As ``_resample_sql``, but places beyond the border take it (nearest), or count 0 altogether."""
+    pull = ", ".join(f"least(greatest(s{a}, 0e0), 3e0) AS s{a}" for a in "zyx")
+    inside = " AND ".join(f"s{a} BETWEEN 0 AND 3" for a in "zyx")
+    body = _resample_sql(f"SELECT uid, oz, oy, ox, {pull} FROM ({src})")
+    if nearest:
+        return body
+    return f"SELECT q.uid, z, y, x, CASE WHEN {inside} THEN v ELSE 0e0 END AS v FROM ({body}) q JOIN ({src}) p ON p.uid = q.uid AND oz = z AND oy = y AND ox = x"
+
+
+@query("r16_edge_nearest", "uid:i z:i y:i x:i v:d6", _edge_sql(_ROT, True), ["voxels"])
+def r16n(spark, sf):
+    """The turn of r16 with the border going on beyond the grid."""
+    return R.affine_resample(fx.voxels(spark, sf), _M, _T, fx.GRID4, fx.GRID4, "nearest")
+
+
+@query("r16_edge_outside", "uid:i z:i y:i x:i v:d6", _edge_sql(_ROT, False), ["voxels"])
+def r16o(spark, sf):
+    """The turn of r16 where places outside the grid are 0 and those inside never mix with it."""
+    return R.affine_resample(fx.voxels(spark, sf), _M, _T, fx.GRID4, fx.GRID4, "outside_zero")
+
+
+_CROP = "SELECT uid, z AS oz, y AS oy, x AS ox, 8e-1 * z + 7e-1 AS sz, -75e-2 * x + 3e0 AS sy, 9e-1 * y - 4e-1 AS sx FROM voxels"
+
+
+@query("r16_separable", "uid:i z:i y:i x:i v:d6", _edge_sql(_CROP, True), ["voxels"])
+def r16s(spark, sf):
+    """Zoom, shift, mirror and swapped axes: three one-dimensional passes."""
+    m = ((0.8, 0.0, 0.0), (0.0, 0.0, -0.75), (0.0, 0.9, 0.0))
+    return R.affine_resample(fx.voxels(spark, sf), m, (0.7, 3.0, -0.4), fx.GRID4, fx.GRID4, "nearest")
+
+
+#: Spacing in mm along z, y, x of three kinds of scanner, by uid.
+SCANNERS = ((2.0, 2.0, 2.0), (1.0, 3.0, 2.5), (4.5, 1.5, 6.0))
+
+
+def scanners(spark, sf):
+    """uid with the spacing and shape of its scanner."""
+    kind = F.col("uid") % len(SCANNERS)
+    cols = [F.element_at(F.array(*[F.lit(s[i]) for s in SCANNERS]), kind.cast("int") + 1).alias(c) for i, c in enumerate(R.SPACINGS)]
+    return fx.stack16(spark, sf).select("uid").distinct().select("uid", *cols, *[F.lit(n).alias(c) for n, c in zip(fx.STACK16, R.SHAPE)])
+
+
+def _axis_rows(axis: int, kind: str) -> str:
+    """(scanner, o, i, w) of one axis: the blur, or the interpolation to 4 mm."""
+    rows, n = [], fx.STACK16[axis]
+    for c, spacing in enumerate(SCANNERS):
+        sigmas = [max(0.0, 2.0 / s - 0.35) for s in spacing]
+        m = max(1, round(n * spacing[axis] / 4.0))
+        if kind == "blur" and sigmas[axis] > 0 and max(sigmas) > 0.05:
+            values = kernel_rows(sigmas[axis], n, "reflect")
+            rows.append(f"SELECT {c} AS c, o, i, w FROM {values}")
+        elif kind == "blur":
+            rows.append(f"SELECT {c} AS c, o, o AS i, 1e0 AS w FROM range({n}) t(o)")
+        else:
+            step = (n - 1) / (m - 1) if m > 1 else 1.0
+            at = f"(SELECT o, least(greatest(o * {step!r}::DOUBLE, 0e0), {n - 1}e0) AS s FROM range({m}) t(o))"
+            rows.append(f"SELECT {c} AS c, o, floor(s)::BIGINT AS i, 1e0 - (s - floor(s)) AS w FROM {at} UNION ALL SELECT {c}, o, floor(s)::BIGINT + 1, s - floor(s) FROM {at} WHERE floor(s) + 1 < {n}")
+    return " UNION ALL ".join(rows)
+
+
+#: Volumes whose missing cells are 0.
+_FULL = [("full16", """SELECT u.uid, g.z, g.y, g.x, coalesce(v, 0e0) AS v FROM (SELECT DISTINCT uid FROM stack16) u CROSS JOIN (
+    SELECT a.z, b.y, c.x FROM range(16) a(z), range(8) b(y), range(8) c(x)) g LEFT JOIN stack16 s ON s.uid = u.uid AND s.z = g.z AND s.y = g.y AND s.x = g.x""")]
+
+
+def _spaced_sql() -> str:
+    sql = f"SELECT uid, uid % {len(SCANNERS)} AS c, z, y, x, v FROM full16"
+    for kind in ("blur", "step"):
+        for i, axis in enumerate("zyx"):
+            rest = ", ".join(f"s.{a}" for a in "zyx" if a != axis)
+            sql = f"SELECT s.uid, s.c, {rest}, k.o AS {axis}, sum(s.v * k.w) AS v FROM ({sql}) s JOIN ({_axis_rows(i, kind)}) k ON k.c = s.c AND k.i = s.{axis} GROUP BY s.uid, s.c, {rest}, k.o"
+    return f"SELECT uid, z, y, x, v FROM ({sql})"
+
+
+@query("r2_real_spacing", "uid:i z:i y:i x:i v:d6", _spaced_sql(), ["stack16"], _FULL)
+def r2s(spark, sf):
+    """Volumes of three spacings in one table, each blurred and sampled by its own, to 4 mm."""
+    return R.downsample_each(fx.stack16(spark, sf), scanners(spark, sf))
+
+
+def _blur_each_sql() -> str:
+    sql = f"SELECT uid, uid % {len(SCANNERS)} AS c, z, y, x, v FROM full16"
+    for i, axis in enumerate("zyx"):
+        rest = ", ".join(f"s.{a}" for a in "zyx" if a != axis)
+        kernels = " UNION ALL ".join(f"SELECT {c} AS c, o, i, w FROM {kernel_rows(0.4 * spacing[i], fx.STACK16[i], 'replicate')}" for c, spacing in enumerate(SCANNERS))
+        sql = f"SELECT s.uid, s.c, {rest}, k.o AS {axis}, sum(s.v * k.w) AS v FROM ({sql}) s JOIN ({kernels}) k ON k.c = s.c AND k.i = s.{axis} GROUP BY s.uid, s.c, {rest}, k.o"
+    return f"SELECT uid, z, y, x, v FROM ({sql})"
+
+
+@query("r3_blur_each", "uid:i z:i y:i x:i v:d6", _blur_each_sql(), ["stack16"], _FULL)
+def r3e(spark, sf):
+    """Deviations of 0.4 spacings, each volume's own, edges replicated; the last, short volume is filled with zeros."""
+    sigmas = scanners(spark, sf).select("uid", *[(F.lit(0.4) * F.col(c)).alias(c) for c in R.SPACINGS])
+    return R.gaussian_blur_each(fx.stack16(spark, sf), sigmas, fx.STACK16, "replicate")
+
+
 @query("r17_center_crop", "uid:i z:i y:i x:i v:d6", """SELECT uid, z - 4 AS z, y - 2 AS y, x - 1 AS x, v FROM stack16
     WHERE z BETWEEN 4 AND 11 AND y BETWEEN 2 AND 5 AND x BETWEEN 1 AND 5""", ["stack16"])
 def r17(spark, sf):

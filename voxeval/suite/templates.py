@@ -90,6 +90,47 @@ def r21f(spark, sf):
     return T.align(fx.voxels(spark, sf).drop("label"), template4(spark, sf), fx.GRID4, coarse, STEPS, (1.0, 0.5))
 
 
+SCALES = (1.0, 0.8, 1.25)
+
+
+def _scale_rows() -> str:
+    """(scale, o, i, w) along one axis of four cells."""
+    rows = []
+    for c, f in enumerate(SCALES):
+        for o in range(4):
+            at = min(max((o - 1.5) / f + 1.5, 0.0), 3.0)
+            low = int(at)
+            rows += [f"({c}, {o}, {i}, {w!r}::DOUBLE)" for i, w in ((low, 1.0 - (at - low)), (low + 1, at - low)) if i < 4]
+    return "(VALUES " + ", ".join(rows) + ")"
+
+
+def _scored(src: str, tpl: str, n: int, moves: str, keep: int) -> str:
+    """The best moves of each uid: volumes ``src`` (uid, scale, z, y, x, v) of n cells a side, ``moves`` (uid, scale, flip, dz, dy, dx)."""
+    cells = f"{n ** 3}e0"
+    return f"""SELECT uid, scale, flip, dz, dy, dx, ncc FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY ncc DESC, scale, flip, dz, dy, dx) AS r FROM (
+        SELECT uid, scale, flip, dz, dy, dx, round((ab - a * b / {cells}) / (sqrt(greatest(aa - a * a / {cells}, 0e0)) * sqrt(bb - b * b / {cells}) + 1e-6), 9) AS ncc FROM (
+        SELECT m.uid, m.scale, flip, dz, dy, dx, sum(v) AS a, sum(v * v) AS aa, sum(v * t) AS ab FROM {src} s JOIN ({moves}) m ON m.uid = s.uid AND m.scale = s.scale
+        JOIN {tpl} p ON p.z = s.z + dz AND p.y = s.y + dy AND p.x = CASE WHEN flip = 1 THEN {n - 1} - s.x ELSE s.x END + dx GROUP BY m.uid, m.scale, flip, dz, dy, dx),
+        (SELECT sum(t) AS b, sum(t * t) AS bb FROM {tpl}))) WHERE r <= {keep}"""
+
+
+_STEP = "(VALUES (-1), (0), (1))"
+_ALL = f"SELECT DISTINCT uid, scale, flip, dz, dy, dx FROM sv, (VALUES (0), (1)) f(flip), {_STEP} i(dz), {_STEP} j(dy), {_STEP} k(dx)"
+_NEXT = f"SELECT DISTINCT uid, scale, flip, 2 * b.dz + i.d AS dz, 2 * b.dy + j.d AS dy, 2 * b.dx + k.d AS dx FROM beam b, {_STEP} i(d), {_STEP} j(d), {_STEP} k(d)"
+
+
+@query("r21_align_pyramid", "uid:i scale:i flip:i dz:i dy:i dx:i ncc:d6", "SELECT * FROM fine_", ["voxels"], [
+    *_TPL, ("sw", f"SELECT * FROM {_scale_rows()} t(scale, o, i, w)"),
+    ("sv", """SELECT v.uid, a.scale, a.o AS z, b.o AS y, c.o AS x, sum(v.v * a.w * b.w * c.w) AS v FROM voxels v JOIN sw a ON a.i = v.z
+        JOIN sw b ON b.i = v.y AND b.scale = a.scale JOIN sw c ON c.i = v.x AND c.scale = a.scale GROUP BY v.uid, a.scale, a.o, b.o, c.o"""),
+    ("sb", "SELECT uid, scale, z // 2 AS z, y // 2 AS y, x // 2 AS x, avg(v) AS v FROM sv GROUP BY ALL"), ("tb", "SELECT z // 2 AS z, y // 2 AS y, x // 2 AS x, avg(t) AS t FROM tpl GROUP BY ALL"),
+    ("beam", _scored("sb", "tb", 2, _ALL, 3)), ("fine_", _scored("sv", "tpl", 4, _NEXT, 1))])
+def r21p(spark, sf):
+    """Three scales, flips and shifts on half resolution, three kept, refined at full resolution."""
+    coarse = T.shift_grid(STEPS)
+    return T.align_pyramid(fx.voxels(spark, sf).drop("label"), template4(spark, sf), fx.GRID4, coarse, STEPS, SCALES)
+
+
 def _rounds(n: int) -> list[tuple[str, str]]:
     """Unrolled rounds of align, mean, symmetrise from ``tpl`` to ``tpl<n>``."""
     out, now = [], "tpl"
