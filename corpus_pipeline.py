@@ -35,9 +35,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens, ids, and the digest of the text that the ids decode to."""
-    coded = bpe.encode(docs.select("doc_id", "source", "lang", "text"), vocabulary()).drop("text")
-    back = bpe.decode(coded, vocabulary())
-    return back.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.coded(docs.select("doc_id", "source", "lang", "text"), vocabulary())
+    return coded.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -53,6 +53,21 @@ def test_bpe_of_odd_rows(spark):
     assert sorted(r["decoded"] for r in bpe.decode(strange, vocabulary()).collect()) == sorted([f"{NAMES[5]} {NAMES[7]}", "", ""])
 
 
+def test_one_pass_equals_two(spark):
+    """Ids and decoded text in place of the text, other columns kept; words are forgotten when a task ends."""
+    docs = odd(spark, wide=True)
+    two = bpe.decode(bpe.encode(docs, vocabulary()), vocabulary()).drop("text")
+    one = bpe.coded(docs, vocabulary())
+    assert one.columns == two.columns
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    assert bpe.coded(empty(spark), vocabulary()).count() == 0
+    coder = bpe.WordBpe.read(vocabulary())
+    first = coder.encode("some words some")
+    assert coder.words
+    coder.forget()
+    assert not coder.words and not coder.chunks and coder.encode("some words some") == first
+
+
 def test_language_of_held_out_rows(spark, sf):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(docs, residue(5) != 0)

@@ -133,6 +133,10 @@ class WordBpe:
             out[i] = t
         return out
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.chunks.clear()
+
     def normalise(self, text: str) -> str:
         # lower-casing goes by character, so a sigma has one lower case wherever it stands
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
@@ -198,42 +202,80 @@ def _put(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
 
 
+def _ids_of(bpe: WordBpe, texts: pa.Array) -> pa.ListArray:
+    coded = [bpe.encode(t or "") for t in texts.to_pylist()]
+    ends = np.cumsum([0, *map(len, coded)]) // 4
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+
+
+def _text_of(names: pa.Array, lists: pa.ListArray) -> pa.Array:
+    lists = lists.fill_null([]) if lists.null_count else lists
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    good = (flat >= 0) & (flat < len(names))
+    if not good.all():
+        owner = np.repeat(np.arange(len(sizes)), sizes)[good]
+        flat, sizes = flat[good], np.bincount(owner, minlength=len(sizes))
+    ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    return pc.binary_join(pa.ListArray.from_arrays(ends, names.take(pa.array(flat))), " ")
+
+
+def _given_back(bpe: WordBpe) -> None:
+    """A worker process lives on after its task: what it remembered is dropped, and freed memory goes back to the system."""
+    bpe.forget()
+    pa.default_memory_pool().release_unused()
+
+
+def _shared(df: DataFrame, vocabulary: str):
+    with open(vocabulary, encoding="utf-8") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
+
+
+IDS, DECODED = T.ArrayType(T.IntegerType()), T.StringType()
+
+
 def encode(df: DataFrame, vocabulary: str, text: str = "text", into: str = "ids") -> DataFrame:
     """``df`` with the ids of ``text`` as an array of int; ``vocabulary`` is a path the driver can read."""
     df = df.drop(into)
-    with open(vocabulary, encoding="utf-8") as f:
-        spec = df.sparkSession.sparkContext.broadcast(f.read())
-    place = df.columns.index(text)
+    spec, place = _shared(df, vocabulary), df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _coder(spec.value)
         for b in portions(batches):
-            coded = [bpe.encode(t or "") for t in b.column(place).to_pylist()]
-            ends = np.cumsum([0, *map(len, coded)]) // 4
-            flat = pa.array(np.frombuffer(b"".join(coded), np.int32))
-            yield _put(b, into, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat))
+            yield _put(b, into, _ids_of(bpe, b.column(place)))
+        _given_back(bpe)
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, IDS)]))
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``df`` with the tokens of ``ids``, word-end marks included, joined by one space."""
     df = df.drop(into)
-    with open(vocabulary, encoding="utf-8") as f:
-        tokens = df.sparkSession.sparkContext.broadcast(WordBpe(json.load(f)).tokens())
-    place = df.columns.index(ids)
+    spec, place = _shared(df, vocabulary), df.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.array(tokens.value, pa.string())
+        bpe = _coder(spec.value)
+        names = pa.array(bpe.tokens(), pa.string())
         for b in portions(batches):
-            lists = b.column(place).fill_null([]) if b.column(place).null_count else b.column(place)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-            good = (flat >= 0) & (flat < len(names))
-            if not good.all():
-                owner = np.repeat(np.arange(len(sizes)), sizes)[good]
-                flat, sizes = flat[good], np.bincount(owner, minlength=len(sizes))
-            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-            yield _put(b, into, pc.binary_join(pa.ListArray.from_arrays(ends, names.take(pa.array(flat))), " "))
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, T.StringType())]))
+            yield _put(b, into, _text_of(names, b.column(place)))
+        _given_back(bpe)
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, DECODED)]))
+
+
+def coded(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``df`` with ids and what they decode to in place of ``text``: one pass, one worker process a task."""
+    df = df.drop(ids, decoded)
+    spec, place = _shared(df, vocabulary), df.columns.index(text)
+    rest = [f for f in df.schema.fields if f.name != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _coder(spec.value)
+        names = pa.array(bpe.tokens(), pa.string())
+        for b in portions(batches):
+            lists = _ids_of(bpe, b.column(place))
+            cols = [c for i, c in enumerate(b.columns) if i != place]
+            yield pa.RecordBatch.from_arrays([*cols, lists, _text_of(names, lists)], names=[*(f.name for f in rest), ids, decoded])
+        _given_back(bpe)
+
+    return df.mapInArrow(run, T.StructType([*rest, T.StructField(ids, IDS), T.StructField(decoded, DECODED)]))

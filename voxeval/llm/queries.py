@@ -40,9 +40,8 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op9_bpe")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
-    coded = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), vocabulary()).drop("text")
-    back = bpe.decode(coded, vocabulary())
-    return back.select(
+    coded = bpe.coded(table(spark, sf, "documents").select("doc_id", "text"), vocabulary())
+    return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )
