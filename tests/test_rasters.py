@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxeval.operators import features as X
 from voxeval.operators import joins as J
 from voxeval.operators import masks as K
+from voxeval.operators import preprocess as P
 from voxeval.operators import rasters as R
 from voxeval.operators import templates as T
 from voxeval.plans import volumes as V
@@ -323,3 +324,24 @@ def test_beam_keeps_three_and_tries_each_move_once(spark, vols):
     assert scores.count() == 2 * 2 * len(coarse)
     best = T.beam(scores, 3)
     assert [r["count"] for r in best.groupBy("uid").count().collect()] == [3, 3]
+
+
+def test_preprocess_keeps_scans_without_signal_and_looks_anywhere(spark):
+    """A bright cell beside a broad head; one volume of zeros, one table without rows."""
+    grid = (14, 14, 14)
+    z, y, x = np.meshgrid(*[np.arange(14)] * 3, indexing="ij")
+    head = 1.0 * ((z - 7) ** 2 + (y - 6) ** 2 + (x - 7) ** 2 < 30) + 2.0 * ((z - 8) ** 2 + (y - 6) ** 2 + (x - 8) ** 2 < 4)
+    vox = spark.createDataFrame(pd.concat([long(head, "a"), long(np.zeros(grid), "b")]))
+    scans = spark.createDataFrame([(u, 4.0, 4.0, 4.0, *grid) for u in "ab"], "uid string, sz double, sy double, sx double, nz int, ny int, nx int")
+    for anywhere, note in ((False, 0), (True, 3)):
+        crops, meta = P.preprocess(vox, scans, grid, (20, 20, 20), P.Limits(tiny=20, near=5), anywhere)
+        meta = {r["uid"]: r for r in meta.collect()}
+        assert (meta["b"]["ok"], meta["b"]["err"]) == (0, P.EMPTY) and meta["a"]["ok"] == 1 and meta["a"]["loc_note"] == note
+        got = crops.toPandas()
+        assert set(got.uid) == {"a"} and len(got) == 20**3
+        peak = dense(got, (20, 20, 20))
+        bright = np.argwhere(peak > 0.9 * peak.max()).mean(axis=0)  # the middle of the bright part
+        deep = 9.5 if anywhere else 15.5  # 25 mm below the top at most, the bright part lies higher
+        assert np.abs(bright - (deep, 9.5, 11.5)).max() <= 2.0 and meta["a"]["peak_bg"] > 1.2
+    crops, meta = P.preprocess(vox.where("uid = 'z'"), scans.where("uid = 'z'"), grid, (4, 4, 4))
+    assert crops.count() == 0 and meta.count() == 0

@@ -16,6 +16,7 @@ SEEDS = (0, 1, 2)
 GRID4 = (4, 4, 4)
 PLANE8 = (1, 8, 8)
 STACK16 = (16, 8, 8)
+CUBE16 = (16, 16, 16)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -103,6 +104,12 @@ def stack16(spark: SparkSession, sf: str) -> DataFrame:
     return _voxel_rows(spark, sf, F.floor(F.col("vec_id") / 16), F.col("vec_id") % 16, F.floor(p / 8), p % 8).drop("label")
 
 
+def cube16(spark: SparkSession, sf: str) -> DataFrame:
+    """Sixty-four consecutive embeddings as one volume of 16 cells a side; the last one may be short."""
+    i = F.col("vec_id") % 64 * 64 + F.col("p")
+    return _voxel_rows(spark, sf, F.floor(F.col("vec_id") / 64), F.floor(i / 256), F.floor(i / 16) % 16, i % 16).drop("label")
+
+
 def frames(spark: SparkSession, sf: str) -> DataFrame:
     """Three time frames with non-finite and negative values put in at hashed places."""
     rows = with_grid(voxels(spark, sf), [{"t": t} for t in range(3)])

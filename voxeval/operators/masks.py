@@ -122,18 +122,22 @@ def largest_component(mask: DataFrame, grid: Grid) -> DataFrame:
     return per_volume(mask.select("uid", *AXES), largest, PLACE)
 
 
-def fill_holes(mask: DataFrame, volume: DataFrame, grid: Grid) -> DataFrame:
+def fill_holes(mask: DataFrame, volume: DataFrame, grid: Grid, own_border: bool = False) -> DataFrame:
     """Mask plus the background that no path connects to the border.
 
-    ``volume``: all coordinates of each uid.
+    ``volume``: all coordinates of each uid. The border is that of ``grid``, or each volume's own: the cells from which a step leaves it.
     """
     def filled(a: Arrays) -> Arrays:
         at, member = placed(a, grid), a["member"] == 1
         kept = np.unique(at[member])
         back = np.setdiff1d(at[~member], kept)
         names, part = np.unique(run_labels(back, grid), return_inverse=True)
-        edge = np.logical_or.reduce([(c == 0) | (c == n - 1) for c, n in zip(coordinates(back, grid).values(), grid)])
-        reached = np.bincount(part, edge, len(names)) > 0
+        own = np.zeros([n + 2 for n in grid], bool)
+        own[a["z"] + 1, a["y"] + 1, a["x"] + 1] = True
+        if not own_border:
+            own[1:-1, 1:-1, 1:-1] = True
+        enclosed = np.logical_and.reduce([np.roll(own, step, axis) for axis in range(3) for step in (-1, 1)])[1:-1, 1:-1, 1:-1]
+        reached = np.bincount(part, ~enclosed.ravel()[back], len(names)) > 0
         return coordinates(np.concatenate([kept, back[~reached[part]]]), grid)
 
     both = volume.select("uid", *AXES, F.lit(0).alias("member")).unionByName(mask.select("uid", *AXES, F.lit(1).alias("member")))

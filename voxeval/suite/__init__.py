@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalars", "joins", "rasters", "masks", "templates", "features", "folds", "metrics", "ensembles", "fits", "calibration", "gates")
+MODULES = ("scalars", "joins", "rasters", "masks", "templates", "features", "folds", "metrics", "ensembles", "fits", "calibration", "gates", "preprocess")
 
 
 def load() -> None:

@@ -103,6 +103,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "voxels": ((), _voxel_cte("vec_id", "p // 16", "(p // 4) % 4", "p % 4")),
     "planes": ((), _voxel_cte("vec_id", "0", "p // 8", "p % 8")),
     "stack16": ((), _voxel_cte("vec_id // 16", "vec_id % 16", "p // 8", "p % 8")),
+    "cube16": ((), _voxel_cte("vec_id // 64", "(vec_id % 64 * 64 + p) // 256", "((vec_id % 64 * 64 + p) // 16) % 16", "(vec_id % 64 * 64 + p) % 16")),
     "frames": (("voxels",), f"""SELECT uid, t, z, y, x, CASE WHEN r < 1e-2 THEN 'NaN'::DOUBLE WHEN r < 2e-2 THEN 'Infinity'::DOUBLE
         WHEN r < 5e-2 THEN -w - 5e0 ELSE w END AS v FROM (SELECT uid, t, z, y, x, v * (1e0 + 1e-1 * t) AS w,
         {u("uid::VARCHAR", "t::VARCHAR", "z::VARCHAR", "y::VARCHAR", "x::VARCHAR", "'bad'")} AS r FROM voxels, (VALUES (0), (1), (2)) f(t))"""),
@@ -130,7 +131,7 @@ def with_clause(needs: Sequence[str], extra: Sequence[tuple[str, str]] = (), rec
     for n in needs:
         visit(n)
     parts = [f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in order]
-    parts += [f"{n} AS ({t})" if recursive and n == "reach" else f"{n} AS MATERIALIZED ({t})" for n, t in extra]
+    parts += [f"{n} AS ({t})" if recursive and n.startswith("reach") else f"{n} AS MATERIALIZED ({t})" for n, t in extra]
     if not parts:
         return ""
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n"

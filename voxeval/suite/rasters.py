@@ -177,17 +177,21 @@ def r16s(spark, sf):
 SCANNERS = ((2.0, 2.0, 2.0), (1.0, 3.0, 2.5), (4.5, 1.5, 6.0))
 
 
-def scanners(spark, sf):
+def scanned(voxels, spacings: tuple, grid: tuple):
     """uid with the spacing and shape of its scanner."""
-    kind = F.col("uid") % len(SCANNERS)
-    cols = [F.element_at(F.array(*[F.lit(s[i]) for s in SCANNERS]), kind.cast("int") + 1).alias(c) for i, c in enumerate(R.SPACINGS)]
-    return fx.stack16(spark, sf).select("uid").distinct().select("uid", *cols, *[F.lit(n).alias(c) for n, c in zip(fx.STACK16, R.SHAPE)])
+    kind = F.col("uid") % len(spacings)
+    cols = [F.element_at(F.array(*[F.lit(s[i]) for s in spacings]), kind.cast("int") + 1).alias(c) for i, c in enumerate(R.SPACINGS)]
+    return voxels.select("uid").distinct().select("uid", *cols, *[F.lit(n).alias(c) for n, c in zip(grid, R.SHAPE)])
+
+
+def scanners(spark, sf):
+    return scanned(fx.stack16(spark, sf), SCANNERS, fx.STACK16)
 
 
-def _axis_rows(axis: int, kind: str) -> str:
+def _axis_rows(axis: int, kind: str, scanners: tuple, grid: tuple) -> str:
     """(scanner, o, i, w) of one axis: the blur, or the interpolation to 4 mm."""
-    rows, n = [], fx.STACK16[axis]
-    for c, spacing in enumerate(SCANNERS):
+    rows, n = [], grid[axis]
+    for c, spacing in enumerate(scanners):
         sigmas = [max(0.0, 2.0 / s - 0.35) for s in spacing]
         m = max(1, round(n * spacing[axis] / 4.0))
         if kind == "blur" and sigmas[axis] > 0 and max(sigmas) > 0.05:
@@ -202,36 +206,39 @@ def _axis_rows(axis: int, kind: str) -> str:
     return " UNION ALL ".join(rows)
 
 
-#: Volumes whose missing cells are 0.
-_FULL = [("full16", """SELECT u.uid, g.z, g.y, g.x, coalesce(v, 0e0) AS v FROM (SELECT DISTINCT uid FROM stack16) u CROSS JOIN (
-    SELECT a.z, b.y, c.x FROM range(16) a(z), range(8) b(y), range(8) c(x)) g LEFT JOIN stack16 s ON s.uid = u.uid AND s.z = g.z AND s.y = g.y AND s.x = g.x""")]
+def full_sql(src: str, grid: tuple) -> str:
+    """Volumes whose missing cells are 0."""
+    return f"""SELECT u.uid, g.z, g.y, g.x, coalesce(v, 0e0) AS v FROM (SELECT DISTINCT uid FROM {src}) u CROSS JOIN (
+    SELECT a.z, b.y, c.x FROM range({grid[0]}) a(z), range({grid[1]}) b(y), range({grid[2]}) c(x)) g LEFT JOIN {src} s ON s.uid = u.uid AND s.z = g.z AND s.y = g.y AND s.x = g.x"""
+
+
+_FULL = [("full16", full_sql("stack16", fx.STACK16))]
 
 
-def _spaced_sql() -> str:
-    sql = f"SELECT uid, uid % {len(SCANNERS)} AS c, z, y, x, v FROM full16"
-    for kind in ("blur", "step"):
-        for i, axis in enumerate("zyx"):
-            rest = ", ".join(f"s.{a}" for a in "zyx" if a != axis)
-            sql = f"SELECT s.uid, s.c, {rest}, k.o AS {axis}, sum(s.v * k.w) AS v FROM ({sql}) s JOIN ({_axis_rows(i, kind)}) k ON k.c = s.c AND k.i = s.{axis} GROUP BY s.uid, s.c, {rest}, k.o"
+def by_scanner(src: str, tables: list) -> str:
+    """``src`` (uid, z, y, x, v) through one-dimensional passes; ``tables`` holds, per pass, its axis and rows (c, o, i, w) by scanner."""
+    sql = f"SELECT uid, uid % {len(SCANNERS)} AS c, z, y, x, v FROM {src}"
+    for axis, rows in tables:
+        rest = ", ".join(f"s.{a}" for a in "zyx" if a != axis)
+        sql = f"SELECT s.uid, s.c, {rest}, k.o AS {axis}, sum(s.v * k.w) AS v FROM ({sql}) s JOIN ({rows}) k ON k.c = s.c AND k.i = s.{axis} GROUP BY s.uid, s.c, {rest}, k.o"
     return f"SELECT uid, z, y, x, v FROM ({sql})"
 
 
-@query("r2_real_spacing", "uid:i z:i y:i x:i v:d6", _spaced_sql(), ["stack16"], _FULL)
+def spaced_sql(src: str, scanners: tuple = SCANNERS, grid: tuple = fx.STACK16) -> str:
+    return by_scanner(src, [(axis, _axis_rows(i, kind, scanners, grid)) for kind in ("blur", "step") for i, axis in enumerate("zyx")])
+
+
+@query("r2_real_spacing", "uid:i z:i y:i x:i v:d6", spaced_sql("full16"), ["stack16"], _FULL)
 def r2s(spark, sf):
     """Volumes of three spacings in one table, each blurred and sampled by its own, to 4 mm."""
     return R.downsample_each(fx.stack16(spark, sf), scanners(spark, sf))
 
 
-def _blur_each_sql() -> str:
-    sql = f"SELECT uid, uid % {len(SCANNERS)} AS c, z, y, x, v FROM full16"
-    for i, axis in enumerate("zyx"):
-        rest = ", ".join(f"s.{a}" for a in "zyx" if a != axis)
-        kernels = " UNION ALL ".join(f"SELECT {c} AS c, o, i, w FROM {kernel_rows(0.4 * spacing[i], fx.STACK16[i], 'replicate')}" for c, spacing in enumerate(SCANNERS))
-        sql = f"SELECT s.uid, s.c, {rest}, k.o AS {axis}, sum(s.v * k.w) AS v FROM ({sql}) s JOIN ({kernels}) k ON k.c = s.c AND k.i = s.{axis} GROUP BY s.uid, s.c, {rest}, k.o"
-    return f"SELECT uid, z, y, x, v FROM ({sql})"
+_BLURS = [(axis, " UNION ALL ".join(f"SELECT {c} AS c, o, i, w FROM {kernel_rows(0.4 * spacing[i], fx.STACK16[i], 'replicate')}" for c, spacing in enumerate(SCANNERS)))
+          for i, axis in enumerate("zyx")]
 
 
-@query("r3_blur_each", "uid:i z:i y:i x:i v:d6", _blur_each_sql(), ["stack16"], _FULL)
+@query("r3_blur_each", "uid:i z:i y:i x:i v:d6", by_scanner("full16", _BLURS), ["stack16"], _FULL)
 def r3e(spark, sf):
     """Deviations of 0.4 spacings, each volume's own, edges replicated; the last, short volume is filled with zeros."""
     sigmas = scanners(spark, sf).select("uid", *[(F.lit(0.4) * F.col(c)).alias(c) for c in R.SPACINGS])
