@@ -17,6 +17,7 @@ GRID4 = (4, 4, 4)
 PLANE8 = (1, 8, 8)
 STACK16 = (16, 8, 8)
 CUBE16 = (16, 16, 16)
+STORED = (56, 80, 80)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -110,6 +111,17 @@ def cube16(spark: SparkSession, sf: str) -> DataFrame:
     return _voxel_rows(spark, sf, F.floor(F.col("vec_id") / 64), F.floor(i / 256), F.floor(i / 16) % 16, i % 16).drop("label")
 
 
+def stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines laid out in volumes of the stored size, 358,400 cells: three values a line, eight lines an order."""
+    n = STORED[0] * STORED[1] * STORED[2]
+    values = F.array(F.col("l_extendedprice").cast("double") / 1e4, F.col("l_quantity").cast("double") / 10, F.col("l_discount").cast("double") * 10 + F.col("l_tax").cast("double"))
+    rows = table(spark, sf, "lineitem").select(((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 3).alias("c"), F.posexplode(values).alias("i", "v"))
+    rows = rows.groupBy((F.col("c") + F.col("i")).alias("c")).agg(F.max("v").alias("v"))  # a line number may repeat within an order
+    at = F.col("c") % n
+    d, h, w = STORED
+    return rows.select(F.floor(F.col("c") / n).alias("uid"), F.floor(at / (h * w)).cast("int").alias("z"), (F.floor(at / w) % h).cast("int").alias("y"), (at % w).cast("int").alias("x"), "v")
+
+
 def frames(spark: SparkSession, sf: str) -> DataFrame:
     """Three time frames with non-finite and negative values put in at hashed places."""
     rows = with_grid(voxels(spark, sf), [{"t": t} for t in range(3)])

@@ -64,7 +64,10 @@ def _topk_aggs(ks: Sequence[int] = TOPS) -> list[Column]:
 
 
 def topk_mean(sides: DataFrame, ks: Sequence[int] = TOPS, by: Sequence[str] = ("uid", "side")) -> DataFrame:
-    """Maximum and means of the k largest values, all k in one pass."""
+    """Maximum and means of the k largest values, all k in one pass.
+
+    Spark cuts each task's rows to the largest k per side before they travel, so what meets in one task is tasks x k values.
+    """
     w = W.partitionBy(*by).orderBy(F.col("v").desc())
     rows = sides.select(*by, "v", F.row_number().over(w).alias("_r")).where(F.col("_r") <= max(ks))
     return rows.groupBy(*by).agg(*_topk_aggs(ks))

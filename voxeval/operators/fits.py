@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -282,10 +284,62 @@ def standardized(df: DataFrame, cols: Sequence[str], bound: float = CLIP):
     return SQLTransformer(statement=f"SELECT *, {', '.join(outs)} FROM __THIS__")
 
 
+def _cosines(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(2.0 / len(b)) * np.cos(x @ w + b)
+
+
+class KernelSvm:
+    """Support vectors with a Gaussian kernel by random Fourier features: cosines of ``size`` random projections, whose inner
+    products are the kernel up to an error of about 1 / sqrt(size), with a linear fit on them. The projections are parameters
+    (columns x size numbers), rows are mapped in Arrow batches."""
+
+    def __init__(self, first, gamma: float, d: int, size: int, seed: int):
+        rng = np.random.default_rng(seed)
+        self.first, self.gamma, self.svc = first, gamma, None
+        self.w, self.b = rng.normal(0.0, np.sqrt(2.0 * gamma), (d, size)), rng.uniform(0.0, 2.0 * np.pi, size)
+
+    def features(self, x: np.ndarray) -> np.ndarray:
+        return _cosines(x, self.w, self.b)
+
+    def mapped(self, df: DataFrame, cols: Sequence[str]) -> DataFrame:
+        from pyspark.ml.functions import array_to_vector
+
+        w, b = self.w, self.b
+
+        @F.pandas_udf("array<double>")
+        def lift(x: pd.Series) -> pd.Series:
+            return pd.Series(list(_cosines(np.stack(x.to_list()), w, b)))
+
+        rows = self.first.transform(df)
+        return rows.withColumn("_v", array_to_vector(lift(F.array(*[f"_s_{c}" for c in cols]))))
+
+    def fit(self, df: DataFrame, cols: Sequence[str], y: str, c: float, max_iter: int) -> KernelSvm:
+        from pyspark.ml.classification import LinearSVC
+
+        rows = stage(self.mapped(df, cols).select(F.col(y).cast("double").alias(y), "_v"))
+        self.cols = list(cols)
+        # C sums the losses, Spark takes their mean
+        self.svc = LinearSVC(featuresCol="_v", labelCol=y, regParam=1.0 / (c * rows.count()), maxIter=max_iter, standardization=False).fit(rows)
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.svc.transform(self.mapped(df, self.cols))
+
+
+def fit_kernel_svm(df: DataFrame, cols: Sequence[str], y: str = "y", c: float = 0.5, size: int = 256, seed: int = 0, max_iter: int = 50) -> KernelSvm:
+    """Gaussian support vectors on standardised, clipped columns (L7); gamma is 1 over columns times their variance."""
+    first = standardized(df, cols)
+    every = F.array(*[f"_s_{n}" for n in cols])
+    var = first.transform(df).select(F.explode(every).alias("v")).agg(F.var_pop("v")).first()[0]
+    return KernelSvm(first, 1.0 / (len(cols) * (var or 1.0)), len(cols), size, seed).fit(df, cols, y, c, max_iter)
+
+
 def fit_alternative(kind: str, df: DataFrame, cols: Sequence[str], y: str = "y", seed: int = 0, **over):
-    """``alternative`` fitted on standardised, clipped columns of ``df``."""
+    """``alternative``, or a kernel SVM ("rbf"), fitted on standardised, clipped columns of ``df``."""
     from pyspark.ml import PipelineModel
 
+    if kind == "rbf":
+        return fit_kernel_svm(df, cols, y, seed=seed, **over)
     first = standardized(df, cols)
     return PipelineModel([first, alternative(kind, cols, y, seed, **over).fit(first.transform(df))])
 
@@ -293,7 +347,7 @@ def fit_alternative(kind: str, df: DataFrame, cols: Sequence[str], y: str = "y",
 def score_alternative(kind: str, model, df: DataFrame, name: str = "z") -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
-    if kind == "svm":
+    if kind in ("svm", "rbf"):
         scored = model.transform(df).withColumn(name, vector_to_array("rawPrediction")[1])
         return scored.select(*df.columns, name)
     return probability_logit(model, df, name)

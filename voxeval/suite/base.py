@@ -104,6 +104,9 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "planes": ((), _voxel_cte("vec_id", "0", "p // 8", "p % 8")),
     "stack16": ((), _voxel_cte("vec_id // 16", "vec_id % 16", "p // 8", "p % 8")),
     "cube16": ((), _voxel_cte("vec_id // 64", "(vec_id % 64 * 64 + p) // 256", "((vec_id % 64 * 64 + p) // 16) % 16", "(vec_id % 64 * 64 + p) % 16")),
+    "stored": ((), """SELECT c // 358400 AS uid, ((c % 358400) // 6400)::INTEGER AS z, (((c % 358400) // 80) % 80)::INTEGER AS y, (c % 80)::INTEGER AS x, v FROM (
+        SELECT (l_orderkey * 8 + l_linenumber) * 3 + i AS c, max(v) AS v FROM (SELECT l_orderkey, l_linenumber, unnest([0, 1, 2]) AS i, unnest([l_extendedprice::DOUBLE / 1e4,
+        l_quantity::DOUBLE / 10e0, l_discount::DOUBLE * 10e0 + l_tax::DOUBLE]) AS v FROM lineitem) GROUP BY 1)"""),
     "frames": (("voxels",), f"""SELECT uid, t, z, y, x, CASE WHEN r < 1e-2 THEN 'NaN'::DOUBLE WHEN r < 2e-2 THEN 'Infinity'::DOUBLE
         WHEN r < 5e-2 THEN -w - 5e0 ELSE w END AS v FROM (SELECT uid, t, z, y, x, v * (1e0 + 1e-1 * t) AS w,
         {u("uid::VARCHAR", "t::VARCHAR", "z::VARCHAR", "y::VARCHAR", "x::VARCHAR", "'bad'")} AS r FROM voxels, (VALUES (0), (1), (2)) f(t))"""),

@@ -34,7 +34,7 @@ def f2(spark, sf):
 
 
 _TOPK = """SELECT uid, side, max(v) AS max, avg(v) FILTER (r <= 30) AS top30, avg(v) FILTER (r <= 125) AS top125, avg(v) FILTER (r <= 400) AS top400,
-    avg(v) AS top1000 FROM (SELECT *, row_number() OVER (PARTITION BY uid, side ORDER BY v DESC) AS r FROM sides) GROUP BY uid, side"""
+    avg(v) FILTER (r <= 1000) AS top1000 FROM (SELECT *, row_number() OVER (PARTITION BY uid, side ORDER BY v DESC) AS r FROM sides) GROUP BY uid, side"""
 
 
 @query("f3_topk_mean", "uid:i side:s max:d6 top30:d6 top125:d6 top400:d6 top1000:d6", _TOPK, ["stack16"], S)
@@ -42,6 +42,21 @@ def f3(spark, sf):
     return X.topk_mean(sides(spark, sf))
 
 
+_LARGE = [("sides", """SELECT uid, CASE WHEN x < 40 THEN 'R' ELSE 'L' END AS side, v FROM stored WHERE z BETWEEN 16 AND 39 AND y BETWEEN 20 AND 59 AND x BETWEEN 20 AND 59""")]
+
+
+@query("f3_topk_stored", "uid:i side:s max:d6 top30:d6 top125:d6 top400:d6 top1000:d6", _TOPK, ["stored"], _LARGE)
+def f3l(spark, sf):
+    """Volumes of the stored size with sides of up to 19,200 cells, where every k cuts."""
+    return X.topk_mean(X.split_sides(fx.stored(spark, sf), fx.STORED))
+
+
+@query("f1_quantiles_stored", "uid:i g_p50:d6 g_p90:d6 g_p99:d6 g_p999:d6 g_max:d6", """SELECT uid, quantile_cont(v, 5e-1) AS g_p50, quantile_cont(v, 9e-1) AS g_p90,
+    quantile_cont(v, 99e-2) AS g_p99, quantile_cont(v, 999e-3) AS g_p999, max(v) + 1e-6 AS g_max FROM stored GROUP BY uid""", ["stored"])
+def f1l(spark, sf):
+    return X.quantile_features(fx.stored(spark, sf)).withColumnRenamed("g_p99.9", "g_p999")
+
+
 def _q(x: float) -> str:
     """A decimal as SQL text that is a double from the start."""
     return f"{round(x * 10)}e-1"

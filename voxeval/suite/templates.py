@@ -199,9 +199,9 @@ def r24(spark, sf):
     ("t", "SELECT z, y, x, v AS t FROM t16"), ("pts", _points("t")), *_lloyd("pts"),
     ("zones", """SELECT z, y, x, side + CASE WHEN first THEN 1 WHEN y >= ym THEN 2 ELSE 3 END AS code FROM fin
         LEFT JOIN (SELECT side AS s, median(y) AS ym FROM fin WHERE NOT first GROUP BY side) ON s = side"""),
-    ("near", dilate_sql("(SELECT 0 AS uid, z, y, x FROM zones)")),
+    *[(f"near{i}" if i < 4 else "near", dilate_sql(f"near{i - 1}" if i > 1 else "(SELECT 0 AS uid, z, y, x FROM zones)")) for i in range(1, 5)],
     ("far", """SELECT z, y, x, y < 24e-1 AND abs(z - 8e0) < 6 AS strict FROM t WHERE t > 7e-1 AND t < (SELECT quantile_cont(t, 9e-1) FROM t)
         AND NOT EXISTS (SELECT 1 FROM near n WHERE n.z = t.z AND n.y = t.y AND n.x = t.x)"""),
 ])
 def r25(spark, sf):
-    return T.build_atlas(template16(spark, sf), fx.STACK16, N_SIDE, REACH, grow=1, ref_depth=6.0, ref_least=10)
+    return T.build_atlas(template16(spark, sf), fx.STACK16, N_SIDE, REACH, ref_depth=6.0, ref_least=10)
