@@ -196,17 +196,28 @@ def flip_sets(df: DataFrame, scenarios: dict[str, Column], ks: Sequence[int], re
               y: str = "y") -> DataFrame:
     """Rows whose label is flipped, per scenario, repeat and k: the k smallest hashes.
 
-    Each task keeps at most max(ks) rows per (scenario, repeat) before the shuffle.
+    Hashes are even, so a bound that some three times max(ks) rows of a repeat fall below is known from the number of rows: only
+    those are ranked. Should a repeat have too few below it (odds far below one in 10^15), all rows are ranked.
     """
-    parts = None
     kmax = max(ks)
-    for name, allowed in scenarios.items():
-        rows = with_grid(df.where(allowed).select(F.col(uid).alias("uid"), F.col(z).alias("z"), F.col(y).alias("y")),
-                         [{"rep": r} for r in range(reps)])
-        rows = rows.withColumn("_h", hash_hex(F.col("uid"), F.lit(name), F.col("rep").cast("string")))
-        got = top_k(rows, ["rep"], [F.col("_h"), F.col("uid")], kmax).withColumn("scenario", F.lit(name))
-        parts = got if parts is None else parts.unionByName(got)
-    flips = parts.select("scenario", "rep", "uid", "z", "y", "_r")
+    src = df.select(F.col(uid).alias("uid"), F.col(z).alias("z"), F.col(y).alias("y"), *[c.alias(f"_in{i}") for i, c in enumerate(scenarios.values())])
+    sizes = src.agg(*[F.count_if(f"_in{i}").alias(f"n{i}") for i in range(len(scenarios))]).first()
+
+    def smallest(bounded: bool) -> DataFrame:
+        parts = None
+        for i, name in enumerate(scenarios):
+            rows = with_grid(src.where(f"_in{i}").select("uid", "z", "y"), [{"rep": r} for r in range(reps)])
+            rows = rows.withColumn("_h", hash_hex(F.col("uid"), F.lit(name), F.col("rep").cast("string")))
+            share = (3 * kmax + 60) / max(1, sizes[f"n{i}"])
+            if bounded and share < 1:
+                rows = rows.where(F.col("_h") < f"{int(share * 16**12):012x}")
+            got = top_k(rows, ["rep"], [F.col("_h"), F.col("uid")], kmax).withColumn("scenario", F.lit(name))
+            parts = got if parts is None else parts.unionByName(got)
+        return stage(parts.select("scenario", "rep", "uid", "z", "y", "_r"))
+
+    flips = smallest(True)
+    if flips.count() < reps * sum(min(kmax, n or 0) for n in sizes):
+        flips = smallest(False)
     return with_grid(flips, [{"k": int(k)} for k in ks]).where(F.col("_r") <= F.col("k"))
 
 
