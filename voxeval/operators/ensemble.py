@@ -7,9 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxeval.functions.scalars import sigmoid
+from voxeval.functions.scalars import row_logloss, sigmoid
 from voxeval.operators.fits import dot
+from voxeval.operators.metrics import bootstrap_sums, scoreboard
 from voxeval.plans.bounded import lookup_join, with_grid
+from voxeval.plans.newton import Fit, fit_many, ridge
+from voxeval.session import stage
 
 
 def weighted(z: str = "z", w: str = "weight") -> Column:
@@ -120,8 +123,6 @@ def mix(weights: dict[str, float]) -> Column:
 def weight_scan(wide: DataFrame, candidates: Sequence[dict[str, float]], others: Sequence[str], folds: Sequence[int], c: float = 0.1,
                 y: str = "y", fold: str = "fold", group: str = "cnn") -> list[dict]:
     """Nested stack loss of each weight vector; all vectors and folds are fitted together."""
-    from voxeval.functions.scalars import row_logloss
-    from voxeval.plans.newton import Fit, fit_many, ridge
 
     grid = with_grid(wide, [{"cand": i} for i in range(len(candidates))])
     col = F.lit(None).cast("double")
@@ -181,7 +182,6 @@ def simplex(k: int, steps: int) -> list[tuple[float, ...]]:
 
 def pool_scan(wide: DataFrame, families: Sequence[str], steps: int = 10, shrink: float = 0.02, y: str = "y") -> DataFrame:
     """Objective of every simplex weight for probability pooling, shrunk to equal weights."""
-    from voxeval.functions.scalars import row_logloss
 
     k = len(families)
     grid = [
@@ -213,6 +213,43 @@ def marginal_value(wide: DataFrame, base: dict[str, float], cand: str, weight: f
     return paired_delta(scored(base), scored({**base, cand: weight}), y=y)
 
 
+def candidate_report(wide: DataFrame, base: dict[str, float], cands: Sequence[str], others: Sequence[str], folds: Sequence[int], weights: Sequence[float] = (1.0, 2.0),
+                     c: float = 0.1, b: int = 2000, y: str = "y", fold: str = "fold") -> DataFrame:
+    """Per candidate and weight: its own loss and area, the mean nested loss change when it joins the group, and the share of
+    bootstrap replicates that improve (E13 with M6).
+
+    The group without and with each candidate are configurations of one fit: all their folds step together. Losses of all
+    configurations stand in one row per subject, so differences need no join.
+    """
+    configs = [dict(base), *[{**base, cand: w} for cand in cands for w in weights]]
+    names = [*dict.fromkeys([*base, *cands])]
+    rows = stage(wide.select("uid", y, fold, *dict.fromkeys([*others, *names])))
+    groups = rows.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("part"), mix(w).alias("_grp")) for i, w in enumerate(configs)])).alias("_c"))
+    groups = groups.select(y, fold, *others, "_c.part", "_c._grp")
+    cols = ["_grp", *others]
+    fits = [Fit((i, f), held=f, part=i, penalty=ridge(c, len(cols))) for i in range(len(configs)) for f in folds]
+    fitted = {m.name: m for m in fit_many(groups, cols, fits, y=y, fold=fold, part="part")}
+
+    def loss(i: int) -> Column:
+        z = F.lit(None).cast("double")
+        for f in folds:
+            m = fitted[i, f]
+            own = mix(configs[i]) * F.lit(m.coef[0]) + sum((F.col(n) * F.lit(v) for n, v in zip(others, m.coef[1:])), F.lit(m.b))
+            z = F.when(F.col(fold) == f, own).otherwise(z)
+        return row_logloss(y, sigmoid(z))
+
+    scored = rows.select("uid", *[loss(i).alias(f"l{i}") for i in range(len(configs))])
+    deltas = F.array(*[F.struct(F.lit(i - 1).alias("part"), (F.col(f"l{i}") - F.col("l0")).alias("d")) for i in range(1, len(configs))])
+    deltas = stage(scored.select("uid", F.explode(deltas).alias("_d")).select("uid", "_d.part", "_d.d"))
+    reps = bootstrap_sums(deltas, b, part="part").groupBy("part").agg(F.count(F.lit(1)).alias("replicates"), F.avg((F.col("mean_d") < 0).cast("double")).alias("share_better"))
+    change = deltas.groupBy("part").agg(F.avg("d").alias("mean_d")).join(reps, "part")
+    alone = rows.select(y, F.explode(F.array(*[F.struct(F.lit(n).alias("candidate"), F.col(n).alias("z")) for n in cands])).alias("_c")).select(y, "_c.candidate", "_c.z")
+    alone = scoreboard(alone, ["candidate"], y, "z").select("candidate", "logloss", "auc")
+    label = F.element_at(F.array(*[F.struct(F.lit(n).alias("candidate"), F.lit(float(w)).alias("weight")) for n in cands for w in weights]), F.col("part").cast("int") + 1)
+    named = change.withColumn("_n", label).select("_n.candidate", "_n.weight", "mean_d", "share_better", "replicates")
+    return named.join(alone, "candidate")
+
+
 def alternate_average(original: DataFrame, alternative: DataFrame, folds: DataFrame, keys: Sequence[str] = ("uid", "family"),
                       z: str = "z") -> DataFrame:
     """Original and alternative-processing scores averaged, own-fold checkpoints only."""

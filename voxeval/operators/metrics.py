@@ -123,20 +123,26 @@ def bootstrap_weights(h: np.ndarray, g: np.ndarray, keys: np.ndarray) -> np.ndar
     return np.searchsorted(_poisson_cdf(), u / float(MERSENNE31), side="right").astype(float)
 
 
-def bootstrap_sums(delta: DataFrame, b: int, seed: int = 0, uid: str = "uid", d: str = "d") -> DataFrame:
-    """Mean difference of every replicate, in one pass (M6): a task keeps two arrays of ``b`` sums, no replicate is a row."""
+def bootstrap_sums(delta: DataFrame, b: int, seed: int = 0, uid: str = "uid", d: str = "d", part: str | None = None) -> DataFrame:
+    """Mean difference of every replicate, in one pass (M6): a task keeps two arrays of ``b`` sums, no replicate is a row.
+
+    ``part`` (a whole number from 0) names comparisons whose replicates are kept apart; they draw the same counts for a uid.
+    """
     keys = np.array(replicate_keys(b, seed), np.int64)
     hashes = [F.pmod(hash_int(F.col(uid), s), F.lit(MERSENNE31)).alias(n) for n, s in (("_h", str(seed)), ("_i", f"{seed}b"))]
 
     def partial(p: pa.RecordBatch) -> dict[int, np.ndarray]:
-        h, g, diff = (c.to_numpy(zero_copy_only=False) for c in p.columns)
-        w = bootstrap_weights(h, g, keys)
-        return {0: diff @ w, 1: w.sum(axis=0)}
-
-    rows = delta.where(F.col(d).isNotNull()).select(*hashes, F.col(d).cast("double").alias("_d"))
-    sums = task_sums(rows, partial, 256).groupBy(F.col("at").alias("rep"))
-    total, weight = (F.sum(F.when(F.col("key") == k, F.col("v"))) for k in (0, 1))
-    return sums.agg((total / weight).alias("mean_d"))
+        h, g, diff, parts = (c.to_numpy(zero_copy_only=False) for c in p.columns)
+        w, out = bootstrap_weights(h, g, keys), {}
+        for k in np.unique(parts).tolist():
+            own = parts == k
+            out |= {2 * k: diff[own] @ w[own], 2 * k + 1: w[own].sum(axis=0)}
+        return out
+
+    rows = delta.where(F.col(d).isNotNull()).select(*hashes, F.col(d).cast("double").alias("_d"), (F.col(part).cast("long") if part else F.lit(0).cast("long")).alias("_p"))
+    by = [F.col("at").alias("rep")] + ([F.floor(F.col("key") / 2).alias(part)] if part else [])
+    total, weight = (F.sum(F.when(F.col("key") % 2 == k, F.col("v"))) for k in (0, 1))
+    return task_sums(rows, partial, 256).groupBy(*by).agg((total / weight).alias("mean_d"))
 
 
 def paired_bootstrap(delta: DataFrame, b: int = 2000, seed: int = 0, uid: str = "uid", d: str = "d") -> DataFrame:

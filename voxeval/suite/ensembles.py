@@ -8,7 +8,8 @@ from voxeval import fixtures as fx
 from voxeval.functions.scalars import uniform
 from voxeval.operators import ensemble as E
 from voxeval.session import stage
-from voxeval.suite.base import loss, newton_ctes, query, sig, u
+from voxeval.suite.base import auc_sql, loss, newton_ctes, query, sig, u
+from voxeval.suite.metrics import _KEYS, _STEPS, B
 
 _SEED = "SELECT uid, run, family, any_value(y) AS y, any_value(fold) AS fold, avg(z) AS z FROM raw_oof GROUP BY uid, run, family"
 SEED = [("e", _SEED)]
@@ -164,6 +165,30 @@ def e13(spark, sf):
     return E.marginal_value(fx.wide_oof(spark, sf), {"cnn1": 1.0}, "cnn2", 2.0, ["gbm"], range(5))
 
 
+_CR = [("cr", "SELECT uid, y, fold, gbm, cnn1 AS g0, (cnn1 + cnn2) / 2e0 AS g1, (cnn1 + 2e0 * cnn2) / 3e0 AS g2, (cnn1 + lr) / 2e0 AS g3, (cnn1 + 2e0 * lr) / 3e0 AS g4 FROM wide_oof")]
+for _i in range(5):
+    _CR += newton_ctes(f"r{_i}", "cr", [f"g{_i}", "gbm"], "SELECT DISTINCT fold AS held FROM cr", ["held"], "c.held <> r.fold", ["10e0", "10e0", "0e0"])
+_CR += [
+    ("ls", "SELECT uid, " + ", ".join(loss("y", sig(f"r{i}.b0 * g{i} + r{i}.b1 * gbm + r{i}.b2")) + f" AS l{i}" for i in range(5))
+     + " FROM cr " + " ".join(f"JOIN r{i}_b10 r{i} ON r{i}.held = fold" for i in range(5))),
+    ("ds", "SELECT uid, unnest([0, 1, 2, 3]) AS part, unnest([l1 - l0, l2 - l0, l3 - l0, l4 - l0]) AS d FROM ls"), ("keys", f"SELECT * FROM (VALUES {_KEYS}) t(rep, a, b, c)"),
+    ("reps", f"""SELECT part, rep, sum(w * d) / sum(w) AS m FROM (SELECT part, rep, d, {_STEPS} AS w FROM (SELECT part, rep, d, ((h * a + g * b + c) % 2147483647) / 2147483647e0 AS q
+        FROM (SELECT part, d, ('0x' || substr(md5(concat_ws('-', uid, '0')), 1, 8))::BIGINT % 2147483647 AS h,
+            ('0x' || substr(md5(concat_ws('-', uid, '0b')), 1, 8))::BIGINT % 2147483647 AS g FROM ds), keys)) GROUP BY part, rep"""),
+    ("own", "SELECT y, unnest(['cnn2', 'lr']) AS candidate, unnest([cnn2, lr]) AS z FROM wide_oof"),
+]
+
+
+@query("e13_candidate_report", "candidate:s weight:d6 logloss:d6 auc:d6 mean_d:d6 share_better:d6 replicates:i", f"""SELECT ['cnn2', 'cnn2', 'lr', 'lr'][c.part + 1] AS candidate,
+    [1e0, 2e0, 1e0, 2e0][c.part + 1] AS weight, logloss, auc, mean_d, share_better, replicates FROM (SELECT part, avg(d) AS mean_d FROM ds GROUP BY part) c
+    JOIN (SELECT part, count(*) AS replicates, avg((m < 0)::INTEGER) AS share_better FROM reps GROUP BY part) p ON p.part = c.part
+    JOIN (SELECT candidate, avg({loss('y', sig('z'))}) AS logloss FROM own GROUP BY candidate) l ON l.candidate = ['cnn2', 'cnn2', 'lr', 'lr'][c.part + 1]
+    JOIN ({auc_sql("own", ["candidate"])}) a ON a.candidate = l.candidate""", ["wide_oof"], _CR)
+def e13r(spark, sf):
+    """Two candidates at two weights, with the share of 2,000 replicates in which they improve."""
+    return E.candidate_report(fx.wide_oof(spark, sf), {"cnn1": 1.0}, ["cnn2", "lr"], ["gbm"], range(5), b=B)
+
+
 @query("e14_alternate_average", "uid:s family:s z:d6", f"""SELECT uid, family, (o + a) / 2e0 AS z FROM (SELECT uid, family, avg(z) AS o,
     avg(z + 2e-1 * ({u("uid", "file", "'alt'")} - 5e-1)) AS a FROM raw_oof WHERE run = 'a' GROUP BY uid, family)""", ["raw_oof"])
 def e14(spark, sf):
