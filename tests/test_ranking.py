@@ -104,3 +104,23 @@ def test_bootstrap_moments(spark, skewed):
     row = M.paired_bootstrap(d, 400).first()
     assert row.mean_d == pytest.approx(skewed.z.mean(), abs=0.005)
     assert row.sd_d == pytest.approx(skewed.z.std() / np.sqrt(len(skewed)), rel=0.15)
+
+
+def test_samples_and_flips_are_the_smallest_hashes(spark):
+    """Below and above the bound that puts rows aside."""
+    import hashlib
+
+    from voxeval.operators import calibration as C
+    from voxeval.operators.folds import sample_k
+
+    ids = [str(i) for i in range(1500)]
+    df = spark.createDataFrame([(i, float(k % 7), k % 2) for k, i in enumerate(ids)], "uid string, z double, y int")
+    order = sorted(ids, key=lambda i: (hashlib.md5(f"{i}-s".encode()).hexdigest(), i))
+    for k in (1, 30, 700, 1500, 2000):
+        assert sorted(r["uid"] for r in sample_k(df, k, "s").collect()) == sorted(order[:k])
+    for ks in ((1, 5), (3, 1400)):
+        got = C.flip_sets(df, {"odd": F.col("y") == 1}, ks, 2).select("rep", "k", "uid").collect()
+        for rep in range(2):
+            want = sorted(ids[1::2], key=lambda i: (hashlib.md5(f"{i}-odd-{rep}".encode()).hexdigest(), i))
+            for k in ks:
+                assert sorted(r["uid"] for r in got if (r["rep"], r["k"]) == (rep, k)) == sorted(want[:k])

@@ -332,6 +332,26 @@ def corrupt(voxels: DataFrame, registry: dict[str, Callable[[], Column]], kinds:
     return rows.select("uid", *AXES, F.explode(made).alias("_c")).select("uid", "_c.kind", *AXES, "_c.v")
 
 
+MOVED = ("blur", "tilt", "shift")
+
+
+def corrupt_moved(voxels: DataFrame, grid: Grid, fwhm: float = 8.0, angle: float = 12.0, shift: Sequence[float] = (0.0, 5.0, 5.0), spacing: float = SPACING) -> DataFrame:
+    """Voxels once per corruption that mixes cells (R29): a blur of ``fwhm`` mm, a turn in the z-y plane, a shift in cells; 0 from outside."""
+    m, t = rotation(angle, (0, 1), grid)
+
+    def every(a: Arrays) -> Arrays:
+        v = dense(a, grid)
+        made = [
+            blurred(v, (fwhm / spacing / 2.355,) * 3, "reflect"), sampled(v, np.array(m), np.array(t), grid, "outside_zero"),
+            sampled(v, np.eye(3), -np.array(shift), grid, "outside_zero"),
+        ]
+        at = coordinates(np.tile(np.arange(v.size), len(made)), grid)
+        return {"k": np.repeat(np.arange(len(made)), v.size)} | at | {"v": np.concatenate([x.ravel() for x in made])}
+
+    rows = per_volume(voxels.select("uid", *AXES, "v"), every, [("k", "int"), *CELL])
+    return rows.select("uid", F.element_at(F.array(*map(F.lit, MOVED)), F.col("k") + 1).alias("kind"), *AXES, "v")
+
+
 def harmonize_blur(voxels: DataFrame, zooms: DataFrame, c: float, grid: Grid, spacing: float = SPACING) -> DataFrame:
     """Blur each volume up to a common resolution, with its own sigma.
 

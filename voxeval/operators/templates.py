@@ -188,8 +188,8 @@ def grouped_2means(points: DataFrame, by: str = "side", p: str = "p", q: str = "
     moves. ``first`` marks the cluster with the smaller p - q/2. Only centres reach the driver.
     """
     pts = stage(points)
-    med = pts.groupBy(by).agg(F.percentile(p, F.lit(0.5)).alias("_m"))
-    low = pts.join(F.broadcast(med), by).withColumn("k", F.when(F.col(p) < F.col("_m"), 0).otherwise(1))
+    med = stage(pts.groupBy(by).agg(F.percentile(p, F.lit(0.5)).alias("_m")))
+    low = lookup_join(pts, med, by).withColumn("k", F.when(F.col(p) < F.col("_m"), 0).otherwise(1))
     assigned, centres = low, {}
     for i in range(iters + 1):
         got = {(r[by], r["k"]): (r["cp"], r["cq"]) for r in assigned.groupBy(by, "k").agg(F.avg(p).alias("cp"), F.avg(q).alias("cq")).collect()}
@@ -225,7 +225,7 @@ def build_atlas(template: DataFrame, grid: Grid, n_side: int = 700, reach: tuple
     pts = region.select("side", *AXES, F.abs(F.col("x") - (w - 1) / 2.0).alias("p"), F.col("y").cast("double").alias("q"))
     zones = stage(grouped_2means(pts))
     split = zones.where(~F.col("first")).groupBy("side").agg(F.percentile("y", F.lit(0.5)).alias("_ym"))
-    zones = zones.join(F.broadcast(split), "side", "left")
+    zones = lookup_join(zones, stage(split), "side", "left")
     part = F.when(F.col("first"), 1).when(F.col("y") >= F.coalesce("_ym", F.lit(h / 2)), 2).otherwise(3)
     zones = zones.select(*AXES, (F.col("side") + part).alias("code"))
     near = dilate(zones.withColumn("uid", F.lit("t")), grow, grid).drop("uid") if grow else zones

@@ -304,6 +304,19 @@ def r29(spark, sf):
     return R.corrupt(fx.stack16(spark, sf), R.corruptions(fx.STACK16, 2, 3, HOT))
 
 
+_M12, _T12 = R.rotation(12.0, (0, 1), fx.GRID4)
+_TILT = "SELECT uid, z AS oz, y AS oy, x AS ox, " + ", ".join(
+    f"{_M12[i][0]!r}::DOUBLE * z + {_M12[i][1]!r}::DOUBLE * y + {_M12[i][2]!r}::DOUBLE * x + {_T12[i]!r}::DOUBLE AS s{a}" for i, a in enumerate("zyx")) + " FROM voxels"
+_SHIFT = "SELECT uid, z AS oz, y AS oy, x AS ox, z * 1e0 AS sz, y - 15e-1 AS sy, x - 5e-1 AS sx FROM voxels"
+
+
+@query("r29_corrupt_moved", "uid:i kind:s z:i y:i x:i v:d6", f"""SELECT uid, 'blur' AS kind, z, y, x, v FROM ({blur_sql("voxels", (8.0 / 2.0 / 2.355,) * 3, (4, 4, 4), "reflect")})
+    UNION ALL SELECT uid, 'tilt', z, y, x, v FROM ({_edge_sql(_TILT, False)}) UNION ALL SELECT uid, 'shift', z, y, x, v FROM ({_edge_sql(_SHIFT, False)})""", ["voxels"])
+def r29m(spark, sf):
+    """Blur, tilt and shift, which mix cells, in one pass over each volume."""
+    return R.corrupt_moved(fx.voxels(spark, sf).drop("label"), fx.GRID4, shift=(0.0, 1.5, 0.5))
+
+
 def _harmonize_sql() -> str:
     sg = "SELECT uid, sg, CASE WHEN sg > 0 THEN floor(4e0 * sg + 5e-1)::INTEGER ELSE 0 END AS r FROM (SELECT uid, CASE WHEN mm > 1e-1 THEN mm / 2e0 ELSE 0e0 END AS sg FROM (" \
          "SELECT DISTINCT uid, sqrt(greatest(power(8e-1 * 4e0, 2e0) - power(8e-1 * (15e-1 + 1e-1 * (uid % 30)), 2e0), 0e0)) AS mm FROM voxels))"
