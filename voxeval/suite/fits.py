@@ -176,12 +176,12 @@ def l6s(spark, sf):
 
 
 @query("l7_fit_alternatives", "kind:s n:i ranks:b beats_prior:b", """SELECT kind, count(*) AS n, true AS ranks, true AS beats_prior FROM wide_oof,
-    (VALUES ('rbf'), ('svm'), ('mlp'), ('forest')) k(kind) GROUP BY kind""", ["wide_oof"])
+    (VALUES ('rbf'), ('mlp'), ('forest')) k(kind) GROUP BY kind""", ["wide_oof"])
 def l7(spark, sf):
-    """Kernel and linear support vectors, perceptron and forest with full settings on five folds: every row is scored by models of
+    """Kernel support vectors, perceptron and forest with full settings on five folds: every row is scored by models of
     the others, ranks above 0.75, and the score as a logit loses less than the prior."""
     w, out = stage(fx.wide_oof(spark, sf)), None
-    for kind in ("rbf", "svm", "mlp", "forest"):
+    for kind in ("rbf", "mlp", "forest"):
         scored = L.cv_predict_with(w, lambda t: L.fit_alternative(kind, t, COLS), lambda m, r: L.score_alternative(kind, m, r), range(5))
         part = scored.select(F.lit(kind).alias("kind"), "y", "z")
         out = part if out is None else out.unionByName(part)
