@@ -25,3 +25,32 @@ def test_runs_are_written_without_a_sort(spark, tmp_path, monkeypatch):
     assert seen and seen[0] > 1 and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
     back = IO.read_runs(spark, str(tmp_path / "oof"), ["r0", "r3"]).toPandas()
     assert sorted(back.uid) == [i for i in range(400) if i % 20 in (0, 3)]
+
+
+def test_names_side_by_side(spark):
+    """The mean per name equals the plain one, takes one exchange, and a further aggregate by more keys takes none."""
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({"uid": rng.integers(0, 40, 900).astype(str), "run": rng.choice(["a", "b"], 900), "family": rng.choice(["x", "y", "w"], 900), "z": rng.normal(size=900)})
+    rows = rows[~((rows.uid == "7") & (rows.family == "y"))]
+    df = spark.createDataFrame(rows).withColumn("z", F.when(F.col("uid") != "9", F.col("z")))
+    plain = E.seed_mean(df, keep=()).toPandas()
+    means = E.seed_mean(df, keep=(), families=["x", "y", "w", "none"])
+    keys = ["uid", "run", "family"]
+    pd.testing.assert_frame_equal(*(t.sort_values(keys).reset_index(drop=True)[[*keys, "z"]] for t in (plain, means.toPandas())))
+    groups = {"g": {"x": 1.0, "y": 2.0, "absent": 3.0}}
+    got = E.group_mean(means, groups, ("uid", "run"), families=["x", "y", "w", "none"])
+    want = E.group_mean(spark.createDataFrame(plain), groups, ("uid", "run")).toPandas()
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+    keys = ["uid", "run", "grp_col"]
+    pd.testing.assert_frame_equal(*(t.sort_values(keys).reset_index(drop=True)[[*keys, "z"]] for t in (want, got.toPandas())))
+    with pytest.raises(Exception, match="family not listed: w"):
+        E.seed_mean(df, keep=(), families=["x", "y"]).collect()
+
+
+def test_alternative_scores_meet_folds_averaged(spark):
+    """Checkpoints of a fold are one row a subject before the join with the folds."""
+    alt = spark.createDataFrame([("a", "x", f, s, float(10 * f + s)) for f in range(5) for s in range(3)], "uid string, family string, fold int, seed int, z double")
+    first = spark.createDataFrame([("a", "x", 1.0)], "uid string, family string, z double")
+    own = spark.createDataFrame([("a", 3)], "uid string, fold int")
+    got = E.alternate_average(first, alt, own, families=["x", "y"])
+    assert [tuple(r) for r in got.collect()] == [("a", "x", 16.0)]

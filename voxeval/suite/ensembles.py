@@ -13,10 +13,11 @@ from voxeval.suite.metrics import _KEYS, _STEPS, B
 
 _SEED = "SELECT uid, run, family, any_value(y) AS y, any_value(fold) AS fold, avg(z) AS z FROM raw_oof GROUP BY uid, run, family"
 SEED = [("e", _SEED)]
+FAMILIES = tuple(fx.SLOPES)
 
 
 def seeded(spark, sf, runs=("a", "b", "c")):
-    return E.seed_mean(fx.raw_oof(spark, sf, runs))
+    return E.seed_mean(fx.raw_oof(spark, sf, runs), families=FAMILIES)
 
 
 @query("e1_seed_mean", "uid:s run:s family:s z:d6", "SELECT uid, run, family, z FROM e", ["raw_oof"], SEED)
@@ -29,7 +30,7 @@ def e1(spark, sf):
     GROUP BY uid, run, CASE WHEN family IN ('cnn1', 'cnn2') THEN 'cnn' ELSE family END""", ["raw_oof"], SEED)
 def e2(spark, sf):
     """A member of the group that no run has is skipped."""
-    return E.group_mean(seeded(spark, sf), {"cnn": {"cnn1": 1.0, "cnn2": 2.0, "absent": 3.0}}, ("uid", "run"))
+    return E.group_mean(seeded(spark, sf), {"cnn": {"cnn1": 1.0, "cnn2": 2.0, "absent": 3.0}}, ("uid", "run"), families=FAMILIES)
 
 
 BAG = [{"run": r, "family": f, "weight": w} for r, f, w in (
@@ -54,7 +55,7 @@ def e4(spark, sf):
     """Run b counts twice for the families with two seeds; then half and half with run c."""
     counts = {(r, f): 2 if r == "b" and f.startswith("cnn") else 1 for r in "ab" for f in fx.SLOPES}
     rows = stage(seeded(spark, sf))
-    bag = E.weighted_mean(rows.where("run <> 'c'"), E.seed_weights(counts), ["run", "family"], ["uid", "family"])
+    bag = E.weighted_mean(rows.where("run <> 'c'"), E.seed_weights(counts), ["run", "family"], ["uid", "family"], families=FAMILIES)
     return E.halves(bag, rows.where("run = 'c'"), ["uid", "family"])
 
 
@@ -194,10 +195,8 @@ def e13r(spark, sf):
 def e14(spark, sf):
     """Alternative scores exist for every fold's checkpoint; only the row's own fold counts."""
     raw = fx.raw_oof(spark, sf, ("a",))
-    every = raw.select("uid", "family", "seed", "z", F.col("fold").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("fold"))
-    file = F.format_string("%s_s%d_f%d", "family", "seed", "fold")
+    every = raw.select("uid", "family", "seed", "z", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("fold"))
+    file = fx.checkpoint_file("family", "seed", "fold")
     alt = every.select("uid", "family", "fold", (F.col("z") + F.lit(0.2) * (uniform(F.col("uid"), file, "alt") - 0.5)).alias("z"))
-    original = E.seed_mean(raw, ("uid", "family"), ())
-    return E.alternate_average(original, alt, fx.folded(spark, sf, ("a",)).select("uid", "fold"))
-
-
+    original = E.seed_mean(raw, ("uid", "family"), (), families=FAMILIES)
+    return E.alternate_average(original, alt, fx.folded(spark, sf, ("a",)).select("uid", "fold"), families=FAMILIES)

@@ -45,7 +45,7 @@ def m4(spark, sf):
     """Seed means of every run and family, scored."""
     from voxeval.operators.ensemble import seed_mean
 
-    return M.scoreboard(seed_mean(fx.raw_oof(spark, sf)), ["run", "family"])
+    return M.scoreboard(seed_mean(fx.raw_oof(spark, sf), families=tuple(fx.SLOPES)), ["run", "family"])
 
 
 _DELTA = f"SELECT uid, fold, {loss('y', sig('(cnn + gbm) / 2e0'))} - {loss('y', sig('cnn'))} AS d FROM wide_oof"
@@ -90,7 +90,7 @@ def m7(spark, sf):
 def m8(spark, sf):
     from voxeval.operators.ensemble import seed_mean
 
-    return M.disagreement(seed_mean(fx.raw_oof(spark, sf, ("a",))))
+    return M.disagreement(seed_mean(fx.raw_oof(spark, sf, ("a",)), families=tuple(fx.SLOPES)))
 
 
 @query("m9_shift_report", "kind:s n:i median:d6 p90:d6 worst:d6 share_above:d6", """SELECT kind, count(*) AS n, quantile_cont(mm, 5e-1) AS median, quantile_cont(mm, 9e-1) AS p90,
