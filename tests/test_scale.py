@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+from voxeval.operators import calibration as C
 from voxeval.operators import ensemble as E
 from voxeval.operators import metrics as M
+from voxeval.plans import newton
 from voxeval.sources import tables as IO
 
 
@@ -54,3 +56,59 @@ def test_alternative_scores_meet_folds_averaged(spark):
     own = spark.createDataFrame([("a", 3)], "uid string, fold int")
     got = E.alternate_average(first, alt, own, families=["x", "y"])
     assert [tuple(r) for r in got.collect()] == [("a", "x", 16.0)]
+
+
+def test_bootstrap_counts_at_the_steps():
+    """Looked-up counts are those of the division and search, next to every step too."""
+    cdf, m = np.array(M._poisson_cdf()), M.MERSENNE31
+    near = np.unique(np.clip(np.concatenate([(cdf * m).astype(np.int64) + k for k in range(-3, 4)] + [np.array([0, 1, m - 2, m - 1])]), 0, m - 1))
+    got = M.bootstrap_weights(near, np.zeros_like(near), np.array([[1, 1, 0]], np.int64))[:, 0]
+    assert (got == np.searchsorted(cdf, near / float(m), side="right")).all()
+    rng = np.random.default_rng(5)
+    h, g = rng.integers(0, m, (2, 500))
+    keys = np.array(M.replicate_keys(50), np.int64)
+    a, b, c = keys.T
+    assert (M.bootstrap_weights(h, g, keys) == np.searchsorted(cdf, (h[:, None] * a + g[:, None] * b + c) % m / float(m), side="right")).all()
+
+
+def test_bootstrap_of_several_columns_draws_once(spark):
+    """Columns side by side give the replicates of each alone, nulls left out."""
+    rng = np.random.default_rng(6)
+    rows = pd.DataFrame({"uid": [str(i) for i in range(300)], "p": rng.normal(size=300), "q": rng.normal(size=300)})
+    df = spark.createDataFrame(rows).withColumn("q", F.when(F.col("uid") != "5", F.col("q")))
+    both = M.bootstrap_sums(df, 20, d=["p", "q"]).toPandas().sort_values(["part", "rep"])
+    for i, c in enumerate(["p", "q"]):
+        alone = M.bootstrap_sums(df.where(F.col(c).isNotNull()), 20, d=c).toPandas().sort_values("rep")
+        np.testing.assert_allclose(both[both.part == i].mean_d, alone.mean_d, rtol=1e-12)
+
+
+def test_fits_start_from_a_share(spark, monkeypatch):
+    """On many rows the passes over all of them are few, and the fit is the same."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 2))
+    y = (x @ [1.0, -2.0] + 0.5 + rng.logistic(size=6000) > 0).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": y, "fold": np.arange(6000) % 3}))
+    fits = [newton.Fit((f,), held=f, penalty=newton.ridge(0.1, 2)) for f in range(3)]
+    plain = newton.fit_many(df, ["a", "b"], fits, fold="fold")
+    monkeypatch.setattr(newton, "WARM_ROWS", 1000)
+    warm = newton.fit_many(df, ["a", "b"], fits, fold="fold")
+    for p, w in zip(plain, warm):
+        np.testing.assert_allclose([*w.coef, w.b], [*p.coef, p.b], rtol=1e-8)
+        assert w.n == p.n and w.iterations < p.iterations
+    monkeypatch.setattr(newton, "WARM_SHARE", 1 << 40)  # no row at all: the centres are the start
+    for p, w in zip(plain, newton.fit_many(df, ["a", "b"], fits, fold="fold")):
+        np.testing.assert_allclose([*w.coef, w.b], [*p.coef, p.b], rtol=1e-8)
+
+
+@pytest.mark.parametrize("scale", [0.2, 1.0, 9.0, 30.0])
+def test_best_temperatures_are_the_grid_s(spark, scale):
+    rng = np.random.default_rng(9)
+    s = scale * rng.normal(size=(2, 400))
+    y = (s / scale * 2 + rng.logistic(size=s.shape) > 0).astype(int)
+    temps = [round(0.5 + 0.025 * i, 6) for i in range(101)]
+    rows = pd.DataFrame({"part": np.repeat([0, 1], 400), "y": y.ravel(), "s": s.ravel()})
+    got = C.best_temperatures(spark.createDataFrame(rows), temps)
+    for k in (0, 1):
+        p = np.clip(1 / (1 + np.exp(-s[k][:, None] / np.array(temps))), 1e-15, 1 - 1e-15)
+        loss = -(y[k][:, None] * np.log(p) + (1 - y[k][:, None]) * np.log(1 - p)).mean(axis=0)
+        assert got[k] == temps[int(loss.argmin())]

@@ -127,6 +127,36 @@ def inner_stack_scores(df: DataFrame, cols: Sequence[str], k: int, inner_k: int
     return rows.withColumn("s", s)
 
 
+#: Largest logit over temperature at which the mean loss is sure to be convex: beyond it losses are cut.
+UNCUT = 34.0
+
+
+def best_temperatures(rows: DataFrame, temps: Sequence[float], stride: int = 10) -> dict[int, float]:
+    """First temperature of the sorted list with the least mean loss of ``s``, per ``part`` (a whole number from 0).
+
+    The loss is convex in 1 / temperature, so it falls and then rises along the list: every ``stride``-th one is tried, then those
+    between the neighbours of the best. If a logit is so large that losses are cut, all are tried.
+    """
+    def losses(grid: dict[int | None, list[float]]) -> DataFrame:
+        arrays = {k: F.array(*[F.lit(float(t)) for t in ts]) for k, ts in grid.items()}
+        tried = arrays[None] if None in arrays else F.element_at(F.create_map(*[c for k, a in arrays.items() for c in (F.lit(k), a)]), F.col("part").cast("int"))
+        long = rows.select("part", "y", "s", F.explode(tried).alias("temp"))
+        return long.groupBy("part", "temp").agg(F.avg(row_logloss("y", sigmoid(F.col("s") / F.col("temp")))).alias("loss"), F.max(F.abs("s")).alias("_far"))
+
+    coarse = losses({None: list(temps[::stride])}).collect()  # parts x len(temps) / stride rows
+    best: dict[int, tuple[float, float]] = {}
+    for r in coarse:
+        best[r["part"]] = min(best.get(r["part"], (float("inf"), 0.0)), (r["loss"], r["temp"]))
+    if max(r["_far"] for r in coarse) / temps[0] >= UNCUT:
+        near = {None: [t for i, t in enumerate(temps) if i % stride]}
+    else:
+        at = {k: list(temps).index(t) for k, (_, t) in best.items()}
+        near = {k: [t for i, t in enumerate(temps) if 0 < abs(i - m) < stride and i % stride] for k, m in at.items()}
+    for r in losses(near).collect():
+        best[r["part"]] = min(best[r["part"]], (r["loss"], r["temp"]))
+    return {k: t for k, (_, t) in best.items()}
+
+
 def doubly_nested_calibration(df: DataFrame, cols: Sequence[str], k: int, inner_k: int = 5, c: float = 0.1) -> DataFrame:
     """Held-out loss of identity, temperature, affine and beta calibration.
 
@@ -136,9 +166,7 @@ def doubly_nested_calibration(df: DataFrame, cols: Sequence[str], k: int, inner_
     outer = {m.name[0]: m for m in fit_many(df, cols, [Fit((f,), held=f, penalty=ridge(c, len(cols))) for f in range(k)], fold="fold")}
     lo, hi = TEMP_RANGE
     temps = [round(lo + 0.025 * i, 6) for i in range(round((hi - lo) / 0.025) + 1)]
-    losses = with_grid(inner.select("outer_fold", "y", "s"), [{"temp": t} for t in temps])
-    losses = losses.groupBy("outer_fold", "temp").agg(F.avg(row_logloss("y", sigmoid(F.col("s") / F.col("temp")))).alias("loss"))
-    best_t = {r["outer_fold"]: r["temp"] for r in grid_best(losses, ["temp"], by=["outer_fold"]).collect()}  # one per fold
+    best_t = best_temperatures(inner.select(F.col("outer_fold").alias("part"), "y", "s"), temps)
     aff = {m.name[0]: m for m in fit_many(inner, ["s"], [affine_fit((f,), part=f) for f in range(k)], part="outer_fold")}
     u, v = beta_terms("s")
     terms = inner.select("outer_fold", "y", u.alias("_u"), v.alias("_v"))
