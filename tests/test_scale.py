@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from voxeval.operators import calibration as C
 from voxeval.operators import ensemble as E
+from voxeval.operators import fits as L
 from voxeval.operators import metrics as M
 from voxeval.plans import newton
 from voxeval.sources import tables as IO
@@ -112,3 +113,16 @@ def test_best_temperatures_are_the_grid_s(spark, scale):
         p = np.clip(1 / (1 + np.exp(-s[k][:, None] / np.array(temps))), 1e-15, 1 - 1e-15)
         loss = -(y[k][:, None] * np.log(p) + (1 - y[k][:, None]) * np.log(1 - p)).mean(axis=0)
         assert got[k] == temps[int(loss.argmin())]
+
+
+def test_kernel_svm_stores_columns_not_cosines(spark, monkeypatch):
+    """What is written for a fit are the label and the columns; margins separate a circle that no line can."""
+    staged, keep = [], L.stage
+    monkeypatch.setattr(L, "stage", lambda df: staged.append(df.columns) or keep(df))
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(1500, 2))
+    rows = pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": ((x**2).sum(axis=1) < 1.4).astype(int)})
+    df = spark.createDataFrame(rows).repartition(3)
+    got = L.score_alternative("rbf", L.fit_alternative("rbf", df, ["a", "b"]), df).toPandas()
+    assert staged == [["_y", "_s_a", "_s_b"]]
+    assert ((got.z > 0) == (got.y == 1)).mean() > 0.95
