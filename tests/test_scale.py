@@ -10,7 +10,8 @@ from voxeval.operators import calibration as C
 from voxeval.operators import ensemble as E
 from voxeval.operators import fits as L
 from voxeval.operators import metrics as M
-from voxeval.plans import newton
+from voxeval.operators import rasters as R
+from voxeval.plans import newton, volumes
 from voxeval.sources import tables as IO
 
 
@@ -126,3 +127,20 @@ def test_kernel_svm_stores_columns_not_cosines(spark, monkeypatch):
     got = L.score_alternative("rbf", L.fit_alternative("rbf", df, ["a", "b"]), df).toPandas()
     assert staged == [["_y", "_s_a", "_s_b"]]
     assert ((got.z > 0) == (got.y == 1)).mean() > 0.95
+
+
+def test_a_task_of_a_blur_takes_no_more_volumes_when_there_are_more(spark, monkeypatch):
+    """Partitions follow the number of volumes, and the values do not depend on them."""
+    grid = (2, 3, 4)
+    rng = np.random.default_rng(8)
+    cells = pd.DataFrame([(u, z, y, x) for u in range(60) for z in range(2) for y in range(3) for x in range(4)], columns=["uid", "z", "y", "x"])
+    vox = spark.createDataFrame(cells.assign(v=rng.normal(size=len(cells))))
+    zooms = spark.range(60).select(F.col("id").alias("uid"), (F.lit(1.5) + F.col("id") % 30 * 0.1).alias("zoom"))
+    keys = ["uid", "z", "y", "x"]
+    plain = R.harmonize_blur(vox, zooms, 0.8, grid).toPandas().sort_values(keys).reset_index(drop=True)
+    flat = R.gaussian_blur(vox, (0.7, 1.0, 1.3), grid).toPandas().sort_values(keys).reset_index(drop=True)
+    monkeypatch.setattr(volumes, "TASK_CELLS", 50)  # two volumes
+    for tasks, want, got in ((30, plain, R.harmonize_blur(vox, zooms, 0.8, grid)), (30, flat, R.gaussian_blur(vox, (0.7, 1.0, 1.3), grid, tasks=volumes.volume_tasks(zooms, grid)))):
+        most = got.select(F.spark_partition_id().alias("p"), "uid").groupBy("p").agg(F.count_distinct("uid").alias("n")).agg(F.max("n"), F.count("p")).first()
+        assert got.rdd.getNumPartitions() == tasks and most[0] <= 8 and most[1] > 15
+        pd.testing.assert_frame_equal(got.toPandas().sort_values(keys).reset_index(drop=True), want)

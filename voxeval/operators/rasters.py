@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from voxeval.functions.scalars import clean_value, clip, uniform
 from voxeval.plans.bounded import struct_array, struct_array_sql
-from voxeval.plans.volumes import Arrays, Grid, coordinates, dense, per_volume, sampled
+from voxeval.plans.volumes import Arrays, Grid, coordinates, dense, per_volume, sampled, volume_tasks
 
 AXES = ("z", "y", "x")
 
@@ -105,14 +105,15 @@ def apply_axis(voxels: DataFrame, axis: str, sends: Sequence[Sequence[tuple[int,
     return rows.groupBy(*keys, *rest, F.col("_s.o").alias(axis)).agg(F.sum(F.col("v") * F.col("_s.w")).alias("v"))
 
 
-def gaussian_blur(voxels: DataFrame, sigmas: Sequence[float], grid: Grid, edge: str = "replicate", keys: Sequence[str] = ("uid",)) -> DataFrame:
+def gaussian_blur(voxels: DataFrame, sigmas: Sequence[float], grid: Grid, edge: str = "replicate", keys: Sequence[str] = ("uid",),
+                  tasks: int | None = None) -> DataFrame:
     """Separable, anisotropic blur: three passes of 2r+1, not one of (2r+1)^3.
 
-    Volumes are brought together by uid once, so the passes themselves do not shuffle.
+    Volumes are brought together by uid once, so the passes themselves do not shuffle. ``tasks``: partitions, see ``volume_tasks``.
     """
     out = voxels.select(*keys, *AXES, "v")
     if keys:
-        out = out.repartition(*keys)
+        out = out.repartition(*[tasks] if tasks else [], *keys)
     for axis, sigma, n in zip(AXES, sigmas, grid):
         if sigma > 0.05:
             out = apply_axis(out, axis, axis_weights(sigma, n, edge), keys)
@@ -356,7 +357,8 @@ def harmonize_blur(voxels: DataFrame, zooms: DataFrame, c: float, grid: Grid, sp
     """Blur each volume up to a common resolution, with its own sigma.
 
     Reflecting edges: a symmetric kernel may be sent out and folded back at the borders, so the
-    kernel is an expression of the row's own sigma.
+    kernel is an expression of the row's own sigma. ``zooms`` has a row per uid; it is counted, so that the cells of a task
+    stay the same however many volumes there are.
     """
     mm = F.sqrt(F.greatest(F.lit((c * 4.0) ** 2) - F.pow(F.col("zoom") * F.lit(c), F.lit(2.0)), F.lit(0.0)))
     sigma = F.when(mm > 0.1, mm / F.lit(spacing)).otherwise(F.lit(0.0))
@@ -365,7 +367,8 @@ def harmonize_blur(voxels: DataFrame, zooms: DataFrame, c: float, grid: Grid, sp
     per = zooms.select("uid", sigma.alias("_sg")).withColumn("_k", kernel)
     total = F.aggregate("_k", F.lit(0.0), lambda a, b: a + b)
     per = per.select("uid", F.transform("_k", lambda v: v / total).alias("_k"))
-    out = voxels.repartition("uid").join(per, "uid")
+    tasks = volume_tasks(zooms, grid)
+    out = voxels.repartition(tasks, "uid").join(per.repartition(tasks, "uid"), "uid")
     for axis, n in zip(AXES, grid):
         rest = [a for a in AXES if a != axis]
         rows = out.select("uid", "_k", *rest, "v", axis, F.posexplode("_k").alias("_i", "_w"))

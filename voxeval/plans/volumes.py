@@ -5,6 +5,7 @@ For steps that follow a volume's cells to their neighbours or between grids, whe
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -14,9 +15,20 @@ from pyspark.sql import types as T
 
 Grid = tuple[int, int, int]
 Arrays = dict[str, np.ndarray]
+#: Cells a task takes where the rows of volumes meet by uid: its sorts and hash maps hold all of them.
+TASK_CELLS = 1 << 17
 KINDS = {"int": (T.IntegerType(), pa.int32()), "long": (T.LongType(), pa.int64()), "double": (T.DoubleType(), pa.float64())}
 
 
+def volume_tasks(volumes: DataFrame, grid: Grid) -> int:
+    """Partitions by uid that leave a task some TASK_CELLS cells, one volume at least; ``volumes`` has a row per uid.
+
+    A fixed number of partitions, or one joined up to a size in bytes, would give a task more cells the more volumes there are.
+    """
+    each = max(1, TASK_CELLS // math.prod(grid))
+    return max(volumes.sparkSession.sparkContext.defaultParallelism, math.ceil(volumes.count() / each))
+
+
 def per_volume(rows: DataFrame, fn: Callable[[Arrays], Arrays], out: Sequence[tuple[str, str]], params: DataFrame | None = None) -> DataFrame:
     """uid and what ``fn`` makes of each volume's columns; ``params`` (one row per uid) travels to it apart, as one-row columns.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from voxeval import fixtures as fx
 from voxeval.functions.scalars import uniform
 from voxeval.operators import rasters as R
+from voxeval.plans.volumes import volume_tasks
 from voxeval.suite.base import clip, query, u
 
 MASK16 = "SELECT uid, z, y, x, v FROM stack16 WHERE v > 6e-1"
@@ -59,15 +60,19 @@ def r2(spark, sf):
     return R.downsample(fx.stack16(spark, sf), 2)
 
 
+def _tasks(spark, sf, grid):
+    return volume_tasks(fx.table(spark, sf, "embeddings"), grid)
+
+
 @query("r3_gaussian_blur", "uid:i z:i y:i x:i v:d6", blur_sql("voxels", (0.7, 1.0, 1.3), (4, 4, 4), "replicate"), ["voxels"])
 def r3(spark, sf):
     """Different sigma per axis, edges replicated."""
-    return R.gaussian_blur(fx.voxels(spark, sf), (0.7, 1.0, 1.3), fx.GRID4, "replicate")
+    return R.gaussian_blur(fx.voxels(spark, sf), (0.7, 1.0, 1.3), fx.GRID4, "replicate", tasks=_tasks(spark, sf, fx.GRID4))
 
 
 @query("r3_gaussian_blur_reflect", "uid:i z:i y:i x:i v:d6", blur_sql("planes", (0, 1.0, 1.0), (1, 8, 8), "reflect"), ["planes"])
 def r3r(spark, sf):
-    return R.gaussian_blur(fx.planes(spark, sf), (0.0, 1.0, 1.0), fx.PLANE8, "reflect")
+    return R.gaussian_blur(fx.planes(spark, sf), (0.0, 1.0, 1.0), fx.PLANE8, "reflect", tasks=_tasks(spark, sf, fx.PLANE8))
 
 
 @query("r12_center_of_mass", "uid:i cz:d6 cy:d6 cx:d6 wz:d6 wy:d6 wx:d6", """SELECT uid, avg(z) AS cz, avg(y) AS cy, avg(x) AS cx, sum(v * z) / sum(v) AS wz,
@@ -338,5 +343,5 @@ _HSQL, _HKER = _harmonize_sql()
 @query("r30_harmonize_blur", "uid:i z:i y:i x:i v:d6", _HSQL, ["voxels"], [("ker", _HKER)])
 def r30(spark, sf):
     vox = fx.voxels(spark, sf).drop("label")
-    zooms = vox.select("uid").distinct().select("uid", (F.lit(1.5) + F.lit(0.1) * (F.col("uid") % 30)).alias("zoom"))
+    zooms = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("uid")).distinct().select("uid", (F.lit(1.5) + F.lit(0.1) * (F.col("uid") % 30)).alias("zoom"))
     return R.harmonize_blur(vox, zooms, 0.8, fx.GRID4)
