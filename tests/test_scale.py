@@ -1,11 +1,14 @@
 """Steps whose cost must not outgrow their input: what they exchange, sort or draw, and that results stay the same."""
 
+import threading
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+from voxeval import fixtures as fx
 from voxeval.operators import calibration as C
 from voxeval.operators import ensemble as E
 from voxeval.operators import fits as L
@@ -144,3 +147,29 @@ def test_a_task_of_a_blur_takes_no_more_volumes_when_there_are_more(spark, monke
         most = got.select(F.spark_partition_id().alias("p"), "uid").groupBy("p").agg(F.count_distinct("uid").alias("n")).agg(F.max("n"), F.count("p")).first()
         assert got.rdd.getNumPartitions() == tasks and most[0] <= 8 and most[1] > 15
         pd.testing.assert_frame_equal(got.toPandas().sort_values(keys).reset_index(drop=True), want)
+
+
+def test_inputs_of_boosted_trees_rank_and_draw_nothing_else(spark, sf):
+    """The rows of the wide table, without its folds and its other families."""
+    got = fx.wide_inputs(spark, sf, ("lr",))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("md5(") == 4  # the label and three seeds
+    want = fx.wide_oof(spark, sf).select(*got.columns).toPandas().sort_values("uid").reset_index(drop=True)
+    pd.testing.assert_frame_equal(got.toPandas().sort_values("uid").reset_index(drop=True), want)
+
+
+def test_folds_fitted_side_by_side(spark):
+    """Each fit waits for the other; every row gets the score of its own fold's model."""
+    df = spark.range(20).select(F.col("id").alias("uid"), (F.col("id") % 2).cast("int").alias("fold"))
+    both = threading.Barrier(2, timeout=60)
+
+    def fit(train):
+        both.wait()
+        return train.agg(F.max("fold")).first()[0]
+
+    score = lambda m, rows: rows.withColumn("z", F.lit(m))
+    got = L.cv_predict_with(df, fit, score, range(2), at_once=2).collect()
+    assert len(got) == 20 and all(r.z == 1 - r.fold for r in got)
+    both.reset()
+    with pytest.raises(ValueError, match="no fit"):
+        L.cv_predict_with(df, lambda t: (_ for _ in ()).throw(ValueError("no fit")), score, range(2), at_once=2)
