@@ -173,3 +173,24 @@ def test_folds_fitted_side_by_side(spark):
     both.reset()
     with pytest.raises(ValueError, match="no fit"):
         L.cv_predict_with(df, lambda t: (_ for _ in ()).throw(ValueError("no fit")), score, range(2), at_once=2)
+
+
+def test_kernel_svms_of_all_folds_share_their_passes(spark, monkeypatch):
+    """The fits of each fold alone, in as many passes as the longest of them takes; rows without a fold are left out."""
+    passes, keep = [], L.collected_tasks
+    monkeypatch.setattr(L, "collected_tasks", lambda *args: passes.append(1) or keep(*args))
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(900, 2))
+    rows = pd.DataFrame({"a": x[:, 0], "b": 5 + x[:, 1], "y": ((x**2).sum(axis=1) < 1.4).astype(int), "fold": np.arange(900) % 3})
+    df = spark.createDataFrame(rows).withColumn("fold", F.when(F.col("a") < 2.5, F.col("fold"))).repartition(3)
+    alone, took = {}, []
+    for f in range(3):
+        alone[f] = L.fit_kernel_svm(df.where(F.col("fold") != f), ["a", "b"], size=32, max_iter=8)
+        took.append(len(passes) - sum(took))
+    passes.clear()
+    for f, m in L.fit_kernel_svms(df, ["a", "b"], range(3), size=32, max_iter=8).items():
+        np.testing.assert_allclose([*m.coef, m.intercept], [*alone[f].coef, alone[f].intercept], rtol=1e-6, atol=1e-9)
+    assert len(passes) == max(took)
+    many = rng.normal(size=(50, 3)) * 20
+    w, b = rng.normal(size=(3, 16)), rng.uniform(0, 7, 16)
+    np.testing.assert_allclose(L._cosines(many, w, b), np.sqrt(2 / 16) * np.cos(many @ w + b), atol=1e-12)
