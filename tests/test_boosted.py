@@ -87,3 +87,20 @@ def test_query_of_boosted_trees_takes_every_tree_and_fold(spark, sf, monkeypatch
     assert entry.queries()["l6_fit_gbt"](spark, sf).first()["n"] == 1500
     fits, params = seen[0]
     assert params == B.Boosting() and params.trees == 350 and [m.held for m in fits] == list(range(5))
+
+
+def test_ablation_has_every_arm(spark, rows, monkeypatch):
+    """Logistic, boosted and stack of each set and scheme; the values are those of each arm alone, trees grow in one call with the defaults."""
+    seen = []
+    monkeypatch.setattr(L, "fit_boosted", lambda df, fits, y, params: seen.append((len(fits), params)) or B.fit_boosted(df, fits, y, B.Boosting(trees=4, rate=0.3, rows=1.0, columns=1.0)))
+    rng = np.random.default_rng(6)
+    pdf = rows.assign(held=(rows.a % 3).astype(int), net=rows.b - 5 + rng.normal(size=700))
+    df, sets = spark.createDataFrame(pdf), {"one": ["a"], "all": ["a", "b", "c"]}
+    board = L.feature_ablation(df, sets, {"fold": range(3), "held": range(3)}, base=["net"]).toPandas().set_index(["scheme", "features", "model"])
+    assert seen == [(12, B.Boosting())] and len(board) == 12 and (board.n == 700).all()
+    lr = L.cv_predict_features(df, sets["all"], range(3), name="lr", fold="held")
+    both = L.cv_predict_boosted(lr, sets["all"], range(3), fold="held", name="gb").toPandas()  # the same trees: nothing is drawn
+    for model, z in (("logistic", both.lr), ("boosted", both.gb)):
+        assert abs(board.loc[("held", "all", model), "logloss"] - (np.logaddexp(0, z) - both.y * z).mean()) < 1e-9
+    stack = L.fit_stack(spark.createDataFrame(both), ["net", "gb", "lr"], range(3), fold="held")
+    assert abs(board.loc[("held", "all", "stack"), "logloss"] - stack["nested_logloss"]) < 1e-9
